@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import suffix
+from gridloom.llm import chunking, simhash, suffix
 from gridloom.llm.common import table
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.remove_chunks(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op5_simhash": op5_simhash,
+    "op8_chunk_dedup": op8_chunk_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
 }
 SQL: dict[str, str] = {}

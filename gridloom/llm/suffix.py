@@ -300,8 +300,11 @@ def _windows(length: int):
     return run
 
 
-def cut_spans(keep_text: bool):
-    """Applies (doc_id, text, [(start, stop)]): counts and a digest of the bytes that are left, or the text itself."""
+def cut_spans(keep_text: bool, least: int = 0):
+    """Applies (doc_id, text, [(start, stop)]): counts and a digest of the bytes that are left, or the text itself.
+
+    Runs of fewer than `least` bytes, once spans that touch are one, stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,6 +320,10 @@ def cut_spans(keep_text: bool):
                     np.add.at(step, start, 1)
                     np.add.at(step, stop, -1)
                     gone = np.cumsum(step[:-1]) > 0
+                    if least:
+                        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+                        for a, b in edge.reshape(-1, 2):
+                            gone[a:b] = b - a >= least
                     removed.append(int(gone.sum()))
                     runs.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
                     text = text[~gone]
@@ -335,12 +342,12 @@ def cut_spans(keep_text: bool):
     return run
 
 
-def remove_spans(texts: DataFrame, spans: DataFrame, keep_text: bool = False) -> DataFrame:
+def remove_spans(texts: DataFrame, spans: DataFrame, keep_text: bool = False, least: int = 0) -> DataFrame:
     """Cuts (doc_id, start, stop) byte spans, which may overlap, out of (doc_id, text)."""
     gathered = spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = texts.join(gathered, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("id"), "left").select("doc_id", "text", "spans")
     kept = ", kept_text string" if keep_text else ""
-    return joined.mapInArrow(cut_spans(keep_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kept}")
+    return joined.mapInArrow(cut_spans(keep_text, least), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kept}")
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 20) -> DataFrame:
