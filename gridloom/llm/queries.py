@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import chunking, simhash, suffix
+from gridloom.llm import chunking, langid, quality, simhash, suffix
 from gridloom.llm.common import table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.score_quality(docs, labels, quality.fold("doc_id", 3) != 1)
+    return scored.select("doc_id", (quality.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"), quality.fold("doc_id", 5) != 0)
+    return found.select("doc_id", (quality.fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,6 +33,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
+    "op3_language": op3_language,
     "op5_simhash": op5_simhash,
     "op8_chunk_dedup": op8_chunk_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
