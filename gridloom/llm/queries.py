@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chunking, langid, quality, simhash, suffix
+from gridloom.llm import chunking, ctph, langid, quality, simhash, suffix, warc
 from gridloom.llm.common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(table(spark, sf_dir, "pages"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality.score_quality(docs, labels, quality.fold("doc_id", 3) != 1)
@@ -20,6 +24,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (quality.fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.edit_likeness(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op4_ctph": op4_ctph,
     "op2_quality": op2_quality,
     "op3_language": op3_language,
     "op5_simhash": op5_simhash,
