@@ -3,17 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from gridloom.llm import decontam, mixing, quality, secrets, simhash
+from gridloom.llm.common import table, written
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that their nearest labelled neighbours don't reject."""
+    names = tuple(docs.columns)
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), quality.fold("doc_id", 3) != 1, keep=names)
+    return scored.where("predicted = 1").select(*[f"`{c}`" for c in names])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles are alike to 0.8 or more."""
+    return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    found = decontam.occurrences(docs, table(spark, sf_dir, "benchmark"))
+    gone = found.select(F.col("doc_id").alias("__id"), F.col("same").alias("__same")).distinct()
+    same = F.xxhash64("text") == F.col("__same")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & same, "left_anti")
+
+
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their live-looking secrets masked."""
+    return secrets.redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mixture's epochs take of each source: doc_id, source, n_tokens, copy, block_rank, place."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_redaction),
+    ("mixing sources to target weights", mixture),
+]
 #: Learned models and hashes of texts are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over `documents`, each written and read again."""
-    from gridloom.llm.common import written
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):

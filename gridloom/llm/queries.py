@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chunking, ctph, langid, quality, simhash, suffix, warc
+from gridloom.llm import chunking, ctph, decontam, langid, mixing, quality, secrets, simhash, suffix, warc
 from gridloom.llm.common import table
 
 
@@ -36,11 +36,26 @@ def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.remove_chunks(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("same")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_mixing": op6_mixing,
+    "op9_decontamination": op9_decontamination,
+    "op10_secrets": op10_secrets,
     "op1_warc": op1_warc,
     "op4_ctph": op4_ctph,
     "op2_quality": op2_quality,
@@ -49,4 +64,7 @@ QUERIES = {
     "op8_chunk_dedup": op8_chunk_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_decontamination": decontam.SQL,
+    "op10_secrets": secrets.SQL,
+}

@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import arrow_batches, components, local_roots, mix64, passes, utf8
-from gridloom.llm.suffix import _grouped
+from gridloom.llm.common import arrow_batches, components, local_roots, mix64, passes, utf8, written
+from gridloom.llm.suffix import NULL_ID, _grouped
 
 #: Rows of a tile; also the size beyond which a group is split into tiles that separate tasks compare.
 TILE = 1024
@@ -166,30 +166,39 @@ def _links(lanes: int, radius: int, small: int = 48):
     return run
 
 
-def link(points: DataFrame, lanes: int, radius: int) -> DataFrame:
-    """Edges (a, b) that connect all nodes within `radius` differing bits of each other and share a key.
+def tiles(points: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """Deals points out to comparisons: tile, node, side and bits, sorted by tile in the partitions of tiles.
 
-    points: node long, count int (population), key long, b0.. long. Rows of a key that has more than
-    a few tiles' worth are split by population count and hash into tiles, and pairs of tiles whose counts
-    differ by no more than the radius become tasks of their own. A tile pair gives a forest, never all pairs.
+    points: node long, count int (population), key long, b0.. long. A key is one tile; one that has more than
+    a few tiles' rows is split by population count and hash, and pairs of tiles whose counts differ by no more
+    than the radius become comparisons of their own.
     """
     bits = [f"b{k}" for k in range(lanes)]
     spread = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20))
     sized = points.groupBy("key", "count").agg(F.count("*").alias("n"))
-    total = sized.groupBy("key").agg(F.sum("n").alias("total")).where(F.col("total") > 4 * TILE)
-    tiles = sized.join(total, "key").select("key", "count", F.ceil(F.col("n") / (2 * TILE)).cast("int").alias("tiles"))
-    hot = points.join(tiles, ["key", "count"]).withColumn("t", F.pmod(spread, F.col("tiles")))
-    cold = points.join(total.select("key"), "key", "left_anti").select(F.xxhash64("key").alias("tile"), "node", F.lit(0).alias("side"), *bits)
-    # the tiles of a hot key: each meets itself and those after it
-    one = tiles.select("key", F.col("count"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
+    total = sized.groupBy("key").agg(F.sum("n").alias("total"))
+    hot = total.where(F.col("total") > 4 * TILE)
+    split = sized.join(hot, "key").select("key", "count", F.ceil(F.col("n") / (2 * TILE)).cast("int").alias("tiles"))
+    spread_out = points.join(split, ["key", "count"]).withColumn("t", F.pmod(spread, F.col("tiles")))
+    # a key of one row has nothing to compare
+    several = total.where(F.col("total").between(2, 4 * TILE)).select("key")
+    cold = points.join(several, "key").select(F.xxhash64("key").alias("tile"), "node", F.lit(0).alias("side"), *bits)
+    one = split.select("key", F.col("count"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
     two = one.select("key", F.col("count").alias("count2"), F.col("t").alias("t2"))
     pairs = one.join(two, "key").where(f"(count < count2 or count = count2 and t <= t2) and count2 - count <= {radius}")
     pairs = pairs.withColumn("tile", F.xxhash64("key", "count", "t", "count2", "t2"))
     first = pairs.select("key", "count", "t", "tile", F.lit(0).alias("side"))
     second = pairs.where("count <> count2 or t <> t2").select("key", F.col("count2").alias("count"), F.col("t2").alias("t"), "tile", F.lit(1).alias("side"))
-    dealt = hot.join(first.union(second), ["key", "count", "t"]).select("tile", "node", "side", *bits)
-    rows = cold.union(dealt).repartition("tile").sortWithinPartitions("tile")
-    return rows.mapInArrow(_links(lanes, radius), "a long, b long")
+    dealt = spread_out.join(first.union(second), ["key", "count", "t"]).select("tile", "node", "side", *bits)
+    return cold.union(dealt).repartition("tile").sortWithinPartitions("tile")
+
+
+def link(points: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """Edges (a, b) that connect all nodes within `radius` differing bits of each other and share a key.
+
+    A comparison gives a forest of its links, never all pairs.
+    """
+    return tiles(points, lanes, radius).mapInArrow(_links(lanes, radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
@@ -216,3 +225,136 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     linked = named.join(least, "component").select("node", "component_id")
     alone = owners.join(roots, "node", "left_anti").select("node", F.col("owner").alias("component_id"))
     return prints.join(linked.union(alone), "node").select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _sketched(words: int, lanes: int, mins: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = utf8(batch.column(1))
+            for i, j in passes(ends):
+                texts = [b" ".join(data[a:b].tobytes().lower().split()) for a, b in zip(ends[i:j], ends[i + 1 : j + 1], strict=True)]
+                bits, least = fingerprints(texts, words, lanes, mins)
+                line = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in texts]), np.int64).reshape(-1, 2)
+                columns = [batch.column(0).slice(i, j - i), pa.array(line[:, 0]), pa.array(line[:, 1]), pa.array([x != b"" for x in texts])]
+                columns += [pa.array(bits[:, k].view(np.int64)) for k in range(lanes)]
+                columns.append(pa.array(least.view(np.int64).tolist(), pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "one", "two", "some", *[f"b{k}" for k in range(lanes)], "least"])
+
+    return run
+
+
+def _near(lanes: int, radius: int):
+    """The rows of a comparison that have a partner within the radius."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _grouped(batches):
+            t = pa.Table.from_batches(held)
+            bits = np.stack([t.column(f"b{k}").to_numpy().view(np.uint64) for k in range(lanes)], axis=1)
+            partner = np.zeros(len(bits), bool)
+            for i in range(0, len(bits), TILE):
+                for j in range(i, len(bits), TILE):
+                    far = _differing(bits[i : i + TILE], bits[j : j + TILE])
+                    near = np.triu(far <= radius, 1) if i == j else far <= radius
+                    partner[i : i + TILE] |= near.any(axis=1)
+                    partner[j : j + TILE] |= near.any(axis=0)
+            if partner.any():
+                yield from t.filter(pa.array(partner)).combine_chunks().to_batches()
+
+    return run
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    far = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(a.shape[1]):
+        far += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    return far
+
+
+def _shingle_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = utf8(batch.column(1))
+            sets = []
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                hashes, _ = shingle_hashes(data[a:b].tobytes(), words)
+                sets.append(np.unique((mix64(np.frombuffer(hashes, ">u8").astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+
+    return run
+
+
+def _verified(lanes: int, radius: int, similarity: float):
+    """A forest of the pairs within the radius whose shingle sets are as similar; pairs it connects already aren't looked at."""
+
+    def compare(t: pa.Table):
+        node = t.column("node").to_numpy()
+        bits = np.stack([t.column(f"b{k}").to_numpy().view(np.uint64) for k in range(lanes)], axis=1)
+        sets = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("set")]
+        root = list(range(len(node)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        a, b = [], []
+        for i in range(0, len(node), TILE):
+            for j in range(i, len(node), TILE):
+                far = _differing(bits[i : i + TILE], bits[j : j + TILE])
+                x, y = np.nonzero(np.triu(far <= radius, 1) if i == j else far <= radius)
+                by = np.argsort(far[x, y], kind="stable")
+                for p, q in zip((x[by] + i).tolist(), (y[by] + j).tolist(), strict=True):
+                    one, two = sets[p], sets[q]
+                    if find(p) == find(q) or min(len(one), len(two)) < similarity * max(len(one), len(two)):
+                        continue
+                    same = len(np.intersect1d(one, two, assume_unique=True))
+                    if same >= similarity * (len(one) + len(two) - same):
+                        root[find(q)] = find(p)
+                        a.append(node[p]), b.append(node[q])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _grouped(batches):
+            yield compare(pa.Table.from_batches(held))
+
+    return run
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, mins: int = 6) -> DataFrame:
+    """(node, component) of the documents that others are near to: their shingle sets' Jaccard is `similarity` or more.
+
+    For thresholds that no small radius stands for. Texts of the same words are one node (the smallest doc_id);
+    their copies, which are not nodes, come with the component of theirs. Nodes meet in tiles of one of `mins`
+    least shingle hashes, which a pair of similarity s lacks with probability (1 - s) ** mins; fingerprints of
+    `lanes` times 64 bits are compared there with a radius 3.5 deviations beyond what the similarity makes
+    likely, and only what is near has its shingle sets shuffled and compared exactly. Null ids count as the
+    smallest id. Gives a row for each document that isn't alone.
+    """
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    radius = int(64 * lanes * share + 3.5 * (64 * lanes * share * (1 - share)) ** 0.5)
+    bits = [f"b{k}" for k in range(lanes)]
+    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
+    schema = "doc_id long, one long, two long, some boolean, " + ", ".join(f"{b} long" for b in bits) + ", least array<long>"
+    prints = written(texts.mapInArrow(_sketched(words, lanes, mins), schema))
+    owners = prints.groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("some", *bits, "least")])
+    count = sum((F.bit_count(b) for b in bits[1:]), F.bit_count(bits[0]))
+    # which of the hashes it is belongs to the key
+    keys = F.posexplode("least").alias("which", "hash")
+    points = owners.where("some").select("node", count.alias("count"), *bits, keys).withColumn("key", F.xxhash64("which", "hash")).drop("which", "hash")
+    flagged = written(tiles(points, lanes, radius).mapInArrow(_near(lanes, radius), "tile long, node long, side int, " + ", ".join(f"{b} long" for b in bits)))
+    asked = flagged.select(F.col("node").alias("doc_id")).distinct()
+    sets = texts.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_shingle_sets(words), "id long, set binary")
+    rows = flagged.join(sets, F.col("node") == F.col("id")).select("tile", "node", *bits, "set").repartition("tile").sortWithinPartitions("tile")
+    roots = components(rows.mapInArrow(_verified(lanes, radius, similarity), "a long, b long"))
+    linked = owners.join(roots, "node", "left").where("n > 1 or component is not null").select("one", "two", F.coalesce("component", "node").alias("component"))
+    return prints.join(linked, ["one", "two"]).select(F.col("doc_id").alias("node"), "component")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each near-duplicate group, that of the smallest doc_id; repeated rows of it are one."""
+    groups = similar_groups(docs, words, similarity)
+    gone = groups.where("node <> component").select(F.col("node").alias("__gone")).distinct()
+    kept = docs.join(gone, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("__gone"), "left_anti")
+    return kept
