@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridloom.functions.vectorised import vectorised
+
 #: What a unit stands for, decimal and binary.
 UNITS = {"B": 1, "KB": 10**3, "MB": 10**6, "GB": 10**9, "TB": 10**12, "KIB": 2**10, "MIB": 2**20, "GIB": 2**30, "TIB": 2**40}
 #: Names that can't be files everywhere.
@@ -85,7 +87,7 @@ def image_response(content_type: Column, data: Column, width: int, height: int)
     return content_type.startswith("image/") & ~F.lower(text).startswith("<?xml") & ((size["width"] == width) & (size["height"] == height))
 
 
-@F.pandas_udf("string")
+@vectorised("string")
 def fingerprint(values: pd.Series) -> pd.Series:
     """SHA-256 of a JSON text in canonical form: sorted keys, no spaces."""
     canonical = values.map(lambda x: None if x is None else json.dumps(json.loads(x), sort_keys=True, separators=(",", ":")))

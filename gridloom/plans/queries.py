@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from gridloom.functions import mercator, rects, text
 from gridloom.operators import benchmark, mosaic, planning, resample, scenes, stats, tiles
 from gridloom.plans import views
+from gridloom.sources import geotiff
+from gridloom.sources.files import scratch
+from gridloom.streaming.requests import cache_hits as metatile_hits
+from gridloom.streaming.requests import drained, windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -496,3 +500,35 @@ def changed_inputs(spark, sf_dir):
     row = lambda v: [F.col("s_suppkey").cast("string").alias("path"), F.lit(1).alias("size"), v.cast("string").alias("sha256")]
     v = F.col("s_acctbal")
     return planning.unchanged(s.select(*row(v)), s.where("s_suppkey % 17 <> 0").select(*row(F.when(F.col("s_suppkey") % 10 == 0, v + 1).otherwise(v))))
+
+
+# sources, sinks and streams
+
+
+@query(SQL["mosaic_last"])
+def geotiff_round_trip(spark, sf_dir):
+    """The mosaic, packed into tiles, written as GeoTIFF and read back."""
+    geotiff.register(spark)
+    made = _last(spark, sf_dir).select(F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("ord"), "band", "x", "y", "v", F.lit(True).alias("valid"))
+    packed = tiles.pack(made, 32).select(F.lit("mosaic").alias("block"), "band", F.col("tx").cast("int").alias("tx"), F.col("ty").cast("int").alias("ty"), tiles.filled("samples", "valid", -9999.0).alias("samples"))
+    path = scratch(spark)
+    out = packed.repartition("block").sortWithinPartitions("block").write.format("geotiff").mode("append")
+    out.options(path=path, edge=32, width=64, height=64, bands=7, dtype="float64", nodata="-9999", compression="zstd", predictor=3).save()
+    return tiles.window_cells(spark.read.format("geotiff").load(path)).select("band", "x", "y", "v")
+
+
+@query(f"""with {views.REQUESTS} select date_trunc('hour', "at") "start", operation, count(*) requests, cast(count(*) filter (not ok) as bigint) errors, round(avg(seconds), 6) mean_seconds from requests group by 1, 2""")
+def stream_windows(spark, sf_dir):
+    """Hourly windows of the requests, as a stream over the table's file."""
+    source = spark.readStream.schema(views.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    rows = source.select(F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("seconds"), (F.col("event_type") != "error").alias("ok"), F.col("event_type").alias("operation"))
+    made = drained(windowed(rows), scratch(spark), "complete")
+    return rounded(made.withColumn("start", F.col("start").cast("timestamp_ntz")), "mean_seconds")
+
+
+@query(f"""with {views.PLACES}, t as (select z, cast(floor((lon + 180) / 360 * pow(2, z)) as bigint) x, cast(floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * pow(2, z)) as bigint) y from places)
+  select z, x // 4 x, y // 4 y, count(*) - 1 hits, cast(1 as bigint) misses from t group by all""")
+def cache_hits(spark, sf_dir):
+    p = views.places(spark, sf_dir)
+    tile = mercator.tile_of(F.col("lon"), F.col("lat"), F.col("z"))
+    return metatile_hits(p.select("z", tile["x"].alias("x"), tile["y"].alias("y")))
