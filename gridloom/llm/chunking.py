@@ -30,9 +30,10 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 def boundaries(data: np.ndarray, ends: np.ndarray, bits: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and stops of all chunks: cuts where the hash's top bits are zero, `least` to `most` bytes apart.
+    """Starts and stops of all chunks: cuts where the hash's top bits are zero, at least `least` bytes apart.
 
-    A document's last chunk may be shorter; one without a cut for `most` bytes is cut there.
+    Where none comes for `most` bytes, there is one; so no chunk is longer than both together. A
+    document's last chunk may be shorter than `least`.
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -60,11 +60,15 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, shingle: in
     ranked = parts.join(counted, "token", "left").groupBy("item_id", "win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("token"), F.col("at"))).alias("rarest"))
     prefix = ranked.where("rarest.n > 0").select(F.col("rarest.token").alias("token"), F.col("rarest.at").alias("at"), "item_id", "win")
     prefix = prefix.checkpoint() if small else prefix
-    here = exploded.withColumn("token", _shingle("words", F.col("p"), size))
     start = F.col("p") - F.col("at")
-    met = here.join(side(prefix), "token")
-    met = met.where((start >= 0) & (start + F.size("win") <= F.size("words")))
-    met = met.where(F.slice("words", start + 1, F.size("win")) == F.col("win"))
+    here = exploded.withColumn("token", _shingle("words", F.col("p"), size)).withColumn("n", F.size("words")).withColumn("from", F.lit(0))
+    if not small:
+        # rows that are shuffled carry the words that a window there could reach, not all of the text's
+        here = here.withColumn("from", F.greatest(F.col("p") - (window - 1), F.lit(0)))
+        here = here.withColumn("words", F.slice("words", F.col("from") + 1, 2 * window))
+    met = here.select("doc_id", "same", "words", "p", "n", "from", "token").join(side(prefix), "token")
+    met = met.where((start >= 0) & (start + F.size("win") <= F.col("n")))
+    met = met.where(F.slice("words", start - F.col("from") + 1, F.size("win")) == F.col("win"))
     return met.select("doc_id", "same", start.alias("start"), F.size("win").alias("length"), "item_id")
 
 

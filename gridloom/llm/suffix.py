@@ -9,8 +9,8 @@ pairs by rank, tasks sort them, and three prefix lengths are enough for a thresh
    is ranked instead of each. Seeds that one document alone holds drop out.
 2. The seed with all bytes of the windows around it. A position whose wider context an earlier document
    holds too is wholly covered.
-3. What is left are seeds that stand in more than one context: one of each context is ranked again by
-   every window of `length` bytes in it.
+3. What is left are seeds that stand in more than one context: each context, where the first document has
+   it, is ranked again by every window of `length` bytes in it.
 
 Ranks are 64-bit hashes of content (the naming form of prefix doubling), two per decision.
 Copies inside one pass of a map task are settled there, so that a passage that a third of all documents
@@ -215,16 +215,11 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts = np.bincount(group, new)
         starts = np.flatnonzero(new_rank)
         several = np.maximum.reduceat(doc, starts) > np.minimum.reduceat(doc, starts)
-        expand = new & (contexts[group] > 1) & several[group]
+        # all places of the first document that has a context: their windows may be in a yet smaller one
+        expand = ~covered & (contexts[group] > 1) & several[group]
         hot = contexts[group] > HOT_CONTEXTS
         out = covered | expand
-        # a row can be both: covered is told by expand false, so it is given twice
-        both = covered & expand
-        doc, pos, rank = doc[out], pos[out], rank[out]
-        yield _found(expand[out] & ~both[out], hot[out], doc, pos, rank)
-        if both.any():
-            twice = both[out]
-            yield _found(twice[twice], hot[out][twice], doc[twice], pos[twice], rank[twice])
+        yield _found(expand[out], hot[out], doc[out], pos[out], rank[out])
 
 
 def _contexts(length: int, seed: int):
