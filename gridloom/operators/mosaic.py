@@ -60,6 +60,12 @@ def ranked(posts: DataFrame) -> DataFrame:
     return made.select(*CELL, "s.v", "s.rank")
 
 
+def first_posts(posts: DataFrame) -> DataFrame:
+    """One valid post of each place and factor, the earliest: no other of them can win, so the rest needn't be expanded."""
+    made = posts.where("valid").groupBy(*CELL, "factor").agg(F.min_by("v", "ord").alias("v"), F.min("ord").alias("ord"))
+    return made.select(F.lit(0).cast("long").alias("src"), "ord", *CELL, "v", F.lit(True).alias("valid"), "factor")
+
+
 def native_conflicts(posts: DataFrame) -> DataFrame:
     """Cells where original posts (rank 0) of sources disagree, which abort a ranked mosaic."""
     native = posts.where("valid and rank = 0").groupBy(*CELL).agg(F.min("v").alias("low"), F.max("v").alias("high"))
@@ -80,29 +86,27 @@ def uncovered(cells: DataFrame, width: int, height: int) -> DataFrame:
     return bands.join(grid, F.lit(True)).select(*CELL).join(have, CELL, "left_anti")
 
 
-def _paired(cells: DataFrame) -> DataFrame:
-    """One valid sample of each source in each cell, as the cells' list of them."""
-    one = cells.where("valid").groupBy(*CELL, "src").agg(F.max_by("v", "ord").alias("v"))
-    return one
-
-
 def overlap_conflicts(cells: DataFrame, exact_bits: bool = False) -> DataFrame:
     """For each pair of sources that share cells: pixels, valid band samples, differing ones and the first of those.
 
     A self-join on the cell, so a source only ever meets those that cover the same place. With exact_bits
-    samples differ as stored (column bits), else by value.
+    samples differ as stored (column bits), else by value. Rows are below 2**29, columns below 2**26, bands
+    below 256.
     """
     value = "bits" if exact_bits else "v"
-    one = cells.where("valid").groupBy(*CELL, "src").agg(F.max_by(F.struct(F.col(value).alias("k"), "v"), "ord").alias("s"))
-    a = one.select(*CELL, F.col("src").alias("first_src"), F.col("s").alias("a"))
-    b = one.select(*CELL, F.col("src").alias("second_src"), F.col("s").alias("b"))
-    met = a.join(b, CELL).where("first_src < second_src")
-    differ = F.col("a.k") != F.col("b.k")
-    example = F.min(F.when(differ, F.struct("y", "x", "band", F.col("a.v").alias("first_value"), F.col("b.v").alias("second_value"))))
-    # pixels are counted by packing a cell into one number, whatever the band
-    return met.groupBy("first_src", "second_src").agg(
-        F.count_distinct("x", "y").alias("pixels"), F.count("*").alias("valid_band_samples"), F.count_if(differ).alias("conflicting_band_samples"), example.alias("example")
-    )
+    picked = [F.max_by("v", "ord").alias("v")] + ([F.max_by("bits", "ord").alias("bits")] if exact_bits else [])
+    one = cells.where("valid").groupBy(*CELL, "src").agg(*picked)
+    named = lambda side: one.select(*CELL, *[F.col(c).alias(f"{side}_{c}") for c in dict.fromkeys(("src", "v", value))])
+    met = named("a").join(named("b"), CELL).where("a_src < b_src")
+    differ = F.col(f"a_{value}") != F.col(f"b_{value}")
+    # a place in reading order as one number, so that all aggregates below are of plain numbers and stay in hash tables
+    met = met.withColumn("at", F.when(differ, F.col("y") * (1 << 34) + F.col("x") * 256 + F.col("band")))
+    first = [F.min("at").alias("at"), F.min_by("a_v", "at").alias("a_v"), F.min_by("b_v", "at").alias("b_v")]
+    pixels = met.groupBy("a_src", "b_src", "x", "y").agg(F.count("*").alias("n"), F.count("at").alias("off"), *first)
+    pairs = pixels.groupBy("a_src", "b_src").agg(F.count("*").alias("pixels"), F.sum("n").alias("valid_band_samples"), F.sum("off").alias("conflicting_band_samples"), *first)
+    at = F.col("at")
+    example = F.struct(F.floor(at / (1 << 34)).alias("y"), F.floor(at % (1 << 34) / 256).alias("x"), (at % 256).cast("int").alias("band"), F.col("a_v").alias("first_value"), F.col("b_v").alias("second_value"))
+    return pairs.select(F.col("a_src").alias("first_src"), F.col("b_src").alias("second_src"), "pixels", "valid_band_samples", "conflicting_band_samples", F.when(at.isNotNull(), example).alias("example"))
 
 
 def verify(expected: DataFrame, actual: DataFrame, tolerance: float = 0.0) -> DataFrame:

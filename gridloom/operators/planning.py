@@ -102,12 +102,11 @@ def storage_estimate(blocks: DataFrame, parts: DataFrame, sources: DataFrame, ov
     constant tiles, overviews the pixels that they add.
     """
     parts = parts.distinct()
-    area = parts.groupBy("block", "source").agg(F.sum(F.col("w") * F.col("h")).alias("area"))
+    area = parts.groupBy("block", "source").agg(F.sum(F.col("w") * F.col("h")).alias("area"), F.count("*").alias("n"))
     share = area.join(sources.select(F.col("ord").alias("source"), "base_bytes", "pixels"), "source")
-    bytes_ = share.groupBy("block").agg(F.ceil(F.sum(F.col("base_bytes") * F.least("area", "pixels") / F.col("pixels"))).alias("source_bytes"))
-    seen = parts.groupBy("block").agg(F.count("*").alias("seen"))
+    bytes_ = share.groupBy("block").agg(F.ceil(F.sum(F.col("base_bytes") * F.least("area", "pixels") / F.col("pixels"))).alias("source_bytes"), F.sum("n").alias("seen"))
     held = union_area(parts, ["block"])
-    rows = blocks.select("block", "w", "h").join(bytes_, "block", "left").join(seen, "block", "left").join(held, "block", "left")
+    rows = blocks.select("block", "w", "h").join(bytes_, "block", "left").join(held, "block", "left")
     pixels = F.col("w") * F.col("h")
     empty = F.greatest(F.lit(0), pixels - F.coalesce("area", F.lit(0)))
     tiles = F.ceil(F.col("w") / EDGE) * F.ceil(F.col("h") / EDGE)

@@ -103,7 +103,7 @@ _RANKED = f"""with {views.POSTS}, made as (select *, unnest(range(greatest(0, x
 
 @query(_RANKED + " select band, cast(t as bigint) x, y, v, cast(rank as integer) rank from (select *, row_number() over (partition by band, t, y order by rank, ord) n from r where valid) where n = 1")
 def post_mosaic(spark, sf_dir):
-    return mosaic.ranked(resample.expand_posts(views.posts(spark, sf_dir)))
+    return mosaic.ranked(resample.expand_posts(mosaic.first_posts(views.posts(spark, sf_dir))))
 
 
 @query(_RANKED + " select band, cast(t as bigint) x, y, min(v) low, max(v) high from r where valid and rank = 0 group by band, t, y having min(v) <> max(v)")
