@@ -43,18 +43,19 @@ _PASS = 1 << 20
 
 
 @lru_cache(1)
-def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: lower case, whether it is a letter or a mark on one, script."""
-    everything = [chr(i) for i in range(0x30000)]
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: lower case, whether it is a letter, or a letter or a mark on one, and its script."""
+    everything = [chr(i) for i in range(0x34000)]  # no letters are assigned beyond
     lower = np.arange(0x110000, dtype=np.uint32)
-    lower[:0x30000] = [ord(y) if len(y := x.lower()) == 1 else ord(x) for x in everything]
-    letter = np.zeros(0x110000, bool)
-    letter[:0x30000] = [x.isalpha() or unicodedata.category(x)[0] == "M" for x in everything]
+    lower[: len(everything)] = [ord(y) if len(y := x.lower()) == 1 else ord(x) for x in everything]
+    letter, mark = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    letter[: len(everything)] = [x.isalpha() for x in everything]
+    mark[: len(everything)] = [unicodedata.category(x)[0] == "M" for x in everything]
     script = np.zeros(0x110000, np.uint8)
     for i, ranges in enumerate(SCRIPTS.values(), 1):
         for a, b in ranges:
             script[a : b + 1] = i
-    return lower, letter, script
+    return lower, letter, letter | mark, script
 
 
 def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,9 +67,11 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def words(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of letters of one script: start, stop, document, script; and each letter's hashed trigram."""
-    lower, letter, script = _letters()
-    own = letter[flat]
+    lower, letter, inside, script = _letters()
+    own = inside[flat]
     kind = np.where(own, script[flat], 0)
+    # a mark has the script of the letter before it
+    kind = np.where(own & ~letter[flat], kind[np.maximum.accumulate(np.where(letter[flat], np.arange(len(flat)), 0))], kind)
     text = np.where(own, lower[flat], 0).astype(np.uint32)
     n = len(flat)
     fresh = np.zeros(n + 1, bool)
@@ -79,6 +82,12 @@ def words(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     final = own.copy()
     final[:-1] &= ~own[1:] | first[1:] | fresh[1:n]
     stop = np.flatnonzero(final) + 1
+    # marks without a letter are no word
+    seen = np.concatenate([[0], np.cumsum(letter[flat])])
+    empty = seen[stop] == seen[start]
+    if empty.any():
+        own[np.concatenate([np.arange(a, b) for a, b in zip(start[empty], stop[empty], strict=True)])] = False
+        start, stop = start[~empty], stop[~empty]
     before = np.concatenate([[np.uint32(0)], text[:-1]]) if n else text
     after = np.concatenate([text[1:], [np.uint32(0)]]) if n else text
     before[start] = 0

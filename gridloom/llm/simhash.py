@@ -353,8 +353,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lan
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each near-duplicate group, that of the smallest doc_id; repeated rows of it are one."""
+    """docs with one document of each near-duplicate group, that of the smallest doc_id. A document's repeated rows stay together."""
     groups = similar_groups(docs, words, similarity)
     gone = groups.where("node <> component").select(F.col("node").alias("__gone")).distinct()
-    kept = docs.join(gone, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("__gone"), "left_anti")
-    return kept
+    return docs.join(gone, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("__gone"), "left_anti")

@@ -121,12 +121,13 @@ def test_languages_of_held_out_texts(spark):
 def test_spans_of_mixed_texts_and_edges(spark):
     base = table(spark, MORE, "documents").where("lang in ('fr', 'de')").select("doc_id", "text", "lang")
     fr, de = (base.where(F.col("lang") == x).where("length(text) > 800").orderBy("doc_id").first().text[:700] for x in ("fr", "de"))
-    odd = [(9000, fr + "\n" + de, None), (9001, None, None), (9002, "123 !!", None), (9003, "", "fr"), (9004, "Привет мир", None), (9005, fr, None)]
+    odd = [(9000, fr + "\n" + de, None), (9001, None, None), (9002, "123 !!", None), (9003, "", "fr"), (9004, "Привет мир", None), (9005, fr, None), (9006, "\u0301\u0300 1", None), (9007, "e\u0301te\u0301", None)]
     docs = base.union(spark.createDataFrame(odd, "doc_id long, text string, lang string")).withColumn("score", F.lit("own"))
     got = {r.doc_id: r for r in langid.identify(docs, spans=True).where("doc_id >= 9000").collect()}
     spans = got[9000].spans
     assert [s.lang for s in spans] == ["fr", "de"] and abs(spans[1].start - 701) < 40
-    assert [(got[i].lang_pred, got[i].score) for i in (9001, 9002, 9003)] == [("und", 0.0)] * 3
+    assert [(got[i].lang_pred, got[i].score) for i in (9001, 9002, 9003, 9006)] == [("und", 0.0)] * 4
+    assert got[9007].lang_pred != "und"
     assert got[9004].lang_pred in ("fr", "de") and got[9005].lang_pred == "fr" and got[9005].score > 0.95
     assert langid.identify(docs.limit(0)).count() == 0
 
