@@ -283,6 +283,25 @@ def _shingle_sets(words: int):
     return run
 
 
+#: Bytes that packed sets of one comparison, and pairs of them that are looked at together, may take.
+PACKED_BYTES, PAIR_BYTES = 64 << 20, 8 << 20
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray | None:
+    """Sets as rows of packed bits, over the members that more than one has; none if that is too large."""
+    sizes = [len(x) for x in sets]
+    member, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    keep = n[place] > 1
+    width = -(-int((n > 1).sum()) // 64) * 64
+    if len(sets) * width // 8 > PACKED_BYTES:
+        return None
+    bits = np.zeros((len(sets), max(width, 64) // 8), np.uint8)
+    row, at = np.repeat(np.arange(len(sets)), sizes)[keep], column[place[keep]]
+    np.bitwise_or.at(bits, (row, at >> 3), np.left_shift(1, at & 7).astype(np.uint8))
+    return bits.view(np.uint64)
+
+
 def _verified(lanes: int, radius: int, similarity: float):
     """A forest of the pairs within the radius whose shingle sets are as similar; pairs it connects already aren't looked at."""
 
@@ -290,27 +309,39 @@ def _verified(lanes: int, radius: int, similarity: float):
         node = t.column("node").to_numpy()
         bits = np.stack([t.column(f"b{k}").to_numpy().view(np.uint64) for k in range(lanes)], axis=1)
         sets = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("set")]
-        root = list(range(len(node)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
+        size, root = np.array([len(x) for x in sets]), np.arange(len(node))
+        packed = _shared(sets) if len(sets) > 32 else None
+        chunk = 2048 if packed is None else min(2048, max(64, PAIR_BYTES // packed[0].nbytes))
         a, b = [], []
         for i in range(0, len(node), TILE):
             for j in range(i, len(node), TILE):
                 far = _differing(bits[i : i + TILE], bits[j : j + TILE])
                 x, y = np.nonzero(np.triu(far <= radius, 1) if i == j else far <= radius)
                 by = np.argsort(far[x, y], kind="stable")
-                for p, q in zip((x[by] + i).tolist(), (y[by] + j).tolist(), strict=True):
-                    one, two = sets[p], sets[q]
-                    if find(p) == find(q) or min(len(one), len(two)) < similarity * max(len(one), len(two)):
+                x, y = x[by] + i, y[by] + j
+                low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                x, y = x[low >= similarity * high], y[low >= similarity * high]
+                for k in range(0, len(x), chunk):
+                    p, q = x[k : k + chunk], y[k : k + chunk]
+                    apart = root[p] != root[q]
+                    p, q = p[apart], q[apart]
+                    if not len(p):
                         continue
-                    same = len(np.intersect1d(one, two, assume_unique=True))
-                    if same >= similarity * (len(one) + len(two) - same):
-                        root[find(q)] = find(p)
+                    if packed is None:
+                        same = np.array([len(np.intersect1d(sets[u], sets[v], assume_unique=True)) for u, v in zip(p.tolist(), q.tolist(), strict=True)])
+                    else:
+                        same = np.bitwise_count(packed[p] & packed[q]).sum(axis=1, dtype=np.int64)
+                    good = same >= similarity * (size[p] + size[q] - same)
+                    p, q = p[good], q[good]
+                    if len(p):
+                        new = local_roots(np.concatenate([np.arange(len(root)), p]), np.concatenate([root, q]), len(root))
                         a.append(node[p]), b.append(node[q])
+                        root = new
+        empty = [np.zeros(0, np.int64)]
+        a, b = np.concatenate(a or empty), np.concatenate(b or empty)
+        if len(a) > len(node):  # a forest says as much
+            moved = root != np.arange(len(root))
+            a, b = node[moved], node[root[moved]]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

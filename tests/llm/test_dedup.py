@@ -233,6 +233,22 @@ def test_near_duplicates_by_jaccard(spark, docs, rows):
     assert {suffix.NULL_ID if r.doc_id is None else r.doc_id for r in kept.collect()} == set(keep.values())
 
 
+def test_large_groups_of_near_copies(spark):
+    """More rows than a tile of any size here, most of them no nearer to each other than to the text they come from."""
+    r = random.Random(7)
+    base = words(r, 120).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 90):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3])):
+            w[r.randrange(len(w))] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    root = groups(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS))
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(root))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (101, 102), (100, 102)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
