@@ -118,7 +118,8 @@ def learn(docs: DataFrame, learnable, sample: int = SAMPLE) -> dict:
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
     chance = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = rows.join(sizes, "lang").where(chance * F.col("rows") < sample).select("text", "lang")
+    # the model has a column for each language, so their list is small wherever the model is
+    some = rows.join(F.broadcast(sizes), "lang").where(chance * F.col("rows") < sample).select("text", "lang")
     counts = some.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
     table = np.zeros((len(langs), BUCKETS + len(SCRIPTS) + 1))
