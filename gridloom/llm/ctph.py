@@ -6,8 +6,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ _VALUE[_ALPHABET] = np.arange(64)
 _BYTE = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) >> np.uint64(32)).astype(np.uint32)
 #: Characters of a signature at most; the last one stands for all that is left.
 LENGTH = 64
+#: Stands for the place after all documents; ids are below it.
+LAST_ID = (1 << 63) - 1
 #: Bytes that the rolling hash sees.
 WINDOW = 8
 _MULTIPLIER = 0x01000193
@@ -112,14 +114,31 @@ def shown(x: tuple) -> str:
     return f"{x[0]}:{x[1].decode()}:{x[2].decode()}"
 
 
+def _packed(bounds: list[int]):
+    """Texts compressed for their one move, with the range of ids that each is dealt to; guests go to the range before theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            bucket = np.searchsorted(bounds, batch.column("id").to_numpy(), "right")
+            guest = batch.column("guest").to_numpy(zero_copy_only=False)
+            past = batch.column("id").to_numpy() == LAST_ID
+            bucket = np.where(guest & ~past, bucket - 1, bucket).astype(np.int32)
+            text = pa.array([packer.compress((x or "").encode()) for x in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(bucket), text], ["id", "named", "guest", "tie", "bucket", "packed"])
+
+    return run
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets of documents in ascending doc_id; each ends with a guest, the first document of the next one."""
-    last = None
+    last, unpacker = None, zstandard.ZstdDecompressor()
     for batch in batches:
         ids, out = [], {k: [] for k in ("n_chars", "edited_sha256", "own", "edited", "next")}
-        for bucket, guest, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            text = text or ""
-            own = fingerprint(text.encode())
+        for bucket, guest, id_, named, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            data = unpacker.decompress(packed)
+            text, doc_id = data.decode(), id_ if named else None
+            own = fingerprint(data)
             if last is not None and last[0] == bucket:
                 _, before_id, before, before_print = last
                 n = len(before) // 4
@@ -141,8 +160,8 @@ def edit_likeness(docs: DataFrame, rows_per_bucket: int = 2000) -> DataFrame:
     """Fingerprints of each text and of its edit, whose last quarter is the start of the next document's text.
 
     Gives doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next. The next
-    document is that of the next doc_id in ascending order (null first, equal ones by text), the first after
-    the last; null texts are empty. The text moves once: documents are dealt into ranges of doc_id whose
+    document is that of the next doc_id in ascending order (null first, equal ones by a hash of their text), the first after
+    the last; null texts are empty. The text moves once, compressed: documents are dealt into ranges of doc_id whose
     bounds are documents themselves, and each of those is also sent, as a guest, to the end of the range
     before. A single document is its own next. Other columns are not read.
     """
@@ -158,21 +177,17 @@ def edit_likeness(docs: DataFrame, rows_per_bucket: int = 2000) -> DataFrame:
         bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", share, max(10_000, 20 * buckets))).first()[0]) - {found["low"]})
     # with nulls the first document has none of the ids
     nulls = found["rows"] > found["ids"]
-    n = len(bounds)
-
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.fillna(NULL_ID).astype("int64"), "right").astype("int32"))
-
-    id_ = F.coalesce("doc_id", F.lit(NULL_ID))
-    plain = rows.select("doc_id", "text", bucket(id_).alias("bucket"), F.lit(False).alias("guest"))
-    # of equal ids at a bound, the first by text is the next one's guest
-    guests = rows.where(F.col("doc_id").isin(bounds)).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    guests = guests.select("doc_id", "text", (bucket(F.col("doc_id")) - 1).alias("bucket"), F.lit(True).alias("guest"))
+    plain = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("doc_id").isNotNull().alias("named"), "text", F.lit(False).alias("guest"))
+    # of equal ids at a bound, the first by hash is the next one's guest
+    guests = rows.where(F.col("doc_id").isin(bounds)).groupBy("doc_id").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).alias("text"))
+    guests = guests.select(F.col("doc_id").alias("id"), F.lit(True).alias("named"), "text", F.lit(True).alias("guest"))
     first = rows.where(F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(found["low"]))
-    first = first.orderBy(F.coalesce("text", F.lit(""))).limit(1).select("doc_id", "text", F.lit(n).alias("bucket"), F.lit(True).alias("guest"))
-    every = plain.union(guests).union(first)
-    order = every.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
-    return order.select("bucket", "guest", "doc_id", "text").mapInArrow(
+    first = first.orderBy(F.xxhash64(F.coalesce("text", F.lit("")))).limit(1)
+    # it follows the last document: its place is past all bounds
+    first = first.select(F.lit(LAST_ID).alias("id"), F.lit(not nulls).alias("named"), "text", F.lit(True).alias("guest"))
+    every = plain.union(guests).union(first).withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    packed = every.select("id", "named", "guest", "tie", "text").mapInArrow(_packed(bounds), "id long, named boolean, guest boolean, tie long, bucket int, packed binary")
+    order = packed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "guest", "id", "tie")
+    return order.select("bucket", "guest", "id", "named", "packed").mapInArrow(
         _compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
