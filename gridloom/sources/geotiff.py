@@ -274,18 +274,24 @@ class _Files(WriterCommitMessage):
 
 
 class GeoTiffWriter(DataSourceWriter):
-    """Options: edge, width, height, bands, dtype, nodata, grid (c,a,b,f,d,e), compression, level, predictor."""
+    """Options: edge, width, height, bands, dtype, nodata, grid (c,a,b,f,d,e), compression, level, predictor.
+
+    Rows with columns left and top are of a block there: its tiles count from it, its grid is shifted to it, and
+    it ends at the latest at total_width and total_height.
+    """
 
     def __init__(self, options):
         self.options, self.job = options, uuid.uuid4().hex
 
-    def _file(self, tiles: dict[tuple[int, int, int], bytes]) -> bytes:
+    def _file(self, tiles: dict[tuple[int, int, int], bytes], left: int = 0, top: int = 0) -> bytes:
         o = self.options
         edge, width, height, bands = (int(o[k]) for k in ("edge", "width", "height", "bands"))
         kind, codec, predictor = np.dtype(o.get("dtype", "float64")).newbyteorder("<"), o.get("compression", "deflate"), int(o.get("predictor", 1))
         nodata = o.get("nodata")
         fill = float(nodata) if nodata is not None else 0.0
-        grid = [float(v) for v in o.get("grid", "0,1,0,0,0,-1").split(",")]
+        c, a, b, f, d, e = (float(v) for v in o.get("grid", "0,1,0,0,0,-1").split(","))
+        grid = [c + left * a + top * b, a, b, f + left * d + top * e, d, e]
+        width, height = min(width, int(o.get("total_width", left + width)) - left), min(height, int(o.get("total_height", top + height)) - top)
         stored = []
         for band in range(1, bands + 1):
             for ty in range(-(-height // edge)):
@@ -323,18 +329,19 @@ class GeoTiffWriter(DataSourceWriter):
     def write(self, iterator):
         store, path = opened(self.options["path"])
         store.create_dir(f"{path}/_{self.job}", recursive=True)
-        names, block, tiles = [], None, {}
+        names, block, tiles, corner = [], None, {}, (0, 0)
 
         def put():
             names.append((f"{block}.tif", uuid.uuid4().hex))
             with store.open_output_stream(f"{path}/_{self.job}/{names[-1][1]}") as out:
-                out.write(self._file(tiles))
+                out.write(self._file(tiles, *corner))
 
         for row in iterator:
             if row.block != block and tiles:
                 put()
                 tiles = {}
             block = row.block
+            corner = (row.left, row.top) if "left" in row else (0, 0)
             tiles[(row.band, row.tx, row.ty)] = bytes(row.samples)
         if tiles:
             put()
