@@ -105,13 +105,11 @@ class Job:
         self.spark, self.tag, self.value, self.error, self.stopped = spark, f"gridloom-{uuid.uuid4().hex}", None, None, False
 
         def run() -> None:
-            spark.addTag(self.tag)
+            spark.sparkContext.setJobGroup(self.tag, "gridloom job", interruptOnCancel=True)
             try:
                 self.value = work(spark)
             except Exception as error:  # noqa: BLE001  handed to result()
                 self.error = error
-            finally:
-                spark.removeTag(self.tag)
 
         self.thread = threading.Thread(target=run, daemon=True)
         self.thread.start()
@@ -123,7 +121,7 @@ class Job:
 
     def cancel(self) -> None:
         self.stopped = True
-        self.spark.interruptTag(self.tag)
+        self.spark.sparkContext.cancelJobGroup(self.tag)
 
     def result(self, seconds: float | None = None):
         self.thread.join(seconds)
