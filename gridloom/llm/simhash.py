@@ -47,14 +47,17 @@ def shingle_hashes(text: bytes, words: int) -> tuple[bytes, int]:
     return b"".join([digest(line[a:b], 42) for a, b in zip(start[: len(found) - words + 1].tolist(), stop[words - 1 :].tolist(), strict=True)]), len(found) - words + 1
 
 
-def fingerprints(texts: list[bytes], words: int, lanes: int = 1, mins: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(texts: list[bytes], words: int, lanes: int = 1, mins: int = 0, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Per text, `lanes` times 64 bits that are set in over half of its shingles' hashes, and `mins` least hashes.
 
     No words: zero bits. Further lanes and the least hashes come from scrambled copies of the same hashes.
+    A shingle counts as often as it is there, or once if `distinct`.
     """
-    pairs = [shingle_hashes(x, words) for x in texts]
-    sizes = np.array([n for _, n in pairs], np.int64)
-    hashes = np.frombuffer(b"".join([x for x, _ in pairs]), ">u8").astype(np.uint64)
+    found = [np.frombuffer(shingle_hashes(x, words)[0], ">u8").astype(np.uint64) for x in texts]
+    if distinct:
+        found = [np.unique(x) for x in found]
+    sizes = np.array([len(x) for x in found], np.int64)
+    hashes = np.concatenate([np.zeros(0, np.uint64), *found])
     bits, least = np.zeros((len(texts), lanes), np.uint64), np.zeros((len(texts), mins), np.uint64)
     some = np.flatnonzero(sizes)
     if len(some):
@@ -233,7 +236,7 @@ def _sketched(words: int, lanes: int, mins: int):
             data, ends = utf8(batch.column(1))
             for i, j in passes(ends):
                 texts = [b" ".join(data[a:b].tobytes().lower().split()) for a, b in zip(ends[i:j], ends[i + 1 : j + 1], strict=True)]
-                bits, least = fingerprints(texts, words, lanes, mins)
+                bits, least = fingerprints(texts, words, lanes, mins, distinct=True)
                 line = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in texts]), np.int64).reshape(-1, 2)
                 columns = [batch.column(0).slice(i, j - i), pa.array(line[:, 0]), pa.array(line[:, 1]), pa.array([x != b"" for x in texts])]
                 columns += [pa.array(bits[:, k].view(np.int64)) for k in range(lanes)]
@@ -357,7 +360,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lan
     For thresholds that no small radius stands for. Texts of the same words are one node (the smallest doc_id);
     their copies, which are not nodes, come with the component of theirs. Nodes meet in tiles of one of `mins`
     least shingle hashes, which a pair of similarity s lacks with probability (1 - s) ** mins; fingerprints of
-    `lanes` times 64 bits are compared there with a radius 3.5 deviations beyond what the similarity makes
+    `lanes` times 64 bits, of distinct shingles as similarity is that of sets, are compared there with a radius 3.5 deviations beyond what the similarity makes
     likely, and only what is near has its shingle sets shuffled and compared exactly. Null ids count as the
     smallest id. Gives a row for each document that isn't alone.
     """

@@ -249,6 +249,19 @@ def test_large_groups_of_near_copies(spark):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(root))
 
 
+def test_near_copies_that_repeat_a_line(spark):
+    """Similarity is that of sets: how often one copy repeats a line must not part it from the other."""
+    r, rows = random.Random(17), []
+    for i, m in enumerate((20, 35, 50, 75, 100)):
+        text, line = words(r, 400), words(r, 12)
+        rows += [(2 * i, f"{text} {line}"), (2 * i + 1, " ".join([text, *[line] * m]))]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    root = groups(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert sorted(set(root)) == [0, 2, 4, 6, 8]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS))
+    assert sorted(x.doc_id for x in kept.collect()) == [0, 2, 4, 6, 8]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (101, 102), (100, 102)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
