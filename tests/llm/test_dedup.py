@@ -262,6 +262,31 @@ def test_near_copies_that_repeat_a_line(spark):
     assert sorted(x.doc_id for x in kept.collect()) == [0, 2, 4, 6, 8]
 
 
+@pytest.mark.parametrize("tile", [1024, 2])
+def test_near_copies_that_share_no_least_hash(spark, tile, monkeypatch):
+    """Short texts of 4 and 5 shingles at exactly 0.8 among them, whose fingerprints are often far apart."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    r, rows = random.Random(23), []
+    for i in range(400):
+        n = r.choice([8, 8, 8, 9, 20, 60])
+        w = [f"{r.randrange(10**6)}" for _ in range(n)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w, *["more"] * ((n - 4) // 4)]))]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    root = groups(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    # the cheap first pass is made to find next to nothing: the second one must find every link
+    for mins in (6, 1):
+        found = {x.node: x.component for x in simhash.similar_groups(spark.createDataFrame(rows, DOCS), mins=mins).collect()}
+        assert [found.get(d, d) for d, _ in rows] == root
+
+
+def test_parities_bound_the_difference_of_sets():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 3000, n).astype(np.uint32)) for n in (0, 1, 5, 40, 900, 2500)]
+    odd = simhash.parities(sets)
+    far = simhash._differing(odd, odd)
+    assert all(far[i, j] <= len(np.setxor1d(x, y)) for i, x in enumerate(sets) for j, y in enumerate(sets))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (101, 102), (100, 102)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
