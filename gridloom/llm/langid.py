@@ -111,15 +111,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, learnable, sample: int = SAMPLE) -> dict:
     """Trigram log-probabilities and scripts of each language, from about `sample` texts of each.
 
-    Rows are sampled by the hash of their text against each language's count, so no language's rows meet in
-    one task; what reaches the driver is bounded by languages times buckets.
+    Distinct texts are counted, and sampled by their hash against each language's count, so copies weigh
+    nothing and no language's rows meet in one task; what reaches the driver is bounded by languages times buckets.
     """
     arrow_batches(docs.sparkSession)
-    rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
-    chance = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text", F.lit(3)).alias("same"))
+    sizes = rows.select("lang", "same").distinct().groupBy("lang").agg(F.count("*").alias("rows"))
+    chance = F.pmod("same", F.lit(1 << 30)) / F.lit(float(1 << 30))
     # the model has a column for each language, so their list is small wherever the model is
-    some = rows.join(F.broadcast(sizes), "lang").where(chance * F.col("rows") < sample).select("text", "lang")
+    some = rows.join(F.broadcast(sizes), "lang").where(chance * F.col("rows") < sample).dropDuplicates(["lang", "same"]).select("text", "lang")
     counts = some.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
     table = np.zeros((len(langs), BUCKETS + len(SCRIPTS) + 1))

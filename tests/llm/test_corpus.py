@@ -132,6 +132,15 @@ def test_spans_of_mixed_texts_and_edges(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_copies_weigh_nothing_in_the_sample(spark):
+    texts = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)} haus" for i in range(300)]
+    rows = [(t, "de") for t in texts] + [(texts[0], "de")] * 29_700 + [("the house", "en")]
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"), F.lit(True))
+    once = langid.learn(spark.createDataFrame([*dict.fromkeys(rows)], "text string, lang string"), F.lit(True))
+    assert model["langs"] == once["langs"] == ["de", "en"]
+    assert np.array_equal(model["log"], once["log"]) and np.array_equal(model["allowed"], once["allowed"])
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(4)
     ends = np.cumsum([0, 1, 0, 7, 6, 8, 5])
