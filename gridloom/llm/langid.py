@@ -146,8 +146,9 @@ def word_scores(model: dict, flat: np.ndarray, ends: np.ndarray) -> tuple[np.nda
 def decode(score: np.ndarray, ends: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The language of each word on the best path of each document; ends: where documents begin in the words.
 
-    A document stays whole in its best language if no run of its words gains more than the penalty in any
-    other: then no path with changes can be better. Viterbi decodes the others side by side.
+    A document stays whole in its best language if no run of its words gains more than half the penalty in any
+    other: then no path with changes can be better, as k >= 2 runs gain k halves at most and pay k - 1 penalties.
+    Viterbi decodes the others side by side.
     """
     n, size = np.diff(ends), score.shape[1]
     out = np.zeros(len(score), np.int64)
@@ -164,7 +165,7 @@ def decode(score: np.ndarray, ends: np.ndarray, switch: float = SWITCH) -> np.nd
     # the largest gain of a run: the total less the least total before it, document by document
     wall = (np.abs(total).max() + 1) * 4
     low = np.minimum.accumulate(np.minimum(np.concatenate([np.zeros((1, size)), total[:-1]]) * (np.arange(len(score)) != ends[doc])[:, None], 0) - wall * doc[:, None], axis=0) + wall * doc[:, None]
-    mixed = np.flatnonzero(np.maximum.reduceat((total - low).max(axis=1), ends[:-1][some]) > switch)
+    mixed = np.flatnonzero(np.maximum.reduceat((total - low).max(axis=1), ends[:-1][some]) > switch / 2)
     rows = some[mixed]
     rows = rows[np.argsort(-n[rows], kind="stable")]
     if not len(rows):

@@ -157,6 +157,12 @@ def test_viterbi_is_the_best_path():
                 assert value(got[a:b].tolist(), a) == pytest.approx(best)
 
 
+def test_viterbi_leaves_a_language_that_is_best_only_as_a_whole():
+    score = np.array([[0.0, -30, -10], [-30, 0, -10]])
+    assert langid.decode(score, np.array([0, 2]), 14.0).tolist() == [0, 1]
+    assert langid.decode(score, np.array([0, 2]), 21.0).tolist() == [2, 2]
+
+
 # mixing
 
 
