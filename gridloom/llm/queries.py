@@ -33,7 +33,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.remove_chunks(table(spark, sf_dir, "documents"))
+    return chunking.remove_chunks(table(spark, sf_dir, "documents"), run=0)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

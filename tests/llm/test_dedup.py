@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridloom.llm import chunking, ctph, simhash, suffix
+from gridloom.llm import chunking, ctph, queries, simhash, suffix
 from gridloom.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -170,6 +170,13 @@ def test_chunk_removal_by_brute_force(spark, docs, rows):
     assert got == want
 
 
+def test_the_query_removes_short_repeated_chunks(spark, tmp_path):
+    rows = [(1, "a short text"), (2, "a short text"), (3, "another one"), (4, None), (5, "")]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in queries.op8_chunk_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, 0), 2: (12, 1), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+
+
 # fingerprints
 
 
