@@ -76,3 +76,20 @@ def wmts_url(base: str, layer: Column, fmt: str, z: Column, x: Column, y: Column
 def wms_url(base: str, layer: Column, bbox: Column, width: int, height: int, fmt: str = "image/png", crs: str = "EPSG:3857") -> Column:
     box = F.concat_ws(",", *[bbox[k].cast("string") for k in ("west", "south", "east", "north")])
     return F.concat(F.lit(base + "?"), query_string(SERVICE="WMS", VERSION="1.1.1", REQUEST="GetMap", LAYERS=layer, STYLES="", SRS=crs, BBOX=box, WIDTH=width, HEIGHT=height, FORMAT=fmt))
+
+
+#: Names of the projected grid that map servers use for one and the same.
+EQUIVALENT = ("EPSG:900913", "EPSG:3857", "GoogleMapsCompatible")
+
+
+def advertised(layers: Column, layer: Column, fmt: Column) -> Column:
+    """The matrix set in which capabilities (layers: array of name, formats, matrix_sets) offer a layer in a format on a
+    Web Mercator grid, by the order of EQUIVALENT; null where they don't."""
+    fits = F.filter(layers, lambda x: (x["name"] == layer) & F.array_contains(x["formats"], fmt))
+    sets = F.flatten(F.transform(fits, lambda x: x["matrix_sets"]))
+    return F.get(F.filter(F.array(*[F.lit(x) for x in EQUIVALENT]), lambda x: F.array_contains(sets, x)), F.lit(0))
+
+
+def point_text(x: Column, y: Column) -> Column:
+    """A label's place as well-known text; null unless both are there."""
+    return F.when(x.isNotNull() & y.isNotNull(), F.concat(F.lit("POINT ("), x.cast("string"), F.lit(" "), y.cast("string"), F.lit(")")))

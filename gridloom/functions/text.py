@@ -80,7 +80,7 @@ def png_size(data: Column) -> Column:
     return F.when(good & (F.octet_length(data) >= 24), F.struct(number(17).alias("width"), number(21).alias("height")))
 
 
-def image_response(content_type: Column, data: Column, width: int, height: int) -> Column:
+def image_response(content_type: Column, data: Column, width: int | Column, height: int | Column) -> Column:
     """Whether a response is an image of the size that was asked for, not a report of an error."""
     size = png_size(data)
     text = F.substring(data, 1, 5).cast("string")

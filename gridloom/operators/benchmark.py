@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
+import itertools
+import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.mercator import HALF
+from gridloom.functions.ranks import running, uniform
+
 #: What a run must keep to; the values of the published study.
 ACCEPTANCE = {"hit_view_p95_seconds": 2.0, "render_view_p95_seconds": 5.0, "max_view_error_fraction": 0.01, "minimum_headroom_fraction": 0.25, "minimum_hit_fraction": 0.99}
 
@@ -143,33 +144,33 @@ def repeated_means(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bootstrap(runs: DataFrame, key: str, value: str, resamples: int = 2000, seed: int = 1234) -> DataFrame:
-    """(key, low, high): the 95 % interval of the mean of repeated runs, by seeded resampling; null under two runs.
+    """(key, n, low, high): the 95 % interval of the mean of a key's repeated runs, by resampling; null under two runs.
 
-    The repetitions of one cell are a handful of numbers; each group's are drawn with Python's own generator
-    so that results are reproducible.
+    Draw d of resample r takes the value of that rank which a hash of (seed, key, r, d) points at, so results are the
+    same on every run. Values are ranked by ranges, drawn by a join and averaged before they meet by key, so no
+    group sits in one task; rows are `resamples` times the runs.
     """
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        values = rows[value].dropna().sort_values().tolist()
-        if len(values) < 2:
-            return pd.DataFrame({key: [rows[key].iloc[0]], "low": [None], "high": [None]}).astype({"low": float, "high": float})
-        r = random.Random(seed)
-        means = [sum(r.choices(values, k=len(values))) / len(values) for _ in range(resamples)]
-        return pd.DataFrame({key: [rows[key].iloc[0]], "low": [float(np.percentile(means, 2.5))], "high": [float(np.percentile(means, 97.5))]})
-
-    kind = dict(runs.dtypes)[key]
-    return runs.select(key, value).groupBy(key).applyInPandas(draw, f"{key} {kind}, low double, high double")
+    rows = runs.select(F.col(key).alias("key"), F.col(value).cast("double").alias("v"))
+    held = rows.where("v is not null")
+    ranked = running(held, ["key", "v"])
+    first = ranked.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    ranked = ranked.join(first, "key").select("key", (F.col("place") - F.col("first")).alias("i"), "v")
+    draws = first.where("n > 1").select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    drawn = draws.select("key", "r", F.floor(uniform(seed, F.col("key"), F.col("r"), F.col("d")) * F.col("n")).alias("i"))
+    means = drawn.join(ranked, ["key", "i"]).groupBy("key", "r").agg(F.avg("v").alias("mean"))
+    spread = means.groupBy("key").agg(*[F.percentile("mean", q).alias(c) for q, c in ((0.025, "low"), (0.975, "high"))])
+    every = rows.groupBy("key").agg(F.count("v").alias("n"))
+    return every.join(spread, "key", "left").select(F.col("key").alias(key), "n", "low", "high")
 
 
 def seed_prefix(weights: DataFrame, order: list[str], fraction: float) -> DataFrame:
     """The rows of a shuffled order up to the one whose running weight reaches the fraction: kept if the sum before it is short.
 
-    weights has a row per metatile of one workload; the running sum is over that list.
+    weights has a row per metatile of one workload; the running sum is taken range by range of the order.
     """
-    run = Window.orderBy(*order)
-    before = F.coalesce(F.sum("weight").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("weight").over(Window.partitionBy())
-    return weights.withColumn("before", before).withColumn("total", total).where(F.col("before") < F.col("total") * fraction).drop("total")
+    total = weights.agg(F.sum("weight").alias("total"))
+    placed = running(weights, order, add="weight").drop("place")
+    return placed.join(F.broadcast(total), F.lit(True)).where(F.col("before") < F.col("total") * fraction).drop("total")
 
 
 def metatile_weights(views: DataFrame, size: int = 4) -> DataFrame:
@@ -188,41 +189,63 @@ def tile_reuse(views: DataFrame) -> DataFrame:
 
 
 def round_robin(pool: DataFrame, order: list[str], users: int) -> DataFrame:
-    """The pool dealt to users in turn. Positions come from ranges of the order, counted apart and added up."""
-    ranged = pool.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).checkpoint() if pool.sparkSession.sparkContext.getCheckpointDir() else None
-    if ranged is None:
-        return pool.withColumn("user", F.pmod(F.row_number().over(Window.orderBy(*order)) - 1, F.lit(users)))
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    offset = sizes.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "offset")
-    own = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return ranged.withColumn("own", own).join(offset, "part").withColumn("user", F.pmod(F.col("own") + F.col("offset"), F.lit(users)).cast("int")).drop("own", "offset", "part")
+    """The pool dealt to users in turn."""
+    return running(pool, order, place="user").withColumn("user", F.pmod("user", F.lit(users)).cast("int"))
 
 
-def make_traces(spark: SparkSession, users: int, views: int, zooms: list[int], centre: tuple[float, float], spread: float, seed: int) -> DataFrame:
-    """(user, view, action, zoom, lon, lat, think): a reproducible session of each user, each seeded for itself.
+#: How often a view comes about in each way.
+ACTIONS = {"pan": 0.55, "zoom": 0.25, "revisit": 0.1, "relocate": 0.1}
+#: Views that a revisit reaches back.
+REVISITED = 8
 
-    Users pan, zoom, or return to one of their last eight views.
-    """
 
-    def session(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for user in batch["id"]:
-                r, seen = random.Random(seed + int(user) * 104729), []
-                lon, lat, zoom = centre[0] + r.uniform(-spread, spread), centre[1] + r.uniform(-spread, spread), r.choice(zooms)
-                for view in range(views):
-                    action = r.choice(["pan", "zoom", "revisit"]) if seen else "start"
-                    if action == "revisit":
-                        lon, lat, zoom = r.choice(seen[-8:])
-                    elif action == "zoom":
-                        zoom = r.choice(zooms)
-                    elif action == "pan":
-                        lon, lat = lon + r.uniform(-1, 1) * spread / 2**zoom, lat + r.uniform(-1, 1) * spread / 2**zoom
-                    seen.append((lon, lat, zoom))
-                    rows.append((int(user), view, action, zoom, lon, lat, r.uniform(0.5, 2.5)))
-            yield pd.DataFrame(rows, columns=["user", "view", "action", "zoom", "lon", "lat", "think"])
-
-    return spark.range(users).mapInPandas(session, "user long, view int, action string, zoom int, lon double, lat double, think double")
+def make_traces(users: DataFrame, regions: list[tuple[str, float, float]], zooms: tuple[int, int], views: int, extent: tuple[float, float, float, float], viewport: tuple[int, int] = (1280, 720), think: tuple[float, float] = (0.5, 2.5), seed: int = 7) -> DataFrame:
+    """(user, view, action, zoom, x, y, region, think): a reproducible session of each user, all in column expressions.
+
+    users: user long. regions: name and Mercator metres of their centres; a user starts in one. A view pans by 0.6 of
+    the width and 0.4 of the height of the viewport, changes the zoom by one, returns to one of the last REVISITED
+    views, or moves to a region. Centres stay so far inside the extent (west, south, east, north in metres) that
+    the viewport does too, at a zoom deep enough for that. Every choice is a hash of seed, user, view and what is chosen.
+    """
+    half = HALF
+    fit = max(0, *[math.ceil(math.log2(n * 2 * half / (256 * (b - a)))) for n, a, b in ((viewport[0], extent[0], extent[2]), (viewport[1], extent[1], extent[3]))])
+    spots = F.array(*[F.struct(F.lit(n).alias("region"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for n, x, y in regions])
+
+    def kept(action, zoom, x, y, region, view):
+        """One view, with its zoom and centre inside the extent."""
+        z = F.greatest(F.lit(fit), zoom).cast("int")
+        metre = F.lit(2 * half / 256) / F.pow(F.lit(2.0), z)
+        inside = lambda v, n, a, b: F.greatest(F.lit(a) + metre * (n / 2), F.least(F.lit(b) - metre * (n / 2), v))
+        return F.struct(
+            view.cast("int").alias("view"), action.alias("action"), z.alias("zoom"), inside(x, viewport[0], extent[0], extent[2]).alias("x"),
+            inside(y, viewport[1], extent[1], extent[3]).alias("y"), region.alias("region"),
+        )
+
+    u = lambda view, what: uniform(seed, F.col("user"), view, what)
+    place = lambda view: F.element_at(spots, (F.floor(u(view, "region") * len(regions)) + 1).cast("int"))
+    home = place(F.lit(-1))
+    low, high = zooms
+    start = kept(F.lit("start"), F.lit(low) + F.floor(u(F.lit(-1), "zoom") * (high - low + 1)), home["x"], home["y"], home["region"], F.lit(-1))
+
+    def step(seen, view):
+        last, at, action = F.element_at(seen, -1), u(view, "action"), F.lit(None).cast("string")
+        for name, stop in reversed(list(zip(ACTIONS, itertools.accumulate(ACTIONS.values()), strict=True))):
+            action = F.when(at < stop, name).otherwise(F.lit(name) if name == list(ACTIONS)[-1] else action)
+        back = F.element_at(seen, -(F.floor(u(view, "back") * F.greatest(F.lit(1), F.least(view, F.lit(REVISITED)))) + 1).cast("int"))
+        there = place(view)
+        metre = F.lit(2 * half / 256) / F.pow(F.lit(2.0), last["zoom"])
+        along = F.when(u(view, "across") < 0.5, -1.0).otherwise(1.0) * metre * (0.6 * viewport[0])
+        up = (F.floor(u(view, "up") * 3) - 1) * metre * (0.4 * viewport[1])
+        turn = F.when(u(view, "turn") < 0.5, -1).otherwise(1)
+        by = lambda pan, zoom, revisit, relocate: F.when(action == "pan", pan).when(action == "zoom", zoom).when(action == "revisit", revisit).otherwise(relocate)
+        return F.concat(seen, F.array(kept(
+            action, by(last["zoom"], F.greatest(F.lit(low), F.least(F.lit(high), last["zoom"] + turn)), back["zoom"], last["zoom"]), by(last["x"] + along, last["x"], back["x"], there["x"]),
+            by(last["y"] + up, last["y"], back["y"], there["y"]), by(last["region"], last["region"], back["region"], there["region"]), view,
+        )))
+
+    sessions = users.select("user", F.aggregate(F.sequence(F.lit(0), F.lit(views - 1)), F.array(start), step).alias("views"))
+    rows = sessions.select("user", F.explode(F.slice("views", 2, views)).alias("v")).select("user", "v.*")
+    return rows.withColumn("think", F.lit(think[0]) + uniform(seed, F.col("user"), F.col("view"), "think") * (think[1] - think[0]))
 
 
 def audit_rollup(events: DataFrame, agent: str = "aws-sdk-java/") -> DataFrame:
@@ -255,3 +278,35 @@ def common_snapshot(files: DataFrame, pattern: str = r"-(\d{6})\.osm\.pbf") -> D
     return dated.groupBy("date").agg(F.count("*").alias("n")).join(F.broadcast(regions), F.col("n") == F.col("regions")).agg(F.max("date").alias("date")).where("date is not null")
 
 
+def flattened(summary: DataFrame, between: str = "_") -> DataFrame:
+    """A nested summary as flat columns: a field of a struct is named after both."""
+
+    def leaves(kind, path: tuple[str, ...]):
+        for f in kind.fields:
+            if hasattr(f.dataType, "fields"):
+                yield from leaves(f.dataType, (*path, f.name))
+            else:
+                yield (*path, f.name)
+
+    return summary.select(*[F.col(".".join(f"`{x}`" for x in path)).alias(between.join(path)) for path in leaves(summary.schema, ())])
+
+
+def variant_report(variants: DataFrame, compatibility: DataFrame, quality: DataFrame) -> DataFrame:
+    """Every variant with whether it can be served and its quality; status says why one can't be recommended.
+
+    variants: variant. compatibility: variant, compatible, full_data. quality: variant, psnr. A variant whose
+    compatibility was only seen on samples is downgraded.
+    """
+    rows = variants.select("variant").join(compatibility, "variant", "left").join(quality, "variant", "left")
+    status = F.when(F.col("compatible").isNull(), "unprobed").when(~F.col("compatible"), "incompatible").when(~F.coalesce("full_data", F.lit(False)), "downgraded").when(F.col("psnr").isNull(), "unmeasured").otherwise("ok")
+    return rows.select("variant", F.coalesce("compatible", F.lit(False)).alias("compatible"), "psnr", status.alias("status"))
+
+
+def matrix_totals(cells: DataFrame, seconds: float) -> DataFrame:
+    """Cells and hours of each phase of a study, with a last row for all."""
+    return cells.rollup("phase").agg(F.count("*").alias("cells"), (F.count("*") * seconds / 3600).alias("hours"))
+
+
+def status_counts(log: DataFrame) -> DataFrame:
+    """Rows of each status."""
+    return log.groupBy("status").agg(F.count("*").alias("n"))

@@ -6,12 +6,12 @@ Rectangles are columns x, y, w, h with an id column; ranges are half open.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.rects import coordinate
+from gridloom.functions.ranks import running, uniform
 
 #: Sample edge of a storage tile, what an empty one takes compressed, and the reserve on top of an estimate.
 EDGE, EMPTY_TILE_BYTES, STORAGE_MARGIN = 512, 1024, 1.1
@@ -121,44 +121,35 @@ def storage_estimate(blocks: DataFrame, parts: DataFrame, sources: DataFrame, ov
     return rows.select("block", F.coalesce("source_bytes", F.lit(0)).alias("source_bytes"), "output_bytes", "temporary_bytes", F.ceil((F.col("output_bytes") + F.col("temporary_bytes")) * STORAGE_MARGIN).alias("reserved_bytes"))
 
 
-def regions(spark: SparkSession, rects: list[tuple[int, int, int, int]], target_pixels: int) -> DataFrame:
-    """Output rectangles (ord, x, y, w, h) of about target_pixels that hold all source rectangles.
+def regions(rects: DataFrame, target_pixels: int) -> DataFrame:
+    """(ord, x, y, w, h): disjoint output rectangles of target_pixels at most that hold all source rectangles.
 
-    The footprints of one output are few, so this small plan is made on the driver: empty outer space is
-    trimmed before each cut along the longer side.
+    Sources are cut at the squares of a fine grid. Squares halve in turn along x and y into ever larger cells; of the
+    cells around a square the largest whose occupied part has at most target_pixels becomes an output, trimmed to that
+    part. So empty space is never written, and where sources are sparse an output spans more. Outputs
+    are numbered from the top, then from the left. All levels are one aggregation; no rectangle leaves the executors.
     """
-
-    def cut() -> Iterator[tuple[int, int, int, int]]:
-        most, pending = max(1, target_pixels * 11 // 10), [_around(rects)] if rects else []
-        while pending:
-            region = pending.pop()
-            hits = [h for r in rects if (h := _common(region, r))]
-            if not hits:
-                continue
-            x, y, w, h = _around(hits)
-            if w * h <= most or w * h == 1:
-                yield x, y, w, h
-                continue
-            part = 1 / math.ceil(w * h / most)
-            if w >= h:
-                n = min(max(1, round(w * part)), w - 1)
-                pending += [(x + n, y, w - n, h), (x, y, n, h)]
-            else:
-                n = min(max(1, round(h * part)), h - 1)
-                pending += [(x, y + n, w, h - n), (x, y, w, n)]
-
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(cut())], "ord int, x long, y long, w long, h long")
-
-
-def _common(a, b):
-    x, y = max(a[0], b[0]), max(a[1], b[1])
-    w, h = min(a[0] + a[2], b[0] + b[2]) - x, min(a[1] + a[3], b[1] + b[3]) - y
-    return (x, y, w, h) if w > 0 and h > 0 else None
-
-
-def _around(rects):
-    x, y = min(r[0] for r in rects), min(r[1] for r in rects)
-    return x, y, max(r[0] + r[2] for r in rects) - x, max(r[1] + r[3] for r in rects) - y
+    edge = max(1, math.isqrt(max(1, target_pixels)) // 8)
+    found = rects.where("w > 0 and h > 0")
+    far = found.agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("r"), F.max(F.col("y") + F.col("h")).alias("b")).first()
+    if far.x is None:
+        return rects.select(F.lit(0).cast("long").alias("ord"), *[F.col(c).cast("long").alias(c) for c in "xywh"]).limit(0)
+    side = -(-max(far.r - far.x, far.b - far.y) // edge)
+    levels = 2 * max(1, (side - 1).bit_length())
+    at = found.select((F.col("x") - far.x).alias("x"), (F.col("y") - far.y).alias("y"), "w", "h")
+    cut = at.select("x", "y", "w", "h", F.explode(_keys(edge)).alias("k")).select("k", *[
+        f(F.col(a), k * edge).alias(b) for f, a, k, b in ((F.greatest, "x", F.col("k.kx"), "left"), (F.greatest, "y", F.col("k.ky"), "top"))
+    ], F.least(F.col("x") + F.col("w"), (F.col("k.kx") + 1) * edge).alias("right"), F.least(F.col("y") + F.col("h"), (F.col("k.ky") + 1) * edge).alias("bottom"))
+    bounds = [F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom")]
+    squares = cut.groupBy("k.kx", "k.ky").agg(*bounds)
+    # a cell of level n spans 2 ** ceil(n / 2) squares along x and 2 ** floor(n / 2) along y
+    cell = F.expr("struct(shiftright(kx, cast((n + 1) div 2 as int)) as cx, shiftright(ky, cast(n div 2 as int)) as cy)")
+    above = squares.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("cell", cell)
+    area = (F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top"))
+    fits = above.groupBy("n", "cell").agg(*bounds).where((area <= target_pixels) | (F.col("n") == 0)).select("n", "cell", F.struct("left", "top", "right", "bottom").alias("part"))
+    chosen = above.select("kx", "ky", "n", "cell").join(fits, ["n", "cell"]).groupBy("kx", "ky").agg(F.max_by("part", "n").alias("p")).select("p.*").distinct()
+    made = chosen.select((F.col("left") + far.x).alias("x"), (F.col("top") + far.y).alias("y"), (F.col("right") - F.col("left")).alias("w"), (F.col("bottom") - F.col("top")).alias("h"))
+    return running(made, ["y", "x"], place="ord").select("ord", "x", "y", "w", "h")
 
 
 def unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -175,3 +166,18 @@ def set_difference(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def largest_reservations(estimates: DataFrame, workers: int) -> DataFrame:
     """What the largest concurrent reservations take together."""
     return estimates.orderBy(F.desc("reserved_bytes")).limit(workers).agg(F.sum("reserved_bytes").alias("reserved_bytes"))
+
+
+def oversized(outputs: DataFrame, limit: int) -> DataFrame:
+    """Outputs of more than a tenth above the limit of bytes, with how many parts each should be split into."""
+    return outputs.where(F.col("bytes") > F.floor(F.lit(limit) * 11 / 10)).withColumn("parts", F.ceil(F.col("bytes") / limit))
+
+
+def density(windows: DataFrame, sampled: int = 8, seed: int = 1) -> DataFrame:
+    """(source, bytes_per_pixel): what compression leaves of each source, from some of its windows.
+
+    windows: source, window, bytes, pixels. A hash of seed, source and window picks them.
+    """
+    pick = Window.partitionBy("source").orderBy(uniform(seed, F.col("source"), F.col("window")), "window")
+    some = windows.withColumn("i", F.row_number().over(pick)).where(F.col("i") <= sampled)
+    return some.groupBy("source").agg((F.sum("bytes") / F.sum("pixels")).alias("bytes_per_pixel"))

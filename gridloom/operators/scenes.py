@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.ranks import scratch
+
 
 def best_per_tile(products: DataFrame, share: float = 0.999) -> DataFrame:
     """Of each tile's online products with `share` of its best area: the least cloudy, then newest, then by id.
@@ -24,30 +25,73 @@ def mosaic_order(products: DataFrame) -> DataFrame:
     return products.orderBy(F.desc("cloud_cover"), "acquired", "id")
 
 
-def greedy_cover(products: DataFrame, aoi: tuple[float, float, float, float], most: int = 100, enough: float = 0.9999, least: float = 1e-5) -> DataFrame:
+class Uncovered(ValueError):
+    """A catalogue that covers too little of the area."""
+
+
+def _without(open_: list[tuple], box: tuple) -> list[tuple]:
+    """Disjoint rectangles that cover the same as `open_` but for the box."""
+    west, south, east, north = box
+    left = []
+    for a, b, c, d in open_:
+        w, s, e, n = max(a, west), max(b, south), min(c, east), min(d, north)
+        if w >= e or s >= n:
+            left.append((a, b, c, d))
+            continue
+        left += [r for r in ((a, b, w, d), (e, b, c, d), (w, b, e, s), (w, n, e, d)) if r[0] < r[2] and r[1] < r[3]]
+    return left
+
+
+def greedy_cover(products: DataFrame, aoi: tuple[float, float, float, float], most: int = 100, enough: float = 0.9999, least: float = 1e-5, fallback: float = 1e-6, required: float = 0.0) -> DataFrame:
     """(step, id, gain): scenes by the area that each adds to an area of interest (west, south, east, north).
 
-    products: id, cloud_cover, west, south, east, north; ties by cloud, then id. Catalogues of one area are
-    small and each step depends on the one before, so the choice is made on the driver, on a grid of the
-    scenes' own edges, which is exact for boxes.
+    products: id, cloud_cover, west, south, east, north and, where there are several acquisitions of a tile,
+    best (boolean: the tile's best one) and acquired. The best ones come first, each time that of the largest gain, ties by cloud, then id, while it
+    adds `least` of the area; then others, of those within 99 % of the largest gain the least cloudy, newest, by id,
+    while that is `fallback` of the area. It ends at `enough` of the area or `most` scenes, and fails below `required`.
+    Scenes stay in a table: a step is one aggregation over it that returns one row. What is still open is a list of
+    rectangles bounded by the scenes chosen so far, sent to the next step; areas are exact for boxes.
     """
-    rows = products.select("id", "cloud_cover", "west", "south", "east", "north").toPandas().sort_values(["cloud_cover", "id"]).reset_index(drop=True)
-    clip = lambda v, a, b: np.clip(v.to_numpy(float), a, b)
-    west, east = clip(rows["west"], aoi[0], aoi[2]), clip(rows["east"], aoi[0], aoi[2])
-    south, north = clip(rows["south"], aoi[1], aoi[3]), clip(rows["north"], aoi[1], aoi[3])
-    xs, ys = np.unique([aoi[0], aoi[2], *west, *east]), np.unique([aoi[1], aoi[3], *south, *north])
-    cell, open_ = np.outer(np.diff(ys), np.diff(xs)), np.ones((len(ys) - 1, len(xs) - 1), bool)
-    box = lambda i: (slice(*np.searchsorted(ys, (south[i], north[i]))), slice(*np.searchsorted(xs, (west[i], east[i]))))
-    total, left, chosen = float(cell.sum()), set(range(len(rows))), []
-    while left and len(chosen) < most:
-        gains = {i: float((cell[box(i)] * open_[box(i)]).sum()) for i in left}
-        top = max(gains.values())
-        i = min(k for k, g in gains.items() if g == top)
-        if top < total * least:
-            break
-        open_[box(i)] = False
-        chosen.append((len(chosen), str(rows["id"][i]), top))
-        left.remove(i)
-        if cell[~open_].sum() >= total * enough:
-            break
-    return products.sparkSession.createDataFrame(chosen, "step int, id string, gain double")
+    spark = products.sparkSession
+    west, south, east, north = map(float, aoi)
+    clip = lambda c, a, b: F.greatest(F.lit(a), F.least(F.lit(b), F.col(c).cast("double"))).alias(c)
+    more = [c for c in ("best", "acquired") if c in products.columns]
+    boxes = products.select(F.col("id").cast("string").alias("id"), "cloud_cover", *more, clip("west", west, east), clip("south", south, north), clip("east", west, east), clip("north", south, north))
+    boxes = boxes.withColumns({"best": F.col("best") if "best" in more else F.lit(True), "age": -F.unix_timestamp("acquired") if "acquired" in more else F.lit(0).cast("long")})
+    path = scratch(spark)
+    boxes.where("west < east and south < north").write.parquet(path)
+    boxes = spark.read.parquet(path)
+    total, open_, chosen = (east - west) * (north - south), [(west, south, east, north)], []
+    shape = "array<struct<w double, s double, e double, n double>>"
+
+    def gains(first: bool) -> DataFrame:
+        space = spark.createDataFrame([([tuple(r) for r in open_],)], f"open {shape}")
+        rest = boxes.where(F.col("best") if first else F.lit(True)).where(~F.col("id").isin([c[1] for c in chosen]))
+        span = lambda a, b, lo, hi: F.greatest(F.lit(0.0), F.least(F.col(hi), b) - F.greatest(F.col(lo), a))
+        part = F.aggregate("open", F.lit(0.0), lambda sum_, r: sum_ + span(r["w"], r["e"], "west", "east") * span(r["s"], r["n"], "south", "north"))
+        return rest.join(F.broadcast(space), F.lit(True)).withColumn("gain", part)
+
+    def covered() -> float:
+        return total - sum((e - w) * (n - s) for w, s, e, n in open_)
+
+    def take(row) -> None:
+        nonlocal open_
+        chosen.append((len(chosen), row.id, row.gain))
+        open_ = _without(open_, (row.west, row.south, row.east, row.north))
+
+    what = ["gain", "west", "south", "east", "north"]
+    for first, stop in ((True, least), (False, fallback)):
+        while len(chosen) < most and covered() < total * enough:
+            found = gains(first)
+            if first:
+                order = F.struct((-F.col("gain")).alias("lost"), "cloud_cover", "id", *what)
+            else:
+                top = found.agg(F.max("gain")).first()[0] or 0.0
+                found, order = found.where(F.col("gain") >= top * 0.99), F.struct("cloud_cover", "age", "id", *what)
+            best = found.agg(F.min(order).alias("b")).select("b.*").first()
+            if best.id is None or (best.gain if first else top) < total * stop:
+                break
+            take(best)
+    if covered() < total * required:
+        raise Uncovered(f"the scenes cover {covered() / total:.2%} of the area")
+    return spark.createDataFrame(chosen, "step int, id string, gain double")

@@ -6,9 +6,10 @@ import threading
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.ranks import running
 from gridloom.functions.rects import whole
 from gridloom.operators import mosaic, planning, resample, tiles
 from gridloom.sources import geotiff
@@ -21,14 +22,21 @@ class InputError(ValueError):
 def inventory(spark: SparkSession, path: str, tolerance: float = 1e-7) -> DataFrame:
     """The files at `path` as ord, path, their metadata and x, y, their place on the grid of the first by name.
 
-    Only headers are read. Files of another type, NoData value, pixel size or alignment than the first raise.
+    Only headers are read. Files of another type, NoData value, pixel size, coordinate system or alignment than the
+    first raise, and so do alpha bands and palettes.
     """
     geotiff.register(spark)
     meta = spark.read.format("geotiff").option("mode", "metadata").load(path)
-    meta = meta.withColumn("ord", (F.row_number().over(Window.orderBy(F.lower("path"), "path")) - 1).cast("long"))
+    meta = running(meta, [F.lower("path"), "path"], place="ord").withColumn("ord", F.col("ord").cast("long"))
+    held = meta.where("alpha or palette").select("path", "alpha").orderBy("path").head(1)
+    if held:
+        raise InputError(f"{held[0].path} has {'an alpha band' if held[0].alpha else 'a palette'}")
     odd = mosaic.compatible(meta, ["bands", "dtype", "nodata", "a", "b", "d", "e"]).select("path").head(1)
     if odd:
         raise InputError(f"{odd[0].path} has another type, NoData value or pixel size than the first file")
+    odd = mosaic.compatible(meta, ["crs"]).select("path").head(1)
+    if odd:
+        raise InputError(f"{odd[0].path} has another coordinate system than the first file")
     first = meta.where("ord = 0").select(F.col("c").alias("c0"), F.col("f").alias("f0"))
     placed = meta.join(F.broadcast(first), F.lit(True))
     x, y = (F.col("c") - F.col("c0")) / F.col("a"), (F.col("f") - F.col("f0")) / F.col("e")
@@ -39,12 +47,13 @@ def inventory(spark: SparkSession, path: str, tolerance: float = 1e-7) -> DataFr
     return placed.withColumns({"x": F.rint("px").cast("long"), "y": F.rint("py").cast("long")}).drop("px", "py", "c0", "f0")
 
 
-def merge(spark: SparkSession, path: str, output: str, policy: str = "last", edge: int = 512, block_tiles: int = 16, nodata: float | None = None, compression: str = "deflate", predictor: int = 1) -> DataFrame:
+def merge(spark: SparkSession, path: str, output: str, policy: str = "last", edge: int = 512, block_tiles: int = 16, nodata: float | None = None, compression: str = "deflate", predictor: int = 1, overviews: str = "none") -> DataFrame:
     """Merges the GeoTIFFs at `path` into blocks under `output`, reads those again and gives the verification by band.
 
     policy: first, last, or error, which raises where valid samples differ. nodata: for sources that have none.
     Samples go from files to tiles of the common grid, tiles of a place meet in one shuffle, and each block is
-    written by one task. The check composes the sources once more, as cells instead of tiles.
+    written by one task. The check composes the sources once more, from the other end of their order and with gaps filled
+    where the writer overwrites, and compares tiles with tiles.
     """
     sources = inventory(spark, path)
     box = sources.agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("r"), F.max(F.col("y") + F.col("height")).alias("b")).first()
@@ -55,8 +64,8 @@ def merge(spark: SparkSession, path: str, output: str, policy: str = "last", edg
         raise InputError("the files leave space between them and have no NoData value; give one")
     place = sources.select("path", "ord", (F.col("x") - box.x).alias("ox"), (F.col("y") - box.y).alias("oy"))
     windows = spark.read.format("geotiff").load(path).join(place, "path").withColumns({"x": F.col("x") + F.col("ox"), "y": F.col("y") + F.col("oy")})
-    cells = tiles.window_cells(windows.withColumn("path", F.col("ord").cast("string"))).withColumn("ord", F.col("path").cast("long")).withColumn("src", F.col("ord")).withColumn("valid", F.lit(True))
     if policy == "error":
+        cells = tiles.window_cells(windows.withColumn("path", F.col("ord").cast("string"))).withColumn("ord", F.col("path").cast("long")).withColumn("src", F.col("ord")).withColumn("valid", F.lit(True))
         clash = mosaic.overlap_conflicts(cells).where("conflicting_band_samples > 0").orderBy("first_src", "second_src").head(1)
         if clash:
             raise InputError(f"sources {clash[0].first_src} and {clash[0].second_src} differ in {clash[0].conflicting_band_samples} samples, first at {clash[0].example.x}, {clash[0].example.y}")
@@ -70,18 +79,35 @@ def merge(spark: SparkSession, path: str, output: str, policy: str = "last", edg
     corner = (one.c + box.x * one.a, one.f + box.y * one.e)
     options = {"path": output, "edge": edge, "width": block_tiles * edge, "height": block_tiles * edge, "total_width": width, "total_height": height, "bands": one.bands, "dtype": one.dtype,
                "compression": compression, "predictor": predictor, "grid": ",".join(map(repr, (corner[0], one.a, 0.0, corner[1], 0.0, one.e)))}
+    options["overviews"] = overviews
+    if one.crs is not None and one.crs.startswith("EPSG:"):
+        options["crs"] = one.crs
     if missing is not None:
         options["nodata"] = repr(fill)
     rows.repartition("block").sortWithinPartitions("block").write.format("geotiff").mode("append").options(**options).save()
     written = inventory(spark, output).select("path", F.rint((F.col("c") - corner[0]) / F.col("a")).cast("long").alias("ox"), F.rint((F.col("f") - corner[1]) / F.col("e")).cast("long").alias("oy"))
-    back = spark.read.format("geotiff").load(output).join(written, "path").withColumns({"x": F.col("x") + F.col("ox"), "y": F.col("y") + F.col("oy")})
-    return mosaic.verify(mosaic.compose(cells, "first" if policy == "first" else "last"), tiles.window_cells(back).select("band", "x", "y", "v"))
+    back = spark.read.format("geotiff").load(output).join(written, "path").withColumns({"x": F.col("x") + F.col("ox"), "y": F.col("y") + F.col("oy"), "ord": F.lit(0).cast("long")})
+    again = tiles.compose(tiles.rebased(windows.withColumn("ord", -F.col("ord")), edge), "last" if policy == "first" else "first")
+    return tiles.verify(again, tiles.compose(tiles.rebased(back, edge)))
+
+
+def without_overviews(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of the files that have no overviews inside yet, largest first: those that a run still has to do."""
+    geotiff.register(spark)
+    meta = spark.read.format("geotiff").option("mode", "metadata").load(path)
+    return meta.where("levels = 0").select("path", "width", "height", "stored_bytes").orderBy(F.desc("stored_bytes"), "path")
+
+
+def structure(spark: SparkSession, path: str) -> DataFrame:
+    """(path, faults, valid): what keeps files from being cloud optimised, from their directories alone."""
+    geotiff.register(spark)
+    meta = spark.read.format("geotiff").option("mode", "metadata").load(path)
+    return meta.select("path", "faults", (F.size("faults") == 0).alias("valid"))
 
 
 def plan(spark: SparkSession, path: str, target_pixels: int) -> DataFrame:
     """A dry run: the output rectangles that a merge would write, from headers alone."""
-    rows = inventory(spark, path).select("x", "y", "width", "height").collect()
-    return planning.regions(spark, [tuple(r) for r in rows], target_pixels)
+    return planning.regions(inventory(spark, path).select("x", "y", F.col("width").alias("w"), F.col("height").alias("h")), target_pixels)
 
 
 def overviews(spark: SparkSession, path: str, least: int = 512) -> DataFrame:

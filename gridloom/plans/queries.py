@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import mercator, rects, text
+from gridloom.functions.ranks import scratch
 from gridloom.operators import benchmark, mosaic, planning, resample, scenes, stats, tiles
 from gridloom.plans import views
 from gridloom.sources import geotiff
-from gridloom.sources.files import scratch
 from gridloom.streaming.requests import cache_hits as metatile_hits
 from gridloom.streaming.requests import drained, windowed
 
@@ -239,6 +240,23 @@ def rect_union_area(spark, sf_dir):
     return longs(planning.union_area(parts, ["block"]), "area")
 
 
+_CUT = 12
+
+
+@query(f"""with {views.RECTS}, far as (select min(x) fx, min(y) fy, max(x + w) fr, max(y + h) fb from rects),
+  c as (select x - fx x, y - fy y, w, h from rects, far where w > 0 and h > 0),
+  s as (select kx, ky, min(greatest(x, kx * {_CUT})) l, min(greatest(y, ky * {_CUT})) t, max(least(x + w, kx * {_CUT} + {_CUT})) r, max(least(y + h, ky * {_CUT} + {_CUT})) b
+    from c, unnest(range(x // {_CUT}, (x + w - 1) // {_CUT} + 1)) a(kx), unnest(range(y // {_CUT}, (y + h - 1) // {_CUT} + 1)) e(ky) group by kx, ky),
+  n as (select cast(2 * ceil(log2(ceil(greatest(fr - fx, fb - fy) / {_CUT}.0))) as bigint) n from far),
+  u as (select s.*, v.v v, kx >> cast((v.v + 1) // 2 as bigint) cx, ky >> cast(v.v // 2 as bigint) cy from s, n, unnest(range(n.n + 1)) v(v)),
+  f as (select v, cx, cy, min(l) l, min(t) t, max(r) r, max(b) b from u group by v, cx, cy having v = 0 or (max(r) - min(l)) * (max(b) - min(t)) <= {(8 * _CUT) ** 2}),
+  p as (select kx, ky, max(v) v from u semi join f using (v, cx, cy) group by kx, ky),
+  o as (select distinct f.l, f.t, f.r, f.b from p join u using (kx, ky, v) join f using (v, cx, cy))
+  select row_number() over (order by t, l) - 1 ord, l + fx x, t + fy y, r - l w, b - t h from o, far""")
+def output_regions(spark, sf_dir):
+    return longs(planning.regions(views.rects(spark, sf_dir), (8 * _CUT) ** 2), "ord", "x", "y", "w", "h")
+
+
 @query(f"with {views.RECTS} select ord, w * h area, w * h covered from rects")
 def coverage_check(spark, sf_dir):
     return longs(planning.coverage(views.rects(spark, sf_dir), views.squares(spark, sf_dir).withColumnRenamed("block", "ord")), "area", "covered")
@@ -324,30 +342,27 @@ def telemetry_summary(spark, sf_dir):
     return rounded(rounded(made, "cpu_utilization_p95", "cpu_throttled_seconds"), "memory_utilization_peak", digits=9)
 
 
-_MATRIX = "values ('AUTOMOBILE', 0), ('AUTOMOBILE', 1), ('BUILDING', 0), ('BUILDING', 1)"
-_REQUIRED = [(s, n) for s in ("AUTOMOBILE", "BUILDING") for n in (0, 1)]
-_FIT = f"""with {views.RUNS}, need(scenario, repetition) as ({_MATRIX}), g as (select * from runs semi join need using (scenario, repetition))"""
+_REQUIRED = [(s, n) for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY") for n in (0, 1)]
 
 
-@query(_FIT + """, f as (select * from g where valid), c as (select variant from f group by variant having count(distinct scenario || repetition) = 4),
+@query(f"with {views.RUNS}" + """, f as (select * from runs where valid), c as (select variant from f group by variant having count(distinct scenario || repetition) = 10),
   s as (select lossless, variant, avg(error_fraction) e, avg(p95) p from f semi join c using (variant) group by all)
   select lossless, variant, round(e, 10) error, round(p, 10) p95 from (select *, row_number() over (partition by lossless order by e, p, variant) r from s) where r = 1""")
 def variant_shortlist(spark, sf_dir):
-    r = views.runs(spark, sf_dir).where(F.col("scenario").isin("AUTOMOBILE", "BUILDING"))
-    return rounded(benchmark.shortlist(r, _REQUIRED), "error", "p95", digits=10)
+    return rounded(benchmark.shortlist(views.runs(spark, sf_dir), _REQUIRED), "error", "p95", digits=10)
 
 
-_PROFILE = f"""with {views.RUNS}, one as (select variant, profile, scenario, repetition, bool_and(valid) valid, max(p95) p95, avg(error_fraction) e from runs where scenario in ('AUTOMOBILE', 'BUILDING') group by all),
+_PROFILE = f"""with {views.RUNS}, one as (select cast(cast(variant as integer) % 5 as varchar) variant, profile, scenario, repetition, count(*) filter (not valid) <= count(*) / 2 valid, max(p95) p95, avg(error_fraction) e from runs group by all),
   w as (select variant, profile, unnest(list_filter([case when not valid then 'invalid, unfinished or synthetic evidence' end, case when p95 >= 5 then 'view latency target' end,
     case when e >= 0.5 then 'view error target' end, ''], lambda x: x is not null)) why, scenario, repetition from one),
   m as (select variant, profile, count(*) n from one group by all),
-  q as (select variant, profile, why from w where why <> '' union select variant, profile, 'incomplete scenario/repetition matrix' from m where n <> 4),
+  q as (select variant, profile, why from w where why <> '' union select variant, profile, 'incomplete scenario/repetition matrix' from m where n <> 10),
   d as (select m.variant, m.profile, coalesce((select string_agg(why, ';' order by why) from q where q.variant = m.variant and q.profile = m.profile), '') reasons from m)"""
 
 
 def _decisions(spark, sf_dir) -> DataFrame:
-    r = views.runs(spark, sf_dir).where(F.col("scenario").isin("AUTOMOBILE", "BUILDING"))
-    one = r.groupBy("variant", "profile", "scenario", "repetition").agg(F.bool_and("valid").alias("valid"), F.max("p95").alias("p95"), F.avg("error_fraction").alias("error_fraction"))
+    r = views.runs(spark, sf_dir).withColumn("variant", (F.col("variant").cast("int") % 5).cast("string"))
+    one = r.groupBy("variant", "profile", "scenario", "repetition").agg((F.count_if(~F.col("valid")) <= F.count("*") / 2).alias("valid"), F.max("p95").alias("p95"), F.avg("error_fraction").alias("error_fraction"))
     one = one.withColumns({"cpus": F.col("profile") + 1, "memory_gib": F.lit(4), "cpu_p95": F.lit(0.5), "memory_peak": F.lit(0.5)})
     return benchmark.qualify(one, _REQUIRED, benchmark.ACCEPTANCE | {"max_view_error_fraction": 0.5})
 
@@ -367,9 +382,52 @@ def repeated_run_means(spark, sf_dir):
     return rounded(benchmark.repeated_means(views.runs(spark, sf_dir), ["variant", "scenario", "profile"]), "mean_p95", digits=10)
 
 
-@query()
+def _uniform(*parts: str) -> str:
+    return f"(cast('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) as bigint) / 4294967296.0::double)"
+
+
+@query(f"""with {views.RUNS}, v as (select concat_ws('/', variant, scenario, profile) cell, p95 from runs),
+  r as (select cell, p95, row_number() over (partition by cell order by p95) - 1 i, count(*) over (partition by cell) n from v),
+  d as (select cell, k.k k, cast(floor({_uniform("1234", "cell", "k.k", "j.j")} * n) as bigint) i from (select distinct cell, n from r where n > 1), range(200) k(k), unnest(range(n)) j(j)),
+  m as (select cell, k, avg(p95) mean from d join r using (cell, i) group by all)
+  select cell, count(*) n, round(any_value(low), 10) low, round(any_value(high), 10) high from v left join (select cell, quantile_cont(mean, 0.025) low, quantile_cont(mean, 0.975) high from m group by cell) using (cell) group by cell""")
 def bootstrap_intervals(spark, sf_dir):
-    return benchmark.bootstrap(views.runs(spark, sf_dir), "variant", "p95")
+    runs = views.runs(spark, sf_dir).withColumn("cell", F.concat_ws("/", "variant", "scenario", F.col("profile").cast("string")))
+    return rounded(benchmark.bootstrap(runs, "cell", "p95", resamples=200), "low", "high", digits=10)
+
+
+_SPOTS, _ZOOMS, _EXTENT, _VIEW = [("north", 500000.0, 6200000.0), ("east", 1900000.0, 5600000.0), ("south", 900000.0, 4600000.0)], (4, 12), (-200000.0, 4000000.0, 2600000.0, 7000000.0), (1280, 720)
+
+
+def _trace_sql() -> str:
+    half = mercator.HALF
+    fit = max(0, *[math.ceil(math.log2(n * 2 * half / (256 * span))) for n, span in ((_VIEW[0], _EXTENT[2] - _EXTENT[0]), (_VIEW[1], _EXTENT[3] - _EXTENT[1]))])
+    spots = ", ".join(f"{{'region': '{n}', 'x': {x!r}::double, 'y': {y!r}::double}}" for n, x, y in _SPOTS)
+    u = lambda view, what: _uniform("7", "u", view, f"'{what}'")
+    metre = f"({2 * half / 256!r}::double / power(2.0::double, z))"
+    inside = lambda v, n, a, b: f"greatest({a!r}::double + {metre} * {n / 2!r}, least({b!r}::double - {metre} * {n / 2!r}, {v}))"
+    kept = f"{{'zoom': z, 'x': {inside('x', _VIEW[0], _EXTENT[0], _EXTENT[2])}, 'y': {inside('y', _VIEW[1], _EXTENT[1], _EXTENT[3])}, 'region': region}}"
+    place = lambda view: f"([{spots}])[cast(floor({u(view, 'region')} * {len(_SPOTS)}) as integer) + 1]"
+    last = f"({2 * half / 256!r}::double / power(2.0::double, last.zoom))"
+    return f"""with recursive t as (
+  select u, -1 i, 'start' a, [{kept}] seen from (select c_custkey u, greatest({fit}, {_ZOOMS[0]} + cast(floor({_uniform("7", "c_custkey", "-1", "'zoom'")} * {_ZOOMS[1] - _ZOOMS[0] + 1}) as integer)) z, p.x x, p.y y, p.region region
+    from (select c_custkey, {place("-1").replace("u, -1", "c_custkey, -1")} p from customer))
+  union all select u, i, a, seen || [{kept}] from (
+    select u, i, a, seen, greatest({fit}, case a when 'zoom' then greatest({_ZOOMS[0]}, least({_ZOOMS[1]}, last.zoom + case when {u("i", "turn")} < 0.5 then -1 else 1 end)) when 'revisit' then back.zoom else last.zoom end) z,
+      case a when 'pan' then last.x + case when {u("i", "across")} < 0.5 then -1.0::double else 1.0::double end * {last} * {0.6 * _VIEW[0]!r}::double when 'zoom' then last.x when 'revisit' then back.x else there.x end x,
+      case a when 'pan' then last.y + (floor({u("i", "up")} * 3) - 1) * {last} * {0.4 * _VIEW[1]!r}::double when 'zoom' then last.y when 'revisit' then back.y else there.y end y,
+      case a when 'revisit' then back.region when 'relocate' then there.region else last.region end region
+    from (select u, i, seen, seen[-1] last, case when p < 0.55 then 'pan' when p < 0.8 then 'zoom' when p < 0.9 then 'revisit' else 'relocate' end a, {place("i")} there,
+        seen[-(cast(floor({u("i", "back")} * greatest(1, least(i, 8))) as integer) + 1)] back
+      from (select u, i + 1 i, seen, {u("i + 1", "action")} p from t where i < 19))))
+select u "user", cast(i as integer) "view", a "action", cast(seen[-1].zoom as integer) zoom, round(seen[-1].x, 3) x, round(seen[-1].y, 3) y, seen[-1].region region, round(0.5 + {u("i", "think")} * 2.0, 9) think from t where i >= 0"""
+
+
+@query(_trace_sql())
+def trace_views(spark, sf_dir):
+    users = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user"))
+    made = benchmark.make_traces(users, _SPOTS, _ZOOMS, 20, _EXTENT, _VIEW)
+    return rounded(rounded(made, "x", "y", digits=3), "think", digits=9)
 
 
 @query("""select n_name variant, r_name profile, s scenario, u users, cast(k as integer) repetition, substr(sha256(n_name || '|' || r_name || '|' || s || '|' || u || '|' || k), 1, 16) id

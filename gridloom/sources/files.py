@@ -1,30 +1,19 @@
-"""Where files lie: listings, a folder that all tasks share, opening by URI."""
+"""Where files lie: listings, and opening by URI."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.ranks import running
+
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """Paths may be local, file: or of any store that pyarrow opens (s3, gs, abfs, hdfs)."""
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir); in a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return f"{found}/gridloom/{uuid.uuid4().hex}"
-
-
 def listing(spark: SparkSession, path: str, suffixes: tuple[str, ...], contains: str | None = None, recursive: bool = False) -> DataFrame:
     """path, name, size, modified and ord (by name, case apart) of files; content isn't read.
 
@@ -35,7 +24,7 @@ def listing(spark: SparkSession, path: str, suffixes: tuple[str, ...], contains:
     rows = found.withColumn("name", name).where(F.lower("name").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
     if contains:
         rows = rows.where(F.contains(F.lower("name"), F.lit(contains.lower())))
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy(F.lower("path"), "path")) - 1)
+    return running(rows, [F.lower("path"), "path"], place="ord")
 
 
 def by_size(files: DataFrame) -> DataFrame:
@@ -50,7 +39,7 @@ def folders(spark: SparkSession, paths: list[str], suffixes: tuple[str, ...]) ->
         found = listing(spark, p, suffixes, recursive=True).drop("ord").withColumn("folder", F.lit(i))
         rows = found if rows is None else rows.union(found)
     first = rows.groupBy("path").agg(F.min_by(F.struct("size", "modified", "name", "folder"), "folder").alias("f")).select("path", "f.*")
-    return first.withColumn("ord", F.row_number().over(Window.orderBy("folder", F.lower("path"), "path")) - 1)
+    return running(first, ["folder", F.lower("path"), "path"], place="ord")
 
 
 def digests(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:

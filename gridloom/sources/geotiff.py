@@ -2,14 +2,16 @@
 
 `spark.read.format("geotiff").load(path)` gives a row per stored tile: path, band, x, y, w, h, samples (doubles in
 reading order) and valid (a byte each). Option mode=metadata gives a row per file from its header alone; option
-window=x,y,w,h plans only the tiles that meet it. Partitions are runs of tiles of a file, so a large file is
-read by many tasks. `df.write.format("geotiff")` takes rows (block, band, tx, ty, samples) sorted by block and
-writes a file per block, its directory before its tiles.
+window=x,y,w,h plans only the tiles that meet it, and so do filters on path, band, x and y, which are pushed down to
+the stored tiles. Small files share a partition, the tiles of a large one are dealt to several, and only large ones
+are opened to plan that. `df.write.format("geotiff")` takes rows (block, band, tx, ty, samples) sorted by block and
+writes a file per block: all directories first, then the tiles of the smallest overview up to the raster's own.
 """
 
 from __future__ import annotations
 
 import lzma
+import operator
 import struct
 import uuid
 import zlib
@@ -18,14 +20,16 @@ import numpy as np
 import zstandard
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
 
 from gridloom.sources.files import opened
 
 TILES = "path string, band int, x long, y long, w int, h int, samples binary, valid binary"
 METADATA = (
     "path string, width long, height long, bands int, dtype string, nodata double, c double, a double, b double, f double, d double, e double, "
-    "compression string, predictor int, tile_width int, tile_height int, tiles int, stored_bytes long, levels int"
+    "compression string, predictor int, tile_width int, tile_height int, tiles int, stored_bytes long, levels int, crs string, alpha boolean, palette boolean, faults array<string>"
 )
 #: Fixed values of the TIFF format: compression codes, sample formats, sizes of field types.
 CODECS = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773, "lzma": 34925, "zstd": 50000}
@@ -35,7 +39,7 @@ NAMES = {code: name for name, code in CODECS.items()} | {32946: "deflate"}
 
 
 def directories(stream) -> list[dict[int, tuple]]:
-    """The tags of each directory of a classic or big TIFF."""
+    """The tags of each directory of a classic or big TIFF, with its place under "at"."""
     head = stream.read(16)
     order = {b"II": "<", b"MM": ">"}.get(head[:2])
     if order is None:
@@ -62,7 +66,7 @@ def directories(stream) -> list[dict[int, tuple]]:
                 stream.seek(struct.unpack(order + ("Q" if big else "I"), entry[step - inline :])[0])
                 data = stream.read(size)
             tags[tag] = (data,) if form == "s" else struct.unpack(f"{order}{count * len(form)}{form[0]}", data)
-        tags["order"] = order
+        tags["order"], tags["at"] = order, at
         out.append(tags)
         at = struct.unpack(order + ("Q" if big else "I"), raw[n * step :])[0]
     return out
@@ -89,6 +93,48 @@ def described(tags: dict) -> dict:
     }
 
 
+def reference_system(tags: dict) -> str | None:
+    """EPSG code of the GeoKeys, else the name that they give a system of their own, else none."""
+    keys = tags.get(34735)
+    if not keys:
+        return None
+    found = {keys[i]: keys[i + 1 : i + 4] for i in range(4, 4 + 4 * keys[3], 4)}
+    for key in (3072, 2048):  # projected, geographic
+        if key in found and found[key][0] == 0 and found[key][2] not in (0, 32767):
+            return f"EPSG:{found[key][2]}"
+    for key in (3073, 1026, 2049):  # names
+        if key in found and found[key][0] == 34737:
+            _, n, at = found[key]
+            return tags[34737][0][at : at + n].decode("latin-1").rstrip("|\0 ")
+    return None
+
+
+def geo_keys(crs: str) -> list[int]:
+    """The GeoKeys of an EPSG code; those from 4000 to 4999 are geographic. Pixels are areas."""
+    code = int(crs.upper().removeprefix("EPSG:"))
+    geographic = 4000 <= code < 5000
+    return [1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, code]
+
+
+def structure_faults(levels: list[dict], edge: int = 512) -> list[str]:
+    """What keeps a file from being cloud optimised: tiles, overviews that halve, directories first, small levels before large."""
+    faults, images = [], [described(x) for x in levels]
+    if any(d["strips"] and max(d["width"], d["height"]) > edge for d in images):
+        faults.append("not tiled")
+    if max(images[0]["width"], images[0]["height"]) > edge and len(images) < 2:
+        faults.append("no overviews")
+    sizes = [(d["width"], d["height"]) for d in images]
+    if any(b[0] >= a[0] and b[1] >= a[1] for a, b in zip(sizes, sizes[1:], strict=False)):
+        faults.append("overviews don't shrink")
+    first = [min((o for o, n in zip(d["offsets"], d["counts"], strict=True) if n), default=None) for d in images]
+    if any(at is not None and at < max(x["at"] for x in levels) for at in first):
+        faults.append("tiles before directories")
+    known = [at for at in first if at is not None]
+    if known != sorted(known, reverse=True):
+        faults.append("large levels before small ones")
+    return faults
+
+
 def _unpack_lzw(data: bytes) -> bytes:
     out, table, width, held, bits, last = [], [], 9, 0, 0, b""
     for byte in data:
@@ -207,65 +253,97 @@ def restored(data: bytes, dtype: str, w: int, h: int, planes: int, predictor: in
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        super().__init__((path, first, last))
-        self.path, self.first, self.last = path, first, last
+    """Files, or some tiles of one."""
+
+    def __init__(self, paths: list[str], first: int, last: int | None):
+        super().__init__((paths, first, last))
+        self.paths, self.first, self.last = paths, first, last
+
+
+#: Bytes of files that share a partition, and beyond which a file is dealt to several.
+SHARED_BYTES = 32 << 20
+_TESTS = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
 
 
 class GeoTiffReader(DataSourceReader):
     def __init__(self, options):
-        self.options = options
+        self.options, self.tests = options, []
         self.metadata = options.get("mode") == "metadata"
         self.window = tuple(int(v) for v in options["window"].split(",")) if "window" in options else None
 
-    def _paths(self):
+    def pushFilters(self, filters):
+        for f in filters:
+            name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if not self.metadata and name in ("path", "band", "x", "y") and type(f) in _TESTS and f.value is not None:
+                self.tests.append((name, _TESTS[type(f)], f.value))
+            else:
+                yield f
+
+    def _passes(self, **known) -> bool:
+        return all(test(known[name], value) for name, test, value in self.tests if name in known)
+
+    def _files(self):
         store, path = opened(self.options["path"])
         info = store.get_file_info(path)
         found = store.get_file_info(fs.FileSelector(path)) if info.type == fs.FileType.Directory else [info]
-        return store, sorted((x.path for x in found if x.is_file and x.path.lower().endswith((".tif", ".tiff"))), key=lambda p: (p.lower(), p))
+        return store, sorted(((x.path, x.size) for x in found if x.is_file and x.path.lower().endswith((".tif", ".tiff")) and self._passes(path=x.path)), key=lambda p: (p[0].lower(), p))
 
     def partitions(self):
-        store, paths = self._paths()
-        if self.metadata:
-            return [_Part(p, 0, 0) for p in paths]
-        out, step = [], int(self.options.get("tiles_per_partition", 64))
-        for p in paths:
-            with store.open_input_file(p) as stream:
-                n = len(described(directories(stream)[0])["offsets"])
-            out += [_Part(p, i, min(i + step, n)) for i in range(0, n, step)]
-        return out or [_Part("", 0, 0)]
+        store, files = self._files()
+        out, step, size = [], int(self.options.get("tiles_per_partition", 64)), 0
+        for path, n in files:
+            if not self.metadata and n > SHARED_BYTES:
+                with store.open_input_file(path) as stream:
+                    tiles = len(described(directories(stream)[0])["offsets"])
+                out += [_Part([path], i, min(i + step, tiles)) for i in range(0, tiles, step)]
+                size = SHARED_BYTES
+            elif out and out[-1].last is None and size + n <= SHARED_BYTES:
+                out[-1].paths.append(path)
+                size += n
+            else:
+                out.append(_Part([path], 0, None))
+                size = n
+        return out or [_Part([], 0, None)]
 
     def read(self, part):
-        if not part.path:
-            return
         store, _ = opened(self.options["path"])
-        with store.open_input_file(part.path) as stream:
-            levels = directories(stream)
-            d = described(levels[0])
-            (tw, th), grid = d["tile"], d["grid"]
-            if self.metadata:
-                kind = d["dtype"][1:].replace("u", "uint").replace("i", "int").replace("uintnt", "uint").replace("f", "float")
-                kind = kind.rstrip("0123456789") + str(8 * np.dtype(d["dtype"]).itemsize)
-                yield (part.path, d["width"], d["height"], d["bands"], kind, d["nodata"], *grid, d["codec"], d["predictor"], tw, th, len(d["offsets"]), sum(d["counts"]), len(levels) - 1)
-                return
-            across, down = -(-d["width"] // tw), -(-d["height"] // th)
-            planes = d["bands"] if d["planar"] == 1 else 1
-            for i in range(part.first, part.last):
-                band, place = (0, i) if planes > 1 or d["bands"] == 1 else divmod(i, across * down)
-                ty, tx = divmod(place, across)
-                x, y = tx * tw, ty * th
-                w, h = min(tw, d["width"] - x), min(th, d["height"] - y)
-                if self.window and not (x < self.window[0] + self.window[2] and self.window[0] < x + w and y < self.window[1] + self.window[3] and self.window[1] < y + h):
+        for path in part.paths:
+            with store.open_input_file(path) as stream:
+                yield from self._rows(path, stream, part.first, part.last)
+
+    def _rows(self, path, stream, start, stop):
+        levels = directories(stream)
+        d = described(levels[0])
+        (tw, th), grid = d["tile"], d["grid"]
+        if self.metadata:
+            kind = d["dtype"][1:].replace("u", "uint").replace("i", "int").replace("uintnt", "uint").replace("f", "float")
+            kind = kind.rstrip("0123456789") + str(8 * np.dtype(d["dtype"]).itemsize)
+            alpha, palette = bool({1, 2} & set(levels[0].get(338, ()))), levels[0].get(262, (1,))[0] == 3
+            facts = (d["codec"], d["predictor"], tw, th, len(d["offsets"]), sum(d["counts"]), len(levels) - 1, reference_system(levels[0]), alpha, palette, structure_faults(levels))
+            yield (path, d["width"], d["height"], d["bands"], kind, d["nodata"], *grid, *facts)
+            return
+        across, down = -(-d["width"] // tw), -(-d["height"] // th)
+        planes = d["bands"] if d["planar"] == 1 else 1
+        for i in range(start, len(d["offsets"]) if stop is None else stop):
+            band, place = (0, i) if planes > 1 or d["bands"] == 1 else divmod(i, across * down)
+            ty, tx = divmod(place, across)
+            x, y = tx * tw, ty * th
+            w, h = min(tw, d["width"] - x), min(th, d["height"] - y)
+            if self.window and not (x < self.window[0] + self.window[2] and self.window[0] < x + w and y < self.window[1] + self.window[3] and self.window[1] < y + h):
+                continue
+            if not self._passes(x=x, y=y) or planes == 1 and not self._passes(band=band + 1):
+                continue
+            stream.seek(d["offsets"][i])
+            rows = h if d["strips"] else th
+            raw = decoded(stream.read(d["counts"][i]), d["codec"], tw * rows * planes * np.dtype(d["dtype"]).itemsize) if d["counts"][i] else bytes(tw * rows * planes * np.dtype(d["dtype"]).itemsize)
+            data = restored(raw, d["dtype"], tw, rows, planes, d["predictor"])[:h, :w]
+            for k in range(planes):
+                if not self._passes(band=band + k + 1):
                     continue
-                stream.seek(d["offsets"][i])
-                rows = h if d["strips"] else th
-                raw = decoded(stream.read(d["counts"][i]), d["codec"], tw * rows * planes * np.dtype(d["dtype"]).itemsize) if d["counts"][i] else bytes(tw * rows * planes * np.dtype(d["dtype"]).itemsize)
-                data = restored(raw, d["dtype"], tw, rows, planes, d["predictor"])[:h, :w]
-                for k in range(planes):
-                    v = data[:, :, k].astype(np.float64)
-                    nodata = d["nodata"]
-                    good = np.ones(v.shape, bool) if nodata is None else ~np.isnan(v) if nodata != nodata else v != nodata
-                    yield part.path, band + k + 1, x, y, w, h, v.tobytes(), good.astype(np.uint8).tobytes()
+                v = data[:, :, k].astype(np.float64)
+                nodata = d["nodata"]
+                good = np.ones(v.shape, bool) if nodata is None else ~np.isnan(v) if nodata != nodata else v != nodata
+                yield path, band + k + 1, x, y, w, h, v.tobytes(), good.astype(np.uint8).tobytes()
 
 
 class _Files(WriterCommitMessage):
@@ -273,85 +351,166 @@ class _Files(WriterCommitMessage):
         self.names = names
 
 
-class GeoTiffWriter(DataSourceWriter):
-    """Options: edge, width, height, bands, dtype, nodata, grid (c,a,b,f,d,e), compression, level, predictor.
+def halved(x: np.ndarray, method: str) -> np.ndarray:
+    """Half as many samples each way: the mean of the valid ones (NaN is none), or the first of each four."""
+    if method == "nearest":
+        return x[::2, ::2]
+    four = np.stack([x[::2, ::2], x[::2, 1::2], x[1::2, ::2], x[1::2, 1::2]])
+    n = (~np.isnan(four)).sum(axis=0)
+    return np.where(n > 0, np.nansum(four, axis=0) / np.maximum(n, 1), np.nan)
 
-    Rows with columns left and top are of a block there: its tiles count from it, its grid is shifted to it, and
-    it ends at the latest at total_width and total_height.
-    """
 
-    def __init__(self, options):
-        self.options, self.job = options, uuid.uuid4().hex
+class _Block:
+    """One file in the making: its tiles, encoded as they come, and what its overviews will hold."""
 
-    def _file(self, tiles: dict[tuple[int, int, int], bytes], left: int = 0, top: int = 0) -> bytes:
-        o = self.options
-        edge, width, height, bands = (int(o[k]) for k in ("edge", "width", "height", "bands"))
-        kind, codec, predictor = np.dtype(o.get("dtype", "float64")).newbyteorder("<"), o.get("compression", "deflate"), int(o.get("predictor", 1))
-        nodata = o.get("nodata")
-        fill = float(nodata) if nodata is not None else 0.0
+    def __init__(self, options: dict, left: int, top: int):
+        o = options
+        self.edge, self.bands = int(o["edge"]), int(o["bands"])
+        self.kind, self.codec, self.predictor = np.dtype(o.get("dtype", "float64")).newbyteorder("<"), o.get("compression", "deflate"), int(o.get("predictor", 1))
+        self.level, self.nodata, self.crs = int(o["level"]) if "level" in o else None, o.get("nodata"), o.get("crs")
+        self.fill = float(self.nodata) if self.nodata is not None else 0.0
         c, a, b, f, d, e = (float(v) for v in o.get("grid", "0,1,0,0,0,-1").split(","))
-        grid = [c + left * a + top * b, a, b, f + left * d + top * e, d, e]
-        width, height = min(width, int(o.get("total_width", left + width)) - left), min(height, int(o.get("total_height", top + height)) - top)
-        stored = []
-        for band in range(1, bands + 1):
-            for ty in range(-(-height // edge)):
-                for tx in range(-(-width // edge)):
-                    data = tiles.get((band, tx, ty))
-                    x = np.frombuffer(data).reshape(edge, edge) if data is not None else np.full((edge, edge), fill)
-                    stored.append(encoded(differenced(np.ascontiguousarray(x.astype(kind)), predictor), codec, int(o["level"]) if "level" in o else None))
-        tags = [
-            (256, "I", [width]), (257, "I", [height]), (258, "H", [kind.itemsize * 8] * bands), (259, "H", [CODECS[codec]]), (262, "H", [1]), (277, "H", [bands]), (284, "H", [2]), (317, "H", [predictor]),
-            (322, "I", [edge]), (323, "I", [edge]), (324, "I", [0] * len(stored)), (325, "I", [len(s) for s in stored]), (339, "H", [{"u": 1, "i": 2, "f": 3}[kind.kind]] * bands),
-            (34264, "d", [grid[1], grid[2], 0, grid[0], grid[4], grid[5], 0, grid[3], 0, 0, 0, 0, 0, 0, 0, 1]),
-        ]
-        if nodata is not None:
-            tags.append((42113, "s", [nodata.encode() + b"\0"]))
-        codes = {"H": 3, "I": 4, "d": 12, "s": 2}
-
-        def body(offsets):
-            extra_at, entries, extra = 8 + 2 + 12 * len(tags) + 4, b"", b""
-            for tag, form, values in tags:
-                values = offsets if tag == 324 else values
+        self.grid = [c + left * a + top * b, a, b, f + left * d + top * e, d, e]
+        width, height = int(o["width"]), int(o["height"])
+        self.sizes = [(min(width, int(o.get("total_width", left + width)) - left), min(height, int(o.get("total_height", top + height)) - top))]
+        self.method = o.get("overviews", "none")
+        while self.method != "none" and max(self.sizes[-1]) > self.edge:
+            self.sizes.append(tuple((n + 1) // 2 for n in self.sizes[-1]))
+        self.stored: list[dict] = [{} for _ in self.sizes]
+        self.planes: list[dict] = [{} for _ in self.sizes]
+        self.big = o.get("bigtiff", "auto")
+
+    def _encoded(self, x: np.ndarray) -> bytes:
+        return encoded(differenced(np.ascontiguousarray(x.astype(self.kind)), self.predictor), self.codec, self.level)
+
+    def add(self, band: int, tx: int, ty: int, x: np.ndarray) -> None:
+        self.stored[0][band, ty, tx] = self._encoded(x)
+        self._give(0, band, tx, ty, np.where(x == self.fill, np.nan, x) if self.nodata is not None else np.array(x))
+
+    def _give(self, level: int, band: int, tx: int, ty: int, x: np.ndarray) -> None:
+        """A tile's share of the next level, if there is one; NaN is no sample, and neither is what lies beyond the raster."""
+        if level + 1 == len(self.sizes):
+            return
+        width, height = self.sizes[level]
+        x[max(0, height - ty * self.edge) :] = np.nan
+        x[:, max(0, width - tx * self.edge) :] = np.nan
+        plane = self.planes[level + 1].setdefault((band, ty // 2, tx // 2), np.full((self.edge, self.edge), np.nan))
+        half = self.edge // 2
+        plane[ty % 2 * half : ty % 2 * half + half, tx % 2 * half : tx % 2 * half + half] = halved(x, self.method)
+
+    def _level(self, level: int) -> list[bytes]:
+        """A level's tiles in their order; those that never came are of fill."""
+        for (band, ty, tx), x in self.planes[level].items():
+            x = np.rint(x) if self.kind.kind != "f" else x
+            self.stored[level][band, ty, tx] = self._encoded(np.where(np.isnan(x), self.fill, x))
+            self._give(level, band, tx, ty, x)
+        self.planes[level] = {}
+        empty, (width, height) = None, self.sizes[level]
+        out = []
+        for band in range(1, self.bands + 1):
+            for ty in range(-(-height // self.edge)):
+                for tx in range(-(-width // self.edge)):
+                    made = self.stored[level].get((band, ty, tx))
+                    if made is None:
+                        made = empty = empty or self._encoded(np.full((self.edge, self.edge), self.fill))
+                    out.append(made)
+        return out
+
+    def write(self, out) -> None:
+        tiles = [self._level(k) for k in range(len(self.sizes))]
+        total = sum(len(x) for level in tiles for x in level)
+        big = self.big == "yes" or self.big == "auto" and total + (1 << 20) + 16 * sum(map(len, tiles)) >= 1 << 32
+        word, inline = ("Q", 8) if big else ("I", 4)
+        codes = {"H": 3, "I": 4, "Q": 16, "d": 12, "s": 2}
+
+        def tags(level: int, offsets: list[int]) -> list[tuple]:
+            width, height = self.sizes[level]
+            c, a, b, f, d, e = self.grid
+            made = [(254, "I", [1])] if level else []
+            made += [
+                (256, "I", [width]), (257, "I", [height]), (258, "H", [self.kind.itemsize * 8] * self.bands), (259, "H", [CODECS[self.codec]]), (262, "H", [1]), (277, "H", [self.bands]), (284, "H", [2]),
+                (317, "H", [self.predictor]), (322, "I", [self.edge]), (323, "I", [self.edge]), (324, word, offsets), (325, "I", [len(x) for x in tiles[level]]), (339, "H", [{"u": 1, "i": 2, "f": 3}[self.kind.kind]] * self.bands),
+            ]
+            if self.bands > 1:
+                made.append((338, "H", [0] * (self.bands - 1)))
+            if not level:
+                made.append((34264, "d", [a, b, 0, c, d, e, 0, f, 0, 0, 0, 0, 0, 0, 0, 1]))
+                if self.crs:
+                    made.append((34735, "H", geo_keys(self.crs)))
+            if self.nodata is not None:
+                made.append((42113, "s", [self.nodata.encode() + b"\0"]))
+            return sorted(made)
+
+        def directory(level: int, at: int, offsets: list[int], last: bool) -> bytes:
+            made = tags(level, offsets)
+            head, step = (8, 20) if big else (2, 12)
+            extra_at, entries, extra = at + head + step * len(made) + inline, b"", b""
+            for tag, form, values in made:
                 data = values[0] if form == "s" else struct.pack(f"<{len(values)}{form}", *values)
-                count = len(data) if form == "s" else len(values)
-                entries += struct.pack("<HHI", tag, codes[form], count)
-                if len(data) > 4:
-                    entries += struct.pack("<I", extra_at + len(extra))
-                    extra += data + b"\0" * (len(data) % 2)
+                entries += struct.pack("<HH" + word, tag, codes[form], len(data) if form == "s" else len(values))
+                if len(data) > inline:
+                    entries += struct.pack("<" + word, extra_at + len(extra))
+                    extra += data + b"\0" * (-len(data) % 8)
                 else:
-                    entries += data.ljust(4, b"\0")
-            return b"II*\0" + struct.pack("<IH", 8, len(tags)) + entries + struct.pack("<I", 0) + extra
+                    entries += data.ljust(inline, b"\0")
+            size = head + len(entries) + inline + len(extra)
+            return struct.pack("<Q" if big else "<H", len(made)) + entries + struct.pack("<" + word, 0 if last else at + size) + extra
+
+        start, levels = 16 if big else 8, range(len(tiles))
+        sizes = [len(directory(k, 0, [0] * len(tiles[k]), False)) for k in levels]
+        at = start + sum(sizes)
+        offsets: dict[int, list[int]] = {}
+        for k in reversed(levels):  # the smallest level's tiles come first
+            offsets[k] = np.cumsum([at, *[len(x) for x in tiles[k][:-1]]]).tolist()
+            at += sum(len(x) for x in tiles[k])
+        out.write(b"II+\0" + struct.pack("<HHQ", 8, 0, start) if big else b"II*\0" + struct.pack("<I", start))
+        for k in levels:
+            out.write(directory(k, start + sum(sizes[:k]), offsets[k], k == len(tiles) - 1))
+        for k in reversed(levels):
+            for x in tiles[k]:
+                out.write(x)
+
+
+class GeoTiffWriter(DataSourceWriter):
+    """Options: edge, width, height, bands, dtype, nodata, grid (c,a,b,f,d,e), crs (EPSG:n), compression, level, predictor,
+    overviews (none, nearest or average), bigtiff (auto: beyond 4 GB).
 
-        at = len(body([0] * len(stored)))
-        offsets = np.cumsum([at, *[len(s) for s in stored[:-1]]]).tolist()
-        return body(offsets) + b"".join(stored)
+    Rows with columns left and top are of a block there: its tiles count from it, its grid is shifted to it, and
+    it ends at the latest at total_width and total_height. Tiles are encoded as they come; what a task holds
+    is the block as stored and a quarter of its samples for the overviews. Either all files appear or none.
+    """
+
+    def __init__(self, options):
+        self.options, self.job = options, uuid.uuid4().hex
 
     def write(self, iterator):
         store, path = opened(self.options["path"])
         store.create_dir(f"{path}/_{self.job}", recursive=True)
-        names, block, tiles, corner = [], None, {}, (0, 0)
+        names, name, block = [], None, None
 
         def put():
-            names.append((f"{block}.tif", uuid.uuid4().hex))
+            names.append((f"{name}.tif", uuid.uuid4().hex))
             with store.open_output_stream(f"{path}/_{self.job}/{names[-1][1]}") as out:
-                out.write(self._file(tiles, *corner))
+                block.write(out)
 
         for row in iterator:
-            if row.block != block and tiles:
-                put()
-                tiles = {}
-            block = row.block
-            corner = (row.left, row.top) if "left" in row else (0, 0)
-            tiles[(row.band, row.tx, row.ty)] = bytes(row.samples)
-        if tiles:
+            if row.block != name:
+                if block is not None:
+                    put()
+                name, block = row.block, _Block(self.options, *((row.left, row.top) if "left" in row else (0, 0)))
+            block.add(row.band, row.tx, row.ty, np.frombuffer(row.samples).reshape(block.edge, block.edge))
+        if block is not None:
             put()
         return _Files(names)
 
     def commit(self, messages):
         store, path = opened(self.options["path"])
-        for name, made in (x for m in messages if m for x in m.names):
-            if store.get_file_info(f"{path}/{name}").type != fs.FileType.NotFound:
-                raise FileExistsError(f"{name} is there already")
+        made_all = [x for m in messages if m for x in m.names]
+        known = {x.base_name for x in store.get_file_info(fs.FileSelector(path))}
+        if taken := sorted(known & {name for name, _ in made_all}):
+            self.abort(messages)
+            raise FileExistsError(f"{taken[0]} is there already")
+        for name, made in made_all:
             store.move(f"{path}/_{self.job}/{made}", f"{path}/{name}")
         self.abort(messages)
 
@@ -378,3 +537,12 @@ class GeoTiffDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(GeoTiffDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def probe(codec: str, predictor: int = 1) -> bool:
+    """Whether 8 by 8 samples with negative zero, NaN and infinities come back bit by bit through a codec."""
+    x = np.linspace(-1, 1, 64).reshape(8, 8)
+    x[0, :4] = (-0.0, np.nan, np.inf, -np.inf)
+    back = restored(decoded(encoded(differenced(x, predictor), codec, None), codec, x.nbytes), "<f8", 8, 8, 1, predictor)
+    return back.tobytes() == x.tobytes() or np.array_equal(back.astype("<f8").view(np.uint64).ravel(), x.view(np.uint64).ravel())

@@ -175,3 +175,15 @@ def geojson_features(texts: DataFrame, column: str = "value") -> DataFrame:
     shape = "type string, features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
     rows = texts.select(F.posexplode(F.from_json(column, shape)["features"]).alias("i", "f"))
     return rows.select("i", F.col("f.geometry.type").alias("kind"), F.col("f.properties")["name"].alias("name"), F.col("f.geometry.coordinates").alias("coordinates"))
+
+
+def normalized_metadata(metadata: DataFrame, required: DataFrame) -> DataFrame:
+    """(name, value) of a tile set's metadata in which only the row `json` changes: its layers get the required fields they lack.
+
+    metadata: name, value. required: layer, fields (map of name to kind).
+    """
+    shape = "vector_layers array<struct<id:string,fields:map<string,string>>>"
+    own = metadata.where("name = 'json'").select(F.explode(F.from_json("value", shape)["vector_layers"]).alias("l")).select(F.col("l.id").alias("layer"), F.col("l.fields").alias("fields"))
+    full = completed_schema(required, own).select("layer", F.map_from_entries(F.array_sort(F.map_entries("fields"))).alias("fields"))
+    made = full.agg(F.array_sort(F.collect_list(F.struct(F.col("layer").alias("id"), "fields"))).alias("vector_layers")).select(F.lit("json").alias("name"), F.to_json(F.struct("vector_layers")).alias("value"))
+    return metadata.where("name <> 'json'").select("name", "value").union(made)

@@ -81,22 +81,39 @@ def escaped(text: Column) -> Column:
 
 
 def block_vrts(blocks: DataFrame, parts: DataFrame, dtype: str, nodata: str, srs: str) -> DataFrame:
-    """(block, vrt): the text of each block's VRT, its sources in order and clipped to it.
+    """(block, vrt): the text of each block's VRT, its sources in order and clipped to it, with a mask band of those that have masks.
 
     blocks: block, x, y, w, h, grid (array of six). parts: block, ordinal, kind, path, src and dst (structs in
     source and mosaic pixels), skip_nodata, use_mask and x, y, w, h, what the block takes of dst.
     """
     joined = parts.join(blocks.select("block", F.col("x").alias("bx"), F.col("y").alias("by")), "block")
     here = F.struct("x", "y")
+    file = F.concat(F.lit('<SourceFilename relativeToVRT="0">'), escaped(F.col("path")), F.lit("</SourceFilename><SourceBand>"))
+    place = F.concat(_element("SrcRect", F.col("src"), F.col("x") - F.col("dst.x"), F.col("y") - F.col("dst.y"), F.col("w"), F.col("h")), _element("DstRect", here, -F.col("bx"), -F.col("by"), F.col("w"), F.col("h")))
+    mask = F.when(F.col("use_mask"), F.concat(F.lit("<ComplexSource>"), file, F.lit("mask,1</SourceBand>"), place, F.lit("</ComplexSource>")))
     source = F.concat(
-        F.lit("<"), "kind", F.lit('><SourceFilename relativeToVRT="0">'), escaped(F.col("path")), F.lit("</SourceFilename><SourceBand>1</SourceBand>"),
-        _element("SrcRect", F.col("src"), F.col("x") - F.col("dst.x"), F.col("y") - F.col("dst.y"), F.col("w"), F.col("h")),
-        _element("DstRect", here, -F.col("bx"), -F.col("by"), F.col("w"), F.col("h")),
+        F.lit("<"), "kind", F.lit(">"), file, F.lit("1</SourceBand>"), place,
         F.when(F.col("skip_nodata"), F.lit(f"<NODATA>{nodata}</NODATA>")).otherwise(""), F.when(F.col("use_mask"), F.lit("<UseMaskBand>true</UseMaskBand>")).otherwise(""), F.lit("</"), "kind", F.lit(">"),
     )
-    body = joined.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", source.alias("text")))), lambda s: s["text"]), "").alias("body"))
+    made = joined.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("ordinal", source.alias("text"), mask.alias("mask")))).alias("s"))
+    body = made.select("block", F.array_join(F.transform("s", lambda s: s["text"]), "").alias("body"), F.array_join(F.array_compact(F.transform("s", lambda s: s["mask"])), "").alias("masks"))
+    masks = F.when(F.col("masks") != "", F.concat(F.lit('<MaskBand><VRTRasterBand dataType="Byte">'), "masks", F.lit("</VRTRasterBand></MaskBand>"))).otherwise("")
     head = F.concat(
         F.lit('<VRTDataset rasterXSize="'), F.col("w").cast("string"), F.lit('" rasterYSize="'), F.col("h").cast("string"), F.lit('"><SRS>'), escaped(F.lit(srs)), F.lit("</SRS><GeoTransform>"),
         F.array_join(F.transform("grid", lambda v: v.cast("string")), ","), F.lit(f'</GeoTransform><VRTRasterBand dataType="{dtype}" band="1"><NoDataValue>{nodata}</NoDataValue>'),
     )
-    return blocks.join(body, "block", "left").select("block", F.concat(head, F.coalesce("body", F.lit("")), F.lit("</VRTRasterBand></VRTDataset>")).alias("vrt"))
+    return blocks.join(body, "block", "left").select("block", F.concat(head, F.coalesce("body", F.lit("")), F.lit("</VRTRasterBand>"), F.coalesce(masks, F.lit("")), F.lit("</VRTDataset>")).alias("vrt"))
+
+
+def stage_vrt(blocks: DataFrame, width: int, height: int, dtype: str, nodata: str, srs: str, grid: tuple[float, ...]) -> DataFrame:
+    """(block, vrt): one VRT over all finished blocks (ordinal, path, x, y, w, h), no row unless there are several.
+
+    The blocks of a stage are disjoint and a line of text each; they meet in the one text that is the result.
+    """
+    several = blocks.agg(F.count("*").alias("n")).where("n > 1")
+    whole = several.select(F.lit("stage").alias("block"), *[F.lit(v).cast("long").alias(k) for k, v in zip("xywh", (0, 0, width, height), strict=True)], F.array(*[F.lit(float(v)) for v in grid]).alias("grid"))
+    rect = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("w").alias("w"), F.col("h").alias("h"))
+    parts = blocks.select(
+        F.lit("stage").alias("block"), "ordinal", F.lit("SimpleSource").alias("kind"), "path", rect.alias("src"), F.struct("x", "y", "w", "h").alias("dst"), F.lit(False).alias("skip_nodata"), F.lit(False).alias("use_mask"), "x", "y", "w", "h"
+    )
+    return block_vrts(whole, parts, dtype, nodata, srs)

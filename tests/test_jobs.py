@@ -5,19 +5,20 @@ import time
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import GreaterThanOrEqual, IsNotNull, LessThan
 
 from gridloom.operators import tiles
 from gridloom.plans import jobs
 from gridloom.sources import geotiff
 
 
-def put(spark, path, name, a, x, y, nodata="-1", dtype="int16"):
+def put(spark, path, name, a, x, y, nodata="-1", dtype="int16", **more):
     geotiff.register(spark)
     h, w = a.shape
     rows = [(0, 0, 1, c, r, float(a[r, c]), True) for r in range(h) for c in range(w)]
     packed = tiles.pack(spark.createDataFrame(rows, "src long, ord long, band int, x long, y long, v double, valid boolean"), 16)
     packed = packed.select(F.lit(name).alias("block"), "band", F.col("tx").cast("int").alias("tx"), F.col("ty").cast("int").alias("ty"), "samples")
-    packed.repartition("block").write.format("geotiff").mode("append").options(path=str(path), edge=16, width=w, height=h, bands=1, dtype=dtype, nodata=nodata, grid=f"{100 + 2 * x},2,0,{200 - 2 * y},0,-2").save()
+    packed.repartition("block").write.format("geotiff").mode("append").options(path=str(path), edge=16, width=w, height=h, bands=1, dtype=dtype, nodata=nodata, grid=f"{100 + 2 * x},2,0,{200 - 2 * y},0,-2", **more).save()
 
 
 @pytest.fixture
@@ -80,3 +81,92 @@ def test_jobs_can_be_stopped(spark):
     with pytest.raises(Exception):
         slow.result(60)
     assert slow.status() == "cancelled"
+
+
+def retagged(path, tag, value):
+    """The file with one 16-bit tag of its first directory set to another value."""
+    data = bytearray(path.read_bytes())
+    at = int.from_bytes(data[4:8], "little")
+    for i in range(int.from_bytes(data[at : at + 2], "little")):
+        entry = at + 2 + 12 * i
+        if int.from_bytes(data[entry : entry + 2], "little") == tag:
+            data[entry + 8 : entry + 10] = value.to_bytes(2, "little")
+    path.write_bytes(data)
+
+
+def test_coordinate_systems_alpha_and_palettes(spark, tmp_path):
+    a = np.arange(400).reshape(20, 20)
+    put(spark, tmp_path / "in", "a", a, 0, 0, crs="EPSG:3857")
+    put(spark, tmp_path / "in", "b", a, 20, 0, crs="EPSG:3857")
+    jobs.merge(spark, str(tmp_path / "in"), str(tmp_path / "out"), edge=16, block_tiles=4)
+    assert {m.crs for m in jobs.inventory(spark, str(tmp_path / "out")).collect()} == {"EPSG:3857"}
+    put(spark, tmp_path / "in", "c", a, 40, 0, crs="EPSG:4326")
+    with pytest.raises(jobs.InputError, match="coordinate system"):
+        jobs.inventory(spark, str(tmp_path / "in"))
+    put(spark, tmp_path / "palette", "p", a, 0, 0)
+    retagged(tmp_path / "palette" / "p.tif", 262, 3)
+    with pytest.raises(jobs.InputError, match="palette"):
+        jobs.inventory(spark, str(tmp_path / "palette"))
+    rows = [(0, 0, band, c, r, 1.0, True) for band in (1, 2) for r in range(16) for c in range(16)]
+    packed = tiles.pack(spark.createDataFrame(rows, "src long, ord long, band int, x long, y long, v double, valid boolean"), 16).select(F.lit("q").alias("block"), "band", F.col("tx").cast("int").alias("tx"), F.col("ty").cast("int").alias("ty"), "samples")
+    packed.repartition("block").write.format("geotiff").mode("append").options(path=str(tmp_path / "alpha"), edge=16, width=16, height=16, bands=2, dtype="uint8").save()
+    assert jobs.inventory(spark, str(tmp_path / "alpha")).count() == 1
+    retagged(tmp_path / "alpha" / "q.tif", 338, 2)
+    with pytest.raises(jobs.InputError, match="alpha"):
+        jobs.inventory(spark, str(tmp_path / "alpha"))
+
+
+@pytest.mark.parametrize("big", ["auto", "yes"])
+@pytest.mark.parametrize("method", ["average", "nearest"])
+def test_overviews_inside_files(spark, tmp_path, method, big):
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 900, (53, 70))
+    a[10:30, 5:25] = -1
+    put(spark, tmp_path, "o", a, 0, 0, overviews=method, bigtiff=big)
+    with open(tmp_path / "o.tif", "rb") as stream:
+        levels = geotiff.directories(stream)
+        found = []
+        for tags in levels:
+            d = geotiff.described(tags)
+            out = np.zeros((-(-d["height"] // 16) * 16, -(-d["width"] // 16) * 16))
+            across = -(-d["width"] // 16)
+            for i, (at, n) in enumerate(zip(d["offsets"], d["counts"], strict=True)):
+                stream.seek(at)
+                tile = geotiff.restored(geotiff.decoded(stream.read(n), d["codec"], 512), d["dtype"], 16, 16, 1, 1)[:, :, 0]
+                out[i // across * 16 : i // across * 16 + 16, i % across * 16 : i % across * 16 + 16] = tile
+            found.append(out[: d["height"], : d["width"]])
+    want = [a.astype(float)]
+    while max(want[-1].shape) > 16:
+        b = np.where(want[-1] == -1, np.nan, want[-1])
+        b = np.pad(b, ((0, b.shape[0] % 2), (0, b.shape[1] % 2)), constant_values=np.nan)
+        four = np.stack([b[::2, ::2], b[::2, 1::2], b[1::2, ::2], b[1::2, 1::2]])
+        n = (~np.isnan(four)).sum(axis=0)
+        mean = np.where(n > 0, np.rint(np.nansum(four, axis=0) / np.maximum(n, 1)), np.nan)
+        want.append(np.nan_to_num(mean if method == "average" else four[0], nan=-1))
+    assert len(found) == len(want) == 4 and all((x == y).all() for x, y in zip(found, want, strict=True))
+    assert [tuple(r) for r in jobs.structure(spark, str(tmp_path)).select("faults", "valid").collect()] == [([], True)]
+    assert jobs.without_overviews(spark, str(tmp_path)).count() == 0
+    put(spark, tmp_path, "plain", a, 0, 0)
+    assert [r.path.rsplit("/", 1)[1] for r in jobs.without_overviews(spark, str(tmp_path)).collect()] == ["plain.tif"]
+
+
+def test_filters_reach_the_stored_tiles(spark, tmp_path):
+    put(spark, tmp_path, "a", np.arange(1600).reshape(40, 40), 0, 0)
+    read = spark.read.format("geotiff").load(str(tmp_path))
+    some = read.where("x >= 16 and y < 16 and band = 1")
+    assert sorted((r.x, r.y) for r in some.collect()) == [(16, 0), (32, 0)]
+    reader = geotiff.GeoTiffReader({"path": str(tmp_path)})
+    assert list(reader.pushFilters([GreaterThanOrEqual(("x",), 16), LessThan(("y",), 16), IsNotNull(("x",))])) == [IsNotNull(("x",))]
+    assert sorted(row[2:4] for part in reader.partitions() for row in reader.read(part)) == [(16, 0), (32, 0)]
+    assert read.where("band = 2").count() == 0
+
+
+def test_files_appear_together_or_not_at_all(spark, tmp_path):
+    a = np.arange(256).reshape(16, 16)
+    put(spark, tmp_path, "b", a, 0, 0)
+    rows = [(0, 0, 1, c, r, float(a[r, c]), True) for r in range(16) for c in range(16)]
+    packed = tiles.pack(spark.createDataFrame(rows, "src long, ord long, band int, x long, y long, v double, valid boolean"), 16)
+    two = packed.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("block"), "band", F.col("tx").cast("int").alias("tx"), F.col("ty").cast("int").alias("ty"), "samples")
+    with pytest.raises(Exception, match="there already"):
+        two.repartition("block").sortWithinPartitions("block").write.format("geotiff").mode("append").options(path=str(tmp_path), edge=16, width=16, height=16, bands=1).save()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["b.tif"]

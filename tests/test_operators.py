@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import mercator, rects, text
+from gridloom.functions.ranks import running
 from gridloom.operators import benchmark, mosaic, planning, resample, scenes, stats, tiles
 
 CELL = "src long, ord long, band int, x long, y long, v double, valid boolean"
@@ -191,9 +192,13 @@ def test_rectangles(spark):
 def test_regions_cover_all_sources(spark):
     r = random.Random(4)
     many = [(r.randint(0, 200), r.randint(0, 200), r.randint(5, 40), r.randint(5, 40)) for _ in range(30)]
-    out = planning.regions(spark, many, 2000)
-    assert all(x.w * x.h <= 2200 for x in out.collect())
     sources = spark.createDataFrame([(i, *m) for i, m in enumerate(many)], "ord long, x long, y long, w long, h long")
+    out = planning.regions(sources, 2000)
+    assert all(x.w * x.h <= 2000 for x in out.collect()) and [x.ord for x in out.orderBy("y", "x").collect()] == list(range(out.count()))
+    # far apart and thin: empty space between is no output, and one output may be longer than a cell of its area
+    sparse = spark.createDataFrame([(0, 0, 0, 3, 3), (1, 9000, 9000, 3, 3), (2, 40, 0, 300, 1)], sources.schema)
+    assert sorted((x.x, x.y, x.w, x.h) for x in planning.regions(sparse, 2000).collect()) == [(0, 0, 340, 3), (9000, 9000, 3, 3)]
+    assert planning.regions(sources.limit(0), 2000).count() == 0
     assert planning.overlap_pairs(out).count() == 0
     assert planning.coverage(sources, out).where("area <> covered").count() == 0
 
@@ -245,17 +250,59 @@ def test_qualification_needs_the_whole_matrix(spark):
 
 
 def test_traces_replay(spark):
-    a = benchmark.make_traces(spark, 5, 12, [6, 8, 10], (19.0, 48.0), 2.0, 7)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, benchmark.make_traces(spark, 5, 12, [6, 8, 10], (19.0, 48.0), 2.0, 7).collect()))
-    assert a.count() == 60
+    spots, extent = [("a", 0.0, 5e6), ("b", 1e6, 6e6)], (-1e6, 4e6, 2e6, 7e6)
+    make = lambda seed: benchmark.make_traces(spark.range(5).withColumnRenamed("id", "user"), spots, (6, 10), 40, extent, seed=seed)
+    rows = sorted(map(tuple, make(7).collect()))
+    assert rows == sorted(map(tuple, make(7).repartition(3).collect())) and rows != sorted(map(tuple, make(8).collect()))
+    assert len(rows) == 200 and {r[2] for r in rows} == {"pan", "zoom", "revisit", "relocate"}
+    half = 20037508.342789244
+    for before, r in zip([None, *rows], rows, strict=False):
+        metre = 2 * half / 256 / 2 ** r[3]
+        assert 6 <= r[3] <= 10 and extent[0] + 640 * metre - 1e-6 <= r[4] <= extent[2] - 640 * metre + 1e-6 and 0.5 <= r[7] < 2.5
+        if before and before[0] == r[0]:
+            assert r[2] != "zoom" or abs(r[3] - before[3]) <= 1
+            seen = [(x[3], x[4], x[5]) for x in rows if x[0] == r[0] and r[1] - 8 <= x[1] < r[1]]
+            assert r[2] != "revisit" or (r[3], r[4], r[5]) in seen
     dealt = benchmark.round_robin(spark.range(100), ["id"], 7)
     assert {r.id: r.user for r in dealt.collect()} == {i: i % 7 for i in range(100)}
 
 
+def test_running_sums_over_ranges(spark):
+    rows = spark.createDataFrame([(i * 7919 % 101, i) for i in range(101)], "k long, v long").repartition(5)
+    got = sorted((r.k, r.v, r.place, r.before) for r in running(rows, ["k"], add="v").collect())
+    assert [r[2] for r in got] == list(range(101)) and [r[3] for r in got] == [sum(x[1] for x in got[:i]) for i in range(101)]
+    assert running(rows.limit(0), ["k"]).count() == 0
+
+
 def test_bootstrap_is_reproducible(spark):
-    runs = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4)] + [("b", 1.0)], "variant string, p95 double")
-    got = {r.variant: (r.low, r.high) for r in benchmark.bootstrap(runs, "variant", "p95").collect()}
-    assert got["b"] == (None, None) and 1 < got["a"][0] < 2.5 < got["a"][1] < 4
+    runs = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4)] + [("b", 1.0), ("c", None)], "variant string, p95 double")
+    got = {r.variant: (r.n, r.low, r.high) for r in benchmark.bootstrap(runs, "variant", "p95").collect()}
+    assert got["b"] == (1, None, None) and got["c"] == (0, None, None) and 1 < got["a"][1] < 2.5 < got["a"][2] < 4
+    # the mean of four draws from 1 to 4 has a standard deviation of 0.559
+    assert abs(got["a"][1] - (2.5 - 1.96 * 0.559)) < 0.15 and abs(got["a"][2] - (2.5 + 1.96 * 0.559)) < 0.15
+
+
+def test_scenes_by_brute_force(spark):
+    r = random.Random(6)
+    rows = [(f"s{i:02d}", float(r.randint(0, 3)), (w := r.randint(-2, 9)), (s := r.randint(-2, 9)), w + r.randint(1, 5), s + r.randint(1, 5), r.random() < 0.5, 1_700_000_000 + r.randint(0, 9)) for i in range(40)]
+    inside = {i: {(x, y) for x in range(max(0, a[2]), min(10, a[4])) for y in range(max(0, a[3]), min(10, a[5]))} for i, a in enumerate(rows)}
+    open_, chosen, left = {(x, y) for x in range(10) for y in range(10)}, [], {i for i in inside if inside[i]}
+    for first in (True, False):
+        while len(open_) > 100 * 0.0001 and (rest := {i for i in left if rows[i][6] or not first}):
+            gain = {i: len(inside[i] & open_) for i in rest}
+            top = max(gain.values())
+            if top < 100 * (1e-5 if first else 1e-6):
+                break
+            i = min((-gain[i], rows[i][1], rows[i][0], i) for i in rest)[-1] if first else min((rows[i][1], -rows[i][7], rows[i][0], i) for i in rest if gain[i] >= top * 0.99)[-1]
+            chosen.append((rows[i][0], float(gain[i])))
+            open_ -= inside[i]
+            left.remove(i)
+    p = spark.createDataFrame(rows, "id string, cloud_cover double, west int, south int, east int, north int, best boolean, acquired long")
+    p = p.withColumn("acquired", F.timestamp_seconds("acquired"))
+    got = [(x.id, x.gain) for x in scenes.greedy_cover(p, (0.0, 0.0, 10.0, 10.0)).orderBy("step").collect()]
+    assert got == chosen and len(got) > 5
+    with pytest.raises(scenes.Uncovered):
+        scenes.greedy_cover(p.limit(1), (0.0, 0.0, 10.0, 10.0), required=0.995)
 
 
 def test_complementary_scenes(spark):

@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from gridloom.plans import queries
+from gridloom.plans import more, queries
+
+assert more  # registers its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
