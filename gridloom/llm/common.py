@@ -20,24 +20,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset on one machine, as in tests."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
-        found = context.getCheckpointDir()
+        if not (context.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="gridloom-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
     return found
 
 
+#: Intermediate tables since the last release: path, and name in the catalogue where it has one.
+_tables: list[tuple[str, str | None]] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, which `release` deletes."""
+    path = f"{shared_dir(spark)}/gridloom/{uuid.uuid4().hex}"
+    _tables.append((path, None))
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table of the shared folder: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, row: str) -> DataFrame:
+    """`df` as a table of the shared folder in buckets of the long `by`, with a unique long `row`; joins on `by` don't shuffle it again."""
+    spark = df.sparkSession
+    path, name = scratch(spark), f"gridloom_{uuid.uuid4().hex}"
+    n = min(partitions(spark), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+    dealt = df.repartition(n, by).withColumn(row, F.monotonically_increasing_id())
+    dealt.write.bucketBy(n, by).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    _tables[-1] = (path, name)
+    return spark.table(name)
+
+
+def mark() -> int:
+    """How many intermediate tables there are; `release` takes what came after."""
+    return len(_tables)
+
+
+def release(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes the intermediate tables made since a mark, but for the last `keep`, once no plan that is still to run reads them."""
+    done = _tables[since : len(_tables) - keep]
+    del _tables[since : since + len(done)]
+    for path, name in done:
+        if name is not None:
+            spark.sql(f"drop table if exists {name}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """The wanted names, lengthened until they clash with none of `names` in any case."""
+    taken, out = {x.lower() for x in names}, []
+    for x in wanted:
+        while x.lower() in taken:
+            x += "_"
+        taken.add(x.lower())
+        out.append(x)
+    return out
+
+
 def arrow_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
     """Bounds the Arrow batches that Python workers get, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -90,18 +141,36 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
+#: Edges that a task joins by itself before they are joined over all.
+LOCAL_EDGES = 100_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as (u, v): each node with the smallest one that it reaches over these."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not held:
+        return
+    u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+    node, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = local_roots(at[: len(u)], at[len(u) :], len(node))
+    moved = root != np.arange(len(node))
+    yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], ["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (a, b): the smallest node that it reaches.
 
-    Alternates large and small stars until the edges no longer change; each round is written to the
-    shared folder. A hub's neighbours are reduced to their minimum before the shuffle, and the join
+    Tasks of LOCAL_EDGES edges each turn theirs into stars, which keeps what is connected so; that
+    is all if they are one task's. Else large and small stars alternate until the edges no longer change; each round is
+    written to the shared folder. A hub's neighbours are reduced to their minimum before the shuffle, and the join
     back to a hub is one that adaptive execution may split.
     """
-    edge = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     shared_dir(edges.sparkSession)
-    edge = edge.checkpoint()
+    edge = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    tasks = -(-edge.count() // LOCAL_EDGES)
+    edge = edge.repartition(max(1, tasks)).mapInArrow(_stars, "u long, v long").distinct().checkpoint()
     last = None
-    while True:
+    while tasks > 1:
         both = edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -117,6 +186,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         now = edge.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
-            roots = edge.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return edge.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+            break
         last = now
+    roots = edge.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edge.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

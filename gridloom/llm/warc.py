@@ -13,19 +13,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
-from urllib.parse import quote, unquote
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
-from gridloom.llm.common import arrow_batches, shared_dir
+from gridloom.llm.common import arrow_batches, scratch
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, date string, content_type string, content_length long, "
@@ -61,7 +61,8 @@ def record(kind: str, record_id: str, uri: str | None, date: str, payload: bytes
     block = http + payload if kind == "response" else http
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}"]
     if uri is not None:
-        lines.append("WARC-Target-URI: " + quote(uri, safe="!#$%&'()*+,/:;=?@[]~-._"))
+        # as it is, but for what would end the line or part it
+        lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri))
     lines += [f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <{refers_to}>", f"WARC-Profile: {IDENTICAL}"]
@@ -72,7 +73,7 @@ class _Plain:
     """Bytes of the current record, with what lies before the end of the headers at hand."""
 
     def __init__(self, stream):
-        self.stream = stream
+        self.stream = io.BufferedReader(stream, 1 << 16)
 
     def header(self) -> bytes | None:
         lines = []
@@ -173,10 +174,20 @@ def _bare(value: str | None) -> str | None:
 
 
 def records(stream, wanted: list[tuple[str, set]], columns: list[str], verify: bool) -> Iterator[dict]:
-    """The records of an archive whose headers pass; only the columns that are asked for are decoded."""
+    """The records of an archive whose headers pass; only the columns that are asked for are decoded. The stream stays open."""
     magic = stream.read(2)
     stream.seek(0)
-    source = _Members(stream) if magic == b"\x1f\x8b" else _Plain(stream)
+    if magic == b"\x1f\x8b":
+        yield from _records(_Members(stream), wanted, columns, verify)
+        return
+    source = _Plain(stream)
+    try:
+        yield from _records(source, wanted, columns, verify)
+    finally:
+        source.stream.detach()
+
+
+def _records(source, wanted: list[tuple[str, set]], columns: list[str], verify: bool) -> Iterator[dict]:
     whole = "payload" in columns or verify
     while (raw := source.header()) is not None:
         h = _headers(raw)
@@ -186,8 +197,6 @@ def records(stream, wanted: list[tuple[str, set]], columns: list[str], verify: b
             "content_type": h.get("content-type"), "content_length": size, "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
             "refers_to": _bare(h.get("warc-refers-to")), "headers": h, "payload": None, "payload_bytes": None,
         }
-        if row["target_uri"] is not None:
-            row["target_uri"] = unquote(row["target_uri"])
         if any(row[name] not in values for name, values in wanted):
             source.skip(size + 4)
             continue
@@ -369,6 +378,6 @@ def through_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes pages to archives in the shared folder and reads them back; an empty table comes back empty."""
     spark = pages.sparkSession
     arrow_batches(spark)
-    path = f"{shared_dir(spark)}/gridloom/{uuid.uuid4().hex}"
+    path = scratch(spark)
     archive(pages, path, least_bytes)
     return read_pages(spark, path)
