@@ -72,8 +72,10 @@ def learn(docs: DataFrame, labels: DataFrame, learnable, sample: int = SAMPLE) -
         some = marked.where(F.col("good") == good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.union(some)
     # at most twice `sample` ids, so that this side is small enough to be sent to all tasks
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    rows = texts.select("doc_id", "text", "good").mapInArrow(_counted, "doc_id long, counts binary, good int").toArrow().sort_by("doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # of several texts with one id, that of least hash
+    texts = texts.groupBy("doc_id", "good").agg(F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")).alias("text"))).alias("t"))
+    rows = texts.select("doc_id", F.col("t.text").alias("text"), "good").mapInArrow(_counted, "doc_id long, counts binary, good int").toArrow().sort_by("doc_id")
     counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.float32).reshape(-1, BUCKETS)
     good = rows.column("good").to_numpy().astype(np.float64)
     n = len(good)
@@ -112,31 +114,32 @@ def vote(model: dict[str, np.ndarray], counts: np.ndarray) -> np.ndarray:
 def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where = batch.schema.names.index("text")
-            data, ends = utf8(batch.column(where))
+            data, ends = utf8(batch.column(len(batch.schema) - 1))
             score = np.zeros(len(batch))
             for i in range(0, len(batch), _ROWS):
                 part = ends[i : i + _ROWS + 1]
                 score[i : i + _ROWS] = vote(model.value, trigram_counts(data[part[0] : part[-1]], part - part[0]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*batch.schema.names[:-1], "score"])
 
     return run
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, learnable=None, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, learnable=None, keep: tuple[str, ...] = ("doc_id",), added: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """The `keep` columns of docs with score (0 to 1, higher: quality 1 likelier) and predicted (score >= 0.5).
 
     Texts are counted in hashed byte trigrams and projected on latent dimensions fitted on a bounded sample
     of the labelled texts (SAMPLE of each class); those vectors, whose size the bound fixes, are broadcast,
     and each text's exact cosines with all of them choose the neighbours that vote. learnable: a condition
     on the labels' doc_id that says which may be learnt from. Null and empty texts get the sample's share
-    of good ones; without any usable label every score is 0.5. Rows of docs come back one for one.
+    of good ones; without any usable label every score is 0.5. A doc_id of several texts that is labelled lends
+    the one of least hash. Rows of docs come back one for one. `added` names the two new columns, for docs that have columns of those names.
     """
     model = learn(docs, labels, F.lit(True) if learnable is None else learnable)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_scored(shared), f"{schema}, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("scored"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "scored")
+    made = rows.mapInArrow(_scored(shared), f"{schema}, score double")
+    return made.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(added[0]), (F.col("score") >= 0.5).cast("int").alias(added[1]))
 
 
 def fold(column: str, n: int):
