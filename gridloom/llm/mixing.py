@@ -14,9 +14,9 @@ _ROUNDS = 9
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source and tokens (runs of other than white space; at least 1) of each row."""
+    """doc_id, source, tokens (runs of other than white space; at least 1) and a hash of id and text of each row."""
     tokens = F.greatest(F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)), F.lit(1)).cast("long")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), tokens.alias("n_tokens"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), tokens.alias("n_tokens"), F.xxhash64("doc_id", "text").alias("same"))
 
 
 def _bisect(sources: DataFrame, value, holds, rising: bool) -> float:
@@ -79,13 +79,13 @@ def mix(docs: DataFrame, entropy: float = 0.95, repetition: float = 4.0, budget:
     """doc_id, source, n_tokens, copy, block_rank and place: the documents that a mixture's epochs take, in order.
 
     Sources' token shares are raised to an exponent (see `exponent`) and normalised to weights of a budget
-    of tokens (by default as many as there are). Each source is dealt by hash into `blocks` blocks; a budget of
+    of tokens (by default as many as there are). Each source is dealt by a hash of id and text into `blocks` blocks; a budget of
     several times its tokens takes whole copies, each a permutation of the blocks of its own, and the rest
     is the longest prefix of one more permutation that fits, so a source ends within a block of its budget.
     A source is read in order of copy, block_rank, place. A null source is a source of its own; an empty or
     null text counts one token; repeated rows count and come back each. An empty table gives an empty one.
     """
-    tokens = written(token_counts(docs).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int")))
+    tokens = written(token_counts(docs).withColumn("block", F.pmod(F.xxhash64("same", F.lit(seed)), F.lit(blocks)).cast("int")))
     budgets = weights(tokens, entropy, repetition, budget)
     sized = tokens.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"))
     per = budgets.select(F.col("source").alias("of"), "total", "budget").withColumn("whole", F.floor(F.col("budget") / F.col("total")).cast("int"))
@@ -96,4 +96,4 @@ def mix(docs: DataFrame, entropy: float = 0.95, repetition: float = 4.0, budget:
     taken = taken.where((F.col("copy") < F.col("whole")) | (F.col("until") <= F.col("budget") - F.col("whole") * F.col("total") + 1e-6))
     taken = taken.select(F.col("source").alias("of"), F.col("block").alias("in"), "copy", "block_rank")
     rows = tokens.join(taken, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in")))
-    return rows.select("doc_id", "source", "n_tokens", "copy", "block_rank", F.xxhash64("doc_id", "copy", F.lit(seed + 1)).alias("place"))
+    return rows.select("doc_id", "source", "n_tokens", "copy", "block_rank", F.xxhash64("same", "copy", F.lit(seed + 1)).alias("place"))
