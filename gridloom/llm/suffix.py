@@ -37,6 +37,8 @@ _TABLE_2 = mix64(_TABLE ^ np.uint64(0xE7037ED1A0B428DB))
 HOT_CONTEXTS = 20_000
 #: Text that one pass of a map task takes at once; copies within it are settled without a shuffle.
 MAP_BYTES = 4 << 20
+#: Text whose ranks one key of the shuffle takes on average at most.
+KEY_BYTES = 32 << 20
 NULL_ID = -(1 << 63)
 
 RANKED = "key int, blob binary"
@@ -349,7 +351,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 20) -> DataFra
     """(doc_id, start, stop) byte spans, which may overlap, that cover what an earlier document holds too."""
     spark = docs.sparkSession
     arrow_batches(spark, rows=4000, size=16 << 20)
-    keys = partitions(spark) * 8
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    keys = max(partitions(spark) * 8, size // KEY_BYTES)
     texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
     ranked = texts.mapInArrow(_map(length, seed, keys), RANKED)
     found = ranked.repartition("key").sortWithinPartitions("key").mapInArrow(_reduce, FOUND)
@@ -368,7 +371,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 20, keep_text:
     Gives doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, where asked for,
     kept_text (bytes cut inside a character come out as U+FFFD). Strings are judged on the input and never
     cross documents. Null and empty texts have no bytes; texts under `length` bytes lose none. doc_id
-    identifies a document: repeated rows give repeated results and don't remove each other; a null doc_id
-    counts as the smallest. Other columns are not read. An empty table gives an empty one.
+    identifies a document: repeated rows give repeated results and don't remove each other, and texts that share an id
+    are one document's, cut at the places that any of them loses; a null doc_id counts as the smallest, so it loses nothing. Other columns are not read. An empty table gives an empty one.
     """
     return remove_spans(docs.select("doc_id", "text"), repeated_spans(docs, length, seed), keep_text)
