@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import arrow_batches, mix64, passes, utf8
@@ -91,18 +91,21 @@ def repeated_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int =
     arrow_batches(docs.sparkSession, rows=4000, size=16 << 20)
     texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
     chunks = texts.mapInArrow(_chunks(bits, least, most), CHUNK)
-    first = F.min("doc_id").over(Window.partitionBy("one", "two"))
-    return chunks.withColumn("first", first).where("settled or doc_id > first").select("doc_id", "start", "stop")
+    # the same exchange feeds the minimum and the rows, so neither holds a chunk's rows together: they stream past its first owner
+    dealt = chunks.repartition("one", "two")
+    first = dealt.groupBy("one", "two").agg(F.min("doc_id").alias("first"))
+    return dealt.join(first, ["one", "two"]).where("settled or doc_id > first").select("doc_id", "start", "stop")
 
 
-def remove_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 1024, run: int = 64, keep_text: bool = False) -> DataFrame:
+def remove_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 1024, run: int = 0, keep_text: bool = False) -> DataFrame:
     """Removes the content-defined chunks that a document of smaller doc_id has too.
 
     Chunks end where the top `bits` bits of the gear hash of the last 32 bytes are zero, `least` to `most`
     bytes apart (2**bits + least on average), so an insertion moves only the cuts beside it. Of repeated
     chunks that touch, fewer than `run` bytes together stay. Gives doc_id, n_bytes, n_removed, n_spans,
     kept_sha256 and, where asked for, kept_text. Null and empty texts have no chunks. doc_id identifies a
-    document: repeated rows give repeated results; a null doc_id counts as the smallest. Other columns are
+    document: repeated rows give repeated results, and texts that share an id are one document's, cut at the places that
+    any of them loses; a null doc_id counts as the smallest, so it loses nothing. Other columns are
     not read. An empty table gives an empty one.
     """
     return remove_spans(docs.select("doc_id", "text"), repeated_chunks(docs, bits, least, most), keep_text, run)

@@ -114,13 +114,13 @@ def shown(x: tuple) -> str:
     return f"{x[0]}:{x[1].decode()}:{x[2].decode()}"
 
 
-def _packed(bounds: list[int]):
+def _packed(bounds):
     """Texts compressed for their one move, with the range of ids that each is dealt to; guests go to the range before theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            bucket = np.searchsorted(bounds, batch.column("id").to_numpy(), "right")
+            bucket = np.searchsorted(bounds.value, batch.column("id").to_numpy(), "right")
             guest = batch.column("guest").to_numpy(zero_copy_only=False)
             past = batch.column("id").to_numpy() == LAST_ID
             bucket = np.where(guest & ~past, bucket - 1, bucket).astype(np.int32)
@@ -156,21 +156,22 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
-def edit_likeness(docs: DataFrame, rows_per_bucket: int = 2000) -> DataFrame:
+def edit_likeness(docs: DataFrame, ranges: int = 8) -> DataFrame:
     """Fingerprints of each text and of its edit, whose last quarter is the start of the next document's text.
 
     Gives doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next. The next
     document is that of the next doc_id in ascending order (null first, equal ones by a hash of their text), the first after
     the last; null texts are empty. The text moves once, compressed: documents are dealt into ranges of doc_id whose
     bounds are documents themselves, and each of those is also sent, as a guest, to the end of the range
-    before. A single document is its own next. Other columns are not read.
+    before. There are `ranges` times as many ranges as partitions, so the list of their bounds grows with the cluster's
+    tasks and not with the rows; within a range documents stream past, one held at a time. A single document is its own next. Other columns are not read.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = docs.select("doc_id", "text")
     found = rows.agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.count("doc_id").alias("ids")).first()
-    buckets = max(partitions(spark) * 2, -(-found["rows"] // rows_per_bucket))
-    # as many ids as there are ranges, however many rows: quantiles are ids of the table
+    buckets = partitions(spark) * ranges
+    # quantiles are ids of the table
     bounds = []
     if found["ids"]:
         share = [k / buckets for k in range(1, buckets)]
@@ -179,14 +180,15 @@ def edit_likeness(docs: DataFrame, rows_per_bucket: int = 2000) -> DataFrame:
     nulls = found["rows"] > found["ids"]
     plain = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("doc_id").isNotNull().alias("named"), "text", F.lit(False).alias("guest"))
     # of equal ids at a bound, the first by hash is the next one's guest
-    guests = rows.where(F.col("doc_id").isin(bounds)).groupBy("doc_id").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).alias("text"))
+    starts = F.broadcast(spark.createDataFrame([(x,) for x in bounds], "doc_id long"))
+    guests = rows.join(starts, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).alias("text"))
     guests = guests.select(F.col("doc_id").alias("id"), F.lit(True).alias("named"), "text", F.lit(True).alias("guest"))
     first = rows.where(F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(found["low"]))
     first = first.orderBy(F.xxhash64(F.coalesce("text", F.lit("")))).limit(1)
     # it follows the last document: its place is past all bounds
     first = first.select(F.lit(LAST_ID).alias("id"), F.lit(not nulls).alias("named"), "text", F.lit(True).alias("guest"))
     every = plain.union(guests).union(first).withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
-    packed = every.select("id", "named", "guest", "tie", "text").mapInArrow(_packed(bounds), "id long, named boolean, guest boolean, tie long, bucket int, packed binary")
+    packed = every.select("id", "named", "guest", "tie", "text").mapInArrow(_packed(spark.sparkContext.broadcast(np.array(bounds, np.int64))), "id long, named boolean, guest boolean, tie long, bucket int, packed binary")
     order = packed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "guest", "id", "tie")
     return order.select("bucket", "guest", "id", "named", "packed").mapInArrow(
         _compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

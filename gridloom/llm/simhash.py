@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,16 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import arrow_batches, components, local_roots, mix64, partitions, passes, utf8, written
-from gridloom.llm.suffix import NULL_ID, _grouped
+from gridloom.llm.common import arrow_batches, components, local_roots, mix64, passes, shared_dir, utf8
+from gridloom.llm.suffix import _grouped
 
 #: Rows of a tile; also the size beyond which a group is split into tiles that separate tasks compare.
 TILE = 1024
 _UNIT = np.uint64(0x0101010101010101)
-#: Counters of shingles, in slices that tasks add up: how common a shingle is, which orders those of a text.
-COUNTERS, SLICE = 1 << 20, 1 << 16
-#: Words of 64 bits in a text's parities of shingles.
-PARITIES = 8
 
 
 def _bit_counts(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -52,18 +47,14 @@ def shingle_hashes(text: bytes, words: int) -> tuple[bytes, int]:
     return b"".join([digest(line[a:b], 42) for a, b in zip(start[: len(found) - words + 1].tolist(), stop[words - 1 :].tolist(), strict=True)]), len(found) - words + 1
 
 
-def fingerprints(texts: list[bytes], words: int, lanes: int = 1, mins: int = 0, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Per text, `lanes` times 64 bits that are set in over half of its shingles' hashes, and `mins` least hashes.
+def fingerprints(found: list[np.ndarray], lanes: int = 1, mins: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Per text, whose shingles' hashes are given, `lanes` times 64 bits that are set in over half of them, and `mins` least hashes.
 
-    No words: zero bits. Further lanes and the least hashes come from scrambled copies of the same hashes.
-    A shingle counts as often as it is there, or once if `distinct`.
+    No shingles: zero bits. Further lanes and the least hashes come from scrambled copies of the same hashes.
     """
-    found = [np.frombuffer(shingle_hashes(x, words)[0], ">u8").astype(np.uint64) for x in texts]
-    if distinct:
-        found = [np.unique(x) for x in found]
     sizes = np.array([len(x) for x in found], np.int64)
     hashes = np.concatenate([np.zeros(0, np.uint64), *found])
-    bits, least = np.zeros((len(texts), lanes), np.uint64), np.zeros((len(texts), mins), np.uint64)
+    bits, least = np.zeros((len(found), lanes), np.uint64), np.zeros((len(found), mins), np.uint64)
     some = np.flatnonzero(sizes)
     if len(some):
         size = sizes[some]
@@ -77,15 +68,14 @@ def fingerprints(texts: list[bytes], words: int, lanes: int = 1, mins: int = 0,
     return bits, least
 
 
-def _fingerprint(words: int, lanes: int, mins: int):
+def _fingerprint(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = utf8(batch.column(1))
             for i, j in passes(ends):
-                texts = [data[a:b].tobytes() for a, b in zip(ends[i:j], ends[i + 1 : j + 1], strict=True)]
-                bits, least = fingerprints(texts, words, lanes, mins)
-                columns = [batch.column(0).slice(i, j - i), pa.array(bits.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array(least.view(np.int64).tolist(), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "bits", "least"])
+                hashes = [np.frombuffer(shingle_hashes(data[a:b].tobytes(), words)[0], ">u8").astype(np.uint64) for a, b in zip(ends[i:j], ends[i + 1 : j + 1], strict=True)]
+                bits, _ = fingerprints(hashes)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(bits[:, 0].view(np.int64))], ["doc_id", "node"])
 
     return run
 
@@ -221,8 +211,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    prints = docs.select("doc_id", "text").mapInArrow(_fingerprint(words, 1, 0), "doc_id long, bits array<long>, least array<long>")
-    prints = prints.select("doc_id", F.col("bits")[0].alias("node")).checkpoint()
+    shared_dir(spark)
+    prints = docs.select("doc_id", "text").mapInArrow(_fingerprint(words), "doc_id long, node long").checkpoint()
     owners = prints.groupBy("node").agg(F.min("doc_id").alias("owner"))
     width, blocks = -(-64 // (radius + 1)), radius + 1
     keys = [F.shiftrightunsigned("node", k * width).bitwiseAND((1 << min(width, 64 - k * width)) - 1) * blocks + k for k in range(blocks)]
@@ -233,394 +223,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     linked = named.join(least, "component").select("node", "component_id")
     alone = owners.join(roots, "node", "left_anti").select("node", F.col("owner").alias("component_id"))
     return prints.join(linked.union(alone), "node").select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """The text's distinct shingles in order, as 32 bits of their hashes."""
-    hashes, _ = shingle_hashes(text, words)
-    return np.unique((mix64(np.frombuffer(hashes, ">u8").astype(np.uint64)) >> np.uint64(32)).astype(np.uint32))
-
-
-def parities(sets: list[np.ndarray]) -> np.ndarray:
-    """Per set, whether the number of its members with each of 64 * PARITIES remainders is odd.
-
-    A member that only one of two sets has turns one bit, so two sets differ in as many members as bits, or more.
-    """
-    width = 64 * PARITIES
-    at = np.concatenate([np.zeros(0, np.int64), *[i * width + (x % width).astype(np.int64) for i, x in enumerate(sets)]])
-    odd = np.bincount(at, minlength=len(sets) * width).reshape(len(sets), width) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.uint64).reshape(len(sets), PARITIES)
-
-
-def _normal(data: np.ndarray) -> bytes:
-    return b" ".join(data.tobytes().lower().split())
-
-
-def _sketched(words: int, lanes: int, mins: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, ends = utf8(batch.column(1))
-            for i, j in passes(ends):
-                texts = [_normal(data[a:b]) for a, b in zip(ends[i:j], ends[i + 1 : j + 1], strict=True)]
-                bits, least = fingerprints(texts, words, lanes, mins, distinct=True)
-                line = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in texts]), np.int64).reshape(-1, 2)
-                columns = [batch.column(0).slice(i, j - i), pa.array(line[:, 0]), pa.array(line[:, 1]), pa.array([x != b"" for x in texts])]
-                columns += [pa.array(bits[:, k].view(np.int64)) for k in range(lanes)]
-                columns.append(pa.array(least.view(np.int64).tolist(), pa.list_(pa.int64())))
-                sets = [shingle_set(x, words) for x in texts]
-                odd = parities(sets)
-                columns += [pa.array([len(x) for x in sets], pa.int32()), *[pa.array(odd[:, k].view(np.int64)) for k in range(PARITIES)]]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "one", "two", "some", *[f"b{k}" for k in range(lanes)], "least", "size", *[f"p{k}" for k in range(PARITIES)]])
-
-    return run
-
-
-def _near(lanes: int, radius: int):
-    """The rows of a comparison that have a partner within the radius."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in _grouped(batches):
-            t = pa.Table.from_batches(held)
-            bits = np.stack([t.column(f"b{k}").to_numpy().view(np.uint64) for k in range(lanes)], axis=1)
-            partner = np.zeros(len(bits), bool)
-            for i in range(0, len(bits), TILE):
-                for j in range(i, len(bits), TILE):
-                    far = _differing(bits[i : i + TILE], bits[j : j + TILE])
-                    near = np.triu(far <= radius, 1) if i == j else far <= radius
-                    partner[i : i + TILE] |= near.any(axis=1)
-                    partner[j : j + TILE] |= near.any(axis=0)
-            if partner.any():
-                yield from t.filter(pa.array(partner)).combine_chunks().to_batches()
-
-    return run
-
-
-def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    far = np.zeros((len(a), len(b)), np.uint16)
-    for k in range(a.shape[1]):
-        far += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-    return far
-
-
-def _shingle_sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, ends = utf8(batch.column(1))
-            sets = [shingle_set(data[a:b].tobytes(), words).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
-
-    return run
-
-
-#: Bytes that packed sets of one comparison, and pairs of them that are looked at together, may take.
-PACKED_BYTES, PAIR_BYTES = 64 << 20, 8 << 20
-
-
-def _shared(sets: list[np.ndarray]) -> np.ndarray | None:
-    """Sets as rows of packed bits, over the members that more than one has; none if that is too large."""
-    sizes = [len(x) for x in sets]
-    member, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column = np.cumsum(n > 1) - 1
-    keep = n[place] > 1
-    width = -(-int((n > 1).sum()) // 64) * 64
-    if len(sets) * width // 8 > PACKED_BYTES:
-        return None
-    bits = np.zeros((len(sets), max(width, 64) // 8), np.uint8)
-    row, at = np.repeat(np.arange(len(sets)), sizes)[keep], column[place[keep]]
-    np.bitwise_or.at(bits, (row, at >> 3), np.left_shift(1, at & 7).astype(np.uint8))
-    return bits.view(np.uint64)
-
-
-def _verified(lanes: int, near: Callable, similarity: float):
-    """A forest of the pairs that are `near` (by differing bits and sizes) and whose shingle sets are as similar.
-
-    Pairs that it connects already aren't looked at, nor those of one `component`, where rows have that; then
-    the forest is one of components.
-    """
-
-    def compare(t: pa.Table):
-        node = t.column("node").to_numpy()
-        bits = np.stack([t.column(f"b{k}").to_numpy().view(np.uint64) for k in range(lanes)], axis=1)
-        sets = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("set")]
-        size, root = np.array([len(x) for x in sets]), np.arange(len(node))
-        if "component" in t.column_names:
-            node, first, own = np.unique(t.column("component").to_numpy(), return_index=True, return_inverse=True)
-            node, root = node[own], first[own]
-        packed = _shared(sets) if len(sets) > 32 else None
-        chunk = 2048 if packed is None else min(2048, max(64, PAIR_BYTES // packed[0].nbytes))
-        a, b = [], []
-        for i in range(0, len(node), TILE):
-            for j in range(i, len(node), TILE):
-                far = _differing(bits[i : i + TILE], bits[j : j + TILE])
-                close = near(far, size[i : i + TILE, None], size[None, j : j + TILE])
-                x, y = np.nonzero(np.triu(close, 1) if i == j else close)
-                by = np.argsort(far[x, y], kind="stable")
-                x, y = x[by] + i, y[by] + j
-                low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-                x, y = x[low >= similarity * high], y[low >= similarity * high]
-                for k in range(0, len(x), chunk):
-                    p, q = x[k : k + chunk], y[k : k + chunk]
-                    apart = root[p] != root[q]
-                    p, q = p[apart], q[apart]
-                    if not len(p):
-                        continue
-                    if packed is None:
-                        same = np.array([len(np.intersect1d(sets[u], sets[v], assume_unique=True)) for u, v in zip(p.tolist(), q.tolist(), strict=True)])
-                    else:
-                        same = np.bitwise_count(packed[p] & packed[q]).sum(axis=1, dtype=np.int64)
-                    good = same >= similarity * (size[p] + size[q] - same)
-                    p, q = p[good], q[good]
-                    if len(p):
-                        new = local_roots(np.concatenate([np.arange(len(root)), p]), np.concatenate([root, q]), len(root))
-                        a.append(node[p]), b.append(node[q])
-                        root = new
-        empty = [np.zeros(0, np.int64)]
-        a, b = np.concatenate(a or empty), np.concatenate(b or empty)
-        if len(a) > len(node):  # a forest says as much
-            moved = root != np.arange(len(root))
-            a, b = node[moved], node[root[moved]]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in _grouped(batches):
-            yield compare(pa.Table.from_batches(held))
-
-    return run
-
-
-def _frequencies(words: int):
-    """How many texts of a partition have a shingle of each counter, a row of packed counts for each slice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.uint32)
-        for batch in batches:
-            data, ends = utf8(batch.column(0))
-            for i, j in passes(ends):
-                sets = [shingle_set(data[a:b].tobytes(), words) for a, b in zip(ends[i:j], ends[i + 1 : j + 1], strict=True)]
-                counts += np.bincount(_counter(np.concatenate(sets)), minlength=COUNTERS).astype(np.uint32)
-        if counts.any():
-            packed = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(-1, SLICE)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array(packed, pa.binary())], ["slice", "counts"])
-
-    return run
-
-
-def _counter(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint32(32 - COUNTERS.bit_length() + 1)).astype(np.int64)
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The magnitude (half powers of two) of each counter of a slice over all partitions."""
-    for key, held in _grouped(batches):
-        total = np.zeros(SLICE, np.int64)
-        for batch in held:
-            for x in batch.column(1):
-                total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-        size = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([size.tobytes()], pa.binary())], ["slice", "counts"])
-
-
-def rarity(texts: DataFrame, words: int) -> np.ndarray:
-    """How common the shingles of each counter are: a megabyte, whatever the number of texts."""
-    parts = texts.select("text").mapInArrow(_frequencies(words), "slice int, counts binary")
-    parts = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(_added, "slice int, counts binary").collect()
-    out = np.zeros((COUNTERS // SLICE, SLICE), np.uint8)
-    for x in parts:
-        out[x["slice"]] = np.frombuffer(x["counts"], np.uint8)
-    return out.ravel()
-
-
-def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest shingles of a set, so many that any set as similar has one of its own such shingles among them."""
-    n = len(found)
-    most = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
-    if most >= n:
-        return found
-    ordered = common[_counter(found)].astype(np.uint64) << np.uint64(32) | found
-    return np.partition(ordered, most - 1)[:most].astype(np.uint32)
-
-
-def _prefixes(words: int, similarity: float, common, shards: int):
-    """The prefix of each text with the text's hash, packed by shard of the shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, ends = utf8(batch.column(0))
-            keys, line = [], []
-            for a, b in zip(ends[:-1], ends[1:], strict=True):
-                text = _normal(data[a:b])
-                keys.append(prefix(shingle_set(text, words), common.value, similarity))
-                line.append(xxhash.xxh3_128_digest(text)[:8])
-            if not keys:
-                continue
-            one = np.repeat(np.frombuffer(b"".join(line), np.int64), [len(x) for x in keys])
-            key = np.concatenate(keys)
-            shard = key % np.uint32(shards)
-            by = np.argsort(shard, kind="stable")
-            key, one, shard = key[by], one[by], shard[by]
-            cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(key) else np.zeros(0, np.int64)
-            stop = np.append(cut[1:], len(key))
-            columns = [pa.array(shard[cut].astype(np.int32))]
-            columns += [pa.array([x[a:b].tobytes() for a, b in zip(cut, stop, strict=False)], pa.binary()) for x in (key, one)]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "keys", "ones"])
-
-    return run
-
-
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of each shingle that is in the prefix of several."""
-    for _, held in _grouped(batches):
-        key = np.frombuffer(b"".join([x.as_py() for b in held for x in b.column(1)]), np.uint32)
-        one = np.frombuffer(b"".join([x.as_py() for b in held for x in b.column(2)]), np.int64)
-        by = np.argsort(key, kind="stable")
-        same = key[by][1:] == key[by][:-1]
-        by = by[np.append(False, same) | np.append(same, False)]  # most shingles have one text and drop out here
-        key, one = key[by], one[by]
-        by = np.lexsort((one, key))
-        key, one = key[by], one[by]
-        new = np.append(True, (key[1:] != key[:-1]) | (one[1:] != one[:-1]))[: len(key)]  # copies of a text
-        key, one = key[new], one[new]
-        for i in range(0, len(key), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 50_000].astype(np.int64)), pa.array(one[i : i + 50_000])], ["key", "one"])
-
-
-def _bound(similarity: float):
-    """Whether sets of these sizes whose parities differ in `far` bits may be as similar: never says no to those that are."""
-    most = (1 - similarity) / (1 + similarity)
-
-    def near(far, a, b):
-        return (far <= most * (a + b) + 1e-6) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6)
-
-    return near
-
-
-def _hopeful(similarity: float, small: int = 48):
-    """The rows of a comparison that have a partner of another component within the bound."""
-    near = _bound(similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def columns(t):
-            bits = np.stack([t.column(f"b{k}").to_numpy().view(np.uint64) for k in range(PARITIES)], axis=1)
-            return bits, t.column("size").to_numpy().astype(np.int64), t.column("component").to_numpy()
-
-        def large(t):
-            bits, size, own = columns(t)
-            partner = np.zeros(len(bits), bool)
-            for i in range(0, len(bits), TILE):
-                for j in range(i, len(bits), TILE):
-                    a, b = slice(i, i + TILE), slice(j, j + TILE)
-                    close = near(_differing(bits[a], bits[b]), size[a, None], size[None, b]) & (own[a, None] != own[None, b])
-                    partner[a] |= close.any(axis=1)
-                    partner[b] |= close.any(axis=0)
-            return partner
-
-        def several(t):
-            group = t.column("tile").to_numpy()
-            bits, size, own = columns(t)
-            partner, d, at = np.zeros(len(group), bool), 1, np.arange(len(group))
-            while True:
-                at = at[at + d < len(group)]
-                at = at[group[at] == group[at + d]]
-                if not len(at):
-                    return partner
-                far = np.bitwise_count(bits[at] ^ bits[at + d]).sum(axis=1, dtype=np.int64)
-                close = near(far, size[at], size[at + d]) & (own[at] != own[at + d])
-                partner[at[close]] = partner[at[close] + d] = True
-                d += 1
-
-        def out(t, partner):
-            return t.filter(pa.array(partner)).combine_chunks().to_batches()
-
-        held, n = [], 0
-        for _, group in _grouped(batches):
-            rows = sum(len(x) for x in group)
-            if rows > small:
-                t = pa.Table.from_batches(group)
-                yield from out(t, large(t))
-            elif rows > 1:
-                held += group
-                n += rows
-                if n > 20_000:
-                    t = pa.Table.from_batches(held)
-                    yield from out(t, several(t))
-                    held, n = [], 0
-        if held:
-            t = pa.Table.from_batches(held)
-            yield from out(t, several(t))
-
-    return run
-
-
-def _missed(texts: DataFrame, owners: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Edges (a, b) between components of the roots that hold a pair of the similarity: every such pair is looked at.
-
-    Two sets of Jaccard s share s of the larger one's members or more, so in any order of shingles the first
-    floor((1 - s) n) + 1 of each have one in common. Texts meet in the shingles of these prefixes, rarest first;
-    only those of different components are compared, by sizes and parities, which rule out no pair that is as
-    similar, then by their sets. Shingles with the same texts are one meeting, and large ones are split.
-    """
-    spark = texts.sparkSession
-    common = spark.sparkContext.broadcast(rarity(texts, words))
-    packed = texts.select("text").mapInArrow(_prefixes(words, similarity, common, partitions(spark) * 2), "shard int, keys binary, ones binary")
-    met = packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_meetings, "key long, one long")
-    known = owners.where("some").join(roots, "node", "left").select("one", "node", "size", F.coalesce("component", "node").alias("component"), *[F.col(f"p{k}").alias(f"b{k}") for k in range(PARITIES)])
-    rows = written(met.join(known.select("one", "node", "component"), "one").select("key", "node", "component"))
-    marks = [F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2)]]
-    keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *marks).where("low < high")
-    keys = keys.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key")
-    # sizes of similar sets are in the same or neighbouring powers of 1 / similarity, a little more for rounding
-    level = F.floor(F.log("size") / F.lit(float(np.log(1 / similarity)) * 1.001)).cast("int")
-    points = rows.select("key", "node").join(keys, "key").join(known, "node").withColumn("count", level)
-    columns = ("size", "component")
-    schema = "tile long, node long, side int, " + ", ".join(f"b{k} long" for k in range(PARITIES)) + ", size int, component long"
-    left = written(tiles(points.drop("one"), PARITIES, 1, columns).mapInArrow(_hopeful(similarity), schema))
-    return _compared(texts, left, words, PARITIES, _bound(similarity), similarity, ("component",))
-
-
-def _compared(texts: DataFrame, flagged: DataFrame, words: int, lanes: int, near: Callable, similarity: float, more: tuple[str, ...] = ()) -> DataFrame:
-    """Edges of the flagged comparisons, with the shingle sets of their nodes only."""
-    asked = flagged.select(F.col("node").alias("doc_id")).distinct()
-    sets = texts.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_shingle_sets(words), "id long, set binary")
-    rows = flagged.join(sets, F.col("node") == F.col("id")).select("tile", "node", *[f"b{k}" for k in range(lanes)], *more, "set")
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verified(lanes, near, similarity), "a long, b long")
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, mins: int = 6) -> DataFrame:
-    """(node, component) of the documents that others are near to: their shingle sets' Jaccard is `similarity` or more.
-
-    For thresholds that no small radius stands for. Texts of the same words are one node (the smallest doc_id);
-    their copies, which are not nodes, come with the component of theirs. Nodes meet in tiles of one of `mins`
-    least shingle hashes; fingerprints of `lanes` times 64 bits, of distinct shingles as similarity is that of
-    sets, are compared there with a radius 3.5 deviations beyond what the similarity makes likely, and only what
-    is near has its shingle sets shuffled and compared exactly. That finds most links cheaply; those that it
-    misses are found between the groups by prefixes of rare shingles (`_missed`), which lose none. Null ids
-    count as the smallest id. Gives a row for each document that isn't alone.
-    """
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    radius = int(64 * lanes * share + 3.5 * (64 * lanes * share * (1 - share)) ** 0.5)
-    bits = [f"b{k}" for k in range(lanes)]
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
-    odd = [f"p{k}" for k in range(PARITIES)]
-    schema = "doc_id long, one long, two long, some boolean, " + ", ".join(f"{b} long" for b in bits) + ", least array<long>, size int, " + ", ".join(f"{p} long" for p in odd)
-    prints = written(texts.mapInArrow(_sketched(words, lanes, mins), schema))
-    firsts = [F.first(c).alias(c) for c in ("some", *bits, "least", "size", *odd)]
-    owners = written(prints.groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), *firsts))
-    count = sum((F.bit_count(b) for b in bits[1:]), F.bit_count(bits[0]))
-    # which of the hashes it is belongs to the key
-    keys = F.posexplode("least").alias("which", "hash")
-    points = owners.where("some").select("node", count.alias("count"), *bits, keys).withColumn("key", F.xxhash64("which", "hash")).drop("which", "hash")
-    flagged = written(tiles(points, lanes, radius).mapInArrow(_near(lanes, radius), "tile long, node long, side int, " + ", ".join(f"{b} long" for b in bits)))
-    roots = components(_compared(texts, flagged, words, lanes, lambda far, a, b: far <= radius, similarity))
-    joined = components(_missed(texts, owners, roots, words, similarity)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    linked = owners.join(roots, "node", "left").select("one", "two", "n", F.col("component").isNotNull().alias("found"), F.coalesce("component", "node").alias("component"))
-    linked = linked.join(joined, "component", "left").where("n > 1 or found or whole is not null").select("one", "two", F.coalesce("whole", "component").alias("component"))
-    return prints.join(linked, ["one", "two"]).select(F.col("doc_id").alias("node"), "component")
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each near-duplicate group, that of the smallest doc_id. A document's repeated rows stay together."""
-    groups = similar_groups(docs, words, similarity)
-    gone = groups.where("node <> component").select(F.col("node").alias("__gone")).distinct()
-    return docs.join(gone, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("__gone"), "left_anti")
