@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import fresh, written
+
 
 def _any_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -19,8 +21,8 @@ KINDS = [
     ("key", r"[A-Za-z0-9+/_=-]{20,}", 0, 20),
 ]
 BASE = ("assign", "access", "hex")
-#: A value that documents of this many owners hold is a widely copied example.
-EXAMPLE_OWNERS = 5
+#: A value is a widely copied example if this many owners hold it, or two or more in this many repositories together.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 5, 20
 MASK = "[SECRET]"
 
 
@@ -45,9 +47,11 @@ def candidates(docs: DataFrame, repository: str = "doc_id", owner: str = "source
 
     Offsets are code points, found from the lengths of what a kind's pattern matches and of what is between.
     A value's owners are counted over all documents: each (value, owner, repository) once, then owners and
-    repositories of each value. One that EXAMPLE_OWNERS owners or more hold is a copied example, others are
-    live-looking. Spans of the kind `key` (20 characters of at least a digit, a capital and a small letter)
-    are added where they are live and clear of all others.
+    repositories of each value. One that EXAMPLE_OWNERS owners or more hold is a copied example, and so is one that
+    two owners or more have in EXAMPLE_REPOSITORIES repositories; others, which one owner alone has however often or
+    few have in few places, are live-looking. Spans of the kind `key` (20 characters of at least a digit, a capital and a small letter)
+    are added where they are live and clear of all others. Texts are scanned once: the spans are written before
+    they are counted and judged.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("same"), text.alias("text"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"))
@@ -66,11 +70,13 @@ def candidates(docs: DataFrame, repository: str = "doc_id", owner: str = "source
     coming = F.min(F.when(~extra, F.col("start"))).over(row.rowsBetween(0, Window.unboundedFollowing))
     clear = (F.coalesce(reached, F.lit(0)) <= F.col("start")) & (coming.isNull() | (coming >= F.col("stop")))
     found = found.withColumn("clear", clear).where(~extra | F.col("clear")).drop("clear")
+    found = written(found)
     held = found.groupBy("value", "owner", "repository").agg(F.count("*").alias("n"))
     owned = held.groupBy("value", "owner").agg(F.count("*").alias("repositories"))
     # a null owner is one owner
     owned = owned.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    examples = owned.where(F.col("owners") >= EXAMPLE_OWNERS).select("value", "owners", "repositories")
+    copied = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("owners") > 1) & (F.col("repositories") >= EXAMPLE_REPOSITORIES)
+    examples = owned.where(copied).select("value", "owners")
     found = found.join(examples, "value", "left").withColumn("live", F.col("owners").isNull())
     return found.where(~extra | F.col("live")).select("row", "doc_id", "same", "order", "start", "stop", "value", "live")
 
@@ -84,7 +90,7 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source") ->
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live and n_example of each row of docs.
 
     spans lists kind:start:stop by start, then kind; base_sha256 is of those of the first three kinds alone.
-    n_live and n_example count the spans whose values few owners, or EXAMPLE_OWNERS and more, hold. Null
+    n_live and n_example count the spans whose values are live-looking, or copied examples (see `candidates`). Null
     and empty texts have no spans. Repeated rows come back as often and count as one repository. A null
     owner or repository counts as one. Other columns are not read.
     """
@@ -120,13 +126,15 @@ def redact(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -
     live = live.withColumn("new", (F.col("start") > reached).cast("int"))
     live = live.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     live = live.groupBy("doc_id", "same", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    masks = live.groupBy(F.col("doc_id").alias("__id"), F.col("same").alias("__same")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__masks"))
-    text, spans = F.col("text"), F.col("__masks")
+    id_, same, masked_spans = fresh(names, "masked_id", "masked_same", "masks")
+    masks = live.groupBy(F.col("doc_id").alias(id_), F.col("same").alias(same)).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(masked_spans))
+    text, spans = F.col("text"), F.col(masked_spans)
     end = lambda i: F.coalesce(F.get(spans, i - 1)["stop"], F.lit(0))
     pieces = F.transform(spans, lambda x, i: text.substr((end(i) + 1).cast("int"), (x["start"] - end(i)).cast("int")))
     tail = text.substr((F.element_at(spans, -1)["stop"] + 1).cast("int"), F.char_length(text))
     masked = F.when(spans.isNull(), text).otherwise(F.concat(F.array_join(F.transform(pieces, lambda x: F.concat(x, F.lit(MASK))), ""), tail))
-    hit = docs.join(masks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__same")), "left").withColumn("text", masked)
+    # documents with masks are few in each partition, and the same plan holds at every size
+    hit = docs.join(masks.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(same)), "left").withColumn("text", masked)
     if "n_chars" in names:
         hit = hit.withColumn("n_chars", F.when(spans.isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return hit.select(*[f"`{c}`" for c in names])
@@ -153,8 +161,9 @@ s as (select doc_id, source, o, kind, cast(list_sum(g[1:i]) + coalesce(list_sum(
   where length(v) >= least and (o < {last} or regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]'))),
 t as (select *, a + n b from s),
 c as (select * from t x where o < {last} or not exists (select 1 from t y where y.o < {last} and y.doc_id = x.doc_id and y.a < x.b and x.a < y.b)),
-w as (select v, count(distinct coalesce(source, chr(1))) owners from c group by v),
-f as (select c.*, owners < {EXAMPLE_OWNERS} live from c join w using (v) where o < {last} or owners < {EXAMPLE_OWNERS}),
+w as (select v, count(distinct coalesce(source, chr(1))) owners, count(distinct coalesce(source, chr(1)) || chr(2) || doc_id) repositories from c group by v),
+e as (select v, not (owners >= {EXAMPLE_OWNERS} or owners > 1 and repositories >= {EXAMPLE_REPOSITORIES}) live from w),
+f as (select c.*, live from c join e using (v) where o < {last} or live),
 r as (select doc_id, {names}, sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' order by a, o) filter (o < {last}), '')) base_sha256,
   string_agg(kind || ':' || a || ':' || b, ',' order by a, o) spans, cast(count(*) filter (live) as bigint) n_live, cast(count(*) filter (not live) as bigint) n_example from f group by doc_id)
 select d.doc_id, {zero}, coalesce(base_sha256, sha256('')) base_sha256, coalesce(spans, '') spans, coalesce(n_live, 0) n_live, coalesce(n_example, 0) n_example
