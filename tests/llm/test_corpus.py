@@ -68,6 +68,15 @@ def test_reader_passes_over_what_it_does_not_want(zipped):
     assert [r["record_id"][-1] for r in warc.records(stream, [], ["record_id"], False)] == list("0123")
 
 
+def test_addresses_stay_as_they_are(spark, tmp_path):
+    foreign = warc.record("response", "urn:x", "http://h/a%2Fb?c=é%20d", "2026-01-01T00:00:00Z", b"x")
+    assert b"WARC-Target-URI: http://h/a%2Fb?c=\xc3\xa9%20d\r\n" in foreign
+    (tmp_path / "a.warc").write_bytes(foreign)
+    warc.register(spark)
+    assert spark.read.format("warc").load(str(tmp_path)).first().target_uri == "http://h/a%2Fb?c=é%20d"
+    assert b"http://h/a%20b%0Ac\r\n" in warc.record("response", "urn:x", "http://h/a b\nc", "", b"")
+
+
 # quality
 
 
@@ -303,6 +312,20 @@ def test_secrets_by_brute_force(spark, leaky):
     assert secrets.scan(leaky.limit(0)).count() == 0
 
 
+def test_owners_and_repositories_tell_examples_from_live_secrets(spark, tmp_path):
+    """Through the registered query: values by how many sources and documents have them."""
+    held = {"fiveowners000": [f"s{i}" for i in range(5)], "fourowners000": [f"s{i}" for i in range(4)], "twoinmany0000": ["s0"] * 19 + ["s1"], "oneinmany0000": ["s0"] * 30, "twoinfew00000": ["s0"] * 18 + ["s1"]}
+    rows = [(n, f"{n} token={v} end", s, s) for n, (v, s) in enumerate((v, s) for v, owners in held.items() for s in owners)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {}
+    for r in queries.op10_secrets(spark, str(tmp_path)).collect():
+        found.setdefault(rows[r.doc_id][1].split("=")[1][:13], set()).add((r.n_live, r.n_example))
+    assert found == {"fiveowners000": {(0, 1)}, "fourowners000": {(1, 0)}, "twoinmany0000": {(0, 1)}, "oneinmany0000": {(1, 0)}, "twoinfew00000": {(1, 0)}}
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(db.sql(f"select doc_id, n_live, n_example, spans from ({secrets.SQL})").fetchall()) == sorted((r.doc_id, r.n_live, r.n_example, r.spans) for r in queries.op10_secrets(spark, str(tmp_path)).collect())
+
+
 def test_live_secrets_are_masked(spark, leaky):
     out = secrets.redact(leaky)
     assert out.columns == leaky.columns and out.count() == len(SECRETS)
@@ -329,6 +352,48 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
 
+ODD_NAMES = ["score", "predicted", "__gone", "__id", "__same", "__masks", "masks", "leaked_id", "leaked_same", "masked_id", "r", "rid", "c0", "k0", "node", "same", "Score_", "a.b"]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null and shared ids, null, empty, long and repeated texts, clashing columns; then an empty table."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    good = [" ".join(f"w{i}x{k % 97}" for k in range(60 + i)) for i in range(8)]
+    rows = [(i, t, "en", "s1") for i, t in enumerate(good[:4])] + [(None, good[4], None, None), (None, good[5], None, "s2"), (7, good[6], "en", "s2"), (7, good[7], "en", "s2")]
+    rows += [(20, good[0], "en", "s2"), (None, good[1] + " tail", "en", "s3"), (0, good[0], "en", "s1"), (21, None, "en", "s1"), (22, "", "en", "s1"), (23, " ", None, "s1")]
+    rows += [(24, good[2] + " " + item.upper(), "en", "s1"), (25, "x" * 200_000, "en", "s1"), (26, good[3] + " token=abcdefghij0123456", "en", "s9")]
+    base = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = base.withColumns({c: F.lit(c) for c in ODD_NAMES})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept, sf = table(spark, str(tmp_path), "documents"), str(tmp_path)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = written(stage(spark, kept, sf))
+        assert kept.columns == docs.columns, name
+        assert all(r[c] == c for r in kept.select(*[f"`{c}`" for c in docs.columns]).collect() for c in ODD_NAMES), name
+    have = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    # copies of 0 and 1 went (the null id stands for the group of 1), one row without words is left, the leak went
+    want = [(0, good[0]), (None, good[1] + " tail"), (2, good[2]), (3, good[3]), (None, good[4]), (None, good[5]), (7, good[6]), (7, good[7]), (21, None), (25, "x" * 200_000)]
+    assert have == sorted(want, key=str)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} <= {d for d, _ in want}
+    assert corpus_pipeline.secret_redaction(spark, docs, sf).where("doc_id = 26").first().text == good[3] + " [SECRET]"
+    assert [r.text for r in corpus_pipeline.decontamination(spark, docs, sf).where("doc_id = 24").collect()] == []
+    empty = f"{tmp_path}/empty"
+    for name in ("documents", "benchmark", "labels"):
+        table(spark, sf, name).limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_blocks_of_null_ids(spark):
+    """A source without ids is dealt by its texts, so its part of a budget is met within a block all the same."""
+    docs = spark.createDataFrame([(None, f"text {i} " + "w " * 8, "none") for i in range(400)] + [(i, "w " * 10, "other") for i in range(100)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, blocks=64)
+    have = {r.source: r.n for r in got.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    want = {r.source: r.budget for r in mixing.weights(mixing.token_counts(docs), 0.95, 4.0, None).collect()}
+    assert all(want[s] - 4 * 4000 / 64 <= have[s] <= want[s] + 1e-6 for s in want)
+
+
 def test_pipeline_drops_copies_and_leaks(spark, tmp_path):
     leak = table(spark, SF, "benchmark").orderBy("item_id").first().text
     clean = table(spark, MORE, "documents").join(table(spark, MORE, "labels").where("quality = 1 and toxic = 0"), "doc_id").where("n_chars between 800 and 4000").orderBy("doc_id").select("text").limit(12).collect()
