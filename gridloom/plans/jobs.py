@@ -47,7 +47,7 @@ def inventory(spark: SparkSession, path: str, tolerance: float = 1e-7) -> DataFr
     return placed.withColumns({"x": F.rint("px").cast("long"), "y": F.rint("py").cast("long")}).drop("px", "py", "c0", "f0")
 
 
-def merge(spark: SparkSession, path: str, output: str, policy: str = "last", edge: int = 512, block_tiles: int = 16, nodata: float | None = None, compression: str = "deflate", predictor: int = 1, overviews: str = "none") -> DataFrame:
+def merge(spark: SparkSession, path: str, output: str, policy: str = "last", edge: int = 512, block_tiles: int = 16, nodata: float | None = None, compression: str = "deflate", predictor: int = 1, overviews: str = "none", level: int | None = None) -> DataFrame:
     """Merges the GeoTIFFs at `path` into blocks under `output`, reads those again and gives the verification by band.
 
     policy: first, last, or error, which raises where valid samples differ. nodata: for sources that have none.
@@ -80,6 +80,8 @@ def merge(spark: SparkSession, path: str, output: str, policy: str = "last", edg
     options = {"path": output, "edge": edge, "width": block_tiles * edge, "height": block_tiles * edge, "total_width": width, "total_height": height, "bands": one.bands, "dtype": one.dtype,
                "compression": compression, "predictor": predictor, "grid": ",".join(map(repr, (corner[0], one.a, 0.0, corner[1], 0.0, one.e)))}
     options["overviews"] = overviews
+    if level is not None:
+        options["level"] = level
     if one.crs is not None and one.crs.startswith("EPSG:"):
         options["crs"] = one.crs
     if missing is not None:
