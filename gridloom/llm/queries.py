@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chunking, ctph, decontam, langid, mixing, quality, secrets, simhash, suffix, warc
+from gridloom.llm import chunking, codes, ctph, decontam, exact, langid, mixing, phrases, quality, secrets, simhash, suffix, warc
 from gridloom.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_mixing": op6_mixing,
     "op9_decontamination": op9_decontamination,
@@ -63,8 +75,14 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op8_chunk_dedup": op8_chunk_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_collocations": op13_collocations,
 }
 SQL: dict[str, str] = {
     "op9_decontamination": decontam.SQL,
     "op10_secrets": secrets.SQL,
+    "op11_vector_codes": codes.SQL,
+    "op12_exact_dedup": exact.SQL,
+    "op13_collocations": phrases.SQL,
 }
