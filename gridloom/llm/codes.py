@@ -89,7 +89,7 @@ def codebooks(kept: DataFrame, length: int, parts: int, entries: int, rounds: in
     that the driver holds.
     """
     first = kept.select("id", "vec").orderBy(F.asc_nulls_last("id"), "vec").limit(entries).collect()
-    start = np.floor(256.0 * np.array([r.vec for r in first], np.float64)).reshape(len(first), length).astype(np.int64)
+    start = _integers(pa.array([r.vec for r in first], pa.list_(pa.float64())), length)
     cut = bounds(length, parts)
     books = [start[:, a:b].copy() for a, b in cut]
     for _ in range(rounds):

@@ -58,8 +58,8 @@ def exact_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", k
     heads = heads.repartitionByRange("begin", "hash").sortWithinPartitions("begin", "hash", "norm", first("best"), "slice")
     same = Window.partitionBy("begin", "hash", "norm").orderBy(first("best"), "slice")
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    joined = heads.select("hash", "slice", "form", F.first("best").over(whole).alias("keep"), F.sum("n").over(whole).alias("size"), (F.row_number().over(same) == 1).alias("wins"))
-    spread = grouped.where("slice > 0").select("id", "hash", "slice", "form", "place", "text_sha256").join(joined, ["hash", "slice", "form"])
+    joined = heads.select("begin", "hash", "slice", "form", F.first("best").over(whole).alias("keep"), F.sum("n").over(whole).alias("size"), (F.row_number().over(same) == 1).alias("wins"))
+    spread = grouped.where("slice > 0").select("id", "begin", "hash", "slice", "form", "place", "text_sha256").join(joined, ["begin", "hash", "slice", "form"])
     spread = spread.select("id", "keep", "size", (F.col("wins") & (F.col("place") == 1)).alias("stays"), "text_sha256")
     return cold.unionByName(spread).select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.col("stays").alias("kept"), "text_sha256")
 
