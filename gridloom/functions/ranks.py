@@ -1,24 +1,11 @@
-"""A folder that all tasks share; positions and running sums over a whole table, by ranges of its order instead of one task."""
+"""Positions and running sums over a whole table, by ranges of its order instead of one task."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir); in a temporary one only where that is unset on one machine."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not (context.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="gridloom-")
-        context.setCheckpointDir(found)
-    return f"{found}/gridloom/{uuid.uuid4().hex}"
+from gridloom.functions.shared import scratch
 
 
 def running(rows: DataFrame, order: list, add: str | None = None, place: str = "place", before: str = "before") -> DataFrame:
@@ -27,19 +14,21 @@ def running(rows: DataFrame, order: list, add: str | None = None, place: str = "
     Rows are dealt to ranges of the order and written, so that ranges stay what they are; a range is counted from
     the ranges before it, of which there are as many as partitions, and its rows are numbered in a task of their own.
     """
-    spark, names = rows.sparkSession, rows.columns
-    path = scratch(spark)
-    rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    spark, names, path = rows.sparkSession, rows.columns, scratch(rows.sparkSession)
+    taken = {c.lower() for c in [*names, place, before]}
+    part, size, first, total, amount = (next(n for k in range(len(taken) + 1) if (n := f"_{c}{k or ''}") not in taken) for c in ("range", "n", "first", "total", "sum"))
+    rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()).write.parquet(path)
     dealt = spark.read.parquet(path)
-    sums = [F.count("*").alias("_n")] + ([F.sum(add).alias("_s")] if add else [])
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sized = dealt.groupBy("_range").agg(*sums)
-    offset = sized.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"), *([F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_sum")] if add else []))
-    own = Window.partitionBy("_range").orderBy(*order)
-    placed = dealt.join(F.broadcast(offset), "_range").withColumn(place, F.row_number().over(own) - 1 + F.col("_first"))
+    sums = [F.count("*").alias(size)] + ([F.sum(add).alias(amount)] if add else [])
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offset = dealt.groupBy(part).agg(*sums).select(
+        part, F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias(first), *([F.coalesce(F.sum(amount).over(earlier), F.lit(0)).alias(total)] if add else [])
+    )
+    own = Window.partitionBy(part).orderBy(*order)
+    placed = dealt.join(F.broadcast(offset), part).withColumn(place, F.row_number().over(own) - 1 + F.col(first))
     if add:
-        placed = placed.withColumn(before, F.col("_sum") + F.coalesce(F.sum(add).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.select(*[f"`{c}`" for c in names], place, *([before] if add else []))
+        placed = placed.withColumn(before, F.col(total) + F.coalesce(F.sum(add).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return placed.select(*["`" + c.replace("`", "``") + "`" for c in names], place, *([before] if add else []))
 
 
 def uniform(*parts):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.ranks import scratch
+from gridloom.functions.shared import scratch
 
 
 def best_per_tile(products: DataFrame, share: float = 0.999) -> DataFrame:

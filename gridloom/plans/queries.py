@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import mercator, rects, text
-from gridloom.functions.ranks import scratch
+from gridloom.functions.shared import scratch
 from gridloom.operators import benchmark, mosaic, planning, resample, scenes, stats, tiles
 from gridloom.plans import views
 from gridloom.sources import geotiff
