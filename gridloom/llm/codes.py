@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import written
+from gridloom.llm.common import quoted, written
 
 #: Components as integers may be this large, so that squared distances of a vector stay within 64 bits.
 MOST = 1 << 26
@@ -77,9 +77,8 @@ def _integers(column: pa.Array, length: int) -> np.ndarray:
 
 def kept_vectors(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """id, vec, label of the rows whose vector is there, all of finite numbers."""
-    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return vectors.select(quoted(id_).alias("id"), quoted(vector).cast("array<double>").alias("vec"), quoted(label).alias("label")).where(F.col("vec").isNotNull() & finite)
+    return vectors.select(F.col(quoted(id_)).alias("id"), F.col(quoted(vector)).cast("array<double>").alias("vec"), F.col(quoted(label)).alias("label")).where(F.col("vec").isNotNull() & finite)
 
 
 def codebooks(kept: DataFrame, length: int, parts: int, entries: int, rounds: int) -> list[np.ndarray]:

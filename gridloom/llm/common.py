@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.shared import scratch, shared_dir
+
 #: Text bytes that one numpy pass holds; whole documents, so a longer one is a pass of its own.
 PASS_BYTES = 1 << 20
 
@@ -19,30 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset on one machine, as in tests."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not (context.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="gridloom-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found
-
-
-#: Intermediate tables since the last release: path, and name in the catalogue where it has one.
-_tables: list[tuple[str, str | None]] = []
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder, which `release` deletes."""
-    path = f"{shared_dir(spark)}/gridloom/{uuid.uuid4().hex}"
-    _tables.append((path, None))
-    return path
-
-
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table of the shared folder: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
@@ -54,28 +31,17 @@ def written(df: DataFrame) -> DataFrame:
 def bucketed(df: DataFrame, by: str, row: str) -> DataFrame:
     """`df` as a table of the shared folder in buckets of the long `by`, with a unique long `row`; joins on `by` don't shuffle it again."""
     spark = df.sparkSession
-    path, name = scratch(spark), f"gridloom_{uuid.uuid4().hex}"
+    name = f"gridloom_{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     n = min(partitions(spark), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     dealt = df.repartition(n, by).withColumn(row, F.monotonically_increasing_id())
     dealt.write.bucketBy(n, by).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-    _tables[-1] = (path, name)
     return spark.table(name)
 
 
-def mark() -> int:
-    """How many intermediate tables there are; `release` takes what came after."""
-    return len(_tables)
-
-
-def release(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Deletes the intermediate tables made since a mark, but for the last `keep`, once no plan that is still to run reads them."""
-    done = _tables[since : len(_tables) - keep]
-    del _tables[since : since + len(done)]
-    for path, name in done:
-        if name is not None:
-            spark.sql(f"drop table if exists {name}")
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever it is made of."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def fresh(names: list[str], *wanted: str) -> list[str]:

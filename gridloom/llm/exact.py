@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh, written
+from gridloom.llm.common import fresh, quoted, written
 from gridloom.llm.decontam import LOWER, UPPER
 
 #: Code points of a text that a splitter of the ranges holds; a hash of the whole text follows, so ranges part below a common beginning.
@@ -36,7 +36,7 @@ def exact_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", k
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")
-    rows = docs.select(F.col(_quoted(id_)).alias("id"), normalised(F.col(_quoted(text))).alias("norm")).withColumn("hash", F.xxhash64("norm"))
+    rows = docs.select(F.col(quoted(id_)).alias("id"), normalised(F.col(quoted(text))).alias("norm")).withColumn("hash", F.xxhash64("norm"))
     copies = rows.groupBy("hash").agg(F.count("*").alias("n"))
     least = max(1000, docs.count() // HOT_SHARE)
     hot = copies.where(F.col("n") > least).select("hash", F.ceil(F.sqrt("n")).alias("slices"))
@@ -73,14 +73,10 @@ def drop_exact_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "tex
     names = docs.columns
     digest, gone, place, of = fresh(names, "digest", "gone", "place", "of")
     kept = exact_duplicates(docs, id_, text, keep).where("kept").select(F.col("doc_id").alias(of), F.col("text_sha256").alias(gone))
-    own = docs.withColumn(digest, F.sha2(normalised(F.col(_quoted(text))), 256))
-    own = own.join(kept, F.col(_quoted(id_)).eqNullSafe(F.col(of)) & (F.col(digest) == F.col(gone)), "left_semi")
-    one = Window.partitionBy(digest, _quoted(id_)).orderBy(F.lit(0))
-    return own.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).select(*[_quoted(c) for c in names])
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    own = docs.withColumn(digest, F.sha2(normalised(F.col(quoted(text))), 256))
+    own = own.join(kept, F.col(quoted(id_)).eqNullSafe(F.col(of)) & (F.col(digest) == F.col(gone)), "left_semi")
+    one = Window.partitionBy(digest, quoted(id_)).orderBy(F.lit(0))
+    return own.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).select(*[quoted(c) for c in names])
 
 
 SQL = """

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import arrow_batches, passes
+from gridloom.llm.common import arrow_batches, passes, quoted
 
 #: The first code point of ranges, by script.
 SCRIPTS = {
@@ -33,6 +33,8 @@ SCRIPTS = {
 BUCKETS = 1 << 15
 #: Learned texts of each language: the bound of the model.
 SAMPLE = 600
+#: Languages that are learned, those with the most texts: the other bound.
+LANGUAGES = 1000
 #: Log-probability that a change of language costs.
 SWITCH = 14.0
 #: A script that holds less than this share of a language's letters doesn't make it a candidate.
@@ -112,13 +114,14 @@ def learn(docs: DataFrame, learnable, sample: int = SAMPLE) -> dict:
     """Trigram log-probabilities and scripts of each language, from about `sample` texts of each.
 
     Distinct texts are counted, and sampled by their hash against each language's count, so copies weigh
-    nothing and no language's rows meet in one task; what reaches the driver is bounded by languages times buckets.
+    nothing and no language's rows meet in one task. The LANGUAGES with the most texts are learned, so the model is bounded, and what
+    reaches the driver is, by that times buckets.
     """
     arrow_batches(docs.sparkSession)
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text", F.lit(3)).alias("same"))
     sizes = rows.select("lang", "same").distinct().groupBy("lang").agg(F.count("*").alias("rows"))
     chance = F.pmod("same", F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # the model has a column for each language, so their list is small wherever the model is
+    sizes = sizes.orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
     some = rows.join(F.broadcast(sizes), "lang").where(chance * F.col("rows") < sample).dropDuplicates(["lang", "same"]).select("text", "lang")
     counts = some.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
@@ -238,7 +241,7 @@ def identify(docs: DataFrame, learnable=None, keep: tuple[str, ...] = ("doc_id",
     """
     model = learn(docs, F.lit(True) if learnable is None else learnable)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    rows = docs.select(*[F.col(quoted(c)).alias(c) for c in keep], "text")
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     more = ", spans array<struct<start int, stop int, lang string>>" if spans else ""
     return rows.mapInArrow(_labelled(shared, spans), f"{schema}, lang_pred string, score double{more}")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import PASS_BYTES, arrow_batches, utf8
+from gridloom.llm.common import PASS_BYTES, arrow_batches, quoted, utf8
 
 #: Hashed byte trigrams that a text is counted in.
 BUCKETS = 2048
@@ -136,7 +136,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learnable=None, keep: tupl
     """
     model = learn(docs, labels, F.lit(True) if learnable is None else learnable)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("scored"))
+    rows = docs.select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("scored"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "scored")
     made = rows.mapInArrow(_scored(shared), f"{schema}, score double")
     return made.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(added[0]), (F.col("score") >= 0.5).cast("int").alias(added[1]))

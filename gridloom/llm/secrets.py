@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh, written
+from gridloom.llm.common import fresh, quoted, written
 
 
 def _any_case(word: str) -> str:
@@ -137,7 +137,7 @@ def redact(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -
     hit = docs.join(masks.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(same)), "left").withColumn("text", masked)
     if "n_chars" in names:
         hit = hit.withColumn("n_chars", F.when(spans.isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return hit.select(*[f"`{c}`" for c in names])
+    return hit.select(*[quoted(c) for c in names])
 
 
 def _sql() -> str:

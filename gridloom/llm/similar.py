@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import arrow_batches, bucketed, components, local_roots, mix64, partitions, passes, utf8, written
+from gridloom.llm.common import arrow_batches, bucketed, components, local_roots, mix64, partitions, passes, quoted, utf8, written
 from gridloom.llm.simhash import fingerprints
 from gridloom.llm.suffix import _grouped, _Strings
 
@@ -349,14 +349,22 @@ def _counter(shingles: np.ndarray) -> np.ndarray:
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The magnitude (half powers of two) of each counter of a slice over all partitions, and the slice's sum."""
-    for key, held in _grouped(batches):
-        total = np.zeros(SLICE, np.int64)
-        for batch in held:
-            for x in batch.column(1):
-                total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+    """The magnitude (half powers of two) of each counter of a slice over all partitions, and the slice's sum; rows are added as they stream by."""
+
+    def made(key: int, total: np.ndarray) -> pa.RecordBatch:
         size = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([size.tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], ["slice", "counts", "total"])
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([size.tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], ["slice", "counts", "total"])
+
+    at, total = None, np.zeros(SLICE, np.int64)
+    for batch in batches:
+        for key, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if key != at:
+                if at is not None:
+                    yield made(at, total)
+                at, total = key, np.zeros(SLICE, np.int64)
+            total += np.frombuffer(zlib.decompress(packed.as_py()), np.uint32)
+    if at is not None:
+        yield made(at, total)
 
 
 def rarity(texts: DataFrame, words: int) -> np.ndarray:
@@ -384,6 +392,8 @@ def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarr
     return np.sort(order) & np.uint64((1 << 48) - 1)
 
 
+#: Keys of texts' prefixes, of 15 bytes each, that meet in one shard, about.
+SHARD_KEYS = 500_000
 _FIELDS = (("<u4", 4), ("<i8", 8), ("<u2", 2), ("u1", 1))
 
 
@@ -618,7 +628,9 @@ def _missed_links(texts: DataFrame, nodes: DataFrame, roots: DataFrame, words: i
     common = spark.sparkContext.broadcast(rarity(texts, words))
     own = nodes.where("size > 0").select("node", "r", F.col("rid").alias("at"))
     asked = texts.join(own.hint("shuffle_hash"), (texts["r"] == own["r"]) & (texts["rid"] - own["at"] == 0)).select("text", "node")
-    packed = asked.mapInArrow(_prefixes(words, similarity, common, partitions(spark) * 4), "shard int, packed binary")
+    shingles = nodes.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+    shards = max(partitions(spark) * 4, int((1 - similarity) * shingles) // SHARD_KEYS)
+    packed = asked.mapInArrow(_prefixes(words, similarity, common, shards), "shard int, packed binary")
     met = packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_met(similarity), "key long, node long")
     known = nodes.join(roots, "node", "left").select("node", "size", F.coalesce("component", "node").alias("component"))
     rows = written(met.join(known, "node").select("key", "node", "size", "component"))
@@ -645,7 +657,7 @@ def _classes(docs: DataFrame, words: int, similarity: float, lanes: int, mins: i
     spark = docs.sparkSession
     arrow_batches(spark)
     names = docs.columns
-    columns = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]
+    columns = [F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(names)]
     text, doc_id = f"c{names.index('text')}", f"c{names.index('doc_id')}"
     # where a row lies follows from what it holds, so that a task that runs again deals it alike; which row it is, from the table
     rows = bucketed(docs.select(*columns).withColumn("r", F.xxhash64(doc_id, text)), "r", "rid")

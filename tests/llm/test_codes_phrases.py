@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import codes, exact, phrases, queries
+from gridloom.llm import codes, exact, phrases
 
 SF = "/root/testdata/sf0.001"
 A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -230,15 +230,3 @@ def test_automaton_counts_every_string():
     for size, end, n in phrases.automaton(word, sort, place, 4):
         got |= {(sort[e], *word[e - size + 1 : e + 1].tolist()): c for e, c in zip(end, n.tolist(), strict=True)}
     assert got == want
-
-
-def test_queries_equal_their_sql(spark):
-    import duckdb
-
-    db = duckdb.connect()
-    for t in ("documents", "embeddings"):
-        db.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    for name in ("op11_vector_codes", "op12_exact_dedup", "op13_collocations"):
-        got = queries.QUERIES[name](spark, SF)
-        listed = ", ".join(f'"{c}"' for c in got.columns)
-        assert plain(got) == sorted(db.sql(f"select {listed} from ({queries.SQL[name]})").fetchall(), key=str), name

@@ -257,11 +257,11 @@ def test_contamination_by_brute_force(spark, short, monkeypatch):
 
 def against_duckdb(spark, name, drop=()):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
-    want = c.sql("select " + ", ".join(columns) + f" from ({queries.SQL[name]})").fetchall()
+    want = c.sql("select " + ", ".join(f'"{x}"' for x in columns) + f" from ({queries.SQL[name]})").fetchall()
     assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, want))
 
 
