@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -205,8 +206,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     Fingerprints are of `words`-word shingles with A-Z in lower case, repeats included; fewer words are one
     shingle, none is fingerprint zero, which is linked like any other. Fingerprints that differ in `radius`
     or fewer bits link; equal ones are one node, so copies are never expanded. Two that differ in r bits
-    agree in one of r + 1 blocks of the 64 bits, which are the keys whose rows are compared in tiles; no
-    pair is lost. Null and empty texts have no words. A null doc_id comes back as null, with the
+    agree in two of r + 2 blocks of the 64 bits, so each two blocks are a key (of 25 bits and more at radius 3) whose rows are
+    compared in tiles; no pair is lost. Null and empty texts have no words. A null doc_id comes back as null, with the
     component of its fingerprint. Repeated rows come back as often. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -214,8 +215,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     shared_dir(spark)
     prints = docs.select("doc_id", "text").mapInArrow(_fingerprint(words), "doc_id long, node long").checkpoint()
     owners = prints.groupBy("node").agg(F.min("doc_id").alias("owner"))
-    width, blocks = -(-64 // (radius + 1)), radius + 1
-    keys = [F.shiftrightunsigned("node", k * width).bitwiseAND((1 << min(width, 64 - k * width)) - 1) * blocks + k for k in range(blocks)]
+    edge = [64 * k // (radius + 2) for k in range(radius + 3)]
+    block = [F.shiftrightunsigned("node", a).bitwiseAND((1 << b - a) - 1) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    pairs = list(itertools.combinations(range(radius + 2), 2))
+    keys = [(F.shiftleft(block[a], edge[b + 1] - edge[b]) + block[b]) * len(pairs) + k for k, (a, b) in enumerate(pairs)]
     points = owners.select("node", F.bit_count("node").alias("count"), F.col("node").alias("b0"), F.explode(F.array(*keys)).alias("key"))
     roots = components(link(points, 1, radius))
     named = roots.join(owners, "node").select("component", "node", "owner")
