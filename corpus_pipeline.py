@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.shared import delete, intermediates, scratch
 from gridloom.llm import decontam, mixing, quality, secrets, similar
-from gridloom.llm.common import fresh, mark, release, table, written
+from gridloom.llm.common import fresh, quoted, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +21,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     names = tuple(docs.columns)
     score, predicted = fresh(names, "score", "predicted")
     scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), quality.fold("doc_id", 3) != 1, names, (score, predicted))
-    return scored.where(F.col(predicted) == 1).select(*[f"`{c}`" for c in names])
+    return scored.where(F.col(predicted) == 1).select(*[quoted(c) for c in names])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,10 +79,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over `documents`, each written and read again; what a stage needed is deleted once it is written."""
-    docs, begun = table(spark, sf_dir, "documents"), mark()
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs)
-            release(spark, begun, keep=1)
-    return docs
+    docs, read = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = scratch(spark)
+        with intermediates(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if read is not None:
+            delete(spark, read)
+        docs, read = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
