@@ -181,3 +181,13 @@ def density(windows: DataFrame, sampled: int = 8, seed: int = 1) -> DataFrame:
     pick = Window.partitionBy("source").orderBy(uniform(seed, F.col("source"), F.col("window")), "window")
     some = windows.withColumn("i", F.row_number().over(pick)).where(F.col("i") <= sampled)
     return some.groupBy("source").agg((F.sum("bytes") / F.sum("pixels")).alias("bytes_per_pixel"))
+
+
+def resumption(plan: DataFrame, state: DataFrame, files: DataFrame) -> DataFrame:
+    """(block, status) of a job's blocks: done, if its file is as the state says (bytes and sha256), else pending, if nothing is there, else again;
+    unexpected, if the plan hasn't it. A block of several rows of state is done if its file is as one of them says."""
+    same = state.join(files, ["block", "bytes", "sha256"], "left_semi").select("block").distinct().withColumn("same", F.lit(True))
+    known = state.select("block").union(files.select("block")).distinct().withColumn("known", F.lit(True))
+    rows = plan.select("block").distinct().withColumn("planned", F.lit(True)).join(known, "block", "full_outer").join(same, "block", "left")
+    status = F.when(F.col("planned").isNull(), "unexpected").when(F.col("same"), "done").when(F.col("known"), "again").otherwise("pending")
+    return rows.select("block", status.alias("status"))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import threading
 import uuid
 from collections.abc import Callable
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.ranks import running
 from gridloom.functions.rects import whole
+from gridloom.functions.shared import intermediates, written
 from gridloom.operators import mosaic, planning, resample, tiles
-from gridloom.sources import geotiff
+from gridloom.operators import windows as rasters
+from gridloom.sources import files, geotiff
 
 
 class InputError(ValueError):
@@ -22,21 +27,26 @@ class InputError(ValueError):
 def inventory(spark: SparkSession, path: str, tolerance: float = 1e-7) -> DataFrame:
     """The files at `path` as ord, path, their metadata and x, y, their place on the grid of the first by name.
 
-    Only headers are read. Files of another type, NoData value, pixel size, coordinate system or alignment than the
-    first raise, and so do alpha bands and palettes.
+    Only headers are read. Files of another type, NoData value, pixel size, coordinate system, alignment or meaning of a pixel (point or
+    area) than the first raise, and so do alpha bands, palettes, 64-bit integers, and NoData values that the type can't hold.
     """
     geotiff.register(spark)
     meta = spark.read.format("geotiff").option("mode", "metadata").load(path)
     meta = running(meta, [F.lower("path"), "path"], place="ord").withColumn("ord", F.col("ord").cast("long"))
-    held = meta.where("alpha or palette").select("path", "alpha").orderBy("path").head(1)
+    held = meta.where("alpha or palette or dtype in ('int64', 'uint64')").select("path", "alpha", "palette", "dtype").orderBy("path").head(1)
     if held:
-        raise InputError(f"{held[0].path} has {'an alpha band' if held[0].alpha else 'a palette'}")
+        raise InputError(f"{held[0].path} has {'an alpha band' if held[0].alpha else 'a palette' if held[0].palette else '64-bit integers'}")
     odd = mosaic.compatible(meta, ["bands", "dtype", "nodata", "a", "b", "d", "e"]).select("path").head(1)
     if odd:
         raise InputError(f"{odd[0].path} has another type, NoData value or pixel size than the first file")
-    odd = mosaic.compatible(meta, ["crs"]).select("path").head(1)
+    if (one := meta.where("ord = 0").first()) is not None and one.nodata is not None and not geotiff.representable(one.nodata, one.dtype):
+        raise InputError(f"{one.path}: {one.dtype} can't hold its NoData value {one.nodata}")
+    odd = mosaic.compatible(meta, ["system"]).select("path").head(1)
     if odd:
         raise InputError(f"{odd[0].path} has another coordinate system than the first file")
+    odd = mosaic.compatible(meta, ["point"]).select("path").head(1)
+    if odd:
+        raise InputError(f"{odd[0].path}: points and areas can't be mixed")
     first = meta.where("ord = 0").select(F.col("c").alias("c0"), F.col("f").alias("f0"))
     placed = meta.join(F.broadcast(first), F.lit(True))
     x, y = (F.col("c") - F.col("c0")) / F.col("a"), (F.col("f") - F.col("f0")) / F.col("e")
@@ -47,50 +57,131 @@ def inventory(spark: SparkSession, path: str, tolerance: float = 1e-7) -> DataFr
     return placed.withColumns({"x": F.rint("px").cast("long"), "y": F.rint("py").cast("long")}).drop("px", "py", "c0", "f0")
 
 
-def merge(spark: SparkSession, path: str, output: str, policy: str = "last", edge: int = 512, block_tiles: int = 16, nodata: float | None = None, compression: str = "deflate", predictor: int = 1, overviews: str = "none", level: int | None = None) -> DataFrame:
+#: Sources up to which their places are sent to all tasks; beyond, windows are shuffled by path.
+BROADCAST_SOURCES = 200_000
+
+
+def _block(bx, by):
+    return F.format_string("block_%04d_%04d", by, bx)
+
+
+def _resumed(spark: SparkSession, output: str, blocks: DataFrame, signature: str) -> DataFrame:
+    """The blocks that are still to be written: those whose file isn't there as the state has it. Other inputs, options or files raise."""
+    store, folder = files.opened(output)
+    plan = f"{folder}/_state/plan.json"
+    there = spark.createDataFrame([(x.base_name.rsplit(".", 1)[0], x.path) for x in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if x.is_file and x.path.lower().endswith((".tif", ".tiff"))], "block string, path string")
+    if not store.get_file_info(plan).is_file:
+        if there.head(1):
+            raise InputError(f"{output} has rasters but no state of a job")
+        store.create_dir(f"{folder}/_state/blocks", recursive=True)
+        with store.open_output_stream(plan) as out:
+            out.write(json.dumps({"signature": signature}).encode())
+        return blocks
+    with store.open_input_file(plan) as stream:
+        if json.loads(stream.read())["signature"] != signature:
+            raise InputError(f"{output} belongs to other inputs or options")
+    state = spark.read.schema("block string, bytes long, sha256 string").json(f"{output}/_state/blocks")
+    status = planning.resumption(blocks, state, files.fingerprints(there))
+    status = written(status)
+    odd = status.where("status = 'unexpected'").orderBy("block").head(1)
+    if odd:
+        raise InputError(f"{output} has {odd[0].block}, which is no block of this job")
+    return status.where("status <> 'done'").select("block")
+
+
+def merge(spark: SparkSession, path: str, output: str, policy: str = "last", edge: int = 512, block_tiles: int = 16, nodata: float | None = None, compression: str = "deflate", predictor: int = 1, overviews: str = "none", level: int | None = None, resume: bool = False) -> DataFrame:
     """Merges the GeoTIFFs at `path` into blocks under `output`, reads those again and gives the verification by band.
 
-    policy: first, last, or error, which raises where valid samples differ. nodata: for sources that have none.
-    Samples go from files to tiles of the common grid, tiles of a place meet in one shuffle, and each block is
-    written by one task. The check composes the sources once more, from the other end of their order and with gaps filled
-    where the writer overwrites, and compares tiles with tiles.
+    policy: first, last, or error, which raises where valid samples differ. nodata: for sources that have none; where neither has one, a mask
+    directory says what no source covers or masks. Samples keep the files' type: windows are cut at the tiles of the common grid, meet
+    in one shuffle by block, and each block is composed and written by one task. The check reads sources and blocks, composes the sources from
+    the other end of their order with gaps filled where the writer overwrites, and compares bits in one more shuffle. Where it finds any difference
+    the files that this call wrote are deleted and InputError is raised.
+
+    resume: each block appears as soon as it is whole, with a row of state; a call over the same inputs and options checks the
+    digests of what is there and writes only the rest. Otherwise all files appear or none.
     """
+    with intermediates(spark):
+        return _merge(spark, path, output, policy, edge, block_tiles, nodata, compression, predictor, overviews, level, resume)
+
+
+def _merge(spark, path, output, policy, edge, block_tiles, nodata, compression, predictor, overviews, level, resume):
     sources = inventory(spark, path)
-    box = sources.agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("r"), F.max(F.col("y") + F.col("height")).alias("b")).first()
+    box = sources.agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("r"), F.max(F.col("y") + F.col("height")).alias("b"), F.count("*").alias("n")).first()
     one = sources.where("ord = 0").first()
+    if one is None:
+        raise InputError(f"no GeoTIFF at {path}")
     missing = one.nodata if one.nodata is not None else nodata
-    width, height = box.r - box.x, box.b - box.y
-    if missing is None and sources.agg(F.sum(F.col("width") * F.col("height"))).first()[0] < width * height:
-        raise InputError("the files leave space between them and have no NoData value; give one")
+    if missing is not None and not geotiff.representable(float(missing), one.dtype):
+        raise InputError(f"{one.dtype} can't hold NoData {missing}")
+    width, height, step = box.r - box.x, box.b - box.y, block_tiles * edge
     place = sources.select("path", "ord", (F.col("x") - box.x).alias("ox"), (F.col("y") - box.y).alias("oy"))
-    windows = spark.read.format("geotiff").load(path).join(place, "path").withColumns({"x": F.col("x") + F.col("ox"), "y": F.col("y") + F.col("oy")})
+    corner = (one.c + box.x * one.a, one.f + box.y * one.e)
+    options = {"path": output, "edge": edge, "width": step, "height": step, "total_width": width, "total_height": height, "bands": one.bands, "dtype": one.dtype, "samples": "stored",
+               "compression": compression, "predictor": predictor, "grid": ",".join(map(repr, (corner[0], one.a, 0.0, corner[1], 0.0, one.e))), "overviews": overviews}
+    options |= {"geo": one.geo} if one.geo is not None else {}
+    options |= {"level": level} if level is not None else {}
+    options |= {"nodata": repr(float(missing))} if missing is not None else {"mask": "yes"}
+
+    def windows(**more) -> DataFrame:
+        read = spark.read.format("geotiff").options(samples="stored", strict="true", **more).load(path)
+        side = F.broadcast(place) if box.n <= BROADCAST_SOURCES else place
+        return read.join(side, "path").withColumns({"x": F.col("x") + F.col("ox"), "y": F.col("y") + F.col("oy")})
+
     if policy == "error":
-        cells = tiles.window_cells(windows.withColumn("path", F.col("ord").cast("string"))).withColumn("ord", F.col("path").cast("long")).withColumn("src", F.col("ord")).withColumn("valid", F.lit(True))
-        clash = mosaic.overlap_conflicts(cells).where("conflicting_band_samples > 0").orderBy("first_src", "second_src").head(1)
+        clash = _strict(lambda: rasters.conflicts(rasters.parts(windows(), edge, one.dtype), edge, one.dtype).orderBy("first", "second").head(1))
         if clash:
-            raise InputError(f"sources {clash[0].first_src} and {clash[0].second_src} differ in {clash[0].conflicting_band_samples} samples, first at {clash[0].example.x}, {clash[0].example.y}")
-    made = tiles.compose(tiles.rebased(windows, edge), "first" if policy == "first" else "last")
-    fill = 0.0 if missing is None else float(missing)
+            raise InputError(f"sources {clash[0].first} and {clash[0].second} differ in {clash[0].n} samples, first at {clash[0].x}, {clash[0].y}")
+    span = lambda at, n: F.sequence(F.floor(F.col(at) / step), F.floor((F.col(at) + F.col(n) - 1) / step))
+    own = sources.select("path", (F.col("x") - box.x).alias("x"), (F.col("y") - box.y).alias("y"), "width", "height")
+    own = own.select("path", "y", "height", F.explode(span("x", "width")).alias("bx")).select("path", "bx", F.explode(span("y", "height")).alias("by")).select("path", _block(F.col("bx"), F.col("by")).alias("block"))
+    todo = blocks = own.select("block").distinct()
     bx, by = F.floor(F.col("tx") / block_tiles), F.floor(F.col("ty") / block_tiles)
+    more = {}
+    if resume:
+        facts = sources.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("path", "stored_bytes", "width", "height", "c", "f")).alias("x"), F.sum(F.xxhash64("path", "stored_bytes", "ord").cast("decimal(38,0)")).alias("s")).first()
+        signature = hashlib.sha256(json.dumps([*map(str, facts), policy, block_tiles, options], sort_keys=True).encode()).hexdigest()
+        todo = written(_resumed(spark, output, blocks, signature))
+        options["state"] = f"{output}/_state/blocks"
+        wanted = own.join(todo, "block", "left_semi").select("path").distinct().limit(BROADCAST_SOURCES + 1).collect()
+        if len(wanted) <= BROADCAST_SOURCES:
+            more["files"] = json.dumps([r.path for r in wanted])
+    cut = rasters.parts(windows(**more), edge, one.dtype).withColumn("block", _block(bx, by))
+    if resume:
+        cut = cut.join(todo, "block", "left_semi")
+    keys = ["block", *rasters.PLACE]
+    made = rasters.composed(cut.repartition("block").sortWithinPartitions(*keys, "ord"), edge, one.dtype, "first" if policy == "first" else "last", 0.0 if missing is None else float(missing))
     rows = made.select(
-        F.format_string("block_%04d_%04d", by, bx).alias("block"), "band", (F.col("tx") - bx * block_tiles).cast("int").alias("tx"), (F.col("ty") - by * block_tiles).cast("int").alias("ty"),
-        tiles.filled("samples", "valid", fill).alias("samples"), (bx * block_tiles * edge).alias("left"), (by * block_tiles * edge).alias("top"),
-    )
-    corner = (one.c + box.x * one.a, one.f + box.y * one.e)
-    options = {"path": output, "edge": edge, "width": block_tiles * edge, "height": block_tiles * edge, "total_width": width, "total_height": height, "bands": one.bands, "dtype": one.dtype,
-               "compression": compression, "predictor": predictor, "grid": ",".join(map(repr, (corner[0], one.a, 0.0, corner[1], 0.0, one.e)))}
-    options["overviews"] = overviews
-    if level is not None:
-        options["level"] = level
-    if one.crs is not None and one.crs.startswith("EPSG:"):
-        options["crs"] = one.crs
-    if missing is not None:
-        options["nodata"] = repr(fill)
-    rows.repartition("block").sortWithinPartitions("block").write.format("geotiff").mode("append").options(**options).save()
-    written = inventory(spark, output).select("path", F.rint((F.col("c") - corner[0]) / F.col("a")).cast("long").alias("ox"), F.rint((F.col("f") - corner[1]) / F.col("e")).cast("long").alias("oy"))
-    back = spark.read.format("geotiff").load(output).join(written, "path").withColumns({"x": F.col("x") + F.col("ox"), "y": F.col("y") + F.col("oy"), "ord": F.lit(0).cast("long")})
-    again = tiles.compose(tiles.rebased(windows.withColumn("ord", -F.col("ord")), edge), "last" if policy == "first" else "first")
-    return tiles.verify(again, tiles.compose(tiles.rebased(back, edge)))
+        _block(bx, by).alias("block"), "band", (F.col("tx") - bx * block_tiles).cast("int").alias("tx"), (F.col("ty") - by * block_tiles).cast("int").alias("ty"), "samples", "valid", (bx * step).alias("left"), (by * step).alias("top")
+    )
+    if not resume or more.get("files") != "[]":
+        _strict(lambda: rows.write.format("geotiff").mode("append").options(**options).save())
+    meta = spark.read.format("geotiff").option("mode", "metadata").load(output)
+    there = meta.select("path", F.rint((F.col("c") - corner[0]) / F.col("a")).cast("long").alias("ox"), F.rint((F.col("f") - corner[1]) / F.col("e")).cast("long").alias("oy"))
+    back = spark.read.format("geotiff").option("samples", "stored").load(output).join(there, "path").withColumns({"x": F.col("x") + F.col("ox"), "y": F.col("y") + F.col("oy"), "ord": F.lit(0).cast("long")})
+    other = rasters.parts(windows().withColumn("ord", -F.col("ord")), edge, one.dtype)
+    report = rasters.verify(other, rasters.parts(back, edge, one.dtype), edge, one.dtype, "last" if policy == "first" else "first")
+    found = report.orderBy("band").collect()
+    wrong = [r for r in found if r.missing or r.unexpected or r.different]
+    if wrong:
+        store, folder = files.opened(output)
+        for r in todo.collect():
+            for name in (f"{folder}/{r.block}.tif", f"{folder}/_state/blocks/{r.block}.json"):
+                if store.get_file_info(name).is_file:
+                    store.delete_file(name)
+        raise InputError(f"band {wrong[0].band} came back with {wrong[0].missing} samples missing, {wrong[0].unexpected} unexpected and {wrong[0].different} different")
+    return spark.createDataFrame(found, report.schema)
+
+
+def _strict(work):
+    """The result of `work`; a source whose mask contradicts its NoData value, or bands of different masks without one, make an InputError."""
+    try:
+        return work()
+    except Exception as error:
+        for said in ("its mask has NoData values marked valid", "bands of different masks need a NoData value"):
+            if said in str(error):
+                raise InputError(next((x.split("ValueError: ")[-1] for x in str(error).splitlines() if said in x), said)) from error
+        raise
 
 
 def without_overviews(spark: SparkSession, path: str) -> DataFrame:

@@ -13,10 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _ORDER = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
 
 
+#: Values that each of the ordering columns has room for. Their product is below 10^38, which is a hundred thousand times scale factor 1.
+_ROOM = {"l_suppkey": 10**10, "l_orderkey": 10**12, "l_linenumber": 10, "l_partkey": 10**11, "l_quantity": 100}
+
+
 def _place() -> Column:
-    """Supplier, order, line, part and quantity, which no two rows share, as one number in that order (up to scale factor 1): aggregates by it stay in hash tables."""
-    shift = lambda c, n: F.shiftleft(F.col(c).cast("long"), n)
-    return shift("l_suppkey", 48) + shift("l_orderkey", 27) + shift("l_linenumber", 24) + shift("l_partkey", 6) + F.col("l_quantity").cast("long")
+    """Supplier, order, line, part and quantity, which no two rows share, as one decimal in that order: aggregates by it stay in hash tables.
+
+    A value beyond its column's room raises, as numbers of other rows would run into it.
+    """
+    out = None
+    for name, room in _ROOM.items():
+        value = F.when(F.col(name).between(0, room - 1), F.col(name).cast("long")).otherwise(F.raise_error(F.lit(f"{name} is beyond {room}")).cast("long"))
+        digits = len(str(room - 1))
+        out = value.cast(f"decimal({digits},0)") if out is None else out * F.lit(room).cast(f"decimal({digits + 1},0)") + value.cast(f"decimal({digits},0)")
+    return out.cast("decimal(38,0)")
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:

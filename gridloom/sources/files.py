@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +50,22 @@ def digests(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame
     """path, size and sha256 of files, as a manifest."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     return rows.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def fingerprints(files: DataFrame, chunk: int = 8 << 20) -> DataFrame:
+    """block, bytes and sha256 of files (block, path), read as streams where Spark puts the rows; a file may be of any size."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for block, path in zip(frame["block"], frame["path"], strict=True):
+                digest, size = hashlib.sha256(), 0
+                store, name = opened(path)
+                with store.open_input_stream(name) as stream:
+                    while data := stream.read(chunk):
+                        digest.update(data)
+                        size += len(data)
+                out.append((block, size, digest.hexdigest()))
+            yield pd.DataFrame(out, columns=["block", "bytes", "sha256"])
+
+    return files.repartition("block").mapInPandas(run, "block string, bytes long, sha256 string")

@@ -1,15 +1,20 @@
 """GeoTIFF as a Spark data source and sink.
 
 `spark.read.format("geotiff").load(path)` gives a row per stored tile: path, band, x, y, w, h, samples (doubles in
-reading order) and valid (a byte each). Option mode=metadata gives a row per file from its header alone; option
-window=x,y,w,h plans only the tiles that meet it, and so do filters on path, band, x and y, which are pushed down to
-the stored tiles. Small files share a partition, the tiles of a large one are dealt to several, and only large ones
-are opened to plan that. `df.write.format("geotiff")` takes rows (block, band, tx, ty, samples) sorted by block and
+reading order) and valid (a byte each). With option samples=stored, samples have the file's type (little endian) and
+valid is a bit each, most significant first, or null where all are. Samples are valid where the file's mask (a mask directory, or a file
+.msk beside it) says so and they aren't its NoData value; with strict=true a NoData value that the mask calls valid raises.
+Option mode=metadata gives a row per file from its header alone; option
+window=x,y,w,h and files=[paths] in JSON plan only the tiles that meet it, and so do filters on path, band, x and y, which are pushed down to
+the stored tiles. Small files share a partition, a large one is dealt to several by shares of its tiles; none is
+opened to plan that. `df.write.format("geotiff")` takes rows (block, band, tx, ty, samples) sorted by block and
 writes a file per block: all directories first, then the tiles of the smallest overview up to the raster's own.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import lzma
 import operator
 import struct
@@ -17,6 +22,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -29,7 +35,7 @@ from gridloom.sources.files import opened
 TILES = "path string, band int, x long, y long, w int, h int, samples binary, valid binary"
 METADATA = (
     "path string, width long, height long, bands int, dtype string, nodata double, c double, a double, b double, f double, d double, e double, "
-    "compression string, predictor int, tile_width int, tile_height int, tiles int, stored_bytes long, levels int, crs string, alpha boolean, palette boolean, faults array<string>"
+    "compression string, predictor int, tile_width int, tile_height int, tiles int, stored_bytes long, levels int, crs string, alpha boolean, palette boolean, faults array<string>, masked boolean, point boolean, system string, geo string"
 )
 #: Fixed values of the TIFF format: compression codes, sample formats, sizes of field types.
 CODECS = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773, "lzma": 34925, "zstd": 50000}
@@ -77,6 +83,7 @@ def described(tags: dict) -> dict:
     width, height, bands = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
     tw, th = (tags[322][0], tags[323][0]) if 322 in tags else (width, min(tags.get(278, (height,))[0], height))
     kind = KINDS[tags.get(339, (1,))[0]]
+    bits = tags[258][0] if 258 in tags else 1
     scale, tie = tags.get(33550), tags.get(33922)
     if 34264 in tags:
         m = tags[34264]
@@ -85,48 +92,97 @@ def described(tags: dict) -> dict:
         grid = (tie[3] - tie[0] * scale[0], scale[0], 0.0, tie[4] + tie[1] * scale[1], 0.0, -scale[1])
     else:
         grid = (0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
+    if is_point(tags):  # the place given is the middle of the first pixel
+        grid = (grid[0] - (grid[1] + grid[2]) / 2, grid[1], grid[2], grid[3] - (grid[4] + grid[5]) / 2, grid[4], grid[5])
     nodata = tags[42113][0].rstrip(b"\0 ").decode() if 42113 in tags else None
     return {
-        "width": width, "height": height, "bands": bands, "dtype": f"{tags['order']}{kind}{tags[258][0] // 8}", "nodata": float(nodata) if nodata else None, "grid": grid,
+        "width": width, "height": height, "bands": bands, "dtype": f"{tags['order']}{kind}{max(1, bits // 8)}", "nodata": float(nodata) if nodata else None, "grid": grid,
         "codec": NAMES.get(tags.get(259, (1,))[0]), "predictor": tags.get(317, (1,))[0], "tile": (tw, th), "planar": tags.get(284, (1,))[0],
-        "offsets": tags.get(324) or tags.get(273), "counts": tags.get(325) or tags.get(279), "strips": 322 not in tags,
+        "offsets": tags.get(324) or tags.get(273), "counts": tags.get(325) or tags.get(279), "strips": 322 not in tags, "bits": bits,
     }
 
 
+def images(levels: list[dict]) -> tuple[list[dict], list[dict]]:
+    """The directories of a raster and its overviews, and those of masks."""
+    mask = lambda tags: bool(tags.get(254, (0,))[0] & 4)
+    return [x for x in levels if not mask(x)], [x for x in levels if mask(x)]
+
+
+def _keys(tags: dict) -> dict[int, object]:
+    """The values of the GeoKeys, wherever they are kept."""
+    keys, out = tags.get(34735) or (), {}
+    for i in range(4, len(keys) - 3, 4):
+        key, at, n, value = keys[i : i + 4]
+        if at == 34736:
+            value = list(tags.get(34736, ())[value : value + n])
+        elif at == 34737:
+            value = tags.get(34737, (b"",))[0][value : value + n].decode("latin-1").rstrip("|\0 ")
+        out[key] = value
+    return out
+
+
+def is_point(tags: dict) -> bool:
+    return _keys(tags).get(1025) == 2
+
+
 def reference_system(tags: dict) -> str | None:
     """EPSG code of the GeoKeys, else the name that they give a system of their own, else none."""
-    keys = tags.get(34735)
-    if not keys:
-        return None
-    found = {keys[i]: keys[i + 1 : i + 4] for i in range(4, 4 + 4 * keys[3], 4)}
+    found = _keys(tags)
     for key in (3072, 2048):  # projected, geographic
-        if key in found and found[key][0] == 0 and found[key][2] not in (0, 32767):
-            return f"EPSG:{found[key][2]}"
-    for key in (3073, 1026, 2049):  # names
-        if key in found and found[key][0] == 34737:
-            _, n, at = found[key]
-            return tags[34737][0][at : at + n].decode("latin-1").rstrip("|\0 ")
-    return None
+        if found.get(key) not in (None, 0, 32767):
+            return f"EPSG:{found[key]}"
+    return next((found[key] for key in (3073, 1026, 2049) if found.get(key)), None)  # names
+
+
+def system(tags: dict) -> str | None:
+    """What tells coordinate systems apart: the EPSG code, else all GeoKeys but for names and what a pixel is; none without keys."""
+    found, named = _keys(tags), reference_system(tags)
+    if not found or named is not None and named.startswith("EPSG:"):
+        return named if found else None
+    return json.dumps({str(k): v for k, v in sorted(found.items()) if k not in (1025, 1026, 2049, 3073)}, sort_keys=True)
 
 
-def geo_keys(crs: str) -> list[int]:
-    """The GeoKeys of an EPSG code; those from 4000 to 4999 are geographic. Pixels are areas."""
+def geo_tags(tags: dict) -> str | None:
+    """The tags of the GeoKeys as they are, for a writer's option `geo`."""
+    kept = {str(t): tags[t][0].decode("latin-1") if t == 34737 else list(tags[t]) for t in (34735, 34736, 34737) if t in tags}
+    return json.dumps(kept) if "34735" in kept else None
+
+
+#: EPSG codes whose kind is known without a register: geographic ones, and ranges of projected ones.
+GEOGRAPHIC = (4258, 4267, 4269, 4283, 4326, 6318, 7844)
+PROJECTED = ((3857, 3857), (25828, 25838), (26901, 26923), (32601, 32660), (32701, 32760))
+
+
+def geo_keys(crs: str, kind: str | None = None) -> list[int]:
+    """The GeoKeys of an EPSG code, which is geographic or projected. Pixels are areas."""
     code = int(crs.upper().removeprefix("EPSG:"))
-    geographic = 4000 <= code < 5000
+    kind = kind or ("geographic" if code in GEOGRAPHIC else "projected" if any(a <= code <= b for a, b in PROJECTED) else None)
+    if kind not in ("geographic", "projected"):
+        raise ValueError(f"say with option crs_kind whether EPSG:{code} is geographic or projected")
+    geographic = kind == "geographic"
     return [1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, code]
 
 
+def representable(value: float, dtype: str) -> bool:
+    """Whether a type holds a number as it is; NaN only fits floating ones."""
+    kind = np.dtype(dtype)
+    if kind.kind == "f":
+        with np.errstate(over="ignore"):
+            return value != value or float(kind.type(value)) == value
+    return value == value and value == int(value) and np.iinfo(kind).min <= value <= np.iinfo(kind).max if abs(value) != float("inf") else False
+
+
 def structure_faults(levels: list[dict], edge: int = 512) -> list[str]:
     """What keeps a file from being cloud optimised: tiles, overviews that halve, directories first, small levels before large."""
-    faults, images = [], [described(x) for x in levels]
-    if any(d["strips"] and max(d["width"], d["height"]) > edge for d in images):
+    faults, found = [], [described(x) for x in images(levels)[0]]
+    if any(d["strips"] and max(d["width"], d["height"]) > edge for d in found):
         faults.append("not tiled")
-    if max(images[0]["width"], images[0]["height"]) > edge and len(images) < 2:
+    if max(found[0]["width"], found[0]["height"]) > edge and len(found) < 2:
         faults.append("no overviews")
-    sizes = [(d["width"], d["height"]) for d in images]
+    sizes = [(d["width"], d["height"]) for d in found]
     if any(b[0] >= a[0] and b[1] >= a[1] for a, b in zip(sizes, sizes[1:], strict=False)):
         faults.append("overviews don't shrink")
-    first = [min((o for o, n in zip(d["offsets"], d["counts"], strict=True) if n), default=None) for d in images]
+    first = [min((o for o, n in zip(d["offsets"], d["counts"], strict=True) if n), default=None) for d in found]
     if any(at is not None and at < max(x["at"] for x in levels) for at in first):
         faults.append("tiles before directories")
     known = [at for at in first if at is not None]
@@ -239,8 +295,10 @@ def differenced(x: np.ndarray, predictor: int) -> bytes:
     return x.tobytes()
 
 
-def restored(data: bytes, dtype: str, w: int, h: int, planes: int, predictor: int) -> np.ndarray:
+def restored(data: bytes, dtype: str, w: int, h: int, planes: int, predictor: int, bits: int = 8) -> np.ndarray:
     kind = np.dtype(dtype)
+    if bits == 1:
+        return np.unpackbits(np.frombuffer(data, np.uint8).reshape(h, -1), axis=1)[:, : w * planes].reshape(h, w, planes)
     if predictor == 2:
         whole = np.frombuffer(data, f"{dtype[0]}u{kind.itemsize}")[: w * h * planes].reshape(h, w, planes)
         x = np.cumsum(whole, axis=1, dtype=whole.dtype.newbyteorder("="))
@@ -253,22 +311,66 @@ def restored(data: bytes, dtype: str, w: int, h: int, planes: int, predictor: in
 
 
 class _Part(InputPartition):
-    """Files, or some tiles of one."""
+    """Files, or the share-th of several shares of the tiles of one."""
 
-    def __init__(self, paths: list[str], first: int, last: int | None):
-        super().__init__((paths, first, last))
-        self.paths, self.first, self.last = paths, first, last
+    def __init__(self, paths: list[str], share: int = 0, shares: int = 1):
+        super().__init__((paths, share, shares))
+        self.paths, self.share, self.shares = paths, share, shares
 
 
-#: Bytes of files that share a partition, and beyond which a file is dealt to several.
-SHARED_BYTES = 32 << 20
+#: Bytes of files that share a partition, and of a share of a larger one; option partition_bytes.
+SHARED_BYTES = 8 << 20
+#: Bytes of samples in a batch of rows.
+BATCH_BYTES = 4 << 20
 _TESTS = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
 
 
+def _bytes(d: dict, rows: int) -> int:
+    planes = d["bands"] if d["planar"] == 1 else 1
+    return -(-d["tile"][0] * planes // 8) * rows if d["bits"] == 1 else d["tile"][0] * rows * planes * np.dtype(d["dtype"]).itemsize
+
+
+def stored_tile(stream, d: dict, i: int) -> np.ndarray:
+    """The i-th stored tile or strip of a directory, rows by columns by planes; one that isn't stored is of zeros."""
+    (tw, th), across = d["tile"], -(-d["width"] // d["tile"][0])
+    down = -(-d["height"] // th)
+    planes = d["bands"] if d["planar"] == 1 else 1
+    rows = min(th, d["height"] - i % (across * down) // across * th) if d["strips"] else th
+    if not d["counts"][i]:
+        return np.zeros((rows, tw, planes), d["dtype"])
+    stream.seek(d["offsets"][i])
+    data = decoded(stream.read(d["counts"][i]), d["codec"], _bytes(d, rows))
+    return restored(data, d["dtype"], tw, rows, planes, d["predictor"], d["bits"])
+
+
+class _Mask:
+    """The validity that a mask directory gives windows of the raster; the last tiles that were read are kept."""
+
+    def __init__(self, stream, d: dict):
+        self.stream, self.d, self.held = stream, d, {}
+
+    def window(self, band: int, x: int, y: int, w: int, h: int) -> np.ndarray:
+        d, (tw, th) = self.d, self.d["tile"]
+        across, down = -(-d["width"] // tw), -(-d["height"] // th)
+        out = np.zeros((h, w), bool)
+        plane = band if d["bands"] > 1 else 0
+        for ty in range(y // th, (y + h - 1) // th + 1):
+            for tx in range(x // tw, (x + w - 1) // tw + 1):
+                at = ty * across + tx + (plane * across * down if d["planar"] != 1 else 0)
+                if at not in self.held:
+                    if len(self.held) > 8:
+                        self.held.pop(next(iter(self.held)))
+                    self.held[at] = stored_tile(self.stream, d, at) > 0
+                tile = self.held[at][:, :, plane if d["planar"] == 1 else 0]
+                a, b, c, e = max(x, tx * tw), min(x + w, (tx + 1) * tw), max(y, ty * th), min(y + h, (ty + 1) * th)
+                out[c - y : e - y, a - x : b - x] = tile[c - ty * th : e - ty * th, a - tx * tw : b - tx * tw]
+        return out
+
+
 class GeoTiffReader(DataSourceReader):
     def __init__(self, options):
         self.options, self.tests = options, []
-        self.metadata = options.get("mode") == "metadata"
+        self.metadata, self.stored, self.strict = options.get("mode") == "metadata", options.get("samples") == "stored", options.get("strict") == "true"
         self.window = tuple(int(v) for v in options["window"].split(",")) if "window" in options else None
 
     def pushFilters(self, filters):
@@ -286,45 +388,75 @@ class GeoTiffReader(DataSourceReader):
         store, path = opened(self.options["path"])
         info = store.get_file_info(path)
         found = store.get_file_info(fs.FileSelector(path)) if info.type == fs.FileType.Directory else [info]
-        return store, sorted(((x.path, x.size) for x in found if x.is_file and x.path.lower().endswith((".tif", ".tiff")) and self._passes(path=x.path)), key=lambda p: (p[0].lower(), p))
+        only = set(json.loads(self.options["files"])) if "files" in self.options else None
+        return sorted(((x.path, x.size) for x in found if (only is None or x.path in only) and x.is_file and x.path.lower().endswith((".tif", ".tiff", ".ovr")) and (info.is_file or not x.path.endswith(".ovr")) and self._passes(path=x.path)), key=lambda p: (p[0].lower(), p))
 
     def partitions(self):
-        store, files = self._files()
-        out, step, size = [], int(self.options.get("tiles_per_partition", 64)), 0
-        for path, n in files:
-            if not self.metadata and n > SHARED_BYTES:
-                with store.open_input_file(path) as stream:
-                    tiles = len(described(directories(stream)[0])["offsets"])
-                out += [_Part([path], i, min(i + step, tiles)) for i in range(0, tiles, step)]
-                size = SHARED_BYTES
-            elif out and out[-1].last is None and size + n <= SHARED_BYTES:
+        out, size, most = [], 0, int(self.options.get("partition_bytes", SHARED_BYTES))
+        for path, n in self._files():
+            if not self.metadata and n > most:
+                shares = -(-n // most)
+                out += [_Part([path], k, shares) for k in range(shares)]
+                size = most
+            elif out and out[-1].shares == 1 and size + n <= most:
                 out[-1].paths.append(path)
                 size += n
             else:
-                out.append(_Part([path], 0, None))
+                out.append(_Part([path]))
                 size = n
-        return out or [_Part([], 0, None)]
+        return out or [_Part([])]
 
     def read(self, part):
         store, _ = opened(self.options["path"])
         for path in part.paths:
             with store.open_input_file(path) as stream:
-                yield from self._rows(path, stream, part.first, part.last)
+                beside = store.get_file_info(f"{path}.msk").is_file
+                if self.metadata:
+                    yield self._facts(path, stream, beside)
+                elif beside:
+                    with store.open_input_file(f"{path}.msk") as mask:
+                        yield from self._batches(self._rows(path, stream, mask, part))
+                else:
+                    yield from self._batches(self._rows(path, stream, None, part))
 
-    def _rows(self, path, stream, start, stop):
+    def _facts(self, path, stream, beside):
         levels = directories(stream)
-        d = described(levels[0])
-        (tw, th), grid = d["tile"], d["grid"]
-        if self.metadata:
-            kind = d["dtype"][1:].replace("u", "uint").replace("i", "int").replace("uintnt", "uint").replace("f", "float")
-            kind = kind.rstrip("0123456789") + str(8 * np.dtype(d["dtype"]).itemsize)
-            alpha, palette = bool({1, 2} & set(levels[0].get(338, ()))), levels[0].get(262, (1,))[0] == 3
-            facts = (d["codec"], d["predictor"], tw, th, len(d["offsets"]), sum(d["counts"]), len(levels) - 1, reference_system(levels[0]), alpha, palette, structure_faults(levels))
-            yield (path, d["width"], d["height"], d["bands"], kind, d["nodata"], *grid, *facts)
-            return
-        across, down = -(-d["width"] // tw), -(-d["height"] // th)
+        own, masks = images(levels)
+        d = described(own[0])
+        kind = np.dtype(d["dtype"])
+        name = {"u": "uint", "i": "int", "f": "float"}[kind.kind] + str(8 * kind.itemsize)
+        alpha, palette = bool({1, 2} & set(own[0].get(338, ()))), own[0].get(262, (1,))[0] == 3
+        return (
+            path, d["width"], d["height"], d["bands"], name, d["nodata"], *d["grid"], d["codec"], d["predictor"], *d["tile"], len(d["offsets"]), sum(d["counts"]), len(own) - 1, reference_system(own[0]), alpha, palette,
+            structure_faults(levels), beside or bool(masks), is_point(own[0]), system(own[0]), geo_tags(own[0]),
+        )
+
+    @staticmethod
+    def _batches(rows):
+        types, names = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], [c.split()[0] for c in TILES.split(", ")]
+        held, size = [], 0
+        for row in rows:
+            held.append(row)
+            size += len(row[6])
+            if size >= BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+    def _rows(self, path, stream, beside, part):
+        own, masks = images(directories(stream))
+        d, nodata = described(own[0]), None
+        mask = next((_Mask(stream, m) for m in map(described, masks) if (m["width"], m["height"]) == (d["width"], d["height"])), None)
+        if beside is not None:
+            mask = _Mask(beside, described(directories(beside)[0]))
+        kind, nodata = np.dtype(d["dtype"]), d["nodata"]
+        if kind.kind != "f" and kind.itemsize == 8 and not self.stored:
+            raise ValueError(f"{path}: doubles don't hold 64-bit integers; read with samples=stored")
+        (tw, th), across = d["tile"], -(-d["width"] // d["tile"][0])
+        down, n = -(-d["height"] // th), len(d["offsets"])
         planes = d["bands"] if d["planar"] == 1 else 1
-        for i in range(start, len(d["offsets"]) if stop is None else stop):
+        for i in range(n * part.share // part.shares, n * (part.share + 1) // part.shares):
             band, place = (0, i) if planes > 1 or d["bands"] == 1 else divmod(i, across * down)
             ty, tx = divmod(place, across)
             x, y = tx * tw, ty * th
@@ -333,17 +465,21 @@ class GeoTiffReader(DataSourceReader):
                 continue
             if not self._passes(x=x, y=y) or planes == 1 and not self._passes(band=band + 1):
                 continue
-            stream.seek(d["offsets"][i])
-            rows = h if d["strips"] else th
-            raw = decoded(stream.read(d["counts"][i]), d["codec"], tw * rows * planes * np.dtype(d["dtype"]).itemsize) if d["counts"][i] else bytes(tw * rows * planes * np.dtype(d["dtype"]).itemsize)
-            data = restored(raw, d["dtype"], tw, rows, planes, d["predictor"])[:h, :w]
+            data = stored_tile(stream, d, i)[:h, :w]
             for k in range(planes):
                 if not self._passes(band=band + k + 1):
                     continue
-                v = data[:, :, k].astype(np.float64)
-                nodata = d["nodata"]
-                good = np.ones(v.shape, bool) if nodata is None else ~np.isnan(v) if nodata != nodata else v != nodata
-                yield path, band + k + 1, x, y, w, h, v.tobytes(), good.astype(np.uint8).tobytes()
+                v = np.ascontiguousarray(data[:, :, k])
+                there = np.ones(v.shape, bool) if nodata is None else ~np.isnan(v) if nodata != nodata else v != nodata
+                good = there if mask is None else mask.window(band + k, x, y, w, h)
+                if mask is not None and nodata is not None:
+                    if self.strict and (good & ~there).any():
+                        raise ValueError(f"{path}: its mask has NoData values marked valid")
+                    good = good & there
+                if self.stored:
+                    yield path, band + k + 1, x, y, w, h, v.astype(kind.newbyteorder("<"), copy=False).tobytes(), None if good.all() else np.packbits(good).tobytes()
+                else:
+                    yield path, band + k + 1, x, y, w, h, v.astype(np.float64).tobytes(), good.astype(np.uint8).tobytes()
 
 
 class _Files(WriterCommitMessage):
@@ -367,8 +503,13 @@ class _Block:
         o = options
         self.edge, self.bands = int(o["edge"]), int(o["bands"])
         self.kind, self.codec, self.predictor = np.dtype(o.get("dtype", "float64")).newbyteorder("<"), o.get("compression", "deflate"), int(o.get("predictor", 1))
-        self.level, self.nodata, self.crs = int(o["level"]) if "level" in o else None, o.get("nodata"), o.get("crs")
+        self.level, self.nodata, self.crs, self.crs_kind = int(o["level"]) if "level" in o else None, o.get("nodata"), o.get("crs"), o.get("crs_kind")
+        self.geo = {int(k): v for k, v in json.loads(o["geo"]).items()} if o.get("geo") else None
+        self.source = self.kind if o.get("samples") == "stored" else np.dtype(np.float64)
+        self.masked, self.mask = o.get("mask") == "yes", {}
         self.fill = float(self.nodata) if self.nodata is not None else 0.0
+        if self.nodata is not None and not representable(self.fill, self.kind.name):
+            raise ValueError(f"{self.kind.name} can't hold NoData {self.nodata}")
         c, a, b, f, d, e = (float(v) for v in o.get("grid", "0,1,0,0,0,-1").split(","))
         self.grid = [c + left * a + top * b, a, b, f + left * d + top * e, d, e]
         width, height = int(o["width"]), int(o["height"])
@@ -383,9 +524,18 @@ class _Block:
     def _encoded(self, x: np.ndarray) -> bytes:
         return encoded(differenced(np.ascontiguousarray(x.astype(self.kind)), self.predictor), self.codec, self.level)
 
-    def add(self, band: int, tx: int, ty: int, x: np.ndarray) -> None:
+    def add(self, band: int, tx: int, ty: int, samples: bytes, valid: bytes | None = None) -> None:
+        x = np.frombuffer(samples, self.source).reshape(self.edge, self.edge)
         self.stored[0][band, ty, tx] = self._encoded(x)
-        self._give(0, band, tx, ty, np.where(x == self.fill, np.nan, x) if self.nodata is not None else np.array(x))
+        good = None
+        if self.masked:
+            good = np.unpackbits(np.frombuffer(valid, np.uint8))[: x.size].reshape(x.shape) > 0 if valid is not None else np.ones(x.shape, bool)
+            packed = np.packbits(good, axis=1).tobytes()
+            if self.mask.setdefault((ty, tx), packed) != packed:
+                raise ValueError("bands of different masks need a NoData value")
+        if len(self.sizes) > 1:
+            gone = ~good if good is not None else x == self.fill if self.nodata is not None else np.zeros(x.shape, bool)
+            self._give(0, band, tx, ty, np.where(gone, np.nan, x))
 
     def _give(self, level: int, band: int, tx: int, ty: int, x: np.ndarray) -> None:
         """A tile's share of the next level, if there is one; NaN is no sample, and neither is what lies beyond the raster."""
@@ -418,14 +568,26 @@ class _Block:
 
     def write(self, out) -> None:
         tiles = [self._level(k) for k in range(len(self.sizes))]
+        if self.masked:
+            width, height = self.sizes[0]
+            empty = bytes(self.edge * -(-self.edge // 8))
+            tiles.append([zlib.compress(self.mask.get((ty, tx), empty)) for ty in range(-(-height // self.edge)) for tx in range(-(-width // self.edge))])
         total = sum(len(x) for level in tiles for x in level)
         big = self.big == "yes" or self.big == "auto" and total + (1 << 20) + 16 * sum(map(len, tiles)) >= 1 << 32
         word, inline = ("Q", 8) if big else ("I", 4)
         codes = {"H": 3, "I": 4, "Q": 16, "d": 12, "s": 2}
 
         def tags(level: int, offsets: list[int]) -> list[tuple]:
+            if level == len(self.sizes):
+                width, height = self.sizes[0]
+                return [
+                    (254, "I", [4]), (256, "I", [width]), (257, "I", [height]), (258, "H", [1]), (259, "H", [CODECS["deflate"]]), (262, "H", [4]), (277, "H", [1]), (284, "H", [1]),
+                    (322, "I", [self.edge]), (323, "I", [self.edge]), (324, word, offsets), (325, "I", [len(x) for x in tiles[level]]), (339, "H", [1]),
+                ]
             width, height = self.sizes[level]
             c, a, b, f, d, e = self.grid
+            if self.geo and is_point({34735: self.geo[34735]}):
+                c, f = c + (a + b) / 2, f + (d + e) / 2
             made = [(254, "I", [1])] if level else []
             made += [
                 (256, "I", [width]), (257, "I", [height]), (258, "H", [self.kind.itemsize * 8] * self.bands), (259, "H", [CODECS[self.codec]]), (262, "H", [1]), (277, "H", [self.bands]), (284, "H", [2]),
@@ -435,8 +597,10 @@ class _Block:
                 made.append((338, "H", [0] * (self.bands - 1)))
             if not level:
                 made.append((34264, "d", [a, b, 0, c, d, e, 0, f, 0, 0, 0, 0, 0, 0, 0, 1]))
-                if self.crs:
-                    made.append((34735, "H", geo_keys(self.crs)))
+                if self.geo:
+                    made += [(t, form, [self.geo[t].encode("latin-1")] if form == "s" else self.geo[t]) for t, form in ((34735, "H"), (34736, "d"), (34737, "s")) if t in self.geo]
+                elif self.crs:
+                    made.append((34735, "H", geo_keys(self.crs, self.crs_kind)))
             if self.nodata is not None:
                 made.append((42113, "s", [self.nodata.encode() + b"\0"]))
             return sorted(made)
@@ -471,13 +635,28 @@ class _Block:
                 out.write(x)
 
 
+class _Counted:
+    """A stream's bytes, counted and digested as they are written."""
+
+    def __init__(self, out):
+        self.out, self.size, self.digest = out, 0, hashlib.sha256()
+
+    def write(self, data: bytes) -> None:
+        self.size += len(data)
+        self.digest.update(data)
+        self.out.write(data)
+
+
 class GeoTiffWriter(DataSourceWriter):
-    """Options: edge, width, height, bands, dtype, nodata, grid (c,a,b,f,d,e), crs (EPSG:n), compression, level, predictor,
-    overviews (none, nearest or average), bigtiff (auto: beyond 4 GB).
+    """Options: edge, width, height, bands, dtype, nodata, grid (c,a,b,f,d,e), crs (EPSG:n, crs_kind where it isn't known) or geo (GeoKeys as read), compression, level, predictor,
+    overviews (none, nearest or average), bigtiff (auto: beyond 4 GB), samples (stored: in the file's type, else doubles), mask (yes: a mask directory from
+    the column valid), state (a folder).
 
     Rows with columns left and top are of a block there: its tiles count from it, its grid is shifted to it, and
     it ends at the latest at total_width and total_height. Tiles are encoded as they come; what a task holds
     is the block as stored and a quarter of its samples for the overviews. Either all files appear or none.
+    With `state`, a file appears as soon as it is whole, and then a row (block, bytes, sha256) in that folder: a job that is stopped keeps what
+    it has finished.
     """
 
     def __init__(self, options):
@@ -487,18 +666,28 @@ class GeoTiffWriter(DataSourceWriter):
         store, path = opened(self.options["path"])
         store.create_dir(f"{path}/_{self.job}", recursive=True)
         names, name, block = [], None, None
+        state = self.options.get("state")
 
         def put():
-            names.append((f"{name}.tif", uuid.uuid4().hex))
-            with store.open_output_stream(f"{path}/_{self.job}/{names[-1][1]}") as out:
-                block.write(out)
+            made = uuid.uuid4().hex
+            with store.open_output_stream(f"{path}/_{self.job}/{made}") as out:
+                counted = _Counted(out)
+                block.write(counted)
+            if state is None:
+                names.append((f"{name}.tif", made))
+                return
+            store.move(f"{path}/_{self.job}/{made}", f"{path}/{name}.tif")
+            kept, folder = opened(state)
+            kept.create_dir(folder, recursive=True)
+            with kept.open_output_stream(f"{folder}/{name}.json") as out:
+                out.write(json.dumps({"block": name, "bytes": counted.size, "sha256": counted.digest.hexdigest()}).encode() + b"\n")
 
         for row in iterator:
             if row.block != name:
                 if block is not None:
                     put()
                 name, block = row.block, _Block(self.options, *((row.left, row.top) if "left" in row else (0, 0)))
-            block.add(row.band, row.tx, row.ty, np.frombuffer(row.samples).reshape(block.edge, block.edge))
+            block.add(row.band, row.tx, row.ty, row.samples, row.valid if block.masked else None)
         if block is not None:
             put()
         return _Files(names)
