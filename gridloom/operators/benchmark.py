@@ -10,30 +10,32 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.mercator import HALF
 from gridloom.functions.ranks import running, uniform
+from gridloom.operators import quantiles
 
 #: What a run must keep to; the values of the published study.
 ACCEPTANCE = {"hit_view_p95_seconds": 2.0, "render_view_p95_seconds": 5.0, "max_view_error_fraction": 0.01, "minimum_headroom_fraction": 0.25, "minimum_hit_fraction": 0.99}
+LATENCIES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
 def latencies(rows: DataFrame, keys: list[str], value: str = "seconds") -> DataFrame:
     """p50, p95 and p99 by linear interpolation at (n - 1) q."""
-    return rows.groupBy(*keys).agg(*[F.percentile(value, q).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)])
+    return quantiles.summary(rows, keys, value, LATENCIES)
 
 
 def nearest_ranks(rows: DataFrame, keys: list[str], value: str = "seconds") -> DataFrame:
     """p50, p95 and p99 as values that occur: the first whose share of rows reaches q."""
-    return rows.groupBy(*keys).agg(*[F.expr(f"percentile_disc({q}) within group (order by {value})").alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)])
+    return quantiles.summary(rows, keys, value, LATENCIES, discrete=True)
 
 
 def run_summary(requests: DataFrame, keys: list[str], seconds: float) -> DataFrame:
     """requests, rates, errors, bytes, hits and latencies of each run, over requests (ok, cache, bytes, seconds)."""
     n = F.count("*")
     hits = F.count_if(F.col("cache") == "HIT")
-    return requests.groupBy(*keys).agg(
+    facts = [
         n.alias("requests"), (n / seconds).alias("requests_per_second"), F.count_if(~F.col("ok")).alias("errors"), (F.count_if(~F.col("ok")) / n).alias("error_fraction"),
         F.sum(F.coalesce("bytes", F.lit(0))).alias("response_bytes"), hits.alias("hits"), (hits / n).alias("hit_fraction"), F.count_distinct("user").alias("users"),
-        F.percentile("seconds", 0.5).alias("p50"), F.percentile("seconds", 0.95).alias("p95"), F.percentile("seconds", 0.99).alias("p99"),
-    )
+    ]
+    return quantiles.summary(requests, keys, "seconds", LATENCIES, facts)
 
 
 def cache_counts(requests: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,12 +72,13 @@ def telemetry_summary(samples: DataFrame, keys: list[str], cpus: float, memory_g
     rows = rows.withColumn("dt", dt).withColumn("used", F.col("usage_usec") - F.lag("usage_usec").over(run)).withColumn("held", F.col("throttled_usec") - F.lag("throttled_usec").over(run))
     moved = F.col("dt") > 0
     change = lambda c: F.max_by(c, "monotonic") - F.min_by(c, "monotonic")
-    made = rows.groupBy(*keys).agg(
-        F.count("*").alias("samples"), F.percentile(F.when(moved, F.col("used") / 1e6 / F.col("dt") / cpus), 0.95).alias("cpu_utilization_p95"),
+    rows = rows.withColumn("busy", F.when(moved, F.col("used") / 1e6 / F.col("dt") / cpus))
+    made = quantiles.summary(rows, keys, "busy", {"cpu_utilization_p95": 0.95}, [
+        F.count("*").alias("samples"),
         F.sum(F.when(moved, F.greatest(F.lit(0), F.coalesce("held", F.lit(0))) / 1e6)).alias("cpu_throttled_seconds"),
         F.max("memory_bytes").alias("peak_memory_bytes"), F.max("rss_bytes").alias("peak_rss_bytes"), F.max("heap_bytes").alias("peak_heap_bytes"), F.max("file_bytes").alias("peak_file_cache_bytes"),
         F.max("cache_bytes").alias("peak_cache_bytes"), F.min("available_bytes").alias("available_min_bytes"), change("io_bytes").alias("io_delta"), change("gc_seconds").alias("gc_delta"),
-    )
+    ])
     complete = F.col("cpu_utilization_p95").isNotNull() & F.col("peak_memory_bytes").isNotNull() & F.col("peak_rss_bytes").isNotNull() & F.col("peak_heap_bytes").isNotNull()
     return made.withColumn("memory_utilization_peak", F.col("peak_memory_bytes") / (memory_gib * 2.0**30)).withColumn("complete", complete)
 
@@ -147,17 +150,17 @@ def bootstrap(runs: DataFrame, key: str, value: str, resamples: int = 2000, seed
     """(key, n, low, high): the 95 % interval of the mean of a key's repeated runs, by resampling; null under two runs.
 
     Draw d of resample r takes the value of that rank which a hash of (seed, key, r, d) points at, so results are the
-    same on every run. Values are ranked by ranges, drawn by a join and averaged before they meet by key, so no
-    group sits in one task; rows are `resamples` times the runs.
+    same on every run. Values are ranked by ranges; each ranked value starts one draw of every resample where it lies, so a key's
+    draws are as spread as its values; they are joined and averaged before they meet by key. Rows are `resamples` times the runs.
     """
     rows = runs.select(F.col(key).alias("key"), F.col(value).cast("double").alias("v"))
     held = rows.where("v is not null")
     ranked = running(held, ["key", "v"])
     first = ranked.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    ranked = ranked.join(first, "key").select("key", (F.col("place") - F.col("first")).alias("i"), "v")
-    draws = first.where("n > 1").select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    ranked = ranked.join(first, "key").select("key", "n", (F.col("place") - F.col("first")).alias("i"), "v")
+    draws = ranked.where("n > 1").select("key", "n", F.col("i").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
     drawn = draws.select("key", "r", F.floor(uniform(seed, F.col("key"), F.col("r"), F.col("d")) * F.col("n")).alias("i"))
-    means = drawn.join(ranked, ["key", "i"]).groupBy("key", "r").agg(F.avg("v").alias("mean"))
+    means = drawn.join(ranked.select("key", "i", "v"), ["key", "i"]).groupBy("key", "r").agg(F.avg("v").alias("mean"))
     spread = means.groupBy("key").agg(*[F.percentile("mean", q).alias(c) for q, c in ((0.025, "low"), (0.975, "high"))])
     every = rows.groupBy("key").agg(F.count("v").alias("n"))
     return every.join(spread, "key", "left").select(F.col("key").alias(key), "n", "low", "high")
