@@ -97,3 +97,35 @@ def fingerprint(values: pd.Series) -> pd.Series:
 def english_labels(style: Column) -> Column:
     """Label tokens {name...} become {name:en}."""
     return F.regexp_replace(style, r"\{name(?:[:_][A-Za-z_]+)?\}", "{name:en}")
+
+
+#: Types of rasters: the range of integers, or null for floating ones.
+_RANGES = {"uint8": (0, 255), "int8": (-128, 127), "uint16": (0, 65535), "int16": (-32768, 32767), "uint32": (0, 2**32 - 1), "int32": (-(2**31), 2**31 - 1)}
+
+
+def output_nodata(value: Column, dtype: Column) -> Column:
+    """A NoData value given as text, as a number that the type holds as it is; null if it can't. NaN and infinities only fit floating types."""
+    number = value.try_cast("double")
+    out = F.when(dtype == "float64", number).when((dtype == "float32") & (F.isnan(number) | (number.cast("float").cast("double") == number)), number)
+    for name, (low, high) in _RANGES.items():
+        exact = value.try_cast("decimal(38,18)")
+        out = out.when((dtype == name) & (exact == F.floor(exact)) & exact.between(low, high), number)
+    return out
+
+
+def byte_fill(value: Column) -> Column:
+    """A fill given as text, a whole number from 0 to 255; else null."""
+    exact = value.try_cast("decimal(38,18)")
+    return F.when((exact == F.floor(exact)) & exact.between(0, 255), exact.cast("int"))
+
+
+def relative_path(path: Column, folder: Column) -> Column:
+    """An absolute path as seen from a folder; as it is where they share no store or drive."""
+    store = lambda c: F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*|[A-Za-z]:|)", 1)
+    split = lambda c: F.filter(F.split(F.substr(F.regexp_replace(c, r"\\\\", "/"), F.length(store(c)) + 1), "/"), lambda x: (x != "") & (x != "."))
+    target, base = split(path), split(folder)
+    same = F.transform(F.sequence(F.lit(1), F.least(F.size(target), F.size(base)) + 1), lambda n: F.slice(target, F.lit(1), n) == F.slice(base, F.lit(1), n))
+    # the first place where they part, at the latest after the shorter one
+    n = F.least(F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0).cast("long")) - 1, F.size(target).cast("long")), F.size(base).cast("long"), F.size(target).cast("long")).cast("int")
+    up = F.array_repeat(F.lit(".."), F.size(base) - n)
+    return F.when(store(path) == store(folder), F.array_join(F.concat(up, F.slice(target, n + 1, F.greatest(F.size(target) - n, F.lit(0)))), "/")).otherwise(path)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridloom.functions.shared import scratch
+from gridloom.functions import polygons
+from gridloom.functions.shared import written
 
 
 def best_per_tile(products: DataFrame, share: float = 0.999) -> DataFrame:
@@ -29,69 +34,102 @@ class Uncovered(ValueError):
     """A catalogue that covers too little of the area."""
 
 
-def _without(open_: list[tuple], box: tuple) -> list[tuple]:
-    """Disjoint rectangles that cover the same as `open_` but for the box."""
-    west, south, east, north = box
-    left = []
-    for a, b, c, d in open_:
-        w, s, e, n = max(a, west), max(b, south), min(c, east), min(d, north)
-        if w >= e or s >= n:
-            left.append((a, b, c, d))
-            continue
-        left += [r for r in ((a, b, w, d), (e, b, c, d), (w, b, e, s), (w, n, e, d)) if r[0] < r[2] and r[1] < r[3]]
-    return left
+#: Scenes whose footprints the driver may hold to take several steps between two passes over the table.
+AHEAD = 256
+#: Shares of the area of interest that are the same but for rounding.
+TIE = 1e-12
+_RING = "array<struct<x double, y double>>"
+
+
+def _rings(products: DataFrame) -> DataFrame:
+    """products with `ring`: their footprint, or their box where they have none."""
+    if "ring" in products.columns:
+        return products.withColumn("ring", F.col("ring").cast(_RING))
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ring = F.array(corner("west", "south"), corner("east", "south"), corner("east", "north"), corner("west", "north"))
+    return products.withColumn("ring", F.when((F.col("west") < F.col("east")) & (F.col("south") < F.col("north")), ring).otherwise(F.array().cast(_RING)))
+
+
+def _ring(aoi) -> polygons.Ring:
+    if len(aoi) == 4 and not hasattr(aoi[0], "__len__"):
+        west, south, east, north = map(float, aoi)
+        return [(west, south), (east, south), (east, north), (west, north)]
+    return [(float(x), float(y)) for x, y in aoi]
+
+
+def _shared(rows: DataFrame, pieces: list[polygons.Ring], name: str) -> DataFrame:
+    """rows with the area that their ring shares with disjoint convex pieces; the pieces go to every task."""
+    sent = rows.sparkSession.sparkContext.broadcast((pieces, [polygons.bounds(p) for p in pieces]))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            open_, boxes = sent.value
+            rings = [[(p["x"], p["y"]) for p in ring] if ring is not None else [] for ring in frame["ring"]]
+            yield frame.assign(**{name: [float(polygons.shared(open_, boxes, polygons.convex_parts(r))) for r in rings]})
 
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
 
-def greedy_cover(products: DataFrame, aoi: tuple[float, float, float, float], most: int = 100, enough: float = 0.9999, least: float = 1e-5, fallback: float = 1e-6, required: float = 0.0) -> DataFrame:
-    """(step, id, gain): scenes by the area that each adds to an area of interest (west, south, east, north).
 
-    products: id, cloud_cover, west, south, east, north and, where there are several acquisitions of a tile,
+def inside(products: DataFrame, aoi) -> DataFrame:
+    """products with `area`, what their footprint (column ring, points x and y, or west, south, east, north) has of the area of interest, for `best_per_tile`.
+
+    aoi: a ring of points, or west, south, east, north. Rings are simple, convex or not, of either turn. Rows that only touch it have 0.
+    """
+    return _shared(_rings(products), polygons.convex_parts(_ring(aoi)), "area")
+
+
+def greedy_cover(products: DataFrame, aoi, most: int = 100, enough: float = 0.9999, least: float = 1e-5, fallback: float = 1e-6, required: float = 0.0) -> DataFrame:
+    """(step, id, gain): scenes by the area that each adds to an area of interest, a ring or west, south, east, north.
+
+    products: id, cloud_cover, ring (points x and y) or west, south, east, north and, where there are several acquisitions of a tile,
     best (boolean: the tile's best one) and acquired. The best ones come first, each time that of the largest gain, ties by cloud, then id, while it
     adds `least` of the area; then others, of those within 99 % of the largest gain the least cloudy, newest, by id,
     while that is `fallback` of the area. It ends at `enough` of the area or `most` scenes, and fails below `required`.
-    Scenes stay in a table: a step is one aggregation over it that returns one row. What is still open is a list of
-    rectangles bounded by the scenes chosen so far, sent to the next step; areas are exact for boxes.
+
+    Scenes stay in a table. What is still open is a list of disjoint convex pieces, cut by each scene taken and bounded by those. A pass over the table
+    gives every scene's gain; gains only fall from then on, so among the AHEAD scenes that gained most the driver takes steps for itself as long as what
+    it takes beats the gain of all others then, and only then asks for another pass.
     """
     spark = products.sparkSession
-    west, south, east, north = map(float, aoi)
-    clip = lambda c, a, b: F.greatest(F.lit(a), F.least(F.lit(b), F.col(c).cast("double"))).alias(c)
+    whole = _ring(aoi)
+    open_ = polygons.convex_parts(whole)
+    total, chosen = sum(polygons.area(t) for t in open_), []
     more = [c for c in ("best", "acquired") if c in products.columns]
-    boxes = products.select(F.col("id").cast("string").alias("id"), "cloud_cover", *more, clip("west", west, east), clip("south", south, north), clip("east", west, east), clip("north", south, north))
-    boxes = boxes.withColumns({"best": F.col("best") if "best" in more else F.lit(True), "age": -F.unix_timestamp("acquired") if "acquired" in more else F.lit(0).cast("long")})
-    path = scratch(spark)
-    boxes.where("west < east and south < north").write.parquet(path)
-    boxes = spark.read.parquet(path)
-    total, open_, chosen = (east - west) * (north - south), [(west, south, east, north)], []
-    shape = "array<struct<w double, s double, e double, n double>>"
-
-    def gains(first: bool) -> DataFrame:
-        space = spark.createDataFrame([([tuple(r) for r in open_],)], f"open {shape}")
-        rest = boxes.where(F.col("best") if first else F.lit(True)).where(~F.col("id").isin([c[1] for c in chosen]))
-        span = lambda a, b, lo, hi: F.greatest(F.lit(0.0), F.least(F.col(hi), b) - F.greatest(F.col(lo), a))
-        part = F.aggregate("open", F.lit(0.0), lambda sum_, r: sum_ + span(r["w"], r["e"], "west", "east") * span(r["s"], r["n"], "south", "north"))
-        return rest.join(F.broadcast(space), F.lit(True)).withColumn("gain", part)
+    scenes = _rings(products).select(F.col("id").cast("string").alias("id"), F.col("cloud_cover").cast("double").alias("cloud_cover"), *more, "ring")
+    scenes = scenes.withColumns({"best": F.col("best") if "best" in more else F.lit(True), "age": -F.unix_timestamp("acquired") if "acquired" in more else F.lit(0).cast("long")})
+    scenes = written(_shared(scenes.select("id", "cloud_cover", "best", "age", "ring"), open_, "all").where(F.col("all") > 0))
 
     def covered() -> float:
-        return total - sum((e - w) * (n - s) for w, s, e, n in open_)
-
-    def take(row) -> None:
-        nonlocal open_
-        chosen.append((len(chosen), row.id, row.gain))
-        open_ = _without(open_, (row.west, row.south, row.east, row.north))
+        return total - sum(abs(polygons.area(p)) for p in open_)
 
-    what = ["gain", "west", "south", "east", "north"]
     for first, stop in ((True, least), (False, fallback)):
-        while len(chosen) < most and covered() < total * enough:
-            found = gains(first)
-            if first:
-                order = F.struct((-F.col("gain")).alias("lost"), "cloud_cover", "id", *what)
-            else:
-                top = found.agg(F.max("gain")).first()[0] or 0.0
-                found, order = found.where(F.col("gain") >= top * 0.99), F.struct("cloud_cover", "age", "id", *what)
-            best = found.agg(F.min(order).alias("b")).select("b.*").first()
-            if best.id is None or (best.gain if first else top) < total * stop:
-                break
-            take(best)
-    if covered() < total * required:
-        raise Uncovered(f"the scenes cover {covered() / total:.2%} of the area")
+        ended = False
+        while not ended and len(chosen) < most and covered() < total * enough:
+            rest = scenes.where(F.col("best") if first else F.lit(True)).where(~F.col("id").isin([c[1] for c in chosen]))
+            top = _shared(rest, open_, "gain").orderBy(F.desc("gain"), "cloud_cover", "id").limit(AHEAD + 1).collect()
+            bound = top.pop().gain if len(top) > AHEAD else -1.0  # no scene outside has more
+            ahead = [(r.id, r.cloud_cover, r.age, polygons.convex_parts([(p.x, p.y) for p in r.ring])) for r in top]
+            moved = False
+            while len(chosen) < most and covered() < total * enough:
+                boxes = [polygons.bounds(p) for p in open_]
+                gains = [(polygons.shared(open_, boxes, parts), *facts, parts) for *facts, parts in ahead]
+                best = max((g[0] for g in gains), default=0.0)
+                if best < total * stop and bound < total * stop:
+                    ended = True
+                    break
+                # a scene outside could tie or be near enough; right after a pass those with more are all here
+                if bound >= (best - total * TIE if first else best * 0.99) and (moved or not first and bound >= best * 0.99 and len(top) == AHEAD):
+                    break
+                pick = min(gains, key=lambda g: (-round(g[0] / total / TIE), g[2], g[1])) if first else min((g for g in gains if g[0] >= best * 0.99), key=lambda g: (g[2], g[3], g[1]))
+                chosen.append((len(chosen), pick[1], pick[0]))
+                open_ = [p for p in polygons.without(open_, pick[4]) if abs(polygons.area(p)) > total * 1e-15]
+                ahead, moved = [a for a in ahead if a[0] != pick[1]], True
+            if not moved and not ended:
+                # more scenes than AHEAD are within 99 % of the largest gain: the table picks among them
+                best = top[0].gain
+                near = _shared(rest, open_, "gain").where(F.col("gain") >= best * 0.99).orderBy("cloud_cover", "age", "id").first()
+                chosen.append((len(chosen), near.id, near.gain))
+                open_ = [p for p in polygons.without(open_, polygons.convex_parts([(p.x, p.y) for p in near.ring])) if abs(polygons.area(p)) > total * 1e-15]
+    if not total or covered() < total * required:
+        raise Uncovered(f"the scenes cover {covered() / total if total else 0:.2%} of the area")
     return spark.createDataFrame(chosen, "step int, id string, gain double")

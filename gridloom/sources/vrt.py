@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.text import relative_path
+
 from gridloom.functions.vectorised import vectorised
 
 _SOURCE = (
@@ -80,15 +82,18 @@ def escaped(text: Column) -> Column:
     return text
 
 
-def block_vrts(blocks: DataFrame, parts: DataFrame, dtype: str, nodata: str, srs: str) -> DataFrame:
+def block_vrts(blocks: DataFrame, parts: DataFrame, dtype: str, nodata: str, srs: str, folder: str | None = None) -> DataFrame:
     """(block, vrt): the text of each block's VRT, its sources in order and clipped to it, with a mask band of those that have masks.
 
     blocks: block, x, y, w, h, grid (array of six). parts: block, ordinal, kind, path, src and dst (structs in
-    source and mosaic pixels), skip_nodata, use_mask and x, y, w, h, what the block takes of dst.
+    source and mosaic pixels), skip_nodata, use_mask and x, y, w, h, what the block takes of dst. folder: where the texts will
+    lie; paths in the same store are then written as seen from there.
     """
     joined = parts.join(blocks.select("block", F.col("x").alias("bx"), F.col("y").alias("by")), "block")
     here = F.struct("x", "y")
-    file = F.concat(F.lit('<SourceFilename relativeToVRT="0">'), escaped(F.col("path")), F.lit("</SourceFilename><SourceBand>"))
+    path = F.col("path") if folder is None else relative_path(F.col("path"), F.lit(folder))
+    relative = F.when(path != F.col("path"), "1").otherwise("0")
+    file = F.concat(F.lit('<SourceFilename relativeToVRT="'), relative, F.lit('">'), escaped(path), F.lit("</SourceFilename><SourceBand>"))
     place = F.concat(_element("SrcRect", F.col("src"), F.col("x") - F.col("dst.x"), F.col("y") - F.col("dst.y"), F.col("w"), F.col("h")), _element("DstRect", here, -F.col("bx"), -F.col("by"), F.col("w"), F.col("h")))
     mask = F.when(F.col("use_mask"), F.concat(F.lit("<ComplexSource>"), file, F.lit("mask,1</SourceBand>"), place, F.lit("</ComplexSource>")))
     source = F.concat(
