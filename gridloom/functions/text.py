@@ -122,7 +122,7 @@ def byte_fill(value: Column) -> Column:
 def relative_path(path: Column, folder: Column) -> Column:
     """An absolute path as seen from a folder; as it is where they share no store or drive."""
     store = lambda c: F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*|[A-Za-z]:|)", 1)
-    split = lambda c: F.filter(F.split(F.substr(F.regexp_replace(c, r"\\\\", "/"), F.length(store(c)) + 1), "/"), lambda x: (x != "") & (x != "."))
+    split = lambda c: F.filter(F.split(F.substr(F.regexp_replace(c, r"\\", "/"), F.length(store(c)) + 1), "/"), lambda x: (x != "") & (x != "."))
     target, base = split(path), split(folder)
     same = F.transform(F.sequence(F.lit(1), F.least(F.size(target), F.size(base)) + 1), lambda n: F.slice(target, F.lit(1), n) == F.slice(base, F.lit(1), n))
     # the first place where they part, at the latest after the shorter one

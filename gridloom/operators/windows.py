@@ -177,3 +177,54 @@ def verify(expected: DataFrame, actual: DataFrame, edge: int, dtype: str, policy
     both = expected.withColumn("role", F.lit(0)).unionByName(actual.withColumn("role", F.lit(1)))
     dealt = both.repartition(*PLACE).sortWithinPartitions(*PLACE, "role", "ord")
     return dealt.mapInArrow(count, "band int, " + ", ".join(f"{n} long" for n in names)).groupBy("band").agg(*[F.sum(n).alias(n) for n in names])
+
+
+STORED = "ord long, band int, y long, x long, h int, w int, samples binary, valid binary"
+
+
+def halved(windows: DataFrame, edge: int, dtype: str, method: str) -> DataFrame:
+    """The next level of rasters: windows (ord: which raster) to tiles of edge by edge of half the size, in STORED form.
+
+    Each stored tile comes from a square of twice the edge, whose parts meet in one shuffle; so a level is made by as many tasks as there are
+    squares. average: the mean of the valid ones of each four, rounded for integers; nearest: the first of each four, valid or not.
+    """
+    kind = np.dtype(dtype)
+
+    def half(x: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if method == "nearest":
+            return x[::2, ::2], good[::2, ::2]
+        fours, count = np.zeros((len(x) // 2, x.shape[1] // 2)), np.zeros((len(x) // 2, x.shape[1] // 2), np.uint8)
+        for a in (0, 1):
+            for b in (0, 1):
+                v = good[a::2, b::2]
+                fours += np.where(v, x[a::2, b::2], 0)
+                count += v
+        mean = fours / np.maximum(count, 1)
+        return (np.rint(mean) if kind.kind != "f" else mean).astype(kind), count > 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made():
+            at, tile, have, high, wide = None, None, None, 0, 0
+
+            def close():
+                x, good = half(tile, have)
+                h, w = -(-high // 2), -(-wide // 2)
+                good = np.ascontiguousarray(good[:h, :w])
+                return at[0], at[1], at[2] * edge, at[3] * edge, h, w, np.ascontiguousarray(x[:h, :w]).tobytes(), None if good.all() else np.packbits(good).tobytes()
+
+            for ord_, band, ty, tx, y, x, samples, valid in _rows(batches, dtype, ["ord", *PLACE, "y", "x"]):
+                if (ord_, band, ty, tx) != at:
+                    if at is not None:
+                        yield close()
+                    at, tile, have, high, wide = (ord_, band, ty, tx), np.zeros((2 * edge, 2 * edge), kind), np.zeros((2 * edge, 2 * edge), bool), 0, 0
+                h, w = samples.shape
+                tile[y : y + h, x : x + w] = samples
+                have[y : y + h, x : x + w] = True if valid is None else valid
+                high, wide = max(high, y + h), max(wide, x + w)
+            if at is not None:
+                yield close()
+
+        yield from _batches(made(), [c.split()[0] for c in STORED.split(", ")], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+
+    cut = parts(windows, 2 * edge, dtype)
+    return cut.repartition("ord", *PLACE).sortWithinPartitions("ord", *PLACE).mapInArrow(run, STORED)

@@ -6,18 +6,22 @@ import hashlib
 import json
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.ranks import running
-from gridloom.functions.rects import whole
+from gridloom.functions.rects import overview_sizes, whole
 from gridloom.functions.shared import intermediates, written
 from gridloom.operators import mosaic, planning, resample, tiles
 from gridloom.operators import windows as rasters
 from gridloom.sources import files, geotiff
+from gridloom.sources import overviews as sidecars
 
 
 class InputError(ValueError):
@@ -217,6 +221,101 @@ def overviews(spark: SparkSession, path: str, least: int = 512) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "path string, level int, band int, x long, y long, v double")
 
 
+def _encoded_tiles(edge: int, dtype: str, codec: str, predictor: int, nodata: float | None, masked: bool):
+    """Windows of a level (STORED, level, path) to rows of `overviews`: a stored tile, the mask's tile with the first band, and their sizes."""
+    kind = np.dtype(dtype).newbyteorder("<")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                h, w, ty, tx = r["h"], r["w"], r["y"] // edge, r["x"] // edge
+                x, good = np.frombuffer(r["samples"], kind).reshape(h, w), np.ones((h, w), bool)
+                if r["valid"] is not None:
+                    good = np.unpackbits(np.frombuffer(r["valid"], np.uint8))[: h * w].reshape(h, w) > 0
+                tile = np.full((edge, edge), 0 if nodata is None else nodata, kind)
+                tile[:h, :w] = np.where(good, x, tile[:h, :w])
+                data = geotiff.encoded(geotiff.differenced(tile, predictor), codec, None)
+                out.append((r["path"], r["level"], r["band"], ty, tx, data))
+                if masked and r["band"] == 1:
+                    whole_ = np.zeros((edge, edge), np.uint8)
+                    whole_[:h, :w] = good
+                    out.append((r["path"], r["level"], 0, ty, tx, geotiff.encoded(np.packbits(whole_, axis=1).tobytes(), "deflate", None)))
+            rows = [(p, role, k, b, ty, tx, len(d), d if role == 2 else None) for p, k, b, ty, tx, d in out for role in (1, 2)]
+            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * 8, types, strict=True)], [c.split()[0] for c in sidecars.ROWS.split(", ")])
+
+    return run
+
+
+def external_overviews(spark: SparkSession, path: str, method: str = "average", least: int = 256, edge: int = 256, compression: str = "deflate") -> DataFrame:
+    """Writes a file .ovr beside each GeoTIFF at `path`, of levels that halve until neither side is over `least`. Gives (path, status, levels).
+
+    A raster at or below `least` is skipped (`small`), so is one with overviews inside (`internal`); the others' stale sidecars go when the new ones are whole (`ok`).
+    A palette takes nearest only. Levels are made of tiles that meet by shuffle, level from level, so no task holds more than four tiles of one;
+    the file is written as a stream of tiles that other tasks have encoded. Integers and masks, NoData and predictors stay as the raster has
+    them. The new files are read again, and sizes that aren't as asked raise.
+    """
+    with intermediates(spark):
+        return _external_overviews(spark, path, method, least, edge, compression)
+
+
+def _external_overviews(spark, path, method, least, edge, compression):
+    geotiff.register(spark)
+    sidecars.register(spark)
+    meta = written(spark.read.format("geotiff").option("mode", "metadata").load(path).withColumn("ord", F.xxhash64("path")))
+    if method != "nearest" and (held := meta.where("palette").head(1)):
+        raise InputError(f"{held[0].path} has a palette, which can't be averaged")
+    size = F.greatest("width", "height")
+    depth = F.size(overview_sizes(F.col("width"), F.col("height"), least))
+    status = F.when(size <= least, "small").when(F.col("levels") > 0, "internal").otherwise("ok")
+    todo = written(meta.select("*", status.alias("status"), F.when(status == "ok", depth).otherwise(0).alias("made")))
+    kinds = todo.where("status = 'ok'").select("dtype", "nodata", "masked").distinct().collect()  # of types there are a dozen
+    for kind in kinds:
+        mine = todo.where((F.col("status") == "ok") & (F.col("dtype") == kind.dtype) & F.col("nodata").eqNullSafe(kind.nodata) & (F.col("masked") == kind.masked))
+        predictor = 3 if kind.dtype.startswith("float") else 2
+        masked = kind.masked and kind.nodata is None
+        side = mine.select("path", "ord", "made")
+        side = F.broadcast(side) if side.count() <= BROADCAST_SOURCES else side
+        level = spark.read.format("geotiff").option("samples", "stored").load(path).join(side, "path").select("ord", "band", "x", "y", "w", "h", "samples", "valid")
+        encoded, deepest = None, mine.agg(F.max("made")).first()[0]
+        for k in range(1, deepest + 1):
+            some = level if k == 1 else level.join(side.where(F.col("made") >= k).select("ord"), "ord", "left_semi")
+            level = written(rasters.halved(some, edge, kind.dtype, method))
+            named = level.join(side.select("path", "ord"), "ord").withColumn("level", F.lit(k))
+            tiles_ = named.mapInArrow(_encoded_tiles(edge, kind.dtype, compression, predictor, kind.nodata, masked), sidecars.ROWS)
+            encoded = tiles_ if encoded is None else encoded.unionByName(tiles_)
+        bits = np.dtype(kind.dtype).itemsize * 8
+        facts = F.to_json(F.struct(
+            F.col("width"), F.col("height"), F.col("bands"), F.col("made").alias("levels"), F.lit(edge).alias("edge"), F.lit(masked).alias("masked"), F.lit(bits).alias("bits"), F.lit({"u": 1, "i": 2, "f": 3}[np.dtype(kind.dtype).kind]).alias("kind"),
+            F.lit(compression).alias("codec"), F.lit(predictor).alias("predictor"), F.lit(None if kind.nodata is None else repr(kind.nodata)).cast("string").alias("nodata"),
+        ), {"ignoreNullFields": "false"})
+        zero = lambda t: F.lit(0).cast(t)
+        heads = mine.select("path", zero("int").alias("role"), zero("int").alias("level"), zero("int").alias("band"), zero("long").alias("ty"), zero("long").alias("tx"), zero("long").alias("size"), facts.cast("binary").alias("data"))
+        every = heads.unionByName(written(encoded))
+        # tiles in the order of layout(): masks' levels after the others', the last directory first
+        every = every.withColumn("late", F.when((F.col("role") == 2) & (F.col("band") == 0), -F.col("level") - 1000).otherwise(-F.col("level")))
+        dealt = every.repartition("path").sortWithinPartitions("path", "role", "late", "band", "ty", "tx").drop("late")
+        dealt.write.format("overviews").mode("append").save()
+    made = todo.where("status = 'ok'").select("path", "width", "height", "made")
+    wrong = made.mapInPandas(_sizes, "path string, wrong boolean").where("wrong").head(1)
+    if wrong:
+        raise InputError(f"{wrong[0].path}.ovr has not the levels that were asked for")
+    return spark.createDataFrame(todo.select("path", "status", F.col("made").alias("levels")).orderBy("path").collect(), "path string, status string, levels int")
+
+
+def _sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whether the directories of a file .ovr have other sizes than its raster's levels."""
+    for frame in frames:
+        out = []
+        for path, width, height, made in frame.itertuples(index=False):
+            store, name = files.opened(f"{path}.ovr")
+            with store.open_input_file(name) as stream:
+                found = [(d[256][0], d[257][0]) for d in geotiff.images(geotiff.directories(stream))[0]]
+            out.append((path, found != [(-(-width // (1 << k)), -(-height // (1 << k))) for k in range(1, made + 1)]))
+        yield pd.DataFrame(out, columns=["path", "wrong"])
+
+
 class Job:
     """A function of the session that runs beside the caller: status, result, and cancel, which interrupts its Spark work."""
 

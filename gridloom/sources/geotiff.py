@@ -331,13 +331,13 @@ def _bytes(d: dict, rows: int) -> int:
 
 
 def stored_tile(stream, d: dict, i: int) -> np.ndarray:
-    """The i-th stored tile or strip of a directory, rows by columns by planes; one that isn't stored is of zeros."""
+    """The i-th stored tile or strip of a directory, rows by columns by planes; one that isn't stored is of NoData, or zeros."""
     (tw, th), across = d["tile"], -(-d["width"] // d["tile"][0])
     down = -(-d["height"] // th)
     planes = d["bands"] if d["planar"] == 1 else 1
     rows = min(th, d["height"] - i % (across * down) // across * th) if d["strips"] else th
     if not d["counts"][i]:
-        return np.zeros((rows, tw, planes), d["dtype"])
+        return np.full((rows, tw, planes), d["nodata"] or 0, d["dtype"])
     stream.seek(d["offsets"][i])
     data = decoded(stream.read(d["counts"][i]), d["codec"], _bytes(d, rows))
     return restored(data, d["dtype"], tw, rows, planes, d["predictor"], d["bits"])
@@ -572,12 +572,7 @@ class _Block:
             width, height = self.sizes[0]
             empty = bytes(self.edge * -(-self.edge // 8))
             tiles.append([zlib.compress(self.mask.get((ty, tx), empty)) for ty in range(-(-height // self.edge)) for tx in range(-(-width // self.edge))])
-        total = sum(len(x) for level in tiles for x in level)
-        big = self.big == "yes" or self.big == "auto" and total + (1 << 20) + 16 * sum(map(len, tiles)) >= 1 << 32
-        word, inline = ("Q", 8) if big else ("I", 4)
-        codes = {"H": 3, "I": 4, "Q": 16, "d": 12, "s": 2}
-
-        def tags(level: int, offsets: list[int]) -> list[tuple]:
+        def tags(level: int, word: str, offsets: list[int]) -> list[tuple]:
             if level == len(self.sizes):
                 width, height = self.sizes[0]
                 return [
@@ -605,36 +600,49 @@ class _Block:
                 made.append((42113, "s", [self.nodata.encode() + b"\0"]))
             return sorted(made)
 
-        def directory(level: int, at: int, offsets: list[int], last: bool) -> bytes:
-            made = tags(level, offsets)
-            head, step = (8, 20) if big else (2, 12)
-            extra_at, entries, extra = at + head + step * len(made) + inline, b"", b""
-            for tag, form, values in made:
-                data = values[0] if form == "s" else struct.pack(f"<{len(values)}{form}", *values)
-                entries += struct.pack("<HH" + word, tag, codes[form], len(data) if form == "s" else len(values))
-                if len(data) > inline:
-                    entries += struct.pack("<" + word, extra_at + len(extra))
-                    extra += data + b"\0" * (-len(data) % 8)
-                else:
-                    entries += data.ljust(inline, b"\0")
-            size = head + len(entries) + inline + len(extra)
-            return struct.pack("<Q" if big else "<H", len(made)) + entries + struct.pack("<" + word, 0 if last else at + size) + extra
-
-        start, levels = 16 if big else 8, range(len(tiles))
-        sizes = [len(directory(k, 0, [0] * len(tiles[k]), False)) for k in levels]
-        at = start + sum(sizes)
-        offsets: dict[int, list[int]] = {}
-        for k in reversed(levels):  # the smallest level's tiles come first
-            offsets[k] = np.cumsum([at, *[len(x) for x in tiles[k][:-1]]]).tolist()
-            at += sum(len(x) for x in tiles[k])
-        out.write(b"II+\0" + struct.pack("<HHQ", 8, 0, start) if big else b"II*\0" + struct.pack("<I", start))
-        for k in levels:
-            out.write(directory(k, start + sum(sizes[:k]), offsets[k], k == len(tiles) - 1))
-        for k in reversed(levels):
-            for x in tiles[k]:
+        head, _ = layout(tags, [[len(x) for x in level] for level in tiles], {"yes": True, "no": False}.get(self.big))
+        out.write(head)
+        for level in reversed(tiles):
+            for x in level:
                 out.write(x)
 
 
+def layout(tags, counts: list[list[int]], big: bool | None = None) -> tuple[bytes, list[list[int]]]:
+    """What a file begins with, header and all directories, and where its tiles go: the last directory's first, in order, those of no bytes nowhere.
+
+    tags(k, word, offsets) gives a directory's tags (number, form of struct, values); word is the form of an offset. big: None takes BigTIFF beyond 4 GB.
+    """
+    if big is None:
+        big = sum(map(sum, counts)) + (1 << 20) + 16 * sum(map(len, counts)) >= 1 << 32
+    word, inline = ("Q", 8) if big else ("I", 4)
+    codes = {"H": 3, "I": 4, "Q": 16, "d": 12, "s": 2}
+
+    def directory(k: int, at: int, offsets: list[int], last: bool) -> bytes:
+        made = sorted(tags(k, word, offsets))
+        head, step = (8, 20) if big else (2, 12)
+        extra_at, entries, extra = at + head + step * len(made) + inline, b"", b""
+        for tag, form, values in made:
+            data = values[0] if form == "s" else struct.pack(f"<{len(values)}{form}", *values)
+            entries += struct.pack("<HH" + word, tag, codes[form], len(data) if form == "s" else len(values))
+            if len(data) > inline:
+                entries += struct.pack("<" + word, extra_at + len(extra))
+                extra += data + b"\0" * (-len(data) % 8)
+            else:
+                entries += data.ljust(inline, b"\0")
+        size = head + len(entries) + inline + len(extra)
+        return struct.pack("<Q" if big else "<H", len(made)) + entries + struct.pack("<" + word, 0 if last else at + size) + extra
+
+    start, n = 16 if big else 8, len(counts)
+    sizes = [len(directory(k, 0, [0] * len(counts[k]), False)) for k in range(n)]
+    at, offsets = start + sum(sizes), [[] for _ in counts]
+    for k in reversed(range(n)):
+        for size in counts[k]:
+            offsets[k].append(at if size else 0)
+            at += size
+    out = b"II+\0" + struct.pack("<HHQ", 8, 0, start) if big else b"II*\0" + struct.pack("<I", start)
+    return out + b"".join(directory(k, start + sum(sizes[:k]), offsets[k], k == n - 1) for k in range(n)), offsets
+
+
 class _Counted:
     """A stream's bytes, counted and digested as they are written."""
 

@@ -304,3 +304,82 @@ def test_only_shares_of_large_files_are_read(tmp_path, spark):
     parts = reader.partitions()
     rows = [row for p in parts for batch in reader.read(p) for row in batch.to_pylist()]
     assert len(parts) == 5 and len(rows) == 25 == len({(r["x"], r["y"]) for r in rows})
+
+
+def levels_of(path, dtype):
+    """Samples and masks of the directories of a file, by hand from its tiles."""
+    with open(path, "rb") as stream:
+        out = []
+        for tags in geotiff.directories(stream):
+            d = geotiff.described(tags)
+            (edge, _), bands = d["tile"], d["bands"]
+            w, h = -(-d["width"] // edge), -(-d["height"] // edge)
+            made = np.zeros((bands, h * edge, w * edge), bool if d["bits"] == 1 else dtype)
+            for i in range(len(d["offsets"])):
+                band, at = divmod(i, w * h)
+                ty, tx = divmod(at, w)
+                if d["counts"][i]:
+                    made[band, ty * edge : ty * edge + edge, tx * edge : tx * edge + edge] = geotiff.stored_tile(stream, d, i)[:, :, 0]
+                else:
+                    made[band, ty * edge : ty * edge + edge, tx * edge : tx * edge + edge] = d["nodata"] or 0
+            out.append((tags.get(254, (0,))[0], made[:, : d["height"], : d["width"]]))
+    return out
+
+
+@pytest.mark.parametrize(("method", "dtype", "how"), [("average", "uint8", "nodata"), ("nearest", "int16", "nodata"), ("average", "float32", "mask"), ("average", "uint16", "none"), ("nearest", "uint8", "mask")])
+def test_overviews_beside_files(spark, tmp_path, method, dtype, how):
+    r = np.random.default_rng(9)
+    bands = [r.integers(1, 99, (75, 130)).astype(dtype) for _ in range(2)]
+    good = np.ones((75, 130), bool)
+    if how != "none":
+        good = r.random((75, 130)) < 0.7
+        good[16:64, 32:96] = False
+    if how == "nodata":
+        for b in bands:
+            b[~good] = 99
+    more = {"nodata": "99"} if how == "nodata" else {}
+    put(spark, tmp_path, "a", bands, valid=good if how == "mask" else None, **more)
+    put(spark, tmp_path, "small", [bands[0][:10, :16]], **({"nodata": "99"} if how == "nodata" else {}))
+    put(spark, tmp_path, "inside", [np.zeros((40, 40), dtype)], overviews="nearest", **more)
+    for suffix in (".ovr", ".rrd", ".aux"):
+        (tmp_path / f"a.tif{suffix}").write_bytes(b"stale")
+    got = jobs.external_overviews(spark, str(tmp_path), method, least=16, edge=16)
+    assert {(x.path.rsplit("/", 1)[1], x.status, x.levels) for x in got.collect()} == {("a.tif", "ok", 4), ("small.tif", "small", 0), ("inside.tif", "internal", 0)}
+    assert sorted(p.name for p in tmp_path.iterdir() if p.name != "_tmp") == ["a.tif", "a.tif.ovr", "inside.tif", "small.tif"]
+    found = levels_of(tmp_path / "a.tif.ovr", dtype)
+    wants = [(b.astype(float), good) for b in bands]
+    for k in range(4):
+        kind, made = found[k]
+        mask = found[4 + k][1][0] if how == "mask" else None
+        for b in range(2):
+            x, v = wants[b]
+            pad = ((0, x.shape[0] % 2), (0, x.shape[1] % 2))
+            x, v = np.pad(x, pad), np.pad(v, pad)
+            fours = [(x[i::2, j::2], v[i::2, j::2]) for i in (0, 1) for j in (0, 1)]
+            n = sum(g.astype(int) for _, g in fours)
+            mean = sum(np.where(g, a.astype(float), 0) for a, g in fours) / np.maximum(n, 1)
+            mean = np.rint(mean) if dtype != "float32" else mean.astype("float32")
+            x, v = (mean, n > 0) if method == "average" else fours[0]
+            wants[b] = x, v
+            assert kind == 1 and made[b].shape == x.shape
+            assert np.array_equal(made[b][v], x[v].astype(dtype)), (k, b)
+            if how == "nodata":
+                assert (made[b][~v] == 99).all()
+            if mask is not None:
+                assert found[4 + k][0] == 5 and np.array_equal(mask, v)
+    again = jobs.external_overviews(spark, str(tmp_path), method, least=16, edge=16)
+    assert again.count() == 3
+
+
+def test_palettes_are_not_averaged(spark, tmp_path):
+    put(spark, tmp_path, "p", [np.ones((40, 40), "uint8")])
+    data = bytearray((tmp_path / "p.tif").read_bytes())
+    at = int.from_bytes(data[4:8], "little")
+    for i in range(int.from_bytes(data[at : at + 2], "little")):
+        entry = at + 2 + 12 * i
+        if int.from_bytes(data[entry : entry + 2], "little") == 262:
+            data[entry + 8 : entry + 10] = (3).to_bytes(2, "little")
+    (tmp_path / "p.tif").write_bytes(bytes(data))
+    with pytest.raises(jobs.InputError, match="palette"):
+        jobs.external_overviews(spark, str(tmp_path), "average", least=16, edge=16)
+    assert jobs.external_overviews(spark, str(tmp_path), "nearest", least=16, edge=16).first().status == "ok"
