@@ -50,22 +50,51 @@ def contributors(blocks: DataFrame, rects: DataFrame, key_size: int = 64) -> Dat
     return met.select("block", "source", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
 
 
+def _strips() -> tuple:
+    """Of a rectangle (x0, y0, x1, y1): what lies outside of its whole squares of 64 by 64, as up to four rectangles, and those squares in units of 64."""
+    up, down = (lambda c: F.shiftright(F.col(c) + 63, 6)), (lambda c: F.shiftright(F.col(c), 6))
+    inner = (up("x0") < down("x1")) & (up("y0") < down("y1"))
+    box = lambda *v: F.struct(*[c.alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), v, strict=True)])
+    x0, y0, x1, y1 = map(F.col, ("x0", "y0", "x1", "y1"))
+    left, low, right, high = up("x0") * 64, up("y0") * 64, down("x1") * 64, down("y1") * 64
+    rim = F.array(box(x0, y0, x1, low), box(x0, high, x1, y1), box(x0, low, left, high), box(right, low, x1, high))
+    return inner, F.when(inner, rim).otherwise(F.array(box(x0, y0, x1, y1))), box(up("x0"), up("y0"), down("x1"), down("y1"))
+
+
 def union_area(rects: DataFrame, keys: list[str]) -> DataFrame:
-    """Area of the union of each key's rectangles: per slab between x edges, merged y intervals.
+    """Area of the union of each key's rectangles, whose sides are whole numbers.
 
-    A rectangle is exploded to the slabs that it spans, so many edges in one key mean many rows; give keys
-    of bounded extent (blocks or key squares).
+    A rectangle becomes words of 64 bits, one for each 64 cells of each row that it covers, but for the squares of 64 by 64 that it fills:
+    those are cells of the next level, where the same is done. Equal places of a key are joined by bitwise or, first in each task, so
+    neither many rectangles of one key nor many copies of one meet anywhere; rows grow with the rims. Bits are counted where no higher level has filled their square.
     """
-    one = rects.where("w > 0 and h > 0").select(*keys, "x", "y", "w", "h").distinct()
-    edges = one.select(*keys, F.explode(F.array("x", F.expr("x + w"))).alias("left")).distinct()
-    order = Window.partitionBy(*keys).orderBy("left")
-    slabs = edges.withColumn("right", F.lead("left").over(order)).where("right is not null")
-    rows = one.join(slabs, keys).where("x <= left and left < x + w") if keys else one.join(slabs, F.expr("x <= left and left < x + w"))
-    run = Window.partitionBy(*keys, "left").orderBy("y", F.expr("y + h")).rowsBetween(Window.unboundedPreceding, -1)
-    end = F.max(F.expr("y + h")).over(run)
-    gain = F.expr("y + h") - F.greatest("y", F.coalesce(end, F.col("y")))
-    parts = rows.withColumn("gain", F.greatest(F.lit(0), gain) * (F.col("right") - F.col("left")))
-    return parts.groupBy(*keys).agg(F.sum("gain").alias("area"))
+    part = rects.where("w > 0 and h > 0").select(*keys, *[F.expr(e).cast("long").alias(n) for n, e in (("x0", "x"), ("y0", "y"), ("x1", "x + w"), ("y1", "y + h"))])
+    side = part.agg(F.max(F.least(F.expr("x1 - x0"), F.expr("y1 - y0")))).first()[0] or 0
+    inner, rim, core = _strips()
+    levels = []
+    while True:
+        cells = part.select(*keys, F.explode(rim).alias("r")).where("r.x0 < r.x1 and r.y0 < r.y1")
+        cells = cells.select(*keys, "r", F.explode(F.sequence(F.shiftright("r.x0", 6), F.shiftright(F.col("r.x1") - 1, 6))).alias("sx"))
+        first, last = F.greatest(F.col("r.x0") - F.col("sx") * 64, F.lit(0)), F.least(F.col("r.x1") - F.col("sx") * 64, F.lit(64))
+        cells = cells.select(*keys, "sx", first.cast("int").alias("a"), last.cast("int").alias("b"), F.explode(F.sequence(F.col("r.y0"), F.col("r.y1") - 1)).alias("y"))
+        bits = F.expr("case when b - a = 64 then -1L else shiftleft(shiftleft(1L, b - a) - 1L, a) end")
+        levels.append(cells.groupBy(*keys, "sx", "y").agg(F.bit_or(bits).alias("bits")))
+        if side < 64:
+            break
+        part, side = part.where(inner).select(*keys, core.alias("c")).select(*keys, "c.*"), side // 64
+    total = None
+    for k, level in enumerate(levels):
+        for up in range(k + 1, len(levels)):
+            # the square of a word's cells at the level above, and so on
+            step = 6 * (up - k)
+            names = [*keys, "px", "py"]
+            higher = levels[up].select(*keys, F.col("sx").alias("px"), F.col("y").alias("py"), F.col("bits").alias("above"))
+            level = level.withColumns({"px": F.shiftright("sx", step), "py": F.shiftright("y", step)}).join(higher, names, "left")
+            at = F.expr(f"shiftright(sx, {step - 6}) & 63").cast("int")
+            level = level.withColumn("at", at).where(F.expr("above is null or shiftrightunsigned(above, at) & 1 = 0")).select(*keys, "sx", "y", "bits")
+        counted = level.groupBy(*keys).agg((F.sum(F.bit_count("bits").cast("long")) * F.lit(4096**k)).alias("area"))
+        total = counted if total is None else total.unionByName(counted)
+    return total if len(levels) == 1 else total.groupBy(*keys).agg(F.sum("area").alias("area"))
 
 
 def coverage(sources: DataFrame, outputs: DataFrame, id_: str = "ord", key_size: int = 64) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.vectorised import vectorised
@@ -187,3 +187,16 @@ def normalized_metadata(metadata: DataFrame, required: DataFrame) -> DataFrame:
     full = completed_schema(required, own).select("layer", F.map_from_entries(F.array_sort(F.map_entries("fields"))).alias("fields"))
     made = full.agg(F.array_sort(F.collect_list(F.struct(F.col("layer").alias("id"), "fields"))).alias("vector_layers")).select(F.lit("json").alias("name"), F.to_json(F.struct("vector_layers")).alias("value"))
     return metadata.where("name <> 'json'").select("name", "value").union(made)
+
+
+def varint(value: Column) -> Column:
+    """A whole number in the hexadecimal digits of its protobuf form: seven bits a byte, the lowest first, all but the last with the high bit."""
+    seven = lambda k: F.shiftrightunsigned(value.cast("long"), 7 * k).bitwiseAND(127)
+    more = lambda k: F.shiftrightunsigned(value.cast("long"), 7 * (k + 1)) > 0
+    byte = lambda k: F.lpad(F.hex(F.when(more(k), seven(k) + 128).otherwise(seven(k))), 2, "0")
+    return F.concat(byte(0), *[F.when(more(k - 1), byte(k)).otherwise("") for k in range(1, 9)])
+
+
+def field(number: int, content: Column) -> Column:
+    """A protobuf field with content of so many bytes; all are hexadecimal digits."""
+    return F.concat(varint(F.lit(number << 3 | 2)), varint(F.length(content) / 2), content)

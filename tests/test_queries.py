@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from gridloom.plans import more, queries, rasters
+from gridloom.plans import formats, more, queries, rasters
 
-assert more and rasters  # they register their queries
+assert formats and more and rasters  # they register their queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
