@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import projection
 from gridloom.functions.shared import scratch
 from gridloom.operators import tiles
 from gridloom.operators import windows as rasters_
 from gridloom.plans import jobs, views
 from gridloom.plans.queries import longs, query, rounded
-from gridloom.sources import files, geotiff, telemetry, vector, vrt
+from gridloom.sources import files, geotiff, shapefile, telemetry, vector, vrt
 
 # rasters
 
@@ -227,3 +228,23 @@ def widened_scales(spark, sf_dir):
     made = p.select(F.col("p_partkey").alias("id"), vector.widened_scales(text).alias("s"))
     number = lambda tag: F.round(F.regexp_extract("s", rf"<(?:sld:)?{tag}>([^<]+)<", 1).cast("double"), 6)
     return made.select("id", number("MinScaleDenominator").alias("low"), number("MaxScaleDenominator").alias("high"))
+
+
+# shapes
+
+
+@query("""with s as (select s_suppkey k, cast(s_suppkey * 37 % 90 as double) x, cast(s_suppkey * 53 % 70 as double) y, cast(1 + s_suppkey % 9 as double) w from supplier)
+  select 's' || k as name, round(x + w, 6) xmax, 5 points, round(w * (w + 0.5), 6)::double area from s where x + w <= 60 and y >= 10""")
+def clipped_shapes(spark, sf_dir):
+    """Suppliers as polygons, through shapefiles: those of a window, which their boxes alone tell, with the area of their outer ring."""
+    shapefile.register(spark)
+    s = F.col("s_suppkey")
+    x, y, w = s * 37 % 90 * 1.0, s * 53 % 70 * 1.0, 1.0 + s % 9
+    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    ring = F.array(point(x, y), point(x, y + w + 0.5), point(x + w, y + w + 0.5), point(x + w, y), point(x, y))
+    path = scratch(spark)
+    rows = views.table(spark, sf_dir, "supplier").select(F.array(ring).alias("parts"), F.create_map(F.lit("name"), F.concat(F.lit("s"), s.cast("string"))).alias("fields"))
+    rows.write.format("shapefile").mode("append").options(path=path, kind="polygon", fields="name").save()
+    read = spark.read.format("shapefile").load(path).where("xmax <= 60 and ymin >= 10")
+    made = read.select(F.col("fields")["name"].alias("name"), "xmax", F.get("parts", F.lit(0)).alias("ring"))
+    return rounded(made.select("name", "xmax", F.size("ring").alias("points"), projection.ring_area(F.col("ring")).alias("area")), "xmax", "area")
