@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import operator
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.ranks import running
 from gridloom.functions.rects import overview_sizes, whole
 from gridloom.functions.shared import intermediates, written
-from gridloom.operators import mosaic, planning, resample, tiles
+from gridloom.operators import planning, resample, tiles
 from gridloom.operators import windows as rasters
 from gridloom.sources import files, geotiff
 from gridloom.sources import overviews as sidecars
@@ -37,28 +39,24 @@ def inventory(spark: SparkSession, path: str, tolerance: float = 1e-7) -> DataFr
     geotiff.register(spark)
     meta = spark.read.format("geotiff").option("mode", "metadata").load(path)
     meta = running(meta, [F.lower("path"), "path"], place="ord").withColumn("ord", F.col("ord").cast("long"))
-    held = meta.where("alpha or palette or dtype in ('int64', 'uint64')").select("path", "alpha", "palette", "dtype").orderBy("path").head(1)
-    if held:
-        raise InputError(f"{held[0].path} has {'an alpha band' if held[0].alpha else 'a palette' if held[0].palette else '64-bit integers'}")
-    odd = mosaic.compatible(meta, ["bands", "dtype", "nodata", "a", "b", "d", "e"]).select("path").head(1)
-    if odd:
-        raise InputError(f"{odd[0].path} has another type, NoData value or pixel size than the first file")
-    if (one := meta.where("ord = 0").first()) is not None and one.nodata is not None and not geotiff.representable(one.nodata, one.dtype):
-        raise InputError(f"{one.path}: {one.dtype} can't hold its NoData value {one.nodata}")
-    odd = mosaic.compatible(meta, ["system"]).select("path").head(1)
-    if odd:
-        raise InputError(f"{odd[0].path} has another coordinate system than the first file")
-    odd = mosaic.compatible(meta, ["point"]).select("path").head(1)
-    if odd:
-        raise InputError(f"{odd[0].path}: points and areas can't be mixed")
-    first = meta.where("ord = 0").select(F.col("c").alias("c0"), F.col("f").alias("f0"))
-    placed = meta.join(F.broadcast(first), F.lit(True))
-    x, y = (F.col("c") - F.col("c0")) / F.col("a"), (F.col("f") - F.col("f0")) / F.col("e")
+    first = F.broadcast(meta.where("ord = 0").select(*[F.col(c).alias(f"first_{c}") for c in ("path", "bands", "dtype", "nodata", "a", "b", "d", "e", "system", "point", "c", "f")]))
+    placed = meta.join(first, F.lit(True))
+    x, y = (F.col("c") - F.col("first_c")) / F.col("a"), (F.col("f") - F.col("first_f")) / F.col("e")
+    same = lambda *names: functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"first_{c}")) for c in names])
     placed = placed.withColumns({"px": x, "py": y})
-    off = placed.where(~(whole(F.col("px"), tolerance) & whole(F.col("py"), tolerance)) | (F.col("b") != 0) | (F.col("d") != 0)).select("path").head(1)
-    if off:
-        raise InputError(f"{off[0].path} is rotated or not aligned with the first file")
-    return placed.withColumns({"x": F.rint("px").cast("long"), "y": F.rint("py").cast("long")}).drop("px", "py", "c0", "f0")
+    faults = [
+        (F.col("alpha"), "has an alpha band"), (F.col("palette"), "has a palette"), (F.col("dtype").isin("int64", "uint64"), "has 64-bit integers"),
+        (~same("bands", "dtype", "nodata", "a", "b", "d", "e"), "has another type, NoData value or pixel size than the first file"), (~same("system"), "has another coordinate system than the first file"),
+        (~same("point"), "is of points or areas where the first file is not: points and areas can't be mixed"),
+        (~(whole(F.col("px"), tolerance) & whole(F.col("py"), tolerance)) | (F.col("b") != 0) | (F.col("d") != 0), "is rotated or not aligned with the first file"),
+    ]
+    fault = functools.reduce(lambda rest, k: F.when(faults[k][0], k).otherwise(rest), reversed(range(len(faults))), F.lit(None).cast("int"))
+    odd = placed.select("path", "ord", "dtype", "nodata", fault.alias("fault")).where("fault is not null or ord = 0").orderBy(F.asc_nulls_last("fault"), "path").head(1)
+    if odd and odd[0].fault is not None:
+        raise InputError(f"{odd[0].path} {faults[odd[0].fault][1]}")
+    if odd and odd[0].nodata is not None and not geotiff.representable(odd[0].nodata, odd[0].dtype):
+        raise InputError(f"{odd[0].path}: {odd[0].dtype} can't hold its NoData value {odd[0].nodata}")
+    return placed.withColumns({"x": F.rint("px").cast("long"), "y": F.rint("py").cast("long")}).select(*meta.columns, "x", "y")
 
 
 #: Sources up to which their places are sent to all tasks; beyond, windows are shuffled by path.

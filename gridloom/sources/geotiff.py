@@ -192,26 +192,79 @@ def structure_faults(levels: list[dict], edge: int = 512) -> list[str]:
 
 
 def _unpack_lzw(data: bytes) -> bytes:
-    out, table, width, held, bits, last = [], [], 9, 0, 0, b""
-    for byte in data:
-        held, bits = (held << 8) | byte, bits + 8
-        while bits >= width:
-            bits -= width
-            code = held >> bits
-            held &= (1 << bits) - 1
-            if code == 257:
-                return b"".join(out)
-            if code == 256:
-                table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
-                continue
+    """Codes become words of a table that grows by one each: all codes between two clearings are read at once, as their widths follow from their number."""
+    flat, out, at = np.unpackbits(np.frombuffer(data, np.uint8)), [], 9
+    first = [bytes([i]) for i in range(256)] + [b"", b""]
+    if len(flat) < 9 or np.packbits(flat[:9]).tolist() != [128, 0]:
+        raise ValueError("an LZW stream doesn't begin with a clearing")
+    while True:
+        codes = _codes(flat, at)
+        ends = np.flatnonzero((codes == 256) | (codes == 257))
+        n = int(ends[0]) if len(ends) else len(codes)
+        table, last = list(first), b""
+        for code in codes[:n].tolist():
             word = table[code] if code < len(table) else last + last[:1]
             out.append(word)
             if last:
                 table.append(last + word[:1])
             last = word
-            if len(table) >= (1 << width) - 1 and width < 12:
-                width += 1
-    return b"".join(out)
+        if n == len(codes) or codes[n] == 257:
+            return b"".join(out)
+        at += int(_STARTS[n + 1])
+
+
+def _width(entries: int) -> int:
+    """Bits of the code that is written when the table has so many entries; one earlier than they would be needed."""
+    return 9 if entries < 511 else 10 if entries < 1023 else 11 if entries < 2047 else 12
+
+
+#: Widths of the codes after a clearing, of which there are at most 3,838: the first adds no entry.
+_WIDTHS = np.array([_width(258 + max(0, k - 1)) for k in range(4096)])
+_STARTS = np.concatenate([[0], np.cumsum(_WIDTHS)])
+
+
+def _codes(flat: np.ndarray, at: int) -> np.ndarray:
+    """The codes after a clearing, as far as the table can grow or the bits reach."""
+    starts, widths = at + _STARTS[:-1], _WIDTHS
+    there = starts + widths <= len(flat)
+    starts, widths = starts[there], widths[there]
+    out = np.zeros(len(starts), np.int64)
+    for k in range(12):
+        some = widths > k
+        out[some] = out[some] << 1 | flat[starts[some] + k]
+    return out
+
+
+def _pack_lzw(data: bytes) -> bytes:
+    """Codes of the longest words that the table has, each with its next byte becoming an entry; cleared when it is full."""
+    codes, widths = [256], [9]
+    table, following, word = {}, 258, -1
+    for byte in data:
+        if word < 0:
+            word = byte
+            continue
+        longer = table.get(word << 8 | byte)
+        if longer is not None:
+            word = longer
+            continue
+        codes.append(word)
+        widths.append(_width(max(258, following - 1)))
+        table[word << 8 | byte] = following
+        following += 1
+        word = byte
+        if following == 4094:
+            codes.append(256)
+            widths.append(12)
+            table, following = {}, 258
+    if word >= 0:
+        codes.append(word)
+        widths.append(_width(max(258, following - 1)))
+        following += 1
+    codes.append(257)
+    widths.append(_width(max(258, following - 1)))
+    code, width = np.array(codes), np.array(widths)
+    bits = (code[:, None] >> np.arange(11, -1, -1)) & 1
+    return np.packbits(bits[np.arange(12) >= 12 - width[:, None]].astype(np.uint8)).tobytes()
 
 
 def _unpack_bits(data: bytes) -> bytes:
@@ -279,8 +332,8 @@ def encoded(data: bytes, codec: str, level: int | None) -> bytes:
         return zstandard.ZstdCompressor(level=9 if level is None else level).compress(data)
     if codec == "lzma":
         return lzma.compress(data, preset=6 if level is None else level)
-    if codec == "packbits":
-        return _pack_bits(data)
+    if codec in ("packbits", "lzw"):
+        return (_pack_bits if codec == "packbits" else _pack_lzw)(data)
     raise ValueError(f"compression {codec} can't be written")
 
 

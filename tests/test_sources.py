@@ -14,7 +14,7 @@ from gridloom.sources import dted, files, geotiff, sqlite, telemetry, vector, vr
 from gridloom.streaming import requests as streams
 
 
-@pytest.mark.parametrize(("codec", "predictor", "dtype"), [("none", 1, "float32"), ("deflate", 2, "int16"), ("zstd", 3, "float64"), ("lzma", 1, "uint16"), ("packbits", 1, "uint8"), ("deflate", 3, "float32")])
+@pytest.mark.parametrize(("codec", "predictor", "dtype"), [("none", 1, "float32"), ("deflate", 2, "int16"), ("zstd", 3, "float64"), ("lzma", 1, "uint16"), ("packbits", 1, "uint8"), ("deflate", 3, "float32"), ("lzw", 1, "uint8"), ("lzw", 2, "int16"), ("lzw", 3, "float64")])
 def test_geotiff_keeps_every_sample(spark, tmp_path, codec, predictor, dtype):
     geotiff.register(spark)
     rng = np.random.default_rng(2)
@@ -50,6 +50,30 @@ def test_geotiff_lzw_and_strips(spark, tmp_path):
     assert np.frombuffer(r.samples).astype(np.uint8).tobytes() == data
 
 
+@pytest.mark.parametrize("size", [0, 1, 2, 300, 5000, 70_000])
+@pytest.mark.parametrize("letters", [1, 3, 256])
+def test_lzw_round_trips(size, letters):
+    data = np.random.default_rng(size).integers(0, letters, size).astype(np.uint8).tobytes()
+    packed = geotiff.encoded(data, "lzw", None)
+    assert geotiff.decoded(packed, "lzw", size) == data
+    # read once more, a bit after another, with widths that grow one code early
+    bits = "".join(f"{b:08b}" for b in packed)
+    out, table, last, at, width = [], [], b"", 0, 9
+    while True:
+        code, at = int(bits[at : at + width], 2), at + width
+        if code == 257:
+            break
+        if code == 256:
+            table, last, width = [bytes([i]) for i in range(256)] + [b"", b""], b"", 9
+            continue
+        word = table[code] if code < len(table) else last + last[:1]
+        out.append(word)
+        table += [last + word[:1]] if last else []
+        last = word
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    assert b"".join(out) == data
+
+
 def dted_cell(west, south, rows, columns, value):
     def corner(v, ways):
         return f"{abs(v):03d}0000{ways[v < 0]}"
