@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import projection
-from gridloom.functions.shared import scratch
+from gridloom.functions.shared import scratch, written
 from gridloom.operators import tiles
 from gridloom.operators import windows as rasters_
 from gridloom.plans import jobs, views
@@ -248,3 +248,12 @@ def clipped_shapes(spark, sf_dir):
     read = spark.read.format("shapefile").load(path).where("xmax <= 60 and ymin >= 10")
     made = read.select(F.col("fields")["name"].alias("name"), "xmax", F.get("parts", F.lit(0)).alias("ring"))
     return rounded(made.select("name", "xmax", F.size("ring").alias("points"), projection.ring_area(F.col("ring")).alias("area")), "xmax", "area")
+
+
+@query(f"with {_LAYERS} select s, x, y, v from layers where x between 10 and 40 and y between 5 and 17")
+def indexed_window(spark, sf_dir):
+    """A window in coordinates of the five rasters, through an index of their footprints; all five lie in one place, so all are met."""
+    path = _written(spark, sf_dir, compression="zstd")
+    read = jobs.window(spark, path, written(jobs.footprints(spark, path)), (1100.0, 1820.0, 1410.0, 1950.0))
+    cells = tiles.window_cells(read).where("x between 10 and 40 and y between 5 and 17")
+    return longs(cells.select(F.regexp_extract("path", r"s(\d+)\.tif$", 1).alias("s"), "x", "y", "v"), "s", "v")

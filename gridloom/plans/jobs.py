@@ -17,6 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import codecs
 from gridloom.functions.ranks import running
 from gridloom.functions.rects import overview_sizes, whole
 from gridloom.functions.shared import intermediates, written
@@ -59,6 +60,51 @@ def inventory(spark: SparkSession, path: str, tolerance: float = 1e-7) -> DataFr
     return placed.withColumns({"x": F.rint("px").cast("long"), "y": F.rint("py").cast("long")}).select(*meta.columns, "x", "y")
 
 
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """The inventory of rasters that an earlier job left at `path`, with west, south and per_degree: heights on one grid of whole samples a degree.
+
+    Every file must have one band of int16 or float32, a NoData value that the type holds and no mask, EPSG:4326, a grid that is aligned with the first one's, and
+    the same metadata but for statistics (scales, offsets, units and descriptions are metadata too); else InputError names the first that hasn't.
+    """
+    found = inventory(spark, path)
+    kept = F.map_filter("items", lambda k, _: ~F.startswith(k, F.lit("STATISTICS_")))
+    found = found.withColumns({"kept": F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept)))), "per_degree": 1 / F.col("a")})
+    first = F.broadcast(found.where("ord = 0").select(F.col("kept").alias("first_kept")))
+    west, north = F.col("c") + F.col("a") / 2, F.col("f") + F.col("e") / 2
+    faults = [
+        ((F.col("bands") != 1) | ~F.col("dtype").isin("int16", "float32"), "needs one band of int16 or float32"), (F.col("nodata").isNull() | F.isnan("nodata") | F.col("masked"), "needs a NoData value and no mask"),
+        (F.coalesce(F.col("crs") != "EPSG:4326", F.lit(True)), "is not in EPSG:4326"), ((F.col("a") <= 0) | (F.col("e") >= 0), "is not north-up"),
+        (~whole(F.col("per_degree"), 1e-6) | ~whole(west * F.col("per_degree"), 1e-6) | ~whole(north * F.col("per_degree"), 1e-6), "has no whole samples a degree"),
+        (~F.col("kept").eqNullSafe(F.col("first_kept")), "has other metadata than the first file"),
+    ]
+    fault = functools.reduce(lambda rest, k: F.when(faults[k][0], k).otherwise(rest), reversed(range(len(faults))), F.lit(None).cast("int"))
+    placed = found.join(first, F.lit(True)).withColumns({"fault": fault, "west": west, "south": north + (F.col("height") - 1) * F.col("e")})
+    odd = placed.where("fault is not null").orderBy("fault", "path").head(1)
+    if odd:
+        raise InputError(f"{odd[0].path} {faults[odd[0].fault][1]}")
+    return placed.drop("kept", "first_kept", "fault")
+
+
+def footprints(spark: SparkSession, path: str) -> DataFrame:
+    """The index of a mosaic: path, west, south, east, north of each file from its header alone. Written once, it spares later reads the files they don't meet."""
+    geotiff.register(spark)
+    meta = spark.read.format("geotiff").option("mode", "metadata").load(path)
+    xs, ys = (F.col("c"), F.col("c") + F.col("a") * F.col("width")), (F.col("f"), F.col("f") + F.col("e") * F.col("height"))
+    return meta.select("path", F.least(*xs).alias("west"), F.least(*ys).alias("south"), F.greatest(*xs).alias("east"), F.greatest(*ys).alias("north"))
+
+
+def window(spark: SparkSession, path: str, index: DataFrame, box: tuple[float, float, float, float], stored: bool = False) -> DataFrame:
+    """The stored tiles of a mosaic's files that meet a box of coordinates. Files that the index rules out aren't opened; of the others the header and
+    the tiles inside are asked for, neighbouring tiles in one range of bytes, and never a whole file."""
+    west, south, east, north = map(float, box)
+    met = index.where((F.col("west") < east) & (F.col("east") > west) & (F.col("south") < north) & (F.col("north") > south)).select("path").limit(BROADCAST_SOURCES + 1).collect()
+    options = {"box": f"{west!r},{south!r},{east!r},{north!r}", "samples": "stored" if stored else "double"}
+    if len(met) <= BROADCAST_SOURCES:
+        options["files"] = json.dumps([r.path for r in met])
+    geotiff.register(spark)
+    return spark.read.format("geotiff").options(**options).load(path)
+
+
 #: Sources up to which their places are sent to all tasks; beyond, windows are shuffled by path.
 BROADCAST_SOURCES = 200_000
 
@@ -103,6 +149,8 @@ def merge(spark: SparkSession, path: str, output: str, policy: str = "last", edg
     resume: each block appears as soon as it is whole, with a row of state; a call over the same inputs and options checks the
     digests of what is there and writes only the rest. Otherwise all files appear or none.
     """
+    if (said := spark.range(1).select(codecs.fault(F.lit(compression), F.lit(level).cast("int"), F.lit(predictor), F.lit(True)).alias("f")).first().f) is not None:
+        raise InputError(said)
     with intermediates(spark):
         return _merge(spark, path, output, policy, edge, block_tiles, nodata, compression, predictor, overviews, level, resume)
 
@@ -114,6 +162,8 @@ def _merge(spark, path, output, policy, edge, block_tiles, nodata, compression,
     if one is None:
         raise InputError(f"no GeoTIFF at {path}")
     missing = one.nodata if one.nodata is not None else nodata
+    if predictor == 3 and not one.dtype.startswith("float"):
+        raise InputError("predictor 3 is for floating-point samples")
     if missing is not None and not geotiff.representable(float(missing), one.dtype):
         raise InputError(f"{one.dtype} can't hold NoData {missing}")
     width, height, step = box.r - box.x, box.b - box.y, block_tiles * edge

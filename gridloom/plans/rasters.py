@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from gridloom.functions import projection, text
+from gridloom.functions import codecs, projection, text
 from gridloom.functions.shared import scratch
 from gridloom.operators import planning, scenes, tiles
 from gridloom.plans import views
@@ -182,3 +182,21 @@ def block_texts(spark, sf_dir):
         src.alias("src"), F.struct("x", "y", "w", "h").alias("dst"), F.lit(False).alias("skip_nodata"), F.lit(False).alias("use_mask"), "x", "y", "w", "h",
     )
     return vrt.block_vrts(blocks, parts, "Int16", "-9999", "EPSG:3857", folder="/job/out")
+
+
+_QUARTERS = ", ".join(map(str, codecs.LZMA_QUARTERS))
+
+
+@query(f"""with s as (select p_partkey id, ['none', 'packbits', 'lzma', 'lzw', 'deflate', 'zstd', 'jpeg'][p_partkey % 7 + 1] c, case when p_partkey % 3 > 0 then p_size - 4 end a, 1 + p_partkey // 7 % 4 p, p_partkey % 2 = 0 f from part),
+  u as (select *, case when c in ('lzma', 'deflate') then coalesce(a, 6) when c = 'zstd' then coalesce(a, 9) end l,
+    case when c = 'jpeg' then 'unknown codec' when c = 'deflate' and a not between 1 and 9 then 'deflate levels are 1 to 9' when c = 'zstd' and a not between 1 and 22 then 'zstd levels are 1 to 22' when c = 'lzma' and a not between 0 and 9 then 'lzma levels are 0 to 9'
+      when c not in ('deflate', 'zstd', 'lzma') and a is not null then 'this codec has no levels' when p > 3 then 'predictors are 1 to 3' when p > 1 and c not in ('lzw', 'deflate', 'zstd') then 'this codec takes no predictor'
+      when p = 3 and not f then 'predictor 3 is for floating-point samples' end fault from s)
+  select id, fault, case when fault is null then cast(l as integer) end "level", case when fault is null then cast(case c when 'lzma' then 33554432 + [{_QUARTERS}][l + 1] * 3145728 when 'zstd' then case when l <= 9 then 32 when l <= 15 then 64 when l <= 19 then 256 else 1024 end * 1048576 else 4194304 end as bigint) end memory_bytes from u""")
+def codec_plans(spark, sf_dir):
+    p, k = views.table(spark, sf_dir, "part"), F.col("p_partkey")
+    codec = F.element_at(F.array(*[F.lit(c) for c in ("none", "packbits", "lzma", "lzw", "deflate", "zstd", "jpeg")]), (k % 7 + 1).cast("int"))
+    rows = p.select(k.alias("id"), codec.alias("codec"), F.when(k % 3 > 0, F.col("p_size") - 4).cast("int").alias("asked"), (1 + F.floor(k / 7) % 4).cast("int").alias("predictor"), (k % 2 == 0).alias("floating"))
+    rows = rows.withColumns({"level": codecs.level(F.col("codec"), F.col("asked")), "fault": codecs.fault(*[F.col(c) for c in ("codec", "asked", "predictor", "floating")])})
+    fine = lambda c: F.when(F.col("fault").isNull(), c)
+    return rows.select("id", "fault", fine(F.col("level")).alias("level"), fine(codecs.memory_bytes(F.col("codec"), F.col("level"))).alias("memory_bytes"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import stat
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,6 +33,22 @@ def listing(spark: SparkSession, path: str, suffixes: tuple[str, ...], contains:
     return running(rows, [F.lower("path"), "path"], place="ord")
 
 
+def unlinked(files: DataFrame) -> DataFrame:
+    """Rows of a listing whose file is no link and has no other name: symbolic links, and all names of files that have several, go, as what
+    changes one would change the other. Only local folders have links."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keep = []
+            for path in frame["path"]:
+                store, name = opened(path)
+                facts = os.lstat(name) if isinstance(store, fs.LocalFileSystem) else None
+                keep.append(facts is None or stat.S_ISREG(facts.st_mode) and facts.st_nlink == 1)
+            yield frame[keep]
+
+    return files.mapInPandas(run, files.schema)
+
+
 def by_size(files: DataFrame) -> DataFrame:
     """Largest first, then by name: the order in which long jobs should start."""
     return files.orderBy(F.desc("size"), F.lower("path"))

@@ -5,7 +5,7 @@ reading order) and valid (a byte each). With option samples=stored, samples have
 valid is a bit each, most significant first, or null where all are. Samples are valid where the file's mask (a mask directory, or a file
 .msk beside it) says so and they aren't its NoData value; with strict=true a NoData value that the mask calls valid raises.
 Option mode=metadata gives a row per file from its header alone; option
-window=x,y,w,h and files=[paths] in JSON plan only the tiles that meet it, and so do filters on path, band, x and y, which are pushed down to
+window=x,y,w,h, box=west,south,east,north (in coordinates, for each file its own window) and files=[paths] in JSON plan only the tiles that meet it, and so do filters on path, band, x and y, which are pushed down to
 the stored tiles. Small files share a partition, a large one is dealt to several by shares of its tiles; none is
 opened to plan that. `df.write.format("geotiff")` takes rows (block, band, tx, ty, samples) sorted by block and
 writes a file per block: all directories first, then the tiles of the smallest overview up to the raster's own.
@@ -16,9 +16,11 @@ from __future__ import annotations
 import hashlib
 import json
 import lzma
+import math
 import operator
 import struct
 import uuid
+import xml.etree.ElementTree as ET
 import zlib
 
 import numpy as np
@@ -35,7 +37,7 @@ from gridloom.sources.files import opened
 TILES = "path string, band int, x long, y long, w int, h int, samples binary, valid binary"
 METADATA = (
     "path string, width long, height long, bands int, dtype string, nodata double, c double, a double, b double, f double, d double, e double, "
-    "compression string, predictor int, tile_width int, tile_height int, tiles int, stored_bytes long, levels int, crs string, alpha boolean, palette boolean, faults array<string>, masked boolean, point boolean, system string, geo string"
+    "compression string, predictor int, tile_width int, tile_height int, tiles int, stored_bytes long, levels int, crs string, alpha boolean, palette boolean, faults array<string>, masked boolean, point boolean, system string, geo string, items map<string,string>"
 )
 #: Fixed values of the TIFF format: compression codes, sample formats, sizes of field types.
 CODECS = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773, "lzma": 34925, "zstd": 50000}
@@ -148,6 +150,15 @@ def geo_tags(tags: dict) -> str | None:
     return json.dumps(kept) if "34735" in kept else None
 
 
+def metadata_items(tags: dict) -> dict[str, str]:
+    """The items of the metadata tag (XML), which also holds scales, offsets, units and descriptions; by name, band and role."""
+    text = tags[42112][0].rstrip(b"\0").decode("utf-8", "replace") if 42112 in tags else ""
+    if not text or "<!DOCTYPE" in text.upper() or "<!ENTITY" in text.upper():
+        return {}
+    items = ET.fromstring(text).iter("Item")
+    return {"|".join(x for x in (i.get("name", ""), i.get("sample"), i.get("role")) if x is not None): i.text or "" for i in items}
+
+
 #: EPSG codes whose kind is known without a register: geographic ones, and ranges of projected ones.
 GEOGRAPHIC = (4258, 4267, 4269, 4283, 4326, 6318, 7844)
 PROJECTED = ((3857, 3857), (25828, 25838), (26901, 26923), (32601, 32660), (32701, 32760))
@@ -396,6 +407,47 @@ def stored_tile(stream, d: dict, i: int) -> np.ndarray:
     return restored(data, d["dtype"], tw, rows, planes, d["predictor"], d["bits"])
 
 
+#: Bytes that a file is asked for first, which hold most headers; gaps between tiles that are read over; the most that one range holds.
+HEAD_BYTES, GAP_BYTES, RANGE_BYTES = 64 << 10, 64 << 10, 8 << 20
+
+
+class Ranges:
+    """A file as ranges of bytes: its head is asked for once, and what `fetch` announces in as few ranges as its gaps allow."""
+
+    def __init__(self, stream):
+        self.stream, self.at, self.asked = stream, 0, []
+        self.held = [(0, self._ask(0, HEAD_BYTES))]
+
+    def _ask(self, start: int, size: int) -> bytes:
+        self.asked.append((start, size))
+        self.stream.seek(start)
+        return self.stream.read(size)
+
+    def fetch(self, places: list[tuple[int, int]]) -> None:
+        """Reads places (offset, size) that will be read next, neighbours together."""
+        self.held = self.held[:1]
+        for start, size in sorted(p for p in places if p[1] and p[0] + p[1] > len(self.held[0][1])):
+            if len(self.held) > 1 and start - self.stop <= GAP_BYTES and start + size - self.start <= RANGE_BYTES:
+                self.stop = max(self.stop, start + size)
+            else:
+                if len(self.held) > 1:
+                    self.held[-1] = (self.start, self._ask(self.start, self.stop - self.start))
+                self.start, self.stop = start, start + size
+                self.held.append((start, b""))
+        if len(self.held) > 1:
+            self.held[-1] = (self.start, self._ask(self.start, self.stop - self.start))
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def read(self, size: int) -> bytes:
+        start, self.at = self.at, self.at + size
+        for first, data in self.held:
+            if first <= start and start + size <= first + len(data):
+                return data[start - first : start - first + size]
+        return self._ask(start, size)
+
+
 class _Mask:
     """The validity that a mask directory gives windows of the raster; the last tiles that were read are kept."""
 
@@ -425,6 +477,7 @@ class GeoTiffReader(DataSourceReader):
         self.options, self.tests = options, []
         self.metadata, self.stored, self.strict = options.get("mode") == "metadata", options.get("samples") == "stored", options.get("strict") == "true"
         self.window = tuple(int(v) for v in options["window"].split(",")) if "window" in options else None
+        self.box = tuple(float(v) for v in options["box"].split(",")) if "box" in options else None
 
     def pushFilters(self, filters):
         for f in filters:
@@ -462,7 +515,8 @@ class GeoTiffReader(DataSourceReader):
     def read(self, part):
         store, _ = opened(self.options["path"])
         for path in part.paths:
-            with store.open_input_file(path) as stream:
+            with store.open_input_file(path) as file:
+                stream = Ranges(file)
                 beside = store.get_file_info(f"{path}.msk").is_file
                 if self.metadata:
                     yield self._facts(path, stream, beside)
@@ -472,6 +526,15 @@ class GeoTiffReader(DataSourceReader):
                 else:
                     yield from self._batches(self._rows(path, stream, None, part))
 
+    def _window(self, d: dict) -> tuple[int, int, int, int] | None:
+        """The window that is asked for, in pixels of this file; of a box in coordinates, what a grid without rotation has of it."""
+        if self.box is None:
+            return self.window
+        (west, south, east, north), (c, a, _, f, _, e) = self.box, d["grid"]
+        xs, ys = sorted(((west - c) / a, (east - c) / a)), sorted(((south - f) / e, (north - f) / e))
+        x, y = math.floor(xs[0]), math.floor(ys[0])
+        return x, y, math.ceil(xs[1]) - x, math.ceil(ys[1]) - y
+
     def _facts(self, path, stream, beside):
         levels = directories(stream)
         own, masks = images(levels)
@@ -481,7 +544,7 @@ class GeoTiffReader(DataSourceReader):
         alpha, palette = bool({1, 2} & set(own[0].get(338, ()))), own[0].get(262, (1,))[0] == 3
         return (
             path, d["width"], d["height"], d["bands"], name, d["nodata"], *d["grid"], d["codec"], d["predictor"], *d["tile"], len(d["offsets"]), sum(d["counts"]), len(own) - 1, reference_system(own[0]), alpha, palette,
-            structure_faults(levels), beside or bool(masks), is_point(own[0]), system(own[0]), geo_tags(own[0]),
+            structure_faults(levels), beside or bool(masks), is_point(own[0]), system(own[0]), geo_tags(own[0]), metadata_items(own[0]),
         )
 
     @staticmethod
@@ -509,15 +572,26 @@ class GeoTiffReader(DataSourceReader):
         (tw, th), across = d["tile"], -(-d["width"] // d["tile"][0])
         down, n = -(-d["height"] // th), len(d["offsets"])
         planes = d["bands"] if d["planar"] == 1 else 1
+        window, wanted = self._window(d), []
         for i in range(n * part.share // part.shares, n * (part.share + 1) // part.shares):
             band, place = (0, i) if planes > 1 or d["bands"] == 1 else divmod(i, across * down)
             ty, tx = divmod(place, across)
             x, y = tx * tw, ty * th
             w, h = min(tw, d["width"] - x), min(th, d["height"] - y)
-            if self.window and not (x < self.window[0] + self.window[2] and self.window[0] < x + w and y < self.window[1] + self.window[3] and self.window[1] < y + h):
+            if window and not (x < window[0] + window[2] and window[0] < x + w and y < window[1] + window[3] and window[1] < y + h):
                 continue
             if not self._passes(x=x, y=y) or planes == 1 and not self._passes(band=band + 1):
                 continue
+            wanted.append((i, band, x, y, w, h))
+        size = 0
+        for k, (i, band, x, y, w, h) in enumerate(wanted):
+            if size <= 0:  # the next few tiles are asked for together
+                ahead = [(d["offsets"][j], d["counts"][j]) for j, *_ in wanted[k:]]
+                total = np.cumsum([c for _, c in ahead])
+                ahead = ahead[: max(1, int(np.searchsorted(total, RANGE_BYTES, "right")))]
+                stream.fetch(ahead)
+                size = len(ahead)
+            size -= 1
             data = stored_tile(stream, d, i)[:h, :w]
             for k in range(planes):
                 if not self._passes(band=band + k + 1):

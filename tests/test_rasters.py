@@ -383,3 +383,95 @@ def test_palettes_are_not_averaged(spark, tmp_path):
     with pytest.raises(jobs.InputError, match="palette"):
         jobs.external_overviews(spark, str(tmp_path), "average", least=16, edge=16)
     assert jobs.external_overviews(spark, str(tmp_path), "nearest", least=16, edge=16).first().status == "ok"
+
+
+class Counted:
+    """A file that notes which ranges it is asked for."""
+
+    def __init__(self, data):
+        self.data, self.at, self.ranges = data, 0, []
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, n):
+        self.ranges.append((self.at, n))
+        return self.data[self.at : self.at + n]
+
+
+def test_neighbouring_tiles_are_asked_for_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(geotiff, "HEAD_BYTES", 4096)
+    monkeypatch.setattr(geotiff, "GAP_BYTES", 600)
+    a = np.random.default_rng(1).integers(0, 60000, (160, 160)).astype("uint16")
+    put(spark, tmp_path, "a", [a], compression="none")
+    data = (tmp_path / "a.tif").read_bytes()
+    file = Counted(data)
+    ranges = geotiff.Ranges(file)
+    reader = geotiff.GeoTiffReader({"path": str(tmp_path), "samples": "stored", "window": "32,48,48,48"})
+    rows = list(reader._rows("a.tif", ranges, None, geotiff._Part(["a.tif"])))
+    assert len(rows) == 9 and all(np.array_equal(np.frombuffer(r[6], "uint16").reshape(16, 16), a[r[3] : r[3] + 16, r[2] : r[2] + 16]) for r in rows)
+    assert len(file.ranges) == 1 + 3 and sum(n for _, n in file.ranges[1:]) == 9 * 512  # a row of three tiles is one range
+    monkeypatch.setattr(geotiff, "GAP_BYTES", 10_000)
+    file = Counted(data)
+    assert len(list(reader._rows("a.tif", geotiff.Ranges(file), None, geotiff._Part(["a.tif"])))) == 9
+    assert len(file.ranges) == 2 and sum(n for _, n in file.ranges) < len(data) / 2
+
+
+def test_an_index_spares_files(spark, tmp_path, monkeypatch):
+    for i in range(6):
+        put(spark, tmp_path, f"s{i}", [np.full((20, 20), i, "uint8")], 20 * i, 0)
+    index = jobs.footprints(spark, str(tmp_path))
+    assert [(r.west, r.south, r.east, r.north) for r in index.orderBy("west").collect()][:2] == [(100.0, 160.0, 140.0, 200.0), (140.0, 160.0, 180.0, 200.0)]
+    for name in ("s0", "s5"):
+        (tmp_path / f"{name}.tif").write_bytes(b"not read")
+    kept = index.where("false")
+    index = spark.createDataFrame([(f"{tmp_path}/s{i}.tif", 100.0 + 40 * i, 160.0, 140.0 + 40 * i, 200.0) for i in range(6)], kept.schema)
+    got = jobs.window(spark, str(tmp_path), index, (150.0, 170.0, 230.0, 180.0), stored=True).collect()
+    assert sorted((r.path[-6:-4], r.x, r.y) for r in got) == [("s1", 0, 0), ("s1", 16, 0), ("s2", 0, 0), ("s2", 16, 0), ("s3", 0, 0)]
+    assert jobs.window(spark, str(tmp_path), index, (0.0, 0.0, 1.0, 1.0)).count() == 0
+
+
+def test_results_of_earlier_jobs(spark, tmp_path):
+    def tile(folder, name, dtype="int16", nodata="-9999", grid="9.9995833,0.000833333333333333,0,50.00041666666667,0,-0.000833333333333333", **more):
+        geotiff.register(spark)
+        rows = [(name, 1, 0, 0, np.zeros((16, 16), dtype).tobytes(), None)]
+        spark.createDataFrame(rows, WIDE).write.format("geotiff").mode("append").options(path=str(tmp_path / folder), edge=16, width=16, height=16, bands=1, dtype=dtype, samples="stored", nodata=nodata, grid=grid, crs="EPSG:4326", **more).save()
+
+    grid = lambda c, f: f"{c!r},{1 / 1200!r},0,{f!r},0,{-1 / 1200!r}"
+    half = 0.5 / 1200
+    tile("in", "a", grid=grid(10 - half, 50 + half))
+    tile("in", "b", grid=grid(10 - half + 16 / 1200, 50 + half))
+    rows = jobs.results(spark, str(tmp_path / "in")).orderBy("ord").collect()
+    assert [round(r.per_degree, 6) for r in rows] == [1200.0, 1200.0] and rows[0].west == pytest.approx(10.0) and rows[0].south == pytest.approx(50 - 15 / 1200) and rows[1].x == 16
+    tile("bytes", "a", "uint8", "9", grid=grid(10 - half, 50 + half))
+    with pytest.raises(jobs.InputError, match="int16 or float32"):
+        jobs.results(spark, str(tmp_path / "bytes"))
+    tile("off", "a", grid=f"10.0001,{1 / 1200!r},0,50,0,{-1 / 1200!r}")
+    with pytest.raises(jobs.InputError, match="whole samples"):
+        jobs.results(spark, str(tmp_path / "off"))
+
+
+def test_metadata_items():
+    text = b'<GDALMetadata><Item name="A">1</Item><Item name="STATISTICS_MEAN" sample="0">2</Item><Item name="OFFSET" sample="0" role="offset">3</Item></GDALMetadata>\0'
+    assert geotiff.metadata_items({42112: (text,)}) == {"A": "1", "STATISTICS_MEAN|0": "2", "OFFSET|0|offset": "3"}
+    assert geotiff.metadata_items({}) == {} == geotiff.metadata_items({42112: (b'<!DOCTYPE x [<!ENTITY a "b">]><x/>\0',)})
+
+
+def test_links_are_left_out(spark, tmp_path):
+    import os
+
+    from gridloom.sources import files
+
+    for name in ("a.tif", "b.tif", "c.tif"):
+        (tmp_path / name).write_bytes(name.encode() * 9)
+    os.link(tmp_path / "b.tif", tmp_path / "hard.tif")
+    os.symlink(tmp_path / "a.tif", tmp_path / "soft.tif")
+    listed = spark.createDataFrame([(f"{tmp_path}/{n}", 1) for n in ("a.tif", "b.tif", "c.tif", "hard.tif", "soft.tif")], "path string, size int")
+    assert sorted(r.path[-5:] for r in files.unlinked(listed).collect()) == ["a.tif", "c.tif"]
+
+
+def test_settings_are_checked_first(spark, tmp_path):
+    put(spark, tmp_path / "in", "a", [np.zeros((16, 16), "uint8")])
+    for more, said in (({"compression": "zstd", "level": 23}, "levels"), ({"compression": "packbits", "predictor": 2}, "predictor"), ({"predictor": 3}, "floating"), ({"compression": "jpeg"}, "unknown")):
+        with pytest.raises(jobs.InputError, match=said):
+            jobs.merge(spark, str(tmp_path / "in"), str(tmp_path / "out"), edge=16, **more)
