@@ -78,12 +78,13 @@ def validity_union(cells: DataFrame) -> DataFrame:
 
 
 def uncovered(cells: DataFrame, width: int, height: int) -> DataFrame:
-    """(band, x, y) of the grid's cells without any valid sample, for the bands that there are."""
-    spark = cells.sparkSession
-    grid = spark.range(width * height).select((F.col("id") % width).alias("x"), F.floor(F.col("id") / width).alias("y"))
-    bands = cells.select("band").distinct()
-    have = cells.where("valid").select(*CELL).distinct()
-    return bands.join(grid, F.lit(True)).select(*CELL).join(have, CELL, "left_anti")
+    """(band, x, y) of the grid's cells without any valid sample, for the bands that there are: what each row of a band lacks of 0 to width."""
+    rows = cells.select("band").distinct().withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long"))))
+    inside = F.col("valid") & F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
+    have = cells.where(inside).select("band", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).groupBy("band", "y").agg(F.collect_set("x").alias("xs"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))
+    missing = F.when(F.col("xs").isNull(), every).otherwise(F.array_except(every, "xs"))
+    return rows.join(have, ["band", "y"], "left").select("band", F.explode(missing).alias("x"), "y")
 
 
 def overlap_conflicts(cells: DataFrame, exact_bits: bool = False) -> DataFrame:
