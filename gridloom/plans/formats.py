@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from gridloom.operators import tiles
 from gridloom.operators import windows as rasters_
 from gridloom.plans import jobs, views
 from gridloom.plans.queries import longs, query, rounded
-from gridloom.sources import files, geotiff, shapefile, telemetry, vector, vrt
+from gridloom.sources import dted, files, geotiff, shapefile, sqlite, telemetry, vector, vrt
 
 # rasters
 
@@ -257,3 +258,45 @@ def indexed_window(spark, sf_dir):
     read = jobs.window(spark, path, written(jobs.footprints(spark, path)), (1100.0, 1820.0, 1410.0, 1950.0))
     cells = tiles.window_cells(read).where("x between 10 and 40 and y between 5 and 17")
     return longs(cells.select(F.regexp_extract("path", r"s(\d+)\.tif$", 1).alias("s"), "x", "y", "v"), "s", "v")
+
+
+_POST = "(k * 7 + x * 13 + y * 5) % 500 - 100"
+
+
+@query(f"""with c as (select s_suppkey k, 2 + s_suppkey % 3 n from supplier), g as (select k, n, x.x x, y.y y from c, range(0, 7) x(x), range(0, 13) y(y) where x.x <= n and y.y <= n * 2)
+  select k, x, y, {_POST} v, 2 factor, k % 180 - 90 west from g where (k + x + y) % 11 > 0""")
+def elevation_posts(spark, sf_dir):
+    """Suppliers as cells of elevation, two posts to the north for each to the east, written as DTED of level 1 beside others of level 0, and read again."""
+    dted.register(spark)
+    k, n = F.col("k"), F.col("n")
+    cells = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), (2 + F.col("s_suppkey") % 3).cast("int").alias("n"))
+    columns = cells.select("k", "n", F.explode(F.sequence(F.lit(0), n)).alias("x"))
+    posts = F.transform(F.sequence(F.lit(0), n * 2), lambda y: F.when((k + F.col("x") + y) % 11 > 0, (k * 7 + F.col("x") * 13 + y * 5) % 500 - 100).otherwise(dted.NODATA).cast("int"))
+    rows = columns.select(F.concat(F.lit("w/c"), k.cast("string"), F.lit(".dt1")).alias("path"), (k % 180 - 90).cast("int").alias("west"), F.lit(10).alias("south"), "x", posts.alias("posts"))
+    path = scratch(spark)
+    rows = rows.unionByName(rows.withColumn("path", F.replace("path", F.lit(".dt1"), F.lit(".dt0"))))
+    rows.repartition("path").sortWithinPartitions("path", "x").write.format("dted").mode("append").save(path)
+    read = spark.read.format("dted").option("level", "1")
+    heads = read.load(path).where("valid").join(spark.read.format("dted").options(level="1", mode="metadata").load(path).select("path", "west"), "path")
+    return longs(heads.select(F.regexp_extract("path", r"c(\d+)\.dt1$", 1).alias("k"), "x", "y", "v", "factor", "west"), "k", "v")
+
+
+@query("""with t as (select n_regionkey r, c_custkey % 5 + 3 z, c_custkey // 5 % 40 x, c_custkey % 7 y, max(c_custkey) k from customer join nation on c_nationkey = n_nationkey group by all)
+  select r region, z zoom_level, count(*) tiles, cast(sum(3 + k % 50) as bigint) bytes from t group by all""")
+def tile_sets(spark, sf_dir):
+    """Customers of a region as a tile set, a file each, read again for tiles and bytes of each zoom level."""
+    k = F.col("c_custkey")
+    c = views.table(spark, sf_dir, "customer").join(views.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = c.select(
+        F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("tile_set"), (k % 5 + 3).cast("int").alias("zoom_level"), (F.floor(k / 5) % 40).alias("tile_column"), (k % 7).cast("long").alias("tile_row"), k.alias("k"),
+        F.encode(F.expr("repeat('t', cast(3 + c_custkey % 50 as int))"), "utf-8").alias("tile_data"),
+    )
+    sqlite.register(spark)
+    path = scratch(spark)
+    rows.repartition("tile_set").sortWithinPartitions("tile_set", "k").drop("k").write.format("tileset").mode("append").options(path=path, metadata='{"format": "pbf"}').save()
+    store, folder = files.opened(path)
+    made = None
+    for info in store.get_file_info(fs.FileSelector(folder)):  # a file for each of the few regions
+        one = sqlite.zoom_payload(sqlite.read(spark, info.path, "tiles")).select(F.lit(int(info.base_name[1:-8])).cast("long").alias("region"), "zoom_level", "tiles", "bytes")
+        made = one if made is None else made.unionByName(one)
+    return longs(made, "zoom_level")

@@ -475,3 +475,20 @@ def test_settings_are_checked_first(spark, tmp_path):
     for more, said in (({"compression": "zstd", "level": 23}, "levels"), ({"compression": "packbits", "predictor": 2}, "predictor"), ({"predictor": 3}, "floating"), ({"compression": "jpeg"}, "unknown")):
         with pytest.raises(jobs.InputError, match=said):
             jobs.merge(spark, str(tmp_path / "in"), str(tmp_path / "out"), edge=16, **more)
+
+
+def test_commands(spark, tmp_path, capsys):
+    from gridloom.__main__ import main
+
+    put(spark, tmp_path / "in", "a", [np.arange(400).reshape(20, 20).astype("int16")], nodata="-1")
+    main(["merge", str(tmp_path / "in"), str(tmp_path / "out"), "--edge", "16", "--block-tiles", "1", "--resume", "--level", "3"])
+    main(["overviews", str(tmp_path / "in"), "--min-size", "8", "--resampling", "nearest"])
+    for what in ("inventory", "structure"):
+        main([what, str(tmp_path / "out")])
+    main(["window", str(tmp_path / "in"), "100", "190", "110", "200"])
+    main(["plan", str(tmp_path / "in"), "100"])
+    said = capsys.readouterr().out
+    assert len(list((tmp_path / "out").glob("*.tif"))) == 4 and (tmp_path / "in" / "a.tif.ovr").exists()
+    assert "different" in said and "block_0001_0001.tif" in said and "|ok " in said
+    with pytest.raises(SystemExit):
+        main(["merge"])

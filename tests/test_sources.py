@@ -100,6 +100,18 @@ def test_dted_cells(spark, tmp_path):
     assert not got[2, 3][1]
 
 
+def test_dted_sink_refuses_odd_cells(spark, tmp_path):
+    dted.register(spark)
+    kind = "path string, west int, south int, x int, posts array<int>"
+    for rows, said in (([("a.dt0", 1, 2, 0, [1, 2, 3]), ("a.dt0", 1, 2, 2, [1, 2, 3])], "every column"), ([("a.dt0", 1, 2, 0, [1, 2, 3]), ("a.dt0", 1, 2, 1, [1, 2])], "different lengths"), ([("a.dt0", 1, 2, 0, [40000])], "beyond")):
+        with pytest.raises(Exception, match=said):
+            spark.createDataFrame(rows, kind).coalesce(1).write.format("dted").mode("append").save(str(tmp_path / "o"))
+    assert not list(tmp_path.glob("o/*"))
+    spark.createDataFrame([("d/a.dt0", -7, -3, x, [x, -5, dted.NODATA]) for x in (0, 1, 2)], kind).coalesce(1).write.format("dted").mode("append").save(str(tmp_path / "p"))
+    got = {(r.x, r.y): (r.v, r.valid) for r in spark.read.format("dted").load(str(tmp_path / "p")).collect()}
+    assert got == {(x, y): (v, y < 2) for x in (0, 1, 2) for y, v in enumerate((float(x), -5.0, -32767.0))}
+
+
 VRT = """<VRTDataset rasterXSize="40" rasterYSize="20"><SRS>EPSG:4326</SRS><GeoTransform>1,0.5,0,2,0,-0.5</GeoTransform><VRTRasterBand dataType="Int16" band="1"><NoDataValue>-1</NoDataValue>
 <ComplexSource><SourceFilename relativeToVRT="1">Aa.tif</SourceFilename><SourceBand>1</SourceBand><SrcRect xOff="0" yOff="0" xSize="20" ySize="20"/><DstRect xOff="0" yOff="0" xSize="20" ySize="20"/><NODATA>-1</NODATA></ComplexSource>
 <SimpleSource><SourceFilename relativeToVRT="0">/data/b.tif</SourceFilename><SourceBand>1</SourceBand><SrcRect xOff="0" yOff="0" xSize="20" ySize="20"/><DstRect xOff="20" yOff="0" xSize="20" ySize="20"/></SimpleSource></VRTRasterBand></VRTDataset>"""
