@@ -11,12 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.ranks import running
 from gridloom.llm.common import arrow_batches, mix64, passes, utf8, written
 
 #: Bytes of text in one automaton; a longer document has one of its own.
 SHARD_BYTES = 8 << 20
 #: Bits of a filter of frequent phrases, at most: 16 MB.
 FILTER_BITS = 1 << 27
+#: Shares that a language's phrases are ranked in before they are ranked together.
+SHARES = 64
 #: Rows of an Arrow batch of counts.
 ROWS = 1 << 16
 #: What a byte is: 0 part of a word, 1 space between words, 2 end of a piece. Fixed values of the contract.
@@ -237,9 +240,16 @@ def collocations(docs: DataFrame, most: int = 3, least: int = 10, cover: int = 5
     if most > 2:
         scored = scored.join(held, ["lang", "phrase"], "left").where(F.col("f").isNull() | (F.col("f") * 100 < F.col("a") * cover))
     n = known.where("words = 0").select("lang", F.col("f").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase"))
-    ranked = scored.withColumn("rank", place)
-    ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
+    order = [F.desc("cut.score"), F.desc("a"), F.col("phrase")]
+    if top is None:
+        placed = running(scored, [F.col("lang"), *order])
+        first = placed.groupBy("lang").agg(F.min("place").alias("first"))
+        ranked = placed.join(first, "lang").withColumn("rank", F.col("place") - F.col("first") + 1)
+    else:
+        # the best of each of a few shares of a language first, so that its last task gets so many times `top` phrases at most
+        ranked = scored.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+        for keys in (["lang", "share"], ["lang"]):
+            ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", F.col("cut.score").alias("score"))
 
 
