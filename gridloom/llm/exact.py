@@ -71,12 +71,11 @@ def drop_exact_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "tex
     rows with different texts are told apart by the text's digest.
     """
     names = docs.columns
-    digest, gone, place, of = fresh(names, "digest", "gone", "place", "of")
-    kept = exact_duplicates(docs, id_, text, keep).where("kept").select(F.col("doc_id").alias(of), F.col("text_sha256").alias(gone))
+    digest, kept_digest, of = fresh(names, "digest", "kept_digest", "of")
+    kept = exact_duplicates(docs, id_, text, keep).where("kept").select(F.col("doc_id").alias(of), F.col("text_sha256").alias(kept_digest))
     own = docs.withColumn(digest, F.sha2(normalised(F.col(quoted(text))), 256))
-    own = own.join(kept, F.col(quoted(id_)).eqNullSafe(F.col(of)) & (F.col(digest) == F.col(gone)), "left_semi")
-    one = Window.partitionBy(digest, quoted(id_)).orderBy(F.lit(0))
-    return own.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).select(*[quoted(c) for c in names])
+    own = own.join(kept, F.col(quoted(id_)).eqNullSafe(F.col(of)) & (F.col(digest) == F.col(kept_digest)), "left_semi")
+    return own.dropDuplicates([digest, id_]).select(*[quoted(c) for c in names])
 
 
 SQL = """
