@@ -69,7 +69,7 @@ def overview_files(spark, sf_dir):
     return rounded(made, "v") if made is not None else spark.createDataFrame([], "s long, x long, y long, v double")
 
 
-@query("""select 's' || n_nationkey as block, least(48, (select max(n_nationkey) from nation) * 48 + 40 - n_nationkey * 48) width, 30 height, 2 bands, 'uint16' as dtype, 7.0 nodata, 500.0 + n_nationkey * 48 * 2.5 c, 900.0 f,
+@query("""select 's' || n_nationkey as block, least(48, (select max(n_nationkey) from nation) * 48 + 40 - n_nationkey * 48) width, 30 height, 2 bands, 'uint16' as dtype, 7.0::double nodata, (500.0 + n_nationkey * 48 * 2.5)::double c, 900.0::double f,
   'zstd' compression, 16 tile_width, cast(2 * 2 * ceil(least(48, (select max(n_nationkey) from nation) * 48 + 40 - n_nationkey * 48) / 16) as integer) tiles, 2 levels, 'EPSG:32636' crs, false masked, true valid, false plain from nation""")
 def raster_metadata(spark, sf_dir):
     """A file per nation, its header read alone: sizes, grid, layout, overviews and faults of structure."""
@@ -92,7 +92,7 @@ def raster_metadata(spark, sf_dir):
 
 # texts of mosaics
 
-_SOURCES = """sources as (select c_nationkey block, row_number() over (partition by c_nationkey order by c_custkey) - 1 ordinal, 'in/' || c_custkey || '.tif' filename, c_custkey % 7 sx, c_custkey % 300 dx, c_custkey % 11 dy,
+_SOURCES = """sources as (select cast(c_nationkey as bigint) block, row_number() over (partition by c_nationkey order by c_custkey) - 1 ordinal, 'in/' || c_custkey || '.tif' filename, c_custkey % 7 sx, c_custkey % 300 dx, c_custkey % 11 dy,
   1 + c_custkey % 40 w, 1 + c_custkey % 9 h, c_custkey % 2 = 0 skip, c_custkey % 3 = 0 mask from customer)"""
 
 
@@ -147,7 +147,7 @@ def stage_text(spark, sf_dir):
 
 
 @query("""with f as (select case when n_nationkey % 3 = 0 then 1 else 0 end folder, 'nation=' || n_nationkey part from nation)
-  select row_number() over (order by folder, part || '/') - 1 place, folder, part from f""")
+  select row_number() over (order by folder, part || '/') - 1 place, cast(folder as bigint) folder, part from f""")
 def folder_files(spark, sf_dir):
     """Files of two folders with all below, found twice where the second also is below the first."""
     n = views.table(spark, sf_dir, "nation")
@@ -264,7 +264,7 @@ _POST = "(k * 7 + x * 13 + y * 5) % 500 - 100"
 
 
 @query(f"""with c as (select s_suppkey k, 2 + s_suppkey % 3 n from supplier), g as (select k, n, x.x x, y.y y from c, range(0, 7) x(x), range(0, 13) y(y) where x.x <= n and y.y <= n * 2)
-  select k, x, y, {_POST} v, 2 factor, k % 180 - 90 west from g where (k + x + y) % 11 > 0""")
+  select k, x, y, {_POST} v, 2 factor, cast(k % 180 - 90 as integer) west from g where (k + x + y) % 11 > 0""")
 def elevation_posts(spark, sf_dir):
     """Suppliers as cells of elevation, two posts to the north for each to the east, written as DTED of level 1 beside others of level 0, and read again."""
     dted.register(spark)
@@ -282,7 +282,7 @@ def elevation_posts(spark, sf_dir):
 
 
 @query("""with t as (select n_regionkey r, c_custkey % 5 + 3 z, c_custkey // 5 % 40 x, c_custkey % 7 y, max(c_custkey) k from customer join nation on c_nationkey = n_nationkey group by all)
-  select r region, z zoom_level, count(*) tiles, cast(sum(3 + k % 50) as bigint) bytes from t group by all""")
+  select cast(r as bigint) region, z zoom_level, count(*) tiles, cast(sum(3 + k % 50) as bigint) bytes from t group by all""")
 def tile_sets(spark, sf_dir):
     """Customers of a region as a tile set, a file each, read again for tiles and bytes of each zoom level."""
     k = F.col("c_custkey")
