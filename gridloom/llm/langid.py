@@ -241,7 +241,8 @@ def identify(docs: DataFrame, learnable=None, keep: tuple[str, ...] = ("doc_id",
     """
     model = learn(docs, F.lit(True) if learnable is None else learnable)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(quoted(c)).alias(c) for c in keep], "text")
-    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    rows = docs.select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)], "text")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
     more = ", spans array<struct<start int, stop int, lang string>>" if spans else ""
-    return rows.mapInArrow(_labelled(shared, spans), f"{schema}, lang_pred string, score double{more}")
+    made = rows.mapInArrow(_labelled(shared, spans), f"{schema}lang_pred string, score double{more}")
+    return made.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", *(["spans"] if spans else []))
