@@ -73,15 +73,14 @@ def occupied(cells: DataFrame, candidates: list[float]) -> DataFrame:
     return values.join(F.broadcast(flags), F.lit(True)).select("ordinal", "candidate", F.get("flags", F.col("ordinal")).alias("occupied"))
 
 
-def smallest_unused(cells: DataFrame, low: int, high: int) -> DataFrame:
-    """The smallest whole number from low to high that no valid sample has; no row if all are taken.
+def _smallest_free(used: DataFrame, low: int, high: int) -> DataFrame:
+    """unused: the smallest number from low to high that isn't among the distinct longs `v`; no row if all are.
 
-    Distinct values are reduced before the shuffle; gaps are looked for within ranges of the domain, each of
-    which is full only if it holds as many values as it is wide, and then only in the first that isn't.
+    Gaps are looked for within ranges of the domain, each of which is full only if it holds as many values as it
+    is wide, and then only in the first that isn't.
     """
     width = 1 << 16
-    used = cells.where(F.col("valid") & F.col("v").between(low, high) & (F.col("v") == F.floor("v"))).select(F.floor("v").cast("long").alias("v")).distinct()
-    slot = F.floor((F.col("v") - low) / width)
+    slot = F.shiftright(F.col("v") - F.lit(low), 16)
     full = used.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).where(F.col("n") == width).select("slot")
     ordered = full.withColumn("i", F.row_number().over(Window.orderBy("slot")) - 1)
     first = ordered.where(F.col("slot") == F.col("i")).agg(F.count("*").alias("slot"))
@@ -90,6 +89,53 @@ def smallest_unused(cells: DataFrame, low: int, high: int) -> DataFrame:
     return domain.join(used, "v", "left_anti").agg(F.min("v").alias("unused")).where("unused is not null")
 
 
+def smallest_unused(cells: DataFrame, low: int, high: int) -> DataFrame:
+    """The smallest whole number from low to high that no valid sample has; no row if all are taken. Distinct values are reduced before the shuffle."""
+    used = cells.where(F.col("valid") & F.col("v").between(low, high) & (F.col("v") == F.floor("v"))).select(F.floor("v").cast("long").alias("v")).distinct()
+    return _smallest_free(used, low, high)
+
+
+#: Of the types of floating-point samples: the column's type, the class that knows its bits, the functions to bits and back, and the bits of infinity.
+_FLOATS = {
+    "float32": ("float", "int", "java.lang.Float", "floatToRawIntBits", "intBitsToFloat", 0x7F800000),
+    "float64": ("double", "long", "java.lang.Double", "doubleToRawLongBits", "longBitsToDouble", 0x7FF0000000000000),
+}
+#: The least and the largest number of the types of whole samples.
+_WHOLE = {f"{sign}int{n}": (-(1 << n - 1) if not sign else 0, (1 << n - (not sign)) - 1) for n in (8, 16, 32) for sign in ("", "u")}
+
+
+def value_key(v: Column, dtype: str) -> Column:
+    """The number of a stored value among those of its type, as a long.
+
+    Whole numbers count from the type's least one. Of floating-point numbers it is the IEEE bits, so a sign makes the key of a double
+    negative and that of a float 2^31 or more; both zeros have 0 and no NaN has a key.
+    """
+    if dtype in _WHOLE:
+        return v.cast("long") - F.lit(_WHOLE[dtype][0])
+    kind, _, java, bits, _, _ = _FLOATS[dtype]
+    v = v.cast(kind)
+    raw = F.reflect(F.lit(java), F.lit(bits), F.coalesce(v, F.lit(0.0).cast(kind))).cast("long")
+    return F.when(v.isNull() | F.isnan(v), None).when(v == 0, 0).otherwise(raw.bitwiseAND(F.lit(0xFFFFFFFF)) if kind == "float" else raw)
+
+
+def unused_value(cells: DataFrame, dtype: str) -> DataFrame:
+    """value: the first number of the type that no valid sample has, as a double; no row if all are taken.
+
+    Whole numbers are tried from the least up. Of floating-point numbers each is tried that the type can hold, by its bits: from zero up to infinity,
+    then, only if all of these are taken, from the negative one next to zero down. NaN samples take nothing.
+    """
+    if dtype in _WHOLE:
+        return smallest_unused(cells, *_WHOLE[dtype]).select(F.col("unused").cast("double").alias("value"))
+    kind, whole, java, _, back, most = _FLOATS[dtype]
+    v = F.col("v").cast(kind)
+    for sign, side in ((1, v >= 0), (-1, v < 0)):
+        used = cells.where(F.col("valid") & v.isNotNull() & ~F.isnan(v) & side).select(value_key(F.abs(v), dtype).alias("v")).distinct()
+        found = _smallest_free(used, 0 if sign == 1 else 1, most)
+        found = found.select((F.reflect(F.lit(java), F.lit(back), F.col("unused").cast(whole)).cast(kind).cast("double") * sign).alias("value"))
+        if sign == -1 or not found.isEmpty():
+            return found
+
+
 def suggest_nodata(cells: DataFrame, common: list[float], low: int, high: int) -> DataFrame:
     """The common choices that are free, in order, or else the smallest unused value."""
     free = occupied(cells, common).where("not occupied").select("ordinal", F.col("candidate").alias("value"))

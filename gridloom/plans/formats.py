@@ -231,6 +231,32 @@ def widened_scales(spark, sf_dir):
     return made.select("id", number("MinScaleDenominator").alias("low"), number("MaxScaleDenominator").alias("high"))
 
 
+@query("""with s as (select *, p_partkey % 3 > 0 label, p_partkey % 2 = 0 poi from part)
+  select p_partkey id, cast(1 + label::integer as integer) rules, case when label then p_brand || '-unlabelled-icon' else '' end name, cast(case when label then p_size * 1000 else 0 end as integer) least_scale,
+  cast(case when label and p_partkey % 5 < 2 then 2 else 0 end as integer) conditions, cast(case when label then case when p_partkey % 7 > 0 then p_partkey else 1000 end else 0 end as integer) priority,
+  cast(case when label and poi then greatest(16, p_size) else p_size end as integer) space, cast(case when label then 40 else 0 end as integer) icon_space, case when label then ' ' else '' end icon_label from s""")
+def icon_rules(spark, sf_dir):
+    """What each part's style of one rule becomes: how many rules, what the added one is called, asks for and draws, and the space around the labelled icon."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    tag = lambda name, *inside, more="": F.concat(F.lit(f"<{name}{more}>"), *[F.lit(x) if isinstance(x, str) else x for x in inside], F.lit(f"</{name}>"))
+    filter_ = F.when(k % 5 < 2, tag("ogc:Filter", tag("ogc:PropertyIsEqualTo", tag("ogc:PropertyName", "class"), tag("ogc:Literal", F.col("p_brand"))))).otherwise("")
+    label = tag("Label", tag("ogc:PropertyName", F.when(k % 3 > 0, "name:en").otherwise("ref")))
+    symbol = tag("TextSymbolizer", label, tag("Graphic", tag("Size", size)), F.when(k % 7 > 0, tag("Priority", k.cast("string"))).otherwise(""), tag("VendorOption", size, more=' name="spaceAround"'))
+    rule = tag("Rule", tag("Name", F.col("p_brand")), filter_, tag("MinScaleDenominator", (F.col("p_size") * 1000).cast("string")), symbol)
+    layer = tag("NamedLayer", tag("Name", F.when(k % 2 == 0, "w:poi").otherwise("w:road")), tag("UserStyle", tag("FeatureTypeStyle", rule)))
+    text = tag("StyledLayerDescriptor", layer, more=' xmlns="http://www.opengis.net/sld" xmlns:ogc="http://www.opengis.net/ogc"')
+    made = views.table(spark, sf_dir, "part").select(k.alias("id"), vector.with_unlabelled_icons(text).alias("s"))
+    step = lambda *names: "".join(f"/*[name()='{n}']" for n in names)
+    added, icon = "/" + step("sld:Rule"), "/" + step("sld:Rule", "sld:TextSymbolizer")
+    number = lambda path: F.xpath_int("s", F.lit(path))
+    said = lambda path: F.xpath_string("s", F.lit(path))
+    return made.select(
+        "id", number("count(//*[name()='Rule'] | //*[name()='sld:Rule'])").alias("rules"), said(added + step("sld:Name")).alias("name"), number(added + step("MinScaleDenominator")).alias("least_scale"),
+        number(f"count({added}{step('ogc:Filter', 'ogc:And')}/*)").alias("conditions"), number(icon + step("sld:Priority", "ogc:Sub") + "/*[1]").alias("priority"),
+        number("/" + step("Rule", "TextSymbolizer") + "/*[@name='spaceAround']").alias("space"), number(icon + "/*[@name='spaceAround']").alias("icon_space"), said(icon + step("sld:Label")).alias("icon_label"),
+    )
+
+
 # shapes
 
 

@@ -155,6 +155,36 @@ def nodata_candidates(spark, sf_dir):
     return stats.occupied(views.cells(spark, sf_dir), [-9999.0, 17.0, 51.0])
 
 
+def _key(v: str, bias: int, bits: int) -> str:
+    """SQL: the IEEE bits of a number other than zero without its sign."""
+    power = f"floor(log2(abs({v})))"
+    return f"(cast({power} as bigint) + {bias}) * {1 << bits} + cast((abs({v}) / pow(2, {power}) - 1) * {1 << bits} as bigint)"
+
+
+@query(f"""with v as (select c_custkey id, 'float64' kind, cast(c_acctbal as double) v from customer union all select c_custkey, 'float32', cast(cast(c_acctbal as float) as double) from customer)
+  select id, kind, case when v = 0 then 0 when kind = 'float64' then {_key("v", 1023, 52)} + case when v < 0 then -9223372036854775808 else 0 end
+  else {_key("v", 127, 23)} + case when v < 0 then 2147483648 else 0 end end as "key" from v
+  union all select p_partkey, 'int16', p_size + 32768 from part""")
+def value_keys(spark, sf_dir):
+    c, p = views.table(spark, sf_dir, "customer"), views.table(spark, sf_dir, "part")
+    floats = [c.select(F.col("c_custkey").alias("id"), F.lit(kind).alias("kind"), stats.value_key(F.col("c_acctbal"), kind).alias("key")) for kind in ("float64", "float32")]
+    return floats[0].union(floats[1]).union(p.select("p_partkey", F.lit("int16"), stats.value_key(F.col("p_size"), "int16")))
+
+
+@query("""with v as (select 'float64' kind, l_orderkey - 1 n from lineitem where l_quantity <> 17 union all select 'float32', l_partkey - 1 from lineitem where l_linenumber < 6
+  union all select 'uint8', cast(l_quantity as bigint) - 1 from lineitem)
+select k.kind, min(r.r) steps from (select kind, max(n) + 1 most from v group by kind) k, range(0, (select max(n) + 2 from v)) r(r) where r.r <= k.most and (k.kind, r.r) not in (select kind, n from v) group by k.kind""")
+def unused_values(spark, sf_dir):
+    """How many steps of the type's smallest number it is to the first value that no sample has."""
+    t = views.table(spark, sf_dir, "lineitem")
+    sides = {"float64": ("l_orderkey", "l_quantity <> 17", 2.0**-1074), "float32": ("l_partkey", "l_linenumber < 6", 2.0**-149), "uint8": ("l_quantity", "true", 1.0)}
+    found = [
+        stats.unused_value(t.where(kept).select(((F.col(name) - 1).cast("double") * step).alias("v"), F.lit(True).alias("valid")), kind).select(F.lit(kind).alias("kind"), F.rint(F.col("value") / step).cast("long").alias("steps"))
+        for kind, (name, kept, step) in sides.items()
+    ]
+    return found[0].union(found[1]).union(found[2])
+
+
 @query(f"with {views.CELLS} select min(range) unused from range(1, 256) where range not in (select cast(v as bigint) from cells where valid)")
 def smallest_unused(spark, sf_dir):
     return stats.smallest_unused(views.cells(spark, sf_dir), 1, 255)

@@ -6,6 +6,7 @@ import gzip
 import json
 import re
 from collections.abc import Iterator
+from xml.dom import minidom
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -165,6 +166,124 @@ def widened_scales(styles: pd.Series) -> pd.Series:
     return styles.map(lambda t: None if t is None else limit.sub(lambda m: m[1] + repr(float(m[2]) * 1.00000001), t))
 
 
+#: Namespaces of style documents. Fixed values.
+_SPACES = {"sld": "http://www.opengis.net/sld", "ogc": "http://www.opengis.net/ogc"}
+#: Pixels around the labelled icons of places of interest, at least, and around icons without a label. Fixed values.
+LABELLED_SPACE, UNLABELLED_SPACE = 16, 40
+#: How an icon without a label is drawn. Fixed values.
+ICON_OPTIONS = {
+    "conflictResolution": "true",
+    "spaceAround": str(UNLABELLED_SPACE),
+    "group": "false",
+    "partials": "false",
+    "graphicPlacement": "INDEPENDENT",
+    "graphic-resize": "NONE",
+    "fallbackOnDefaultMark": "false",
+}
+#: What an icon without a label is behind one with a label, and the priority of symbols that have none. Fixed values.
+BEHIND, PRIORITY = "1000000", "1000"
+
+
+class _Style:
+    """A style document whose elements are found and made by prefixed names, whatever prefixes it uses itself."""
+
+    def __init__(self, text: str):
+        self.document = minidom.parseString(text.encode())
+        for k, v in _SPACES.items():  # what is made here has these prefixes
+            self.document.documentElement.setAttribute(f"xmlns:{k}", v)
+
+    def every(self, node, name: str) -> list:
+        prefix, tag = name.split(":")
+        return node.getElementsByTagNameNS(_SPACES[prefix], tag)
+
+    def inside(self, node, name: str) -> list:
+        return [x for x in self.every(node, name) if x.parentNode is node]
+
+    def text(self, node, name: str, default: str) -> str:
+        found = self.inside(node, name)
+        return "".join(x.data for x in found[0].childNodes if x.nodeType in (x.TEXT_NODE, x.CDATA_SECTION_NODE)) if found else default
+
+    def copies(self, node, *names: str) -> list:
+        return [x.cloneNode(True) for name in names for x in self.inside(node, name)[:1]]
+
+    def made(self, tag: str, /, *content, **attributes: str):
+        out = self.document.createElementNS(_SPACES[tag.split(":")[0]], tag)
+        for k, v in attributes.items():
+            out.setAttribute(k, v)
+        for x in content:
+            out.appendChild(self.document.createTextNode(x) if isinstance(x, str) else x)
+        return out
+
+    def option(self, symbol, name: str, value: str) -> None:
+        for old in [x for x in self.inside(symbol, "sld:VendorOption") if x.getAttribute("name") == name]:
+            symbol.removeChild(old)
+        symbol.appendChild(self.made("sld:VendorOption", value, name=name))
+
+    def icon(self, symbol):
+        """The symbol's graphic under a label of one blank, which a text section keeps from being trimmed, in letters of no size."""
+        make = self.made
+        font = make("sld:Font", make("sld:CssParameter", "Noto Sans", name="font-family"), make("sld:CssParameter", "0", name="font-size"))
+        anchor = make("sld:AnchorPoint", make("sld:AnchorPointX", "0.5"), make("sld:AnchorPointY", "0.5"))
+        own = [x for p in self.inside(symbol, "sld:Priority")[:1] for x in p.childNodes if x.nodeType == x.ELEMENT_NODE]
+        before = own[0].cloneNode(True) if own else make("ogc:Literal", self.text(symbol, "sld:Priority", PRIORITY))
+        return make(
+            "sld:TextSymbolizer", *self.copies(symbol, "sld:Geometry"), make("sld:Label", self.document.createCDATASection(" ")), font,
+            make("sld:LabelPlacement", make("sld:PointPlacement", anchor)), *self.copies(symbol, "sld:Graphic"),
+            make("sld:Priority", make("ogc:Sub", before, make("ogc:Literal", BEHIND))),
+            *[make("sld:VendorOption", value, name=name) for name, value in ICON_OPTIONS.items()], **dict(symbol.attributes.items()),
+        )
+
+    def fallback(self, rule, symbols: list, field: str):
+        """The rule for features without the field: the same filter and scales, with icons alone."""
+        make = self.made
+        name = lambda: make("ogc:PropertyName", field)
+        missing = make("ogc:Or", make("ogc:PropertyIsNull", name()), make("ogc:PropertyIsEqualTo", name(), make("ogc:Literal", "")))
+        own = [x.cloneNode(True) for f in self.inside(rule, "ogc:Filter")[:1] for x in f.childNodes if x.nodeType == x.ELEMENT_NODE]
+        spaces = {k: v for k, v in rule.attributes.items() if k.startswith("xmlns")}
+        return make(
+            "sld:Rule", make("sld:Name", self.text(rule, "sld:Name", "symbol") + "-unlabelled-icon"), make("ogc:Filter", make("ogc:And", *own, missing) if own else missing),
+            *self.copies(rule, "sld:MinScaleDenominator", "sld:MaxScaleDenominator"), *map(self.icon, symbols), **spaces,
+        )
+
+
+@vectorised("string")
+def with_unlabelled_icons(styles: pd.Series) -> pd.Series:
+    """SLD documents in which features without an English name keep their icons.
+
+    A symbol of icon and label is drawn only where the label isn't empty. Each rule with such symbols whose label reads `name:en` gets another one behind
+    the rules of its style, for features whose name is null or empty: the rule's filter and scales, and each icon under a blank label, in
+    lower priority and with more space. In the layer `poi`, of any workspace, labelled icons get space too and give way to each other. Documents without such a rule come back
+    as they are, null ones null; other than XML raises.
+    """
+    field = "name:en"
+
+    def of(text: str | None):
+        if text is None:
+            return None
+        style, changed = _Style(text), False
+        for part in style.every(style.document, "sld:FeatureTypeStyle"):
+            layer = part
+            while layer is not None and getattr(layer, "localName", None) != "NamedLayer":
+                layer = layer.parentNode
+            of_interest = layer is not None and style.text(layer, "sld:Name", "").split(":")[-1] == "poi"
+            added = []
+            for rule in style.inside(part, "sld:Rule"):
+                reads = lambda x: any("".join(c.data for c in n.childNodes) == field for label in style.inside(x, "sld:Label") for n in style.every(label, "ogc:PropertyName"))
+                symbols = [x for x in style.inside(rule, "sld:TextSymbolizer") if style.inside(x, "sld:Graphic") and reads(x)]
+                if symbols:
+                    added.append(style.fallback(rule, symbols, field))
+                for x in symbols if of_interest else []:
+                    wide = [float("".join(c.data for c in o.childNodes)) for o in style.inside(x, "sld:VendorOption") if o.getAttribute("name") == "spaceAround"]
+                    style.option(x, "spaceAround", f"{max([LABELLED_SPACE, *wide]):g}")
+                    style.option(x, "conflictResolution", "true")
+            for rule in added:
+                part.appendChild(rule)
+            changed = changed or bool(added)
+        return style.document.toxml() if changed else text
+
+    return styles.map(of)
+
+
 def unlabelled(features_: DataFrame, name: str = "name:en") -> DataFrame:
     """Features that only an icon rule without a label should draw: no English name."""
     return features_.where(F.col(f"`{name}`").isNull() | (F.col(f"`{name}`") == ""))

@@ -341,3 +341,19 @@ def test_reuse_forgets_failed_views(spark):
     v = spark.createDataFrame([(1, 0, True, [1, 2]), (1, 1, False, [2, 3]), (1, 2, True, [3, 4])], "user int, view int, ok boolean, tiles array<int>")
     got = {r.view: (list(r.needed), list(r.reused)) for r in benchmark.tile_reuse(v).collect()}
     assert got == {0: ([1, 2], []), 1: ([3], [2]), 2: ([3, 4], [])}
+
+
+def test_value_keys_and_unused_values(spark):
+    numbers = [0.0, -0.0, 1.5, -1.5, 5e-324, -5e-324, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(numbers)], "i int, v double").orderBy("i")
+    for kind, dtype, bits in (("float64", np.float64, np.int64), ("float32", np.float32, np.uint32)):
+        got = [r.k for r in df.select(stats.value_key(F.col("v"), kind).alias("k")).collect()]
+        for v, k in zip(numbers, got, strict=True):
+            stored = None if v is None or v != v else np.array([v], dtype)
+            assert k == (None if stored is None else 0 if stored[0] == 0 else int(stored.view(bits)[0]))
+    one = lambda values, kind: [r.value for r in stats.unused_value(spark.createDataFrame([(v, ok) for v, ok in values], "v double, valid boolean"), kind).collect()]
+    step = 2.0**-149
+    assert one([], "float32") == [0.0] and one([(-0.0, True), (float("nan"), True)], "float32") == [step]
+    assert one([(0.0, True), (step, True), (2 * step, False), (3 * step, True), (-step, True)], "float32") == [2 * step]
+    assert one([(float(k), True) for k in range(255)], "uint8") == [255.0] and one([(float(k), True) for k in range(256)], "uint8") == []
+    assert one([(-32768.0, True)], "int16") == [-32767.0] and one([(5e-324 * k, True) for k in range(70_000)], "float64") == [5e-324 * 70_000]

@@ -4,6 +4,7 @@ import gzip
 import json
 import sqlite3
 import struct
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -184,6 +185,31 @@ def test_styles(spark):
     assert tuple(vector.geojson_features(geo).first()) == (0, "Point", "p", "[1,2]")
 
 
+def test_icons_without_a_label(spark):
+    symbol = "<TextSymbolizer uom='m'><Geometry/><Label><ogc:Function><ogc:PropertyName>{0}</ogc:PropertyName></ogc:Function></Label>{1}<Priority><ogc:Add><ogc:Literal>3</ogc:Literal></ogc:Add></Priority></TextSymbolizer>"
+    rule = "<Rule><Name>r &amp; s</Name><ogc:Filter><ogc:Not/></ogc:Filter><MaxScaleDenominator>9</MaxScaleDenominator>{0}</Rule>"
+    sld = "<StyledLayerDescriptor xmlns='http://www.opengis.net/sld' xmlns:ogc='http://www.opengis.net/ogc'><NamedLayer><Name>w:{0}</Name><FeatureTypeStyle>{1}</FeatureTypeStyle></NamedLayer></StyledLayerDescriptor>"
+    drawn, plain, other = symbol.format("name:en", "<Graphic/>"), symbol.format("name:en", ""), symbol.format("ref", "<Graphic/>")
+    rows = [(0, None), (1, sld.format("poi", rule.format(plain) + rule.format(other))), (2, sld.format("poi", rule.format(drawn + plain) + rule.format(other))), (3, sld.format("road", rule.format(drawn)))]
+    got = {r.i: r.s for r in spark.createDataFrame(rows, "i int, t string").select("i", vector.with_unlabelled_icons("t").alias("s")).collect()}
+    assert got[0] is None and got[1] == rows[1][1]
+    spaces = {"s": "http://www.opengis.net/sld", "o": "http://www.opengis.net/ogc"}
+    for i, padded in ((2, 1), (3, 0)):
+        assert "<sld:Label><![CDATA[ ]]></sld:Label>" in got[i]
+        root = ElementTree.fromstring(got[i])
+        rules = root.findall(".//s:Rule", spaces)
+        made = rules[-1]
+        assert [x.tag.split("}")[1] for x in made] == ["Name", "Filter", "MaxScaleDenominator", "TextSymbolizer"]
+        assert made.findtext("s:Name", None, spaces) == "r & s-unlabelled-icon"
+        assert [x.tag.split("}")[1] for x in made.find("o:Filter/o:And", spaces)] == ["Not", "Or"]
+        assert [x.text for x in made.findall(".//o:PropertyName", spaces)] == ["name:en", "name:en"]
+        icon = made.find("s:TextSymbolizer", spaces)
+        assert icon.attrib == {"uom": "m"} and icon.find("s:Geometry", spaces) is not None and icon.find("s:Graphic", spaces) is not None
+        assert [x.tag.split("}")[1] for x in icon.find("s:Priority/o:Sub", spaces)] == ["Add", "Literal"]
+        assert {x.get("name"): x.text for x in icon.findall("s:VendorOption", spaces)} == vector.ICON_OPTIONS
+        assert len(root.findall(".//s:Rule/s:TextSymbolizer/s:VendorOption", spaces)) == len(vector.ICON_OPTIONS) + 2 * padded
+
+
 def test_telemetry_text(spark):
     text = "SECTION:cpu.stat\nusage_usec 77\nSECTION:memory.current\n4096\nSECTION:process\nVmRSS:   12 kB\nSECTION:jstat\n S0U EU OU\n 1.0 2.5 3.0\nSECTION:cache\n99 /gwc\nSECTION:vm\nMemAvailable: 5 kB\n"
     r = telemetry.samples(spark.createDataFrame([("a", text)], "at string, value string")).first()
