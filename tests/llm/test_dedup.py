@@ -84,6 +84,20 @@ def test_small_passes_and_other_lengths(spark, docs, rows, monkeypatch):
     assert got == removed(rows, 30)
 
 
+@pytest.mark.parametrize("length", [50, 5])
+def test_doubling_over_every_position(spark, docs, rows, length):
+    got = {-1 if r.doc_id is None else r.doc_id: tuple(r)[1:] for r in suffix.remove_spans(docs.select("doc_id", "text"), suffix.doubled_spans(docs, length)).collect()}
+    assert got == removed(rows, length)
+
+
+def test_doubling_gives_what_sampled_positions_give(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    ways = [suffix.remove_spans(df, spans).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") for spans in (suffix.doubled_spans(df), suffix.repeated_spans(df))]
+    assert ways[0].count() == df.count() and ways[0].exceptAll(ways[1]).count() == 0
+    none = spark.createDataFrame([(1, None), (2, "")], DOCS)
+    assert suffix.doubled_spans(none).count() == 0
+
+
 def test_kept_text_and_repeated_rows(spark):
     text = "abcdefghij" * 9
     df = spark.createDataFrame([(1, text), (1, text), (2, "x" + text)], DOCS)
