@@ -86,15 +86,33 @@ def _chunks(bits: int, least: int, most: int):
     return run
 
 
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of digest and document those that aren't of a digest's first document; nothing is held but that document."""
+    last = owner = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        one, two, doc, start, stop, settled = batch.columns
+        one, two, who = (x.to_numpy() for x in (one, two, doc))
+        new = np.ones(len(who), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        new[0] = last != (one[0], two[0])
+        first = who[np.maximum.accumulate(np.where(new, np.arange(len(who)), 0))]
+        if not new[0]:
+            first[np.cumsum(new) == 0] = owner
+        last, owner = (one[-1], two[-1]), first[-1]
+        gone = pa.array(settled.to_numpy(zero_copy_only=False) | (who > first))
+        yield pa.RecordBatch.from_arrays([doc.filter(gone), start.filter(gone), stop.filter(gone)], ["doc_id", "start", "stop"])
+
+
 def repeated_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 1024) -> DataFrame:
     """(doc_id, start, stop) of the chunks whose digest a document of smaller doc_id has."""
     arrow_batches(docs.sparkSession, rows=4000, size=16 << 20)
     texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
     chunks = texts.mapInArrow(_chunks(bits, least, most), CHUNK)
-    # the same exchange feeds the minimum and the rows, so neither holds a chunk's rows together: they stream past its first owner
-    dealt = chunks.repartition("one", "two")
-    first = dealt.groupBy("one", "two").agg(F.min("doc_id").alias("first"))
-    return dealt.join(first, ["one", "two"]).where("settled or doc_id > first").select("doc_id", "start", "stop")
+    # a chunk's rows stream past its first owner, however many they are
+    dealt = chunks.repartition("one", "two").sortWithinPartitions("one", "two", "doc_id")
+    return dealt.mapInArrow(_later, "doc_id long, start int, stop int")
 
 
 def remove_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 1024, run: int = 0, keep_text: bool = False) -> DataFrame:

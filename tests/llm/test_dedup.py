@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -147,6 +148,19 @@ def test_gear_boundaries():
     assert (stop - start).max() <= 132 and (stop - start).sum() == 1000
 
 
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_rows_stream_past_the_first_owner(size):
+    r = random.Random(size)
+    rows = sorted((r.randrange(3), r.randrange(2), r.randrange(6), r.randrange(9), 9, r.random() < 0.1) for _ in range(80))
+    first = {}
+    for one, two, doc, *_ in rows:
+        first.setdefault((one, two), doc)
+    cells = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.bool_()], strict=True)], ["one", "two", "doc_id", "start", "stop", "settled"])
+    batches = [cells.slice(i, size) for i in range(0, len(rows), size)] + [cells.slice(0, 0)]
+    got = [tuple(x.values()) for b in chunking._later(iter(batches)) for x in b.to_pylist()]
+    assert got == [(doc, start, stop) for one, two, doc, start, stop, settled in rows if settled or doc > first[one, two]]
+
+
 def test_chunks_resist_insertions_and_leave_clean_documents(spark):
     r = random.Random(3)
     passage = words(r, 80)
