@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import projection
 from gridloom.functions.shared import scratch, written
-from gridloom.operators import tiles
+from gridloom.operators import planning, tiles
 from gridloom.operators import windows as rasters_
 from gridloom.plans import jobs, views
 from gridloom.plans.queries import longs, query, rounded
@@ -158,6 +158,19 @@ def folder_files(spark, sf_dir):
     return longs(found.select(F.col("ord").alias("place"), "folder", F.regexp_extract("path", r"(nation=\d+)", 1).alias("part")), "place", "folder")
 
 
+@query("select 'nation=' || c_nationkey path from customer group by c_nationkey having bool_or(c_acctbal < -900) or c_nationkey % 9 = 8")
+def refreshed_files(spark, sf_dir):
+    """Which files of a folder a rewrite changed or left out, by sizes and digests before and after."""
+    c, path = views.table(spark, sf_dir, "customer"), scratch(spark)
+    before = F.concat_ws(" ", "c_custkey", "c_mktsegment")
+    after = F.when(F.col("c_acctbal") < -900, F.upper(F.concat(before, F.lit("x")))).otherwise(before)
+    for name, some, line in (("before", c, before), ("after", c.where("c_nationkey % 9 <> 8"), after)):
+        rows = some.select(F.col("c_nationkey").alias("nation"), "c_custkey", line.alias("value")).repartition("nation").sortWithinPartitions("nation", "c_custkey")
+        rows.select("nation", "value").write.partitionBy("nation").text(f"{path}/{name}")
+    seen = [files.digests(spark, f"{path}/{name}").withColumn("path", F.regexp_extract("path", r"(nation=\d+)", 1)) for name in ("before", "after")]
+    return planning.unchanged(*seen)
+
+
 @query("""select strftime(ts, '%Y-%m-%d') "time", case when user_id % 2 = 0 then 'GetObject' else 'HeadObject' end api, 'tiles/' || user_id || '.tif' "object", cast(200 + user_id % 7 as integer) status, 'reader/' || (user_id % 5) user_agent,
   case when user_id % 2 = 0 then 'bytes=' || event_id || '-' || (event_id + 99) end "range", case when user_id % 3 = 0 then 'bytes ' || event_id || '-9/10' end content_range, event_id % 1000 content_length from events""")
 def audit_records(spark, sf_dir):
@@ -183,6 +196,22 @@ def tile_features(spark, sf_dir):
     return vector.features(tile, ["tile"])
 
 
+@query("""with f as (select c_mktsegment layer, 'n' || c_nationkey k, bool_or(c_acctbal < -500) own from customer where c_acctbal > 9000 or c_acctbal < -500 group by all),
+  l as (select layer, string_agg('"' || k || '":"' || case when own then 'Number' else 'String' end || '"', ',' order by k) f from f group by layer)
+  select 'format' as name, 'pbf' as "value" union all select 'json', '{"vector_layers":[' || string_agg('{"id":"' || layer || '","fields":{' || f || '}}', ',' order by layer) || ']}' from l""")
+def completed_metadata(spark, sf_dir):
+    """A tile set's metadata, a layer for each market segment, with the fields that styles need besides its own."""
+    c = views.table(spark, sf_dir, "customer")
+
+    def fields(some: DataFrame, kind: str) -> DataFrame:
+        return some.groupBy(F.col("c_mktsegment").alias("layer")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat(F.lit("n"), "c_nationkey").alias("k"), F.lit(kind).alias("v")))).alias("fields"))
+
+    own = fields(c.where("c_acctbal < -500"), "Number").select(F.struct(F.col("layer").alias("id"), "fields").alias("l"))
+    text = own.agg(F.to_json(F.struct(F.collect_list("l").alias("vector_layers"))).alias("value")).select(F.lit("json").alias("name"), "value")
+    metadata = text.union(spark.createDataFrame([("format", "pbf")], "name string, value string"))
+    return vector.normalized_metadata(metadata, fields(c.where("c_acctbal > 9000"), "String"))
+
+
 @query("select 'c' || c_custkey as name, 'Point' kind, '[' || (c_custkey * 37 % 360 - 180) || ',' || (c_custkey * 53 % 160 - 80) || ']' coordinates, c_custkey % 6 i from customer")
 def geojson_places(spark, sf_dir):
     """Documents of up to six features each, read again as features in order."""
@@ -277,6 +306,21 @@ def clipped_shapes(spark, sf_dir):
     return rounded(made.select("name", "xmax", F.size("ring").alias("points"), projection.ring_area(F.col("ring")).alias("area")), "xmax", "area")
 
 
+@query("""with c as (select l_linenumber band, l_partkey % 64 x, l_orderkey % 64 y, cast(max(l_quantity) as bigint) v from lineitem where l_linenumber < 4 group by all)
+  select x, y, max(v) filter (band = 1) r, max(v) filter (band = 2) g, max(v) filter (band = 3) b from c where x between 20 and 43 and y between 10 and 30 group by x, y""")
+def rgb_window(spark, sf_dir):
+    """A window of three bands of bytes, of which only the tiles that it meets are read."""
+    geotiff.register(spark)
+    t = views.table(spark, sf_dir, "lineitem").where("l_linenumber < 4")
+    cells = t.groupBy(F.col("l_linenumber").alias("band"), (F.col("l_partkey") % 64).alias("x"), (F.col("l_orderkey") % 64).alias("y")).agg(F.max("l_quantity").cast("double").alias("v"))
+    cells = cells.select(F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("ord"), "band", "x", "y", "v", F.lit(True).alias("valid"))
+    path = scratch(spark)
+    rows = tiles.pack(cells, 16).select(F.lit("rgb").alias("block"), "band", F.col("tx").cast("int").alias("tx"), F.col("ty").cast("int").alias("ty"), tiles.filled("samples", "valid", 0.0).alias("samples"))
+    rows.repartition("block").sortWithinPartitions("block").write.format("geotiff").mode("append").options(path=path, edge=16, width=64, height=64, bands=3, dtype="uint8", nodata="0", crs="EPSG:3857", grid="0,1,0,0,0,-1", compression="lzw").save()
+    read = tiles.window_cells(spark.read.format("geotiff").option("window", "20,10,24,21").load(path)).where("x between 20 and 43 and y between 10 and 30 and v > 0")
+    return longs(read.groupBy("x", "y").agg(*[F.max(F.when(F.col("band") == k, F.col("v"))).alias(c) for k, c in enumerate("rgb", 1)]), *"xyrgb")
+
+
 @query(f"with {_LAYERS} select s, x, y, v from layers where x between 10 and 40 and y between 5 and 17")
 def indexed_window(spark, sf_dir):
     """A window in coordinates of the five rasters, through an index of their footprints; all five lie in one place, so all are met."""

@@ -304,7 +304,8 @@ def normalized_metadata(metadata: DataFrame, required: DataFrame) -> DataFrame:
     shape = "vector_layers array<struct<id:string,fields:map<string,string>>>"
     own = metadata.where("name = 'json'").select(F.explode(F.from_json("value", shape)["vector_layers"]).alias("l")).select(F.col("l.id").alias("layer"), F.col("l.fields").alias("fields"))
     full = completed_schema(required, own).select("layer", F.map_from_entries(F.array_sort(F.map_entries("fields"))).alias("fields"))
-    made = full.agg(F.array_sort(F.collect_list(F.struct(F.col("layer").alias("id"), "fields"))).alias("vector_layers")).select(F.lit("json").alias("name"), F.to_json(F.struct("vector_layers")).alias("value"))
+    by_id = lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)  # noqa: E731  # maps have no order
+    made = full.agg(F.array_sort(F.collect_list(F.struct(F.col("layer").alias("id"), "fields")), by_id).alias("vector_layers")).select(F.lit("json").alias("name"), F.to_json(F.struct("vector_layers")).alias("value"))
     return metadata.where("name <> 'json'").select("name", "value").union(made)
 
 

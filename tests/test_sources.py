@@ -185,6 +185,14 @@ def test_styles(spark):
     assert tuple(vector.geojson_features(geo).first()) == (0, "Point", "p", "[1,2]")
 
 
+def test_metadata_gets_the_fields_that_layers_lack(spark):
+    metadata = spark.createDataFrame([("format", "pbf"), ("json", '{"vector_layers":[{"id":"b","fields":{"z":"Number"}},{"id":"a","fields":{}}]}')], "name string, value string")
+    required = spark.createDataFrame([("b", {"z": "String", "k": "String"}), ("c", {"q": "Number"})], "layer string, fields map<string,string>")
+    got = {r.name: r.value for r in vector.normalized_metadata(metadata, required).collect()}
+    assert got["format"] == "pbf" and len(got) == 2
+    assert json.loads(got["json"]) == {"vector_layers": [{"id": "a", "fields": {}}, {"id": "b", "fields": {"k": "String", "z": "Number"}}, {"id": "c", "fields": {"q": "Number"}}]}
+
+
 def test_icons_without_a_label(spark):
     symbol = "<TextSymbolizer uom='m'><Geometry/><Label><ogc:Function><ogc:PropertyName>{0}</ogc:PropertyName></ogc:Function></Label>{1}<Priority><ogc:Add><ogc:Literal>3</ogc:Literal></ogc:Add></Priority></TextSymbolizer>"
     rule = "<Rule><Name>r &amp; s</Name><ogc:Filter><ogc:Not/></ogc:Filter><MaxScaleDenominator>9</MaxScaleDenominator>{0}</Rule>"
