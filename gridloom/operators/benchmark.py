@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.mercator import HALF
 from gridloom.functions.ranks import running, uniform
+from gridloom.functions.shared import written
 from gridloom.operators import quantiles
 
 #: What a run must keep to; the values of the published study.
@@ -146,23 +147,50 @@ def repeated_means(runs: DataFrame, keys: list[str]) -> DataFrame:
     return runs.groupBy(*keys).agg(F.avg(F.when(F.col("valid"), F.col("p95"))).alias("mean_p95"), F.count_if("valid").alias("valid_runs"), F.count("*").alias("runs"))
 
 
-def bootstrap(runs: DataFrame, key: str, value: str, resamples: int = 2000, seed: int = 1234) -> DataFrame:
-    """(key, n, low, high): the 95 % interval of the mean of a key's repeated runs, by resampling; null under two runs.
+#: Values of a key that one row may hold to draw from; draws of larger keys are joined with their ranked values.
+HELD = 65_536
+#: Resamples of a key that one row draws.
+AT_ONCE = 10
 
-    Draw d of resample r takes the value of that rank which a hash of (seed, key, r, d) points at, so results are the
-    same on every run. Values are ranked by ranges; each ranked value starts one draw of every resample where it lies, so a key's
-    draws are as spread as its values; they are joined and averaged before they meet by key. Rows are `resamples` times the runs.
-    """
-    rows = runs.select(F.col(key).alias("key"), F.col(value).cast("double").alias("v"))
-    held = rows.where("v is not null")
+
+def _held_means(held: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(key, r, mean) of keys whose values fit in a row each: rows of a key's sorted values and AT_ONCE resamples are dealt, so draws are looked up where they are made."""
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = held.groupBy("key").agg(F.sort_array(F.collect_list("v")).alias("vs")).where(F.size("vs") > 1)
+    # a given number of partitions is kept: the rows are few, their draws are not
+    dealt = sorted_.select("key", "vs", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(AT_ONCE))).alias("low")).repartition(parts, "key", "low")
+    draws = dealt.select("key", "vs", F.explode(F.sequence("low", F.least(F.col("low") + AT_ONCE, F.lit(resamples)) - 1)).alias("r"))
+    draws = draws.select("key", "vs", "r", F.explode(F.sequence(F.lit(0), F.size("vs") - 1)).alias("d"))
+    at = F.floor(uniform(seed, F.col("key"), F.col("r"), F.col("d")) * F.size("vs")).cast("int")
+    return draws.select("key", "r", F.get("vs", at).alias("v")).groupBy("key", "r").agg(F.avg("v").alias("mean"))
+
+
+def _joined_means(held: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """The same of keys of any size: values are ranked by ranges, each starts one draw of every resample where it lies, and draws are joined with the values."""
     ranked = running(held, ["key", "v"])
     first = ranked.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     ranked = ranked.join(first, "key").select("key", "n", (F.col("place") - F.col("first")).alias("i"), "v")
     draws = ranked.where("n > 1").select("key", "n", F.col("i").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
     drawn = draws.select("key", "r", F.floor(uniform(seed, F.col("key"), F.col("r"), F.col("d")) * F.col("n")).alias("i"))
-    means = drawn.join(ranked.select("key", "i", "v"), ["key", "i"]).groupBy("key", "r").agg(F.avg("v").alias("mean"))
+    return drawn.join(ranked.select("key", "i", "v").hint("merge"), ["key", "i"]).groupBy("key", "r").agg(F.avg("v").alias("mean"))
+
+
+def bootstrap(runs: DataFrame, key: str, value: str, resamples: int = 2000, seed: int = 1234) -> DataFrame:
+    """(key, n, low, high): the 95 % interval of the mean of a key's repeated runs, by resampling; null under two runs.
+
+    Draw d of resample r takes the value of that rank which a hash of (seed, key, r, d) points at, so results are the
+    same on every run. Keys of up to HELD values are dealt as rows that hold them, a row for each AT_ONCE resamples; of larger keys
+    each ranked value starts its draws where it lies, and they meet the values in a shuffle. Hashes are `resamples` times the runs.
+    """
+    rows = written(runs.select(F.col(key).alias("key"), F.col(value).cast("double").alias("v")))
+    every, held = rows.groupBy("key").agg(F.count("v").alias("n")), rows.where("v is not null")
+    if (every.agg(F.max("n")).first()[0] or 0) <= HELD:
+        means = _held_means(held, resamples, seed)
+    else:
+        sized = held.join(every, "key")
+        small, large = (sized.where(c).select("key", "v") for c in (F.col("n") <= HELD, F.col("n") > HELD))
+        means = _held_means(small, resamples, seed).unionByName(_joined_means(large, resamples, seed))
     spread = means.groupBy("key").agg(*[F.percentile("mean", q).alias(c) for q, c in ((0.025, "low"), (0.975, "high"))])
-    every = rows.groupBy("key").agg(F.count("v").alias("n"))
     return every.join(spread, "key", "left").select(F.col("key").alias(key), "n", "low", "high")
 
 

@@ -282,6 +282,18 @@ def test_bootstrap_is_reproducible(spark):
     assert abs(got["a"][1] - (2.5 - 1.96 * 0.559)) < 0.15 and abs(got["a"][2] - (2.5 + 1.96 * 0.559)) < 0.15
 
 
+def test_bootstrap_of_rows_and_of_joins(spark, monkeypatch):
+    runs = spark.createDataFrame([(k, i * 7919 % 101 / 8.0) for k, n in (("a", 40), ("b", 7), ("c", 2), (None, 9)) for i in range(n)] + [("d", None)], "k string, v double").repartition(3)
+    look = lambda: {r.k: tuple(x if x is None else round(x, 9) for x in tuple(r)[1:]) for r in benchmark.bootstrap(runs, "k", "v", resamples=25).collect()}
+    whole = look()
+    assert set(whole) == {"a", "b", "c", "d", None} and whole["a"][0] == 40 and whole["d"] == (0, None, None)
+    for held in (8, 1):
+        monkeypatch.setattr(benchmark, "HELD", held)
+        assert look() == whole
+    plan = benchmark._held_means(runs.select(F.col("k").alias("key"), "v"), 25, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # no ranked value is sent to the driver to be broadcast
+
+
 def test_scenes_by_brute_force(spark):
     r = random.Random(6)
     rows = [(f"s{i:02d}", float(r.randint(0, 3)), (w := r.randint(-2, 9)), (s := r.randint(-2, 9)), w + r.randint(1, 5), s + r.randint(1, 5), r.random() < 0.5, 1_700_000_000 + r.randint(0, 9)) for i in range(40)]
