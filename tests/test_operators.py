@@ -274,6 +274,26 @@ def test_running_sums_over_ranges(spark):
     assert running(rows.limit(0), ["k"]).count() == 0
 
 
+@pytest.mark.parametrize(("block", "zone"), [(2000, 8_000_000), (2, 8_000_000), (3, 40)])
+def test_overlaps_of_blocks_by_brute_force(spark, monkeypatch, block, zone):
+    monkeypatch.setattr(mosaic, "BLOCK", block)
+    monkeypatch.setattr(mosaic, "ZONE", zone)
+    r = random.Random(3)
+    values = [0.0, 1.0, 2.0, float("nan"), None]
+    rows = {(f"s{r.randint(0, 6)}", r.choice((1, 2, 70, 255)), r.randint(0, 40), r.randint(0, 2)): r.choice(values) for _ in range(600)}
+    cells = spark.createDataFrame([(s, 1, b, x, y, v, True) for (s, b, x, y), v in rows.items()], "src string, ord long, band int, x long, y long, v double, valid boolean")
+    want = {}
+    for (s, b, x, y), v in sorted(rows.items(), key=lambda e: (e[0][3], e[0][2], e[0][1])):
+        for t in {k[0] for k in rows}:
+            if s < t and (t, b, x, y) in rows:
+                w = rows[t, b, x, y]
+                pixels, n, off, first = want.get((s, t), (set(), 0, 0, None))
+                differ = v is not None and w is not None and str(v) != str(w)
+                want[s, t] = pixels | {(x, y)}, n + 1, off + differ, first or ((y, x, b, str(v), str(w)) if differ else None)
+    got = {tuple(m)[:2]: (*tuple(m)[2:5], m.example and (*m.example[:3], *map(str, m.example[3:]))) for m in mosaic.overlap_conflicts(cells).collect()}
+    assert got == {k: (len(p), n, off, first) for k, (p, n, off, first) in want.items()}
+
+
 def test_bootstrap_is_reproducible(spark):
     runs = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4)] + [("b", 1.0), ("c", None)], "variant string, p95 double")
     got = {r.variant: (r.n, r.low, r.high) for r in benchmark.bootstrap(runs, "variant", "p95").collect()}
