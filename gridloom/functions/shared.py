@@ -43,6 +43,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt to as many tasks as a shuffle has, for work that is long for what it reads: a small file is one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def delete(spark: SparkSession, path: str, name: str | None = None) -> None:
     if name is not None:
         spark.sql(f"drop table if exists {name}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridloom.functions import polygons
-from gridloom.functions.shared import written
+from gridloom.functions.shared import spread, written
 
 
 def best_per_tile(products: DataFrame, share: float = 0.999) -> DataFrame:
@@ -64,8 +64,9 @@ def _shared(rows: DataFrame, pieces: list[polygons.Ring], name: str) -> DataFram
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             open_, boxes = sent.value
-            rings = [[(p["x"], p["y"]) for p in ring] if ring is not None else [] for ring in frame["ring"]]
-            yield frame.assign(**{name: [float(polygons.shared(open_, boxes, polygons.convex_parts(r))) for r in rings]})
+            rings = [tuple((p["x"], p["y"]) for p in ring) if ring is not None else () for ring in frame["ring"]]
+            areas = {r: float(polygons.shared(open_, boxes, polygons.convex_parts(list(r)))) for r in set(rings)}
+            yield frame.assign(**{name: [areas[r] for r in rings]})
 
     return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
 
@@ -86,7 +87,7 @@ def greedy_cover(products: DataFrame, aoi, most: int = 100, enough: float = 0.99
     adds `least` of the area; then others, of those within 99 % of the largest gain the least cloudy, newest, by id,
     while that is `fallback` of the area. It ends at `enough` of the area or `most` scenes, and fails below `required`.
 
-    Scenes stay in a table. What is still open is a list of disjoint convex pieces, cut by each scene taken and bounded by those. A pass over the table
+    Scenes stay in a table, one of each ring. What is still open is a list of disjoint convex pieces, cut by each scene taken and bounded by those. A pass over the table
     gives every scene's gain; gains only fall from then on, so among the AHEAD scenes that gained most the driver takes steps for itself as long as what
     it takes beats the gain of all others then, and only then asks for another pass.
     """
@@ -97,7 +98,11 @@ def greedy_cover(products: DataFrame, aoi, most: int = 100, enough: float = 0.99
     more = [c for c in ("best", "acquired") if c in products.columns]
     scenes = _rings(products).select(F.col("id").cast("string").alias("id"), F.col("cloud_cover").cast("double").alias("cloud_cover"), *more, "ring")
     scenes = scenes.withColumns({"best": F.col("best") if "best" in more else F.lit(True), "age": -F.unix_timestamp("acquired") if "acquired" in more else F.lit(0).cast("long")})
-    scenes = written(_shared(scenes.select("id", "cloud_cover", "best", "age", "ring"), open_, "all").where(F.col("all") > 0))
+    # of scenes with one ring only the first in either order can be taken: the others add nothing after it
+    own = [] if least > 0 and fallback > 0 else ["id"]
+    facts = {True: F.struct("cloud_cover", "id", "age"), False: F.struct("cloud_cover", "age", "id")}
+    scenes = scenes.groupBy("ring", *own).agg(F.min(F.when(F.col("best"), facts[True])).alias("first"), F.min(facts[False]).alias("any")).select("ring", "first", "any")
+    scenes = written(_shared(spread(scenes), open_, "all").where(F.col("all") > 0))
 
     def covered() -> float:
         return total - sum(abs(polygons.area(p)) for p in open_)
@@ -105,7 +110,8 @@ def greedy_cover(products: DataFrame, aoi, most: int = 100, enough: float = 0.99
     for first, stop in ((True, least), (False, fallback)):
         ended = False
         while not ended and len(chosen) < most and covered() < total * enough:
-            rest = scenes.where(F.col("best") if first else F.lit(True)).where(~F.col("id").isin([c[1] for c in chosen]))
+            rest = scenes.select(F.col("first" if first else "any").alias("s"), "ring").where("s is not null").select("s.id", "s.cloud_cover", "s.age", "ring")
+            rest = rest.where(~F.col("id").isin([c[1] for c in chosen]))
             top = _shared(rest, open_, "gain").orderBy(F.desc("gain"), "cloud_cover", "id").limit(AHEAD + 1).collect()
             bound = top.pop().gain if len(top) > AHEAD else -1.0  # no scene outside has more
             ahead = [(r.id, r.cloud_cover, r.age, polygons.convex_parts([(p.x, p.y) for p in r.ring])) for r in top]
