@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.mercator import HALF
 from gridloom.functions.ranks import running, uniform
-from gridloom.functions.shared import written
+from gridloom.functions.shared import spread, written
 from gridloom.operators import quantiles
 
 #: What a run must keep to; the values of the published study.
@@ -258,23 +258,26 @@ def make_traces(users: DataFrame, regions: list[tuple[str, float, float]], zooms
     low, high = zooms
     start = kept(F.lit("start"), F.lit(low) + F.floor(u(F.lit(-1), "zoom") * (high - low + 1)), home["x"], home["y"], home["region"], F.lit(-1))
 
-    def step(seen, view):
-        last, at, action = F.element_at(seen, -1), u(view, "action"), F.lit(None).cast("string")
+    # every hash of a view once; what follows from the views before is left to the fold
+    chances = lambda view: F.struct(view.alias("view"), *[u(view, c).alias(c) for c in ("action", "back", "region", "across", "up", "turn")])
+
+    def step(seen, c):
+        last, view, action = F.element_at(seen, -1), c["view"], F.lit(None).cast("string")
         for name, stop in reversed(list(zip(ACTIONS, itertools.accumulate(ACTIONS.values()), strict=True))):
-            action = F.when(at < stop, name).otherwise(F.lit(name) if name == list(ACTIONS)[-1] else action)
-        back = F.element_at(seen, -(F.floor(u(view, "back") * F.greatest(F.lit(1), F.least(view, F.lit(REVISITED)))) + 1).cast("int"))
-        there = place(view)
+            action = F.when(c["action"] < stop, name).otherwise(F.lit(name) if name == list(ACTIONS)[-1] else action)
+        back = F.element_at(seen, -(F.floor(c["back"] * F.greatest(F.lit(1), F.least(view, F.lit(REVISITED)))) + 1).cast("int"))
+        there = F.element_at(spots, (F.floor(c["region"] * len(regions)) + 1).cast("int"))
         metre = F.lit(2 * half / 256) / F.pow(F.lit(2.0), last["zoom"])
-        along = F.when(u(view, "across") < 0.5, -1.0).otherwise(1.0) * metre * (0.6 * viewport[0])
-        up = (F.floor(u(view, "up") * 3) - 1) * metre * (0.4 * viewport[1])
-        turn = F.when(u(view, "turn") < 0.5, -1).otherwise(1)
+        along = F.when(c["across"] < 0.5, -1.0).otherwise(1.0) * metre * (0.6 * viewport[0])
+        up = (F.floor(c["up"] * 3) - 1) * metre * (0.4 * viewport[1])
+        turn = F.when(c["turn"] < 0.5, -1).otherwise(1)
         by = lambda pan, zoom, revisit, relocate: F.when(action == "pan", pan).when(action == "zoom", zoom).when(action == "revisit", revisit).otherwise(relocate)
         return F.concat(seen, F.array(kept(
             action, by(last["zoom"], F.greatest(F.lit(low), F.least(F.lit(high), last["zoom"] + turn)), back["zoom"], last["zoom"]), by(last["x"] + along, last["x"], back["x"], there["x"]),
             by(last["y"] + up, last["y"], back["y"], there["y"]), by(last["region"], last["region"], back["region"], there["region"]), view,
         )))
 
-    sessions = users.select("user", F.aggregate(F.sequence(F.lit(0), F.lit(views - 1)), F.array(start), step).alias("views"))
+    sessions = spread(users).select("user", F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(views - 1)), chances), F.array(start), step).alias("views"))
     rows = sessions.select("user", F.explode(F.slice("views", 2, views)).alias("v")).select("user", "v.*")
     return rows.withColumn("think", F.lit(think[0]) + uniform(seed, F.col("user"), F.col("view"), "think") * (think[1] - think[0]))
 

@@ -314,6 +314,37 @@ def test_bootstrap_of_rows_and_of_joins(spark, monkeypatch):
     assert "Join" not in plan  # no ranked value is sent to the driver to be broadcast
 
 
+def test_scenes_of_one_ring_are_one_row_of_the_cover(spark, monkeypatch):
+    sizes, kept = [], scenes.written
+    monkeypatch.setattr(scenes, "written", lambda df: (made := kept(df), sizes.append(made.count()))[0])
+    rows = [(f"s{i:03d}", float(i * 7 % 5), float(i % 3 * 4), 0.0, float(i % 3 * 4 + 5), 5.0) for i in range(90)]
+    got = scenes.greedy_cover(spark.createDataFrame(rows, "id string, cloud_cover double, west double, south double, east double, north double"), (0.0, 0.0, 13.0, 5.0)).collect()
+    # of each of three places the first of those without cloud
+    assert sizes == [3] and [(r.id, r.gain) for r in got] == [("s000", 25.0), ("s005", 25.0), ("s010", 15.0)]
+
+
+def test_a_trace_asks_for_each_hash_once(spark):
+    made = benchmark.make_traces(spark.range(3).select(F.col("id").alias("user")), [("a", 0.0, 0.0)], (4, 12), 5, (-1e6, -1e6, 1e6, 1e6))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") <= 20 and made.count() == 15
+
+
+def test_paths_are_taken_apart_once(spark):
+    rows = spark.createDataFrame([("/a/b/c.tif", "/a/d"), ("/a/c.tif", "/a/b/../."), ("s3://x/a/c", "/a"), ("/", "/a")], "path string, folder string")
+    made = rows.select(text.relative_path(F.col("path"), F.col("folder")).alias("p"))
+    assert [r.p for r in made.collect()] == ["../b/c.tif", "../../c.tif", "s3://x/a/c", ".."]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+
+
+def test_spread_rows_are_as_many_tasks_as_a_shuffle(spark):
+    from gridloom.functions.shared import spread
+    from gridloom.plans import formats, queries, rasters
+
+    assert formats and rasters and spread(spark.range(50).coalesce(1)).rdd.getNumPartitions() == 4
+    for name in ("icon_rules", "relative_paths", "trace_views"):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
 def test_scenes_by_brute_force(spark):
     r = random.Random(6)
     rows = [(f"s{i:02d}", float(r.randint(0, 3)), (w := r.randint(-2, 9)), (s := r.randint(-2, 9)), w + r.randint(1, 5), s + r.randint(1, 5), r.random() < 0.5, 1_700_000_000 + r.randint(0, 9)) for i in range(40)]
