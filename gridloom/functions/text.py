@@ -123,9 +123,13 @@ def relative_path(path: Column, folder: Column) -> Column:
     """An absolute path as seen from a folder; as it is where they share no store or drive."""
     store = lambda c: F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*|[A-Za-z]:|)", 1)
     split = lambda c: F.filter(F.split(F.substr(F.regexp_replace(c, r"\\", "/"), F.length(store(c)) + 1), "/"), lambda x: (x != "") & (x != "."))
-    target, base = split(path), split(folder)
-    same = F.transform(F.sequence(F.lit(1), F.least(F.size(target), F.size(base)) + 1), lambda n: F.slice(target, F.lit(1), n) == F.slice(base, F.lit(1), n))
-    # the first place where they part, at the latest after the shorter one
-    n = F.least(F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0).cast("long")) - 1, F.size(target).cast("long")), F.size(base).cast("long"), F.size(target).cast("long")).cast("int")
-    up = F.array_repeat(F.lit(".."), F.size(base) - n)
-    return F.when(store(path) == store(folder), F.array_join(F.concat(up, F.slice(target, n + 1, F.greatest(F.size(target) - n, F.lit(0)))), "/")).otherwise(path)
+    bound = lambda value, of: F.transform(F.array(value), of)[0]  # noqa: E731  # evaluated once, however often it is named
+
+    def parted(both: Column) -> Column:
+        target, base = both["target"], both["base"]
+        same = F.transform(F.sequence(F.lit(1), F.least(F.size(target), F.size(base)) + 1), lambda n: F.slice(target, F.lit(1), n) == F.slice(base, F.lit(1), n))
+        # the first place where they part, at the latest after the shorter one
+        n = F.least(F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0).cast("long")) - 1, F.size(target).cast("long")), F.size(base).cast("long"), F.size(target).cast("long")).cast("int")
+        return bound(n, lambda n: F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(base) - n), F.slice(target, n + 1, F.greatest(F.size(target) - n, F.lit(0)))), "/"))
+
+    return F.when(store(path) == store(folder), bound(F.struct(split(path).alias("target"), split(folder).alias("base")), parted)).otherwise(path)

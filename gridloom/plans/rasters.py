@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from gridloom.functions import codecs, projection, text
-from gridloom.functions.shared import scratch
+from gridloom.functions.shared import scratch, spread
 from gridloom.operators import planning, scenes, tiles
 from gridloom.plans import views
 from gridloom.plans.queries import _last, query, rounded
@@ -135,7 +135,7 @@ def relative_paths(spark, sf_dir):
     p = views.table(spark, sf_dir, "part")
     target = F.concat(F.lit("/data/"), "p_brand", F.lit("/v"), (F.col("p_size") % 3).cast("string"), F.lit("/"), "p_type", F.lit(".tif"))
     folder = F.concat(F.lit("/data/Brand#"), (11 + F.col("p_partkey") % 3).cast("string"), F.lit("/v"), (F.col("p_partkey") % 2).cast("string"))
-    return p.select(F.col("p_partkey").alias("id"), text.relative_path(target, folder).alias("path"))
+    return spread(p.select("p_partkey", "p_brand", "p_size", "p_type")).select(F.col("p_partkey").alias("id"), text.relative_path(target, folder).alias("path"))
 
 
 _STATE = """plan as (select distinct o_custkey % 997 b from orders), state as (select distinct c_custkey % 1009 b, c_custkey % 1009 * 3 bytes, md5((c_custkey % 1009)::varchar) s from customer where c_custkey % 4 > 0),
