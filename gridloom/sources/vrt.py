@@ -91,7 +91,9 @@ def block_vrts(blocks: DataFrame, parts: DataFrame, dtype: str, nodata: str, srs
     """
     joined = parts.join(blocks.select("block", F.col("x").alias("bx"), F.col("y").alias("by")), "block")
     here = F.struct("x", "y")
-    path = F.col("path") if folder is None else relative_path(F.col("path"), F.lit(folder))
+    # a column of its own, so that it is made once and named often
+    joined = joined.withColumn("_seen", F.col("path") if folder is None else relative_path(F.col("path"), F.lit(folder)))
+    path = F.col("_seen")
     relative = F.when(path != F.col("path"), "1").otherwise("0")
     file = F.concat(F.lit('<SourceFilename relativeToVRT="'), relative, F.lit('">'), escaped(path), F.lit("</SourceFilename><SourceBand>"))
     place = F.concat(_element("SrcRect", F.col("src"), F.col("x") - F.col("dst.x"), F.col("y") - F.col("dst.y"), F.col("w"), F.col("h")), _element("DstRect", here, -F.col("bx"), -F.col("by"), F.col("w"), F.col("h")))
