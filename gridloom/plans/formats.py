@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import projection
-from gridloom.functions.shared import scratch, written
+from gridloom.functions.shared import scratch, spread, written
 from gridloom.operators import planning, tiles
 from gridloom.operators import windows as rasters_
 from gridloom.plans import jobs, views
@@ -274,7 +274,7 @@ def icon_rules(spark, sf_dir):
     rule = tag("Rule", tag("Name", F.col("p_brand")), filter_, tag("MinScaleDenominator", (F.col("p_size") * 1000).cast("string")), symbol)
     layer = tag("NamedLayer", tag("Name", F.when(k % 2 == 0, "w:poi").otherwise("w:road")), tag("UserStyle", tag("FeatureTypeStyle", rule)))
     text = tag("StyledLayerDescriptor", layer, more=' xmlns="http://www.opengis.net/sld" xmlns:ogc="http://www.opengis.net/ogc"')
-    made = views.table(spark, sf_dir, "part").select(k.alias("id"), vector.with_unlabelled_icons(text).alias("s"))
+    made = spread(views.table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")).select(k.alias("id"), vector.with_unlabelled_icons(text).alias("s"))
     step = lambda *names: "".join(f"/*[name()='{n}']" for n in names)
     added, icon = "/" + step("sld:Rule"), "/" + step("sld:Rule", "sld:TextSymbolizer")
     number = lambda path: F.xpath_int("s", F.lit(path))
