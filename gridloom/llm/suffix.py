@@ -339,10 +339,15 @@ def cut_spans(keep_text: bool, least: int = 0):
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, id, text). Both joins of texts deal out these same three columns by id, so that Spark shuffles the texts once and reads them twice."""
+    return docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text")
+
+
 def remove_spans(texts: DataFrame, spans: DataFrame, keep_text: bool = False, least: int = 0) -> DataFrame:
     """Cuts (doc_id, start, stop) byte spans, which may overlap, out of (doc_id, text)."""
     gathered = spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = texts.join(gathered, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("id"), "left").select("doc_id", "text", "spans")
+    joined = _keyed(texts).join(gathered, "id", "left").select("doc_id", "text", "spans")
     kept = ", kept_text string" if keep_text else ""
     return joined.mapInArrow(cut_spans(keep_text, least), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kept}")
 
@@ -353,14 +358,15 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 20) -> DataFra
     arrow_batches(spark, rows=4000, size=16 << 20)
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     keys = max(partitions(spark) * 8, size // KEY_BYTES)
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
-    ranked = texts.mapInArrow(_map(length, seed, keys), RANKED)
+    texts = _keyed(docs)
+    ranked = texts.select("id", "text").mapInArrow(_map(length, seed, keys), RANKED)
     found = ranked.repartition("key").sortWithinPartitions("key").mapInArrow(_reduce, FOUND)
     found = written(found)
     side = length - seed
     covered = found.where("not expand").select("doc_id", F.greatest(F.col("pos") - side, F.lit(0)).alias("start"), (F.col("pos") + length).alias("stop"))
-    asked = found.where("expand").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "hot", "rank")).alias("asked"))
-    context = texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_contexts(length, seed), CONTEXT)
+    asked = found.where("expand").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("pos", "hot", "rank")).alias("asked"))
+    # doc_id is named though the task doesn't read it: without it this shuffle of the texts would be another than that of `remove_spans`
+    context = texts.join(asked, "id").select("id", "text", "asked", "doc_id").mapInArrow(_contexts(length, seed), CONTEXT)
     windows = context.repartition("key").sortWithinPartitions("key").mapInArrow(_windows(length), SPAN)
     return covered.union(windows)
 

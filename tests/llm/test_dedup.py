@@ -85,6 +85,19 @@ def test_small_passes_and_other_lengths(spark, docs, rows, monkeypatch):
     assert got == removed(rows, 30)
 
 
+def test_texts_are_shuffled_once(spark, docs, rows):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    try:
+        made = suffix.remove_repeats(docs, length=30, seed=12)
+        got = {-1 if r.doc_id is None else r.doc_id: tuple(r)[1:] for r in made.collect()}
+        plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == removed(rows, 30)
+    assert sum("ReusedExchange [doc_id" in x and "text" in x for x in plan.splitlines()) == 1
+
+
 @pytest.mark.parametrize("length", [50, 5])
 def test_doubling_over_every_position(spark, docs, rows, length):
     got = {-1 if r.doc_id is None else r.doc_id: tuple(r)[1:] for r in suffix.remove_spans(docs.select("doc_id", "text"), suffix.doubled_spans(docs, length)).collect()}
