@@ -6,12 +6,16 @@ Rectangles are columns x, y, w, h with an id column; ranges are half open.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.rects import coordinate
 from gridloom.functions.ranks import running, uniform
+from gridloom.functions.shared import written
 
 #: Sample edge of a storage tile, what an empty one takes compressed, and the reserve on top of an estimate.
 EDGE, EMPTY_TILE_BYTES, STORAGE_MARGIN = 512, 1024, 1.1
@@ -150,13 +154,70 @@ def storage_estimate(blocks: DataFrame, parts: DataFrame, sources: DataFrame, ov
     return rows.select("block", F.coalesce("source_bytes", F.lit(0)).alias("source_bytes"), "output_bytes", "temporary_bytes", F.ceil((F.col("output_bytes") + F.col("temporary_bytes")) * STORAGE_MARGIN).alias("reserved_bytes"))
 
 
+#: Levels that one task takes a group of cells through: an even number, so that groups are square, with 2 ** GROUP_LEVELS cells at most.
+GROUP_LEVELS = 12
+PART = ["left", "top", "right", "bottom"]
+GROWN = "kx long, ky long, left long, top long, right long, bottom long, done boolean"
+
+
+def _grown(steps: int, target: int, first: bool, last: bool):
+    """Cells (gx, gy, kx, ky and their part) sorted by group, joined by two along x and y in turn: done are those that fit and whose parent doesn't, or
+    that have no parent; of each group its one cell goes on, as what is too large already keeps those around it from being chosen."""
+    half = (1 << steps // 2) - 1
+    bit = np.array([sum((i >> j & 1) << 2 * j for j in range(steps // 2)) for i in range(half + 1)])
+
+    def fits(part):
+        return part[2] - part[0] <= target // np.maximum(part[3] - part[1], 1)
+
+    def joined(rows: pa.Table) -> pa.RecordBatch:
+        gx, gy, kx, ky, *part = (c.to_numpy() for c in rows.columns)
+        new = np.concatenate([[True], (gx[1:] != gx[:-1]) | (gy[1:] != gy[:-1])])
+        code = np.cumsum(new) - 1 << steps | bit[kx & half] | bit[ky & half] << 1
+        by = np.argsort(code)
+        code, part = code[by], [c[by] for c in part]
+        alive, done = np.ones(len(code), bool) if first else fits(part), []
+        for _ in range(steps):
+            code = code >> 1
+            head = np.concatenate([[True], code[1:] != code[:-1]])
+            at = np.flatnonzero(head)
+            above = [f.reduceat(c, at) for f, c in zip((np.minimum, np.minimum, np.maximum, np.maximum), part, strict=True)]
+            good = fits(above)
+            out = alive & ~good[np.cumsum(head) - 1]
+            done.append([c[out] for c in part])
+            code, part, alive = code[at], above, good
+        over = alive if last else np.ones(len(code), bool)
+        ends = [np.concatenate([*(d[i] for d in done), part[i][over]]) for i in range(4)]
+        settled = sum(len(d[0]) for d in done)
+        at = [np.concatenate([np.zeros(settled, np.int64), g[new][over]]) for g in (gx, gy)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*at, *ends, np.arange(len(ends[0])) < settled + (len(ends[0]) if last else 0))], [c.split()[0] for c in GROWN.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            rows = pa.Table.from_batches(held).combine_chunks()
+            gx, gy = rows.column("gx").to_numpy(), rows.column("gy").to_numpy()
+            cut = np.flatnonzero((gx[1:] != gx[:-1]) | (gy[1:] != gy[:-1]))
+            if len(cut):  # the last group may go on in the next batch
+                yield joined(rows.slice(0, cut[-1] + 1))
+                rows = rows.slice(cut[-1] + 1)
+            held = rows.combine_chunks().to_batches()
+        if held:
+            yield joined(pa.Table.from_batches(held))
+
+    return run
+
+
 def regions(rects: DataFrame, target_pixels: int) -> DataFrame:
     """(ord, x, y, w, h): disjoint output rectangles of target_pixels at most that hold all source rectangles.
 
     Sources are cut at the squares of a fine grid. Squares halve in turn along x and y into ever larger cells; of the
     cells around a square the largest whose occupied part has at most target_pixels becomes an output, trimmed to that
     part. So empty space is never written, and where sources are sparse an output spans more. Outputs
-    are numbered from the top, then from the left. All levels are one aggregation; no rectangle leaves the executors.
+    are numbered from the top, then from the left. A level's cells are made of those of the level below, so all levels
+    together have at most twice the rows of the first where squares lie close, and no rectangle leaves the executors.
     """
     edge = max(1, math.isqrt(max(1, target_pixels)) // 8)
     found = rects.where("w > 0 and h > 0")
@@ -169,14 +230,19 @@ def regions(rects: DataFrame, target_pixels: int) -> DataFrame:
     cut = at.select("x", "y", "w", "h", F.explode(_keys(edge)).alias("k")).select("k", *[
         f(F.col(a), k * edge).alias(b) for f, a, k, b in ((F.greatest, "x", F.col("k.kx"), "left"), (F.greatest, "y", F.col("k.ky"), "top"))
     ], F.least(F.col("x") + F.col("w"), (F.col("k.kx") + 1) * edge).alias("right"), F.least(F.col("y") + F.col("h"), (F.col("k.ky") + 1) * edge).alias("bottom"))
-    bounds = [F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom")]
-    squares = cut.groupBy("k.kx", "k.ky").agg(*bounds)
-    # a cell of level n spans 2 ** ceil(n / 2) squares along x and 2 ** floor(n / 2) along y
-    cell = F.expr("struct(shiftright(kx, cast((n + 1) div 2 as int)) as cx, shiftright(ky, cast(n div 2 as int)) as cy)")
-    above = squares.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("cell", cell)
-    area = (F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top"))
-    fits = above.groupBy("n", "cell").agg(*bounds).where((area <= target_pixels) | (F.col("n") == 0)).select("n", "cell", F.struct("left", "top", "right", "bottom").alias("part"))
-    chosen = above.select("kx", "ky", "n", "cell").join(fits, ["n", "cell"]).groupBy("kx", "ky").agg(F.max_by("part", "n").alias("p")).select("p.*").distinct()
+    bounds = [f(k).cast("long").alias(k) for f, k in zip((F.min, F.min, F.max, F.max), PART, strict=True)]
+    squares = cut.groupBy(F.col("k.kx").cast("long").alias("kx"), F.col("k.ky").cast("long").alias("ky")).agg(*bounds)
+    # A cell's part holds the parts of the cells in it, so once one is too large all around it are: what is chosen are the cells that fit whose parent doesn't.
+    # A step takes a group of squares, or of the cells of the step before, through several levels in one task, and hands on one row of each group.
+    cells, chosen, level = squares, None, 0
+    while level < levels:
+        steps = min(GROUP_LEVELS, levels - level)
+        group = [F.shiftright(k, steps // 2).alias(g) for k, g in (("kx", "gx"), ("ky", "gy"))]
+        dealt = cells.select(*group, "kx", "ky", *PART).repartition("gx", "gy").sortWithinPartitions("gx", "gy")
+        grown = written(dealt.mapInArrow(_grown(steps, target_pixels, level == 0, level + steps == levels), GROWN))
+        done = grown.where("done").select(*PART)
+        chosen = done if chosen is None else chosen.union(done)
+        cells, level = grown.where("not done").drop("done"), level + steps
     made = chosen.select((F.col("left") + far.x).alias("x"), (F.col("top") + far.y).alias("y"), (F.col("right") - F.col("left")).alias("w"), (F.col("bottom") - F.col("top")).alias("h"))
     return running(made, ["y", "x"], place="ord").select("ord", "x", "y", "w", "h")
 

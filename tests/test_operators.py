@@ -203,6 +203,52 @@ def test_regions_cover_all_sources(spark):
     assert planning.coverage(sources, out).where("area <> covered").count() == 0
 
 
+def test_regions_are_the_largest_cells_that_fit(spark, monkeypatch):
+    r = random.Random(6)
+    many = [(r.choice([0, 0, 5000, 70000]) + r.randint(0, 300), r.choice([0, 0, 9000]) + r.randint(0, 300), r.randint(1, 30), r.randint(1, 30)) for _ in range(100)]
+    sources = spark.createDataFrame([(i, *m) for i, m in enumerate(many)], "ord long, x long, y long, w long, h long")
+    x0, y0 = min(m[0] for m in many), min(m[1] for m in many)
+    side = max(max(m[0] + m[2] for m in many) - x0, max(m[1] + m[3] for m in many) - y0)
+    for target in (1, 2000, 10**6):
+        edge = max(1, math.isqrt(target) // 8)
+        levels, parts = range(2 * max(1, (-(-side // edge) - 1).bit_length()) + 1), {}
+        cell = lambda n, kx, ky: (n, kx >> (n + 1) // 2, ky >> n // 2)
+        for x, y, w, h in ((x - x0, y - y0, w, h) for x, y, w, h in many):
+            for kx in range(x // edge, (x + w - 1) // edge + 1):
+                for ky in range(y // edge, (y + h - 1) // edge + 1):
+                    p = max(x, kx * edge), max(y, ky * edge), min(x + w, kx * edge + edge), min(y + h, ky * edge + edge)
+                    for n in levels:
+                        o = parts.get(at := cell(n, kx, ky), p)
+                        parts[at] = min(p[0], o[0]), min(p[1], o[1]), max(p[2], o[2]), max(p[3], o[3])
+        fits = {at for at, p in parts.items() if at[0] == 0 or (p[2] - p[0]) * (p[3] - p[1]) <= target}
+        chosen = {parts[max(at for n in levels if (at := cell(n, *k[1:])) in fits)] for k in parts if k[0] == 0}
+        want = sorted((b + y0, a + x0, c - a, d - b) for a, b, c, d in chosen)
+        for most in (12, 4):
+            monkeypatch.setattr(planning, "GROUP_LEVELS", most)
+            got = sorted((v.ord, v.y, v.x, v.w, v.h) for v in planning.regions(sources, target).collect())
+            assert got == [(i, *v) for i, v in enumerate(want)]
+
+
+def test_regions_shuffle_few_rows_a_square(spark):
+    """Each square shuffled for each level, and joined back to it, were 40 rows a square and more."""
+    sources = spark.createDataFrame([(i, i % 64 * 9, i // 64 * 9, 7, 7) for i in range(4096)], "ord long, x long, y long, w long, h long")
+    before = {s.stageId() for s in _stages(spark)}
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    try:
+        planning.regions(sources, 2000).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    rows = sum(s.shuffleWriteRecords() for s in _stages(spark) if s.stageId() not in before)
+    squares = len({(kx, ky) for i in range(4096) for kx in range(i % 64 * 9 // 5, (i % 64 * 9 + 6) // 5 + 1) for ky in range(i // 64 * 9 // 5, (i // 64 * 9 + 6) // 5 + 1)})
+    assert rows < 8 * squares
+
+
+def _stages(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return [found.apply(i) for i in range(found.size())]
+
+
 def test_block_names_and_windows(spark):
     t = spark.createDataFrame([("a", 20, 30), ("b", 21, 30), ("c", -180, -90)], "path string, west int, south int")
     got = {r.block: (r.west, r.south, r.east, r.north, r.w, r.h, r.tiles, r.eligible) for r in planning.tile_blocks(t, 10, 2, 3600).collect()}
