@@ -177,6 +177,23 @@ def test_tile_mosaic_equals_cells(spark):
         assert a == b
 
 
+def test_tile_mosaic_shuffles_places_not_sources(spark, monkeypatch):
+    """60 sources cover four places; tasks compose what they have first, however their sources' orders mix and however little they hold at once."""
+    r = random.Random(8)
+    rows = [(s, s * 7 % 60, 1, x, y, float(r.randint(0, 99)), r.random() < 0.7) for s in range(60) for x in range(8) for y in range(8) if r.random() < 0.5]
+    packed = tiles.pack(cells(spark, rows), 4).localCheckpoint()
+    for policy in ("first", "last"):
+        want = {(v.x, v.y): v.v for v in mosaic.compose(cells(spark, rows), policy).collect()}
+        for held in (tiles.HELD_BYTES, 1000):
+            monkeypatch.setattr(tiles, "HELD_BYTES", held)
+            before = {s.stageId() for s in _stages(spark)}
+            made = tiles.compose(packed, policy).collect()
+            sent = sum(s.shuffleWriteRecords() for s in _stages(spark) if s.stageId() not in before)
+            assert {(v.x, v.y): v.v for v in tiles.unpack(spark.createDataFrame(made, tiles.TILE), 4).collect()} == want
+            assert held == 1000 or sent <= 4 * packed.rdd.getNumPartitions()
+        monkeypatch.undo()
+
+
 def test_rectangles(spark):
     rows = [(0, 0, 0, 10, 10), (1, 5, 5, 10, 10), (2, 10, 0, 5, 5), (3, 40, 40, 0, 5), (4, 0, 0, 10, 10)]
     df = spark.createDataFrame(rows, "ord long, x long, y long, w long, h long")
