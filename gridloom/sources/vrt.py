@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import codecs
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import relative_path
 
-from gridloom.functions.vectorised import vectorised
-
-_SOURCE = (
-    "ordinal int, kind string, filename string, relative boolean, src struct<x:double,y:double,w:double,h:double>, dst struct<x:double,y:double,w:double,h:double>, nodata string, use_mask boolean"
-)
-DATASET = f"width long, height long, srs string, grid array<double>, dtype string, nodata string, error string, sources array<struct<{', '.join(p if ':' in p.split(' ')[0] else p.replace(' ', ':', 1) for p in _SOURCE.split(', '))}>>"
+SOURCE = pa.schema([
+    ("ordinal", pa.int32()), ("kind", pa.string()), ("filename", pa.string()), ("relative", pa.bool_()), *[(k, pa.struct([(c, pa.float64()) for c in "xywh"])) for k in ("src", "dst")], ("nodata", pa.string()), ("use_mask", pa.bool_()),
+])
+HEAD = {"vrt": pa.string(), "width": pa.int64(), "height": pa.int64(), "srs": pa.string(), "grid": pa.list_(pa.float64()), "dtype": pa.string(), "vrt_nodata": pa.string()}
+_RECT = "struct<x:double,y:double,w:double,h:double>"
+ROWS = f"vrt string, width long, height long, srs string, grid array<double>, dtype string, vrt_nodata string, ordinal int, kind string, filename string, relative boolean, src {_RECT}, dst {_RECT}, nodata string, use_mask boolean"
+#: Bytes of a text that a task gets at once, and sources that it holds as Python objects.
+PIECE_BYTES, CHUNK = 4 << 20, 2000
 #: What a source may hold; anything else transforms samples and isn't supported.
 ALLOWED = {"SourceFilename", "SourceBand", "SourceProperties", "SrcRect", "DstRect", "NODATA", "UseMaskBand"}
 
@@ -24,41 +28,108 @@ def _rect(node: ET.Element | None):
     return None if node is None else {k: float(node.get(a)) for k, a in zip("xywh", ("xOff", "yOff", "xSize", "ySize"), strict=True)}
 
 
-def _parsed(text: str) -> dict:
-    found = dict.fromkeys(("width", "height", "srs", "grid", "dtype", "nodata", "error", "sources"))
-    if "<!DOCTYPE" in text.upper() or "<!ENTITY" in text.upper():
-        return found | {"error": "document types and entities aren't supported"}
-    root = ET.fromstring(text)
-    bands = root.findall("VRTRasterBand")
-    if root.tag != "VRTDataset" or root.get("subClass") or not bands or bands[0].get("subClass"):
-        return found | {"error": "not a plain mosaic"}
-    rows = []
-    for node in bands[0]:
-        if node.tag not in ("SimpleSource", "ComplexSource"):
-            continue
+class _Mosaic:
+    """A VRT that comes in pieces: elements go as soon as they are read, sources are kept as Arrow columns until the text ends."""
+
+    def __init__(self, name: str):
+        self.name, self.tail, self.error, self.n = name, "", None, 0
+        self.parser, self.decoder = ET.XMLPullParser(("start", "end")), codecs.getincrementaldecoder("utf-8")("replace")
+        self.path, self.root, self.first, self.rows, self.made = [], None, None, [], []
+
+    def refuse(self, why: str) -> None:
+        raise ValueError(f"{self.name}: {why}")
+
+    def feed(self, piece: bytes, last: bool = False) -> None:
+        text = self.decoder.decode(piece, last)
+        seen = (self.tail + text).upper()
+        if "<!DOCTYPE" in seen or "<!ENTITY" in seen:
+            self.refuse("document types and entities aren't supported")
+        self.tail = (self.tail + text)[-8:]
+        self.parser.feed(text)
+        if last:
+            self.parser.close()
+        for event, node in self.parser.read_events():
+            if event == "start":
+                self.started(node)
+            else:
+                self.ended(node)
+
+    def started(self, node: ET.Element) -> None:
+        if not self.path:
+            self.root = node
+        elif len(self.path) == 1 and node.tag == "VRTRasterBand" and self.first is None:
+            self.first = node
+        self.path.append(node)
+
+    def ended(self, node: ET.Element) -> None:
+        self.path.pop()
+        if len(self.path) < 2:
+            return
+        if self.path[1] is not self.first:
+            self.path[-1].remove(node)
+        elif len(self.path) == 2 and node.tag in ("SimpleSource", "ComplexSource"):
+            self.source(node)
+            self.first.remove(node)
+
+    def source(self, node: ET.Element) -> None:
         odd = sorted({c.tag for c in node} - ALLOWED)
         src, dst = _rect(node.find("SrcRect")), _rect(node.find("DstRect"))
         if odd or node.get("resampling") or src is None or dst is None or (src["w"], src["h"]) != (dst["w"], dst["h"]):
-            return found | {"error": f"source {len(rows)} is transformed: {', '.join(odd) or 'resampled'}"}
+            self.error = self.error or f"source {self.n} is transformed: {', '.join(odd) or 'resampled'}"
+            return
         name = node.find("SourceFilename")
-        rows.append({
-            "ordinal": len(rows), "kind": node.tag, "filename": name.text, "relative": name.get("relativeToVRT", "0") == "1", "src": src, "dst": dst, "nodata": node.findtext("NODATA"),
+        self.rows.append({
+            "ordinal": self.n, "kind": node.tag, "filename": name.text, "relative": name.get("relativeToVRT", "0") == "1", "src": src, "dst": dst, "nodata": node.findtext("NODATA"),
             "use_mask": node.findtext("UseMaskBand", "false").lower() in ("true", "1"),
         })
-    grid = [float(v) for v in root.findtext("GeoTransform", "0,1,0,0,0,1").split(",")]
-    return found | {"width": int(root.get("rasterXSize")), "height": int(root.get("rasterYSize")), "srs": root.findtext("SRS"), "grid": grid, "dtype": bands[0].get("dataType"), "nodata": bands[0].findtext("NoDataValue"), "sources": rows}
-
-
-@vectorised(DATASET)
-def parsed(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_parsed(t) for t in texts], columns=["width", "height", "srs", "grid", "dtype", "nodata", "error", "sources"])
+        self.n += 1
+        if len(self.rows) == CHUNK:
+            self.pack()
+
+    def pack(self) -> None:
+        self.made.append(pa.RecordBatch.from_pylist(self.rows, SOURCE))
+        self.rows = []
+
+    def sources(self) -> Iterator[pa.RecordBatch]:
+        self.feed(b"", True)
+        root, band = self.root, self.first
+        if root.tag != "VRTDataset" or root.get("subClass") or band is None or band.get("subClass"):
+            self.refuse("not a plain mosaic")
+        if self.error:
+            self.refuse(self.error)
+        if self.rows:
+            self.pack()
+        grid = [float(v) for v in root.findtext("GeoTransform", "0,1,0,0,0,1").split(",")]
+        head = self.name, int(root.get("rasterXSize")), int(root.get("rasterYSize")), root.findtext("SRS"), grid, band.get("dataType"), band.findtext("NoDataValue")
+        for rows in self.made:
+            columns = [pa.array([v] * len(rows), k) for v, k in zip(head, HEAD.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, *rows.columns], [*HEAD, *SOURCE.names])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sources of VRTs whose pieces follow one another."""
+    at = None
+    for batch in batches:
+        for name, k, piece in zip(*(batch.column(c) for c in ("vrt", "k", "piece")), strict=True):
+            if k.as_py() == 0:
+                if at is not None:
+                    yield from at.sources()
+                at = _Mosaic(name.as_py())
+            at.feed(memoryview(piece.as_buffer()))
+    if at is not None:
+        yield from at.sources()
 
 
 def read(spark: SparkSession, path: str, contains: str | None = None) -> DataFrame:
-    """A row per source of each VRT at path, in order; an unsupported VRT raises. contains: part of the source's base name."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("vrt"), parsed("value").alias("d"))
-    bad = F.when(F.col("d.error").isNotNull(), F.raise_error(F.concat("vrt", F.lit(": "), "d.error")).cast("boolean")).otherwise(F.lit(True))
-    rows = text.where(bad).select("vrt", "d.width", "d.height", "d.srs", "d.grid", "d.dtype", F.col("d.nodata").alias("vrt_nodata"), F.explode("d.sources").alias("s")).select("*", "s.*").drop("s")
+    """A row per source of each VRT at path, in order; an unsupported VRT raises. contains: part of the source's base name.
+
+    Tasks get a text in pieces of PIECE_BYTES and hold its sources as columns, not its tree.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("vrt"), F.col("value").cast("binary").alias("value"))
+    last = F.floor(F.greatest(F.octet_length("value") - 1, F.lit(0)) / PIECE_BYTES).cast("int")
+    pieces = text.select("vrt", "value", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    # Spark bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch)
+    rows = pieces.select("vrt", "k", F.substring("value", F.col("k") * PIECE_BYTES + 1, F.lit(PIECE_BYTES)).alias("piece")).mapInArrow(_parsed, ROWS)
     if contains:
         rows = rows.where(F.contains(F.lower(F.element_at(F.split(F.regexp_replace("filename", r"\\", "/"), "/"), -1)), F.lit(contains.lower())))
     folder = F.regexp_replace("vrt", r"[^/]*$", "")

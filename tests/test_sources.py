@@ -3,10 +3,12 @@
 import gzip
 import json
 import sqlite3
+import tracemalloc
 import struct
 from xml.etree import ElementTree
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +135,38 @@ def test_vrt_sources_in_order(spark, tmp_path):
             vrt.read(spark, str(tmp_path / "bad.vrt")).collect()
 
 
+def test_vrt_in_pieces(spark, tmp_path, monkeypatch):
+    """Pieces end inside names, characters and forbidden markers."""
+    (tmp_path / "m.vrt").write_text(VRT.replace("Aa.tif", "Aäé日.tif"))
+    (tmp_path / "n.vrt").write_text(VRT)
+    want = sorted(map(str, vrt.read(spark, str(tmp_path)).collect()))
+    assert len(want) == 4 and sum("Aäé日.tif" in r for r in want) == 1
+    monkeypatch.setattr(vrt, "PIECE_BYTES", 7)
+    assert sorted(map(str, vrt.read(spark, str(tmp_path)).collect())) == want
+    for bad in (VRT.replace("<VRTDataset", "<!DOCTYPE x><VRTDataset", 1), VRT.replace("<VRTDataset", "<!doctype x [<!entity a 'b'>]><VRTDataset", 1), VRT.replace("VRTRasterBand", "Other")):
+        (tmp_path / "bad").mkdir(exist_ok=True)
+        (tmp_path / "bad/bad.vrt").write_text(bad)
+        with pytest.raises(Exception, match="bad.vrt"):
+            vrt.read(spark, str(tmp_path / "bad")).collect()
+
+
+def test_a_large_vrt_is_no_tree_in_memory():
+    """As a tree and objects, 20,000 sources and their masks took 68 MB; a task keeps columns, and the objects of a chunk."""
+    source = '<ComplexSource><SourceFilename relativeToVRT="1">a/%d.tif</SourceFilename><SourceBand>1</SourceBand><SrcRect xOff="0" yOff="0" xSize="9" ySize="9"/><DstRect xOff="%d" yOff="0" xSize="9" ySize="9"/></ComplexSource>'
+    body = "".join(source % (i, i) for i in range(20_000))
+    text = f'<VRTDataset rasterXSize="9" rasterYSize="9"><VRTRasterBand dataType="Byte" band="1">{body}</VRTRasterBand><MaskBand><VRTRasterBand>{body}</VRTRasterBand></MaskBand></VRTDataset>'.encode()
+    batches = [pa.RecordBatch.from_pydict({"vrt": ["x"], "k": pa.array([i], pa.int32()), "piece": [text[j : j + 65536]]}) for i, j in enumerate(range(0, len(text), 65536))]
+    held = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        rows = [(len(b), b.column("ordinal")[0].as_py(), pa.total_allocated_bytes() - held) for b in vrt._parsed(iter(batches))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(n for n, *_ in rows) == 20_000 and [k for _, k, _ in rows[:3]] == [0, vrt.CHUNK, 2 * vrt.CHUNK]
+    assert peak < 15e6 and max(b for *_, b in rows) < 15e6
+
+
 def test_block_vrt_reads_back(spark, tmp_path):
     blocks = spark.createDataFrame([("b", 10, 0, 20, 20, [1.0, 0.5, 0.0, 2.0, 0.0, -0.5])], "block string, x long, y long, w long, h long, grid array<double>")
     part = "block string, ordinal int, kind string, path string, src struct<x:long,y:long>, dst struct<x:long,y:long>, skip_nodata boolean, use_mask boolean, x long, y long, w long, h long"
