@@ -602,24 +602,28 @@ def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
     A key is a tile. One of too many rows or shingles is split by level of size and, where a component has
     many of its rows, by component, then by hash; pairs of such parts are tiles of two sides, but for parts of one
-    component and for levels too far apart.
+    component and for levels too far apart. What is used several times is written once: as one plan, it would repeat
+    all before it at each use, which the driver holds and plans anew after each of its shuffles.
     """
+    sizes = written(sizes)
     large = (F.col("n") > 2 * TILE) | (F.col("shingles") > TILE_SHINGLES)
     cold = rows.join(sizes.where(~large).select("key"), "key").select(F.xxhash64("key").alias("tile"), "node", F.lit(0).alias("side"))
     hot = rows.join(sizes.where(large).select("key"), "key")
     whole = hot.groupBy("key", "component").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("key", "component", F.lit(True).alias("whole"))
-    hot = hot.join(whole, ["key", "component"], "left").withColumn("label", F.when(F.col("whole"), F.col("component")).otherwise(-1)).drop("whole")
+    hot = written(hot.join(whole, ["key", "component"], "left").withColumn("label", F.when(F.col("whole"), F.col("component")).otherwise(-1)).drop("whole"))
     parts = hot.groupBy("key", "level", "label").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("shingles"))
-    parts = parts.select("key", "level", "label", F.ceil(F.greatest(F.col("n") / TILE, F.col("shingles") * 2 / TILE_SHINGLES)).cast("int").alias("parts"))
+    parts = written(parts.select("key", "level", "label", F.ceil(F.greatest(F.col("n") / TILE, F.col("shingles") * 2 / TILE_SHINGLES)).cast("int").alias("parts")))
     hot = hot.join(parts, ["key", "level", "label"]).withColumn("t", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
     one = parts.select("key", "level", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("t"))
     two = one.select("key", *[F.col(c).alias(f"{c}2") for c in ("level", "label", "t")])
     apart = (F.col("label") == -1) | (F.col("label") != F.col("label2"))
     forward = F.struct("level", "label", "t") <= F.struct("level2", "label2", "t2")
     pairs = one.join(two, "key").where(forward & apart & (F.col("level2") - F.col("level") <= 1)).withColumn("tile", F.xxhash64("key", "level", "label", "t", "level2", "label2", "t2"))
-    left = pairs.select("key", "level", "label", "t", "tile", F.lit(0).alias("side"))
-    right = pairs.where(F.struct("level", "label", "t") < F.struct("level2", "label2", "t2")).select("key", *[F.col(f"{c}2").alias(c) for c in ("level", "label", "t")], "tile", F.lit(1).alias("side"))
-    return cold.union(hot.join(left.union(right), ["key", "level", "label", "t"]).select("tile", "node", "side"))
+    left = F.struct("level", "label", "t", F.lit(0).alias("side"))
+    right = F.struct(*[F.col(f"{c}2").alias(c) for c in ("level", "label", "t")], F.lit(1).alias("side"))
+    itself = F.struct("level", "label", "t") == F.struct("level2", "label2", "t2")
+    sides = pairs.select("key", "tile", F.explode(F.when(itself, F.array(left)).otherwise(F.array(left, right))).alias("s")).select("key", "tile", "s.*")
+    return cold.union(hot.join(sides, ["key", "level", "label", "t"]).select("tile", "node", "side"))
 
 
 def _missed_links(texts: DataFrame, nodes: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -670,7 +674,7 @@ def _classes(docs: DataFrame, words: int, similarity: float, lanes: int, mins: i
     first = F.min(F.struct("doc_id", "rid", "r", "size", *bits, "least", "odd")).alias("o")
     owners = prints.groupBy("one", "two").agg(first, F.count("*").alias("n"))
     nodes = written(owners.select("one", "two", "n", "o.*").withColumn("node", F.monotonically_increasing_id()))
-    roots = components(_first_links(texts, nodes, words, similarity, lanes))
+    roots = written(components(_first_links(texts, nodes, words, similarity, lanes)))
     joined = components(_missed_links(texts, nodes, roots, words, similarity)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     own = nodes.select("one", "two", "n", "node", "doc_id", "rid").join(roots, "node", "left").withColumn("found", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "node"))
     own = own.join(joined, "component", "left").where("n > 1 or found or whole is not null").withColumn("whole", F.coalesce("whole", "component"))

@@ -282,6 +282,22 @@ def test_near_duplicates_by_jaccard(spark, docs, rows):
     assert {suffix.NULL_ID if r.doc_id is None else r.doc_id for r in kept.collect()} == set(keep.values())
 
 
+def test_plans_read_each_table_a_few_times(spark, monkeypatch):
+    """The driver holds a plan whole and plans it anew after each shuffle, so none repeats what was made before at each use of it."""
+    read = []
+
+    def noted(df, keep=similar.written):
+        read.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return keep(df)
+
+    monkeypatch.setattr(similar, "written", noted)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), "something else", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in similar.drop_near_duplicates(docs).collect()) == [0, 2, 3]
+    assert max(read) <= 10, read
+
+
 def test_large_groups_of_near_copies(spark):
     """More rows than a tile of any size here, most of them no nearer to each other than to the text they come from."""
     r = random.Random(7)
