@@ -357,6 +357,28 @@ def test_overlaps_of_blocks_by_brute_force(spark, monkeypatch, block, zone):
     assert got == {k: (len(p), n, off, first) for k, (p, n, off, first) in want.items()}
 
 
+@pytest.mark.parametrize("exact_bits", [False, True])
+@pytest.mark.parametrize(("piece", "at_once"), [(2_000_000, 2_000_000), (2_000_000, 5), (20, 7), (1, 100)])
+def test_overlaps_of_many_blocks(spark, monkeypatch, piece, at_once, exact_bits):
+    r = random.Random(piece + at_once)
+    rows = {(f"s{r.randint(0, 12)}", r.choice((1, 2, 70, 255)), r.randint(0, 30), r.randint(0, 2)): (r.choice([0.0, -0.0, 2.0, float("nan"), 3.0 if exact_bits else None]), r.choice([2**60, 2**60 + 1, None])) for _ in range(900)}
+    made = spark.createDataFrame([(s, 1, b, x, y, *v, True) for (s, b, x, y), v in rows.items()], "src string, ord long, band int, x long, y long, v double, bits long, valid boolean")
+    few = sorted(map(str, mosaic.overlap_conflicts(made, exact_bits).collect()))
+    monkeypatch.setattr(mosaic, "BLOCK", 2)
+    monkeypatch.setattr(mosaic, "PIECE", piece)
+    monkeypatch.setattr(mosaic, "AT_ONCE", at_once)
+    assert sorted(map(str, mosaic.overlap_conflicts(made, exact_bits).collect())) == few and len(few) == 78
+
+
+def test_samples_are_not_copied_to_many_blocks(spark, monkeypatch):
+    made = cells(spark, [(s, s, 1, x, 0, float(s), True) for s in range(60) for x in range(40)])
+    monkeypatch.setattr(mosaic, "BLOCK", 1)
+    before = {s.stageId() for s in _stages(spark)}
+    assert mosaic.overlap_conflicts(made).count() == 60 * 59 // 2
+    # 60 blocks: a copy of each sample for each of them is 144,000 rows
+    assert 0 < sum(s.shuffleWriteRecords() for s in _stages(spark) if s.stageId() not in before) <= 5 * 2400
+
+
 def test_bootstrap_is_reproducible(spark):
     runs = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4)] + [("b", 1.0), ("c", None)], "variant string, p95 double")
     got = {r.variant: (r.n, r.low, r.high) for r in benchmark.bootstrap(runs, "variant", "p95").collect()}
